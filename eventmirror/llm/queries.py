@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, sharding, toxicity, warc
-from .common import discard, materialise, shared_folder
+from . import bpe, decontaminate, embedding_dedup, html_extract, langid, ngram_jaccard, preference, sharding, toxicity, warc
+from .common import materialise, shared_folder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +26,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_preferences(preference.pair_neighbours(table(spark, sf_dir, "conversations")))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs), keep=["doc_id"])
@@ -55,5 +71,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op7_language_id, op8_warc, op9_byte_bpe, op10_toxicity)}
-SQL = {"op2_decontamination": decontaminate.SQL, "op8_warc": warc.SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_decontamination, op3_html_extraction, op4_embedding_dedup, op5_preference_chat,
+        op6_ngram_jaccard, op7_language_id, op8_warc, op9_byte_bpe, op10_toxicity,
+    )
+}
+SQL = {
+    "op2_decontamination": decontaminate.SQL,
+    "op5_preference_chat": preference.SQL,
+    "op6_ngram_jaccard": ngram_jaccard.SQL,
+    "op8_warc": warc.SQL,
+}
