@@ -21,7 +21,7 @@ from ..sources.writers import change_feed, read_current, write_log, write_mirror
 def stream_ingest(deliveries: DataFrame, log_path: str, secrets: Sequence[str], tolerance_seconds: int = 300, on_batch: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
     """Authenticate, parse and append events to the log: every event once, over the whole log.
 
-    `on_batch` gets each batch's outcome rows. The log must exist or its folder be empty.
+    `on_batch` gets each batch's outcome rows before they are appended. The log must exist or its folder be empty.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -35,9 +35,10 @@ def stream_ingest(deliveries: DataFrame, log_path: str, secrets: Sequence[str],
             log = None
         outcome = ingest.ingest(rows, log, secrets, tolerance_seconds).persist()
         try:
-            write_log(ingest.log_rows(outcome), log_path)
+            # Appending to the log drops what is cached of rows that were joined with it, so it comes last.
             if on_batch:
                 on_batch(outcome, number)
+            write_log(ingest.log_rows(outcome), log_path)
         finally:
             outcome.unpersist()
 
