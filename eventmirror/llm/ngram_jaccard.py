@@ -28,9 +28,14 @@ WORDS = 4
 #: Similarity as a fraction: 100 * intersection >= 85 * union.
 NUMERATOR, DENOMINATOR = 85, 100
 BATCH_BYTES = 1 << 21
-#: An n-gram is put last if it is in so many documents of a task's batch of about four million n-grams, and
-#: so many in all. The order decides what the join costs, never what it finds, and so does this bound of the list.
-LOCAL_HOT, TOTAL_HOT, MOST_HOT = 4, 48, 500_000
+#: An n-gram is put last if it is in so many documents of a task's batch of about four million n-grams and
+#: LOCAL_TOTAL in all, or in over FREQUENT prefixes. The order decides what the join costs, never what it
+#: finds, and so does the bound of the list.
+LOCAL_HOT, LOCAL_TOTAL, FREQUENT, MOST_HOT = 4, 48, 24, 1_000_000
+#: Partners of a row that the first run verifies, and the shared columns it asks for, as a part of the row's n-grams.
+PARTNERS, LIKELY = 2, 30
+#: In columns of more rows the second run takes only pairs that could still reach the overlap if this were their first.
+LONG = 64
 SALTS = 16
 
 _P = 0x9E3779B97F4A7C15 | 1
@@ -121,8 +126,16 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, hot long, seen long")
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, digest and the prefix of each set that is not empty; `hot` n-grams come last in the order."""
+def _most(counts: DataFrame) -> np.ndarray:
+    """The n-grams of the largest counts (h, n), as many as MOST_HOT: 8 MB at most."""
+    return counts.orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h").toArrow().column("h").to_numpy()
+
+
+def prefixes(docs: DataFrame, hot: np.ndarray, longer: float = 1.0) -> DataFrame:
+    """doc_id, n, digest and the prefix of each set that is not empty; `hot` n-grams come last in the order.
+
+    With `longer` the prefix is so many times as long, to count what would come next.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
 
     def run(batches):
@@ -140,7 +153,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     place = np.minimum(np.searchsorted(late, grams), len(late) - 1)
                     is_late = late[place] == grams
                     grams = np.concatenate([grams[~is_late], grams[is_late]])
-                prefix.append(grams[:take].view(np.int64))
+                prefix.append(grams[: int(take * longer)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
@@ -180,47 +193,62 @@ def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
 
 
 def _repeated(batches):
+    """The rows of columns of two rows or more, with the column's length."""
     for rows in _runs(batches):
         (h,) = _columns(rows, "h")
-        same = h[1:] == h[:-1]
-        yield from rows.filter(pa.array(np.append(same, False) | np.append(False, same))).to_batches()
+        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        length = np.diff(np.append(edge, len(h)))
+        rows = rows.append_column("k", pa.array(np.repeat(length, length).astype(np.int32)))
+        yield from rows.filter(pa.array(np.repeat(length > 1, length))).to_batches()
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    both = np.unique(np.stack([low, high], 1)[low < high], axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+def _counted(x, y, nx, ny, lx, ly, ok) -> pa.RecordBatch:
+    """One row per pair: how many of the columns at hand it shares, and whether any of them could be its first."""
+    order = np.lexsort([y, x])
+    x, y, nx, ny, lx, ly, ok = (v[order] for v in (x, y, nx, ny, lx, ly, ok))
+    first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, int)
+    count = np.diff(np.append(first, len(x)))
+    can = np.logical_or.reduceat(ok, first) if len(first) else ok
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (x[first], y[first], nx[first], ny[first], lx[first], ly[first], count, can)], names=["x", "y", "nx", "ny", "lx", "ly", "c", "ok"])
 
 
 def _star(batches):
-    """Each row of a column with the row before it and with its hub, the smallest row that size allows."""
+    """Each row of a column with the row before it and with a hub of each of two windows of like sizes.
+
+    The hub is the row whose prefix has the fewest n-grams before this one. Rare n-grams come first, so
+    that is the row with the least of its own: of a group of near copies, the one nearest to the text they share.
+    """
     for rows in _runs(batches):
         h, n, pos, node = _columns(rows, "h", "n", "pos", "node")
-        hub = np.empty(len(h), np.int64)
-        at = 0
         edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         ends = np.append(edge[1:], len(h))
+        left, right = [np.maximum(np.arange(len(h)) - 1, 0)], [np.arange(len(h))]
+        left[0][edge] = edge
         for s, e in zip(edge.tolist(), ends.tolist()):
-            at = s
-            while at < e:  # hubs: sizes grow by 1 / t at least from one to the next
+            at = back = s
+            while at < e:
                 reach = s + int(np.searchsorted(n[s:e], n[at] * DENOMINATOR // NUMERATOR, "right"))
-                hub[at:reach] = at
-                at = max(reach, at + 1)
-        i = np.arange(len(h))
-        before = np.maximum(i - 1, 0)
-        before[edge] = edge
-        left, right = np.concatenate([hub, before]), np.concatenate([i, i])
-        keep = NUMERATOR * n[right] <= DENOMINATOR * n[left]
-        yield _pairs(node[left[keep]], node[right[keep]])
+                middle = (at + reach + 1) // 2
+                for x, y in ((at, reach), (back, middle)):  # the second windows lie across the ends of the first
+                    if y - x > 1:
+                        hub = x + int(np.argmin(pos[x:y]))
+                        left.append(np.full(y - x, hub))
+                        right.append(np.arange(x, y))
+                at, back = max(reach, at + 1), middle
+        left, right = np.concatenate(left), np.concatenate(right)
+        keep = (node[left] != node[right]) & (NUMERATOR * np.maximum(n[left], n[right]) <= DENOMINATOR * np.minimum(n[left], n[right]))
+        left, right = left[keep], right[keep]
+        none = np.zeros(len(left), np.int64)
+        yield _counted(node[right], node[left], n[right], n[left], none, none, none == 0)
 
 
 def _cross(batches):
-    """Every pair of a column whose rows are in different components and whose sizes and places allow the overlap."""
+    """Every pair of a column whose rows are in different components and whose sizes allow the overlap."""
     for rows in _runs(batches):
-        h, n, pos, node, comp = _columns(rows, "h", "n", "pos", "node", "component")
+        h, n, pos, node, comp, far = _columns(rows, "h", "n", "pos", "node", "component", "far")
         edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         ends = np.append(edge[1:], len(h))
-        left, right = [], []
+        left, right, can = [], [], []
         for s, e in zip(edge.tolist(), ends.tolist()):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
@@ -228,43 +256,66 @@ def _cross(batches):
             reach = np.searchsorted(ns, ns * DENOMINATOR // NUMERATOR, "right")
             for i in range(e - s - 1):
                 j = np.arange(i + 1, reach[i])
-                ok = (cs[j] != cs[i]) & (np.minimum(rest[j], rest[i]) >= _needed(ns[i], ns[j]))
-                if ok.any():
-                    j = j[ok]
+                ok = np.minimum(rest[j], rest[i]) >= _needed(ns[i], ns[j])
+                take = (cs[j] != cs[i]) & (ok | (e - s <= LONG))
+                if take.any():
+                    j = j[take]
                     left.append(np.full(len(j), s + i))
                     right.append(s + j)
+                    can.append(ok[take])
         if left:
-            yield _pairs(node[np.concatenate(left)], node[np.concatenate(right)])
+            left, right, can = np.concatenate(left), np.concatenate(right), np.concatenate(can)
+            turn = node[left] > node[right]
+            left, right = np.where(turn, right, left), np.where(turn, left, right)
+            yield _counted(node[left], node[right], n[left], n[right], far[left], far[right], can)
+
 
+COUNTED = "x long, y long, nx long, ny long, lx long, ly long, c long, ok boolean"
 
-def _product(postings: DataFrame, multiply, schema: str = "a long, b long") -> DataFrame:
+
+def _product(postings: DataFrame, multiply, schema: str = COUNTED) -> DataFrame:
     return postings.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(multiply, schema)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are similar: first by what their prefixes share, then on the whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-    # The set whose prefix ends first has all its shared prefix n-grams counted; its rest may be shared too.
-    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-    likely = materialise(
-        pairs.distinct().join(left, "a").join(right, "b")
-        .where((F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR) & (most * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR))
-        .select("a", "b"),
-        "likely",
-    )
-    nodes = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+def _accumulated(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("x", "y").agg(*[F.max(c).alias(c) for c in ("nx", "ny", "lx", "ly", "ok")], F.sum("c").alias("c"))
+
+
+def _hubs(repeated: DataFrame) -> DataFrame:
+    """(a, b): each row's best partners among hubs and neighbours, by shared columns."""
+    likely = _accumulated(_product(repeated, _star)).where(F.col("c") * LIKELY >= F.col("nx"))
+    best = likely.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "y")), False), 1, PARTNERS).alias("p"))  # no more than the prefix has columns
+    pairs = best.select("x", F.explode("p.y").alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _bounded(known: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different components whose prefixes share enough.
+
+    Of two prefixes, the one that ends first has all n-grams that it shares counted, but for those in long columns
+    (`far` of a row's); only the rest of its set can add to the overlap.
+    """
+    least = lambda n: F.ceil(F.col(n) * NUMERATOR / DENOMINATOR)
+    most = F.col("c") + F.least("lx", "ly") + F.greatest(least("nx"), least("ny")) - 1
+    pairs = _accumulated(_product(known, _cross)).where(F.col("ok") & (most * (NUMERATOR + DENOMINATOR) >= (F.col("nx") + F.col("ny")) * NUMERATOR))
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that are similar, on their whole sets, which are made of the texts again."""
+    pairs = materialise(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     grams = materialise(whole_sets(docs.join(nodes, "doc_id", "left_semi")), "sets")
     shared = F.size(F.array_intersect("ga", "gb"))
     union = F.size("ga") + F.size("gb") - shared
     found = materialise(
-        likely.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+        pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
         .join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         .where(shared * DENOMINATOR >= union * NUMERATOR)
         .select("a", "b"),
         "links",
     )
-    discard(likely, grams)
+    discard(pairs, grams)
     return found
 
 
@@ -280,33 +331,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = materialise(describe(docs), "facts")
     rows = facts.where("hot IS NULL").select("doc_id", "n", "digest")
-    hot = (
-        facts.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= TOTAL_HOT)
-        .orderBy(F.desc("seen"), "hot").limit(MOST_HOT).select("hot").toArrow().column("hot").to_numpy()
-    )
+    hot = facts.where("hot IS NOT NULL").groupBy(F.col("hot").alias("h")).agg(F.sum("seen").alias("n")).where(F.col("n") >= LOCAL_TOTAL)
+    hot = _most(hot)
     groups = materialise(
         rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "groups"
     )
+    docs = docs.where("doc_id IS NOT NULL")
+    frequent = prefixes(docs, hot, 1.5).select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT)
+    hot = np.union1d(hot, _most(frequent))
     sets = materialise(
-        prefixes(docs.where("doc_id IS NOT NULL"), hot)
+        prefixes(docs, hot)
         .join(groups.select("digest", F.col("node").alias("doc_id")), ["doc_id", "digest"])
         .groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .select("node", "n", "prefix"),
         "prefixes",
     )
     postings = sets.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    shape = "h long, n long, pos int, node long"
+    shape = "h long, n long, pos int, node long, k int"
     repeated = materialise(_product(postings.select("h", "n", "pos", "node"), _repeated, shape), "repeated")
-    links = _verify(_product(repeated, _star), sets, docs)
+    discard(sets)
+    links = _verify(_hubs(repeated), docs)
     first = None if links.isEmpty() else connected_components(links)
     known = repeated if first is None else repeated.join(first.withColumnRenamed("id", "node"), "node", "left")
     known = known.withColumn("component", F.col("node") if first is None else F.coalesce("component", "node"))
-    more = _verify(_product(known, _cross), sets, docs)
+    known = known.join(repeated.groupBy("node").agg(F.count_if(F.col("k") > LONG).alias("far")), "node")
+    more = _verify(_bounded(known), docs)
     if more.isEmpty():
         found = first
     else:
         found = connected_components(links.union(more))
-    discard(repeated, sets)
+    discard(repeated)
     # Rows of the digests that have copies or links take their component; all others are their own.
     named = groups.withColumn("component", F.col("node")) if found is None else groups.join(found.withColumnRenamed("id", "node"), "node", "left")
     named = (
