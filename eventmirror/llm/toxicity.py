@@ -133,15 +133,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+def sample_of(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[DataFrame, dict[int, int]]:
     """text and toxic of about `per_label` labelled rows of each label that are not held out, drawn by
-    a hash of doc_id. The drawn labels are bounded by that parameter, so they are broadcast."""
+    a hash of doc_id, and the number of rows of each label. The drawn labels are bounded by that parameter, so they are broadcast."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20))
     share = F.when(F.col("toxic") == 1, int((1 << 20) * min(1, per_label / sizes.get(1, 1)))).otherwise(int((1 << 20) * min(1, per_label / sizes.get(0, 1))))
     drawn = known.where(draw < share)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     log odds (two for the words of BASE_LEXICON); its weight is that log odds. A word pair
     around a lexicon word becomes an exception if at least ten clean texts and few toxic ones hold it.
     """
-    sample = sample_of(docs, labels, per_label)
+    sample, whole = sample_of(docs, labels, per_label)
 
     def count(batches):
         for batch in batches:
@@ -204,8 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     points = sample.mapInArrow(again, "toxic int, x0 double, x1 double").toArrow() if phrases else seen.select("toxic", "x0", "x1").toArrow()
     y = points.column("toxic").to_numpy().astype(float)
     x = np.column_stack([points.column("x0").to_numpy(), points.column("x1").to_numpy()])
-    # The labels drawn are not in the proportion of the table; that shifts the constant alone.
     model.curve = logistic(x, y)
+    # The labels drawn may not be in the proportion of the table; that shifts the constant alone.
+    shift = np.log(whole[1] / toxic) - np.log(whole[0] / clean)
+    model.curve[0] += shift
     return model
 
 
