@@ -87,7 +87,7 @@ def blocks_of(page: str) -> list[dict]:
             elif tag in ("p", "br"):
                 flush()
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             flush()
         if tag in VOID:
             continue

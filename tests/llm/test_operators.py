@@ -169,7 +169,8 @@ def test_template_of_a_host(spark):
     rnd = random.Random(3)
     page = lambda i: f"<body><div class=top>Always here</div><div class=body><p>{' '.join(words(rnd, 9))}</p><p>Shared line</p>{'<p>more</p>' * (i % 3)}</div><p>Imprint</p></body>".replace("Shared line", "Shared line" if i % 2 else f"own {i}")
     rows = [(i, f"http://A.example/{i}", page(i)) for i in range(200)] + [(900, "http://b.example/", page(1)), (901, None, page(1)), (902, "http://b.example/", None)]
-    rows += [(1000 + i, "http://copies.example/x", page(5)) for i in range(20)]
+    copy = page(5)
+    rows += [(1000 + i, "http://copies.example/x", copy) for i in range(20)]
     out = html_extract.extract(spark.createDataFrame([r + ("c",) for r in rows], "page_id long, url string, html string, text string")).toPandas().set_index("page_id")
     assert len(out) == len(rows)
     assert not out[out.index < 200].text.str.contains("Always here|Imprint").any()
