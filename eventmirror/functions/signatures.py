@@ -17,6 +17,11 @@ def _hmac(message: Column, secret: str) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def signature_status(header: Column, body: Column, received_at: Column, secrets: Sequence[str], tolerance_seconds: int = 300) -> Column:
     """ok, missing_header, malformed, out_of_range or no_match.
 
@@ -24,26 +29,30 @@ def signature_status(header: Column, body: Column, received_at: Column, secrets:
     are no hex are skipped; without any other the header is malformed. The time may differ by the
     tolerance either way. One v1 that fits one secret is enough. The body is binary, as received.
     """
-    parts = F.transform(F.split(header, ","), lambda p: F.trim(p))
     key = lambda p: F.substring_index(p, "=", 1)
     value = lambda p: F.substring(p, F.instr(p, "=") + 1, 1 << 20)
-    times = F.transform(F.filter(parts, lambda p: key(p) == "t"), value)
-    time = F.when(F.rlike(F.get(times, F.lit(0)), F.lit(r"^[+-]?[0-9]+$")), F.get(times, F.lit(0))).try_cast("long")
-    signatures = F.filter(
-        F.transform(F.filter(parts, lambda p: key(p) == "v1"), lambda p: F.lower(value(p))),
-        lambda s: F.rlike(s, F.lit("^([0-9a-f]{2})*$")),
-    )
-    bad = F.exists(parts, lambda p: F.instr(p, "=") == 0) | (F.size(times) != 1) | time.isNull() | (F.size(signatures) == 0)
-    message = F.concat(F.encode(F.concat(time.cast("string"), F.lit(".")), "utf-8"), body)
-    fits = F.lit(False)
-    for secret in filter(None, secrets):
-        fits = fits | F.array_contains(signatures, _hmac(message, secret))
-    # Whole microseconds: a part of a second beyond the tolerance is out of range too.
-    off = F.abs(F.unix_micros(received_at) - time * 1_000_000) > tolerance_seconds * 1_000_000
-    return (
-        F.when(F.coalesce(header, F.lit("")) == "", "missing_header")
-        .when(F.coalesce(bad, F.lit(True)), "malformed")
-        .when(F.coalesce(off, F.lit(True)), "out_of_range")
-        .when(F.coalesce(fits, F.lit(False)), "ok")
-        .otherwise("no_match")
-    )
+
+    def judge(parts: Column) -> Column:
+        times = F.transform(F.filter(parts, lambda p: key(p) == "t"), value)
+        signatures = F.filter(F.transform(F.filter(parts, lambda p: key(p) == "v1"), lambda p: F.lower(value(p))), lambda s: F.rlike(s, F.lit("^([0-9a-f]{2})*$")))
+        first = F.get(times, F.lit(0))
+        time = F.when((F.size(times) == 1) & F.rlike(first, F.lit(r"^[+-]?[0-9]+$")), first).try_cast("long")
+        well = ~F.exists(parts, lambda p: F.instr(p, "=") == 0)
+        return _let(F.struct(F.when(well, time).alias("time"), signatures.alias("v1")), fits)
+
+    def fits(read: Column) -> Column:
+        time, signatures = read["time"], read["v1"]
+        message = F.concat(F.encode(F.concat(time.cast("string"), F.lit(".")), "utf-8"), body)
+        known = F.lit(False)
+        for secret in filter(None, secrets):
+            known = known | F.array_contains(signatures, _hmac(message, secret))
+        # Whole microseconds: a part of a second beyond the tolerance is out of range too.
+        off = F.abs(F.unix_micros(received_at) - time * 1_000_000) > tolerance_seconds * 1_000_000
+        return (
+            F.when(time.isNull() | (F.size(signatures) == 0), "malformed")
+            .when(F.coalesce(off, F.lit(True)), "out_of_range")
+            .when(F.coalesce(known, F.lit(False)), "ok")
+            .otherwise("no_match")
+        )
+
+    return F.when(F.coalesce(header, F.lit("")) == "", "missing_header").otherwise(_let(F.transform(F.split(header, ","), lambda p: F.trim(p)), judge))

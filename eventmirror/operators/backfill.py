@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.payload import is_stub
 from .fold import OBJECT, merge_state
-from .mirror import refresh_subscriptions, upsert_objects
+from .mirror import write_objects
 
 PAGE = 100
 LIVE = ("active", "trialing", "past_due")
@@ -23,8 +23,7 @@ def backfill(snapshot: DataFrame, mirror: DataFrame, state: DataFrame, horizon:
     """(mirror, state) after loading the snapshot. Every written object counts as known up to the horizon, so
     events from before it lose."""
     rows = writable(snapshot.where(~is_stub(F.col("data"))), state, horizon)
-    out = upsert_objects(mirror, rows.where(F.col("object_type") != "subscription"), as_of)
-    out = refresh_subscriptions(out, rows.where(F.col("object_type") == "subscription"), as_of, item_listing)
+    out = write_objects(mirror, rows, as_of, listing=item_listing)
     applied = rows.select("object_type", F.col("id").alias("object_id"), horizon.alias("created"), F.lit(None).cast("string").alias("event_id"), F.lit("backfill").alias("sync_source"))
     return out, merge_state(state, applied, as_of)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.payload import after, data_object, event_newer, is_stub, marks_deleted
 from .ingest import resolve_event
-from .mirror import KEY, refresh_subscriptions, soft_delete, upsert_objects
+from .mirror import KEY, write_objects
 
 OBJECT = ["object_type", "object_id"]
 
@@ -105,10 +105,7 @@ def apply_snapshot(work: DataFrame, snapshot: DataFrame, mirror: DataFrame, as_o
     todo = work.select("object_type", F.col("object_id").alias("id")).distinct()
     seen = todo.join(snapshot.select(*KEY, "data"), KEY, "left")
     gone = F.col("data").isNull() | is_stub(F.col("data"))
-    live = seen.where(~gone)
-    out = upsert_objects(mirror, live.where(F.col("object_type") != "subscription"), as_of)
-    out = refresh_subscriptions(out, live.where(F.col("object_type") == "subscription"), as_of, item_listing)
-    return soft_delete(out, seen.where(gone), as_of)
+    return write_objects(mirror, seen.where(~gone), as_of, deletes=seen.where(gone), listing=item_listing)
 
 
 def merge_state(state: DataFrame, applied: DataFrame, as_of: Column) -> DataFrame:

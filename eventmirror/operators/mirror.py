@@ -49,36 +49,52 @@ def typed_view(mirror: DataFrame, object_type: str) -> DataFrame:
     )
 
 
-def upsert_objects(mirror: DataFrame, rows: DataFrame, as_of: Column) -> DataFrame:
-    """The mirror after writing rows (object_type, id, data, optionally account_id): the last write wins, delete
-    flags are cleared. Of rows with one key the greatest (data, account_id) is written."""
-    if "account_id" not in rows.columns:
-        rows = rows.withColumn("account_id", F.lit(None).cast("string"))
-    new = rows.groupBy(*KEY).agg(F.max(F.struct("data", "account_id")).alias("_n"))
+def merge_objects(mirror: DataFrame, as_of: Column, upserts: DataFrame | None = None, deletes: DataFrame | None = None, refreshed: DataFrame | None = None) -> DataFrame:
+    """The mirror after one pass of writes: upserts (object_type, id, data, optionally account_id), deletes (object_type,
+    id), and the subscriptions (id) whose items are all among the upserts, so that their other live items go.
+
+    The last write wins and clears delete flags; of upserts with one key the greatest (data, account_id) is written. A delete flags
+    a live row and keeps its data; ids that the mirror lacks or holds deleted change nothing. A subscription's
+    live items go with it.
+    """
+    parts, parents = [], []
+    none = F.lit(None).cast("string")
+    if upserts is not None:
+        account = F.col("account_id") if "account_id" in upserts.columns else none
+        parts.append(upserts.select(*KEY, F.struct(F.col("data").alias("data"), account.alias("account_id")).alias("_n"), F.lit(False).alias("_gone")))
+    if deletes is not None:
+        parts.append(deletes.select(*KEY, F.lit(None).cast("struct<data: string, account_id: string>").alias("_n"), F.lit(True).alias("_gone")))
+        live = mirror.where(~F.col("is_deleted") & (F.col("object_type") == "subscription")).select(F.col("id").alias("_parent"))
+        parents.append(live.join(deletes.where(F.col("object_type") == "subscription").select(F.col("id").alias("_parent")), "_parent", "left_semi"))
+    if refreshed is not None:
+        parents.append(refreshed.select(F.col("id").alias("_parent")))
+    changes = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    changes = changes.groupBy(*KEY).agg(F.max("_n").alias("_n"), F.max("_gone").alias("_gone"))
+    out = mirror.withColumn("_old", F.lit(True)).join(changes, KEY, "full_outer")
     written = F.col("_n").isNotNull()
-    keep = lambda new, old: F.when(written, new).otherwise(F.col(old)).alias(old)
-    return mirror.join(new, KEY, "full_outer").select(
-        *KEY, keep(F.col("_n.data"), "data"), F.coalesce("_n.account_id", "account_id").alias("account_id"),
-        keep(F.lit(False), "is_deleted"), keep(F.lit(None).cast("timestamp"), "deleted_at"), keep(as_of, "updated_at"),
+    live = F.coalesce(~F.col("is_deleted"), F.lit(False))
+    orphan = F.lit(False)
+    if parents:
+        gone = (parents[0] if len(parents) == 1 else parents[0].unionByName(parents[1])).distinct()
+        out = out.withColumn("_sub", F.when((F.col("object_type") == "subscription_item") & live & ~written, F.get_json_object("data", "$.subscription")))
+        out = out.join(gone, F.col("_sub") == F.col("_parent"), "left")
+        orphan = F.col("_parent").isNotNull()
+    goes = (F.coalesce("_gone", F.lit(False)) & (live | written)) | orphan
+    pick = lambda new, kept, old: F.when(goes, new).when(written, kept).otherwise(F.col(old)).alias(old)
+    return out.where(F.col("_old").isNotNull() | written).select(
+        *KEY, F.when(written, F.col("_n.data")).otherwise(F.col("data")).alias("data"), F.coalesce("_n.account_id", "account_id").alias("account_id"),
+        pick(F.lit(True), F.lit(False), "is_deleted"), pick(as_of, F.lit(None).cast("timestamp"), "deleted_at"), pick(as_of, as_of, "updated_at"),
     )
 
 
-def soft_delete(mirror: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
-    """The mirror after deleting the objects of ids (object_type, id): flagged, with their last data kept.
+def upsert_objects(mirror: DataFrame, rows: DataFrame, as_of: Column) -> DataFrame:
+    """The mirror after writing rows; see merge_objects()."""
+    return merge_objects(mirror, as_of, upserts=rows)
 
-    Ids that the mirror lacks or holds deleted change nothing. A deleted subscription takes its live items with it.
-    """
-    gone = ids.select(*KEY).distinct()
-    live = mirror.select(*KEY).where(~F.col("is_deleted") & (F.col("object_type") == "subscription"))
-    parents = gone.join(live, KEY, "left_semi").select(F.col("id").alias("_parent"))
-    out = mirror.join(gone.withColumn("_gone", F.lit(True)), KEY, "left")
-    out = out.withColumn("_sub", F.when(F.col("object_type") == "subscription_item", F.get_json_object("data", "$.subscription")))
-    out = out.join(parents, F.col("_sub") == F.col("_parent"), "left")
-    hit = ~F.col("is_deleted") & (F.coalesce("_gone", F.lit(False)) | F.col("_parent").isNotNull())
-    return out.select(
-        *KEY, "data", "account_id", F.when(hit, True).otherwise(F.col("is_deleted")).alias("is_deleted"),
-        F.when(hit, as_of).otherwise(F.col("deleted_at")).alias("deleted_at"), F.when(hit, as_of).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
+
+def soft_delete(mirror: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
+    """The mirror after deleting the objects of ids; see merge_objects()."""
+    return merge_objects(mirror, as_of, deletes=ids)
 
 
 def explode_items(subscriptions: DataFrame, listing: DataFrame | None = None) -> DataFrame:
@@ -116,9 +132,9 @@ def prune_items(mirror: DataFrame, kept: DataFrame, refreshed: DataFrame, as_of:
     )
 
 
-def refresh_subscriptions(mirror: DataFrame, subscriptions: DataFrame, as_of: Column, listing: DataFrame | None = None) -> DataFrame:
-    """Write subscriptions (id, data) with all their items: upsert both, then prune. Subscriptions whose items are
-    incomplete or lack an id are left as they were."""
+def subscription_writes(subscriptions: DataFrame, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to upsert, refreshed ids) for subscriptions (id, data) with all their items. Those whose items are
+    incomplete or lack an id are left out, and so stay as they were."""
     items = explode_items(subscriptions, listing)
     bad = items.where(F.col("status") != "ok").select(F.col("subscription").alias("id")).distinct()
     good = subscriptions.select("id", "data").join(bad, "id", "left_anti")
@@ -126,7 +142,20 @@ def refresh_subscriptions(mirror: DataFrame, subscriptions: DataFrame, as_of: Co
     rows = good.select(F.lit("subscription").alias("object_type"), "id", "data").unionByName(
         own.select(F.lit("subscription_item").alias("object_type"), F.col("item_id").alias("id"), F.col("item").alias("data"))
     )
-    return prune_items(upsert_objects(mirror, rows, as_of), own, good, as_of)
+    return rows, good.select("id")
+
+
+def write_objects(mirror: DataFrame, rows: DataFrame, as_of: Column, deletes: DataFrame | None = None, listing: DataFrame | None = None) -> DataFrame:
+    """The mirror after upserting rows of any types, subscriptions with their items, and deleting others."""
+    items, refreshed = subscription_writes(rows.where(F.col("object_type") == "subscription"), listing)
+    others = rows.where(F.col("object_type") != "subscription").select(*KEY, "data")
+    return merge_objects(mirror, as_of, upserts=others.unionByName(items), deletes=deletes, refreshed=refreshed)
+
+
+def refresh_subscriptions(mirror: DataFrame, subscriptions: DataFrame, as_of: Column, listing: DataFrame | None = None) -> DataFrame:
+    """The mirror after writing subscriptions (id, data) with all their items."""
+    rows, refreshed = subscription_writes(subscriptions, listing)
+    return merge_objects(mirror, as_of, upserts=rows, refreshed=refreshed)
 
 
 def empty_mirror(spark) -> DataFrame:
