@@ -305,7 +305,8 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that are similar, on their whole sets, which are made of the texts again."""
     pairs = materialise(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    grams = materialise(whole_sets(docs.join(nodes, "doc_id", "left_semi")), "sets")
+    # The ids grow with the input, so they are never broadcast, whatever their size now.
+    grams = materialise(whole_sets(docs.join(nodes.hint("merge"), "doc_id", "left_semi")), "sets")
     shared = F.size(F.array_intersect("ga", "gb"))
     union = F.size("ga") + F.size("gb") - shared
     found = materialise(
