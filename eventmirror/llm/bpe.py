@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
+LETTER, NUMBER, OTHER, SPACE, WHITE, END = range(6)
 #: White_Space of Unicode without the space itself.
 WHITE_SPACE = (9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 # Symbols: a white-space character is "last" if something that is no white space follows.
@@ -31,7 +31,12 @@ S_LETTER, S_NUMBER, S_OTHER, S_QUOTE1, S_QUOTE2, S_LAST_SPACE, S_LAST_WHITE, S_M
 # States: in a run of letters, numbers or others; after a space that the next run takes; in white
 # space; one or two letters of a contraction to come; FRESH: whatever follows starts a match.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, PREFIX, IN_WHITE, ONE_MORE, TWO_MORE = range(8)
-BATCH_CHARS = 1 << 20
+NONE = 1 << 60
+#: By class and whether something that is no white space follows.
+SYMBOL = np.array([S_LETTER] * 2 + [S_NUMBER] * 2 + [S_OTHER] * 2 + [S_MORE_WHITE, S_LAST_SPACE, S_MORE_WHITE, S_LAST_WHITE] + [S_END] * 2, np.uint8)
+BATCH_CHARS = 1 << 19
+#: Pieces whose merges a worker remembers, about 30 MB.
+CACHED = 150_000
 
 
 @functools.cache
@@ -65,12 +70,9 @@ def machine() -> tuple[np.ndarray, np.ndarray]:
 def symbols(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Symbol of every character; `ends` are the places of the end marks between texts."""
     kind = classes()[codes]
-    kind[ends] = 9
-    after = np.append(kind[1:], 9)
-    out = np.choose(np.minimum(kind, 5), [S_LETTER, S_NUMBER, S_OTHER, S_MORE_WHITE, S_MORE_WHITE, S_END]).astype(np.uint8)
-    last = after < SPACE
-    out[(kind == SPACE) & last] = S_LAST_SPACE
-    out[(kind == WHITE) & last] = S_LAST_WHITE
+    kind[ends] = END
+    last = np.append(kind[1:], np.uint8(END)) < SPACE
+    out = SYMBOL[kind * np.uint8(2) + last]
     quote = np.flatnonzero((codes == 39) & (kind == OTHER))
     if len(quote):
         padded = np.concatenate([codes, np.zeros(2, codes.dtype)])
@@ -84,30 +86,49 @@ def symbols(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The functions that symbols compose to, by number: (number of each symbol, composition table, state
+    that each function leads to from each state). Number 0 is the identity. There are a few dozen."""
+    go = machine()[0]
+    known = {tuple(range(8)): 0}
+    order = [tuple(range(8))]
+    for f in order:
+        for row in go:
+            g = tuple(int(row[s]) for s in f)
+            if g not in known:
+                known[g] = len(order)
+                order.append(g)
+    values = np.array(order, np.uint8)
+    after = [[known[tuple(int(g[s]) for s in f)] for g in order] for f in order]
+    return np.array([known[tuple(map(int, row))] for row in go], np.intp), np.array(after, np.intp), values
+
+
 def scan(symbol: np.ndarray, block: int = 256) -> np.ndarray:
     """State before every character, by an associative scan over transition functions.
 
     Each block composes its own functions, a doubling scan composes those of all blocks before
     it, and a second pass applies them.
     """
-    go = machine()[0].ravel()
+    number, after, values = monoid()
     n = len(symbol)
     rows = -(-n // block)
     padded = np.full(rows * block, S_END, np.uint8)
     padded[:n] = symbol
-    padded = np.ascontiguousarray(padded.reshape(rows, block).T).astype(np.intp) * 8
-    whole = np.tile(np.arange(8, dtype=np.uint8), (rows, 1))
-    for column in padded:
-        whole = go[column[:, None] + whole]
+    padded = np.ascontiguousarray(padded.reshape(rows, block).T)
+    whole = np.zeros(rows, np.intp)
+    for column in number[padded]:
+        whole = after[whole, column]
     step = 1
     while step < rows:  # whole[i] becomes the composition of blocks 0..i
-        whole = np.concatenate([whole[:step], np.take_along_axis(whole[step:], whole[:-step].astype(np.intp), 1)])
+        whole = np.concatenate([whole[:step], after[whole[:-step], whole[step:]]])
         step *= 2
-    state = np.concatenate([[FRESH], whole[:-1, FRESH]]).astype(np.uint8)
+    state = np.concatenate([[FRESH], values[whole[:-1], FRESH]]).astype(np.uint8)
     before = np.empty((block, rows), np.uint8)
+    go = machine()[0]
     for j, column in enumerate(padded):
         before[j] = state
-        state = go[column + state]
+        state = go[column, state]
     return before.T.ravel()[:n]
 
 
@@ -134,16 +155,16 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.tokens = {v: k for k, v in self.ranks.items()}
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> list[int] | tuple[int, ...]:
         found = self.cache.get(piece)
         if found is None:
             found = self.merge(piece.encode("utf-8", "replace"))
             if len(piece) <= 64:
-                if len(self.cache) >= 400_000:
+                if len(self.cache) >= CACHED:
                     self.cache.clear()
-                self.cache[piece] = found
+                self.cache[piece] = found = tuple(found)
         return found
 
     def merge(self, raw: bytes) -> list[int]:
@@ -151,6 +172,18 @@ class Vocabulary:
         if raw in self.ranks:
             return [self.ranks[raw]]
         ranks, n = self.ranks, len(raw)
+        if n <= 32:
+            parts = [raw[i : i + 1] for i in range(n)]
+            pairs = [ranks.get(raw[i : i + 2], NONE) for i in range(n - 1)]
+            while pairs and (low := min(pairs)) < NONE:
+                i = pairs.index(low)
+                parts[i] += parts.pop(i + 1)
+                pairs.pop(i)
+                if i < len(pairs):
+                    pairs[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+                if i:
+                    pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+            return [ranks[p] for p in parts]
         end = list(range(1, n + 1))  # end of the part that starts at i
         after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]

@@ -27,11 +27,11 @@ from .common import connected_components, discard, materialise, mix64, slices
 WORDS = 4
 #: Similarity as a fraction: 100 * intersection >= 85 * union.
 NUMERATOR, DENOMINATOR = 85, 100
-BATCH_BYTES = 1 << 21
-#: An n-gram is put last if it is in so many documents of a task's batch of about four million n-grams and
+BATCH_BYTES = 1 << 19
+#: An n-gram is put last if it is in so many documents of a task's batch of about one million n-grams and
 #: LOCAL_TOTAL in all, or in over FREQUENT prefixes. The order decides what the join costs, never what it
 #: finds, and so does the bound of the list.
-LOCAL_HOT, LOCAL_TOTAL, FREQUENT, MOST_HOT = 4, 48, 24, 1_000_000
+LOCAL_HOT, LOCAL_TOTAL, FREQUENT, MOST_HOT = 3, 48, 24, 1_000_000
 #: Partners of a row that the first run verifies, and the shared columns it asks for, as a part of the row's n-grams.
 PARTNERS, LIKELY = 2, 30
 #: In columns of more rows the second run takes only pairs that could still reach the overlap if this were their first.
@@ -115,7 +115,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 n[i], digest[i] = len(grams), hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
                 held.append(grams)
                 size += len(grams)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield hot()
                     held, size = [], 0
             k = len(batch)
