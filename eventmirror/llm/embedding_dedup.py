@@ -1,9 +1,11 @@
 """Embedding near-duplicates: a robust-pruned flat graph over overlapping cluster shards.
 
+0. Rows of one label and one vector are one row with a weight; all its copies get the same links at the end.
 1. Tight cells. Vectors within half the link angle of a leader are linked with each other by the
    triangle inequality, so a cell of near copies is one node and its pairs need no work at all.
 2. Leaders go to their nearest clusters (several: shards overlap); each shard builds a robust-pruned
-   graph; the adjacency lists of a leader are united over its shards.
+   graph, in which leaders of one direction are one node and a ring; the adjacency lists of a leader are
+   united over its shards.
 3. Every leader searches its shards' graphs: greedily from the medoid (and its own list), then on through
    everything within range. A pair of shards' common leaders is reported by the first of those shards.
 4. Pairs that the cells' radii leave open are verified vector by vector, in double precision.
@@ -26,6 +28,8 @@ SAMPLE = 20_000
 MOST_CENTRES = 4096
 MEMBERS = 1000
 SLACK = 1e-9
+#: Leaders of this cosine are one node of the graph: rounding leaves their distances without an order.
+SAME = 1 - 1e-12
 
 
 def units(vectors) -> np.ndarray:
@@ -38,8 +42,9 @@ def angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1, 1))
 
 
-def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Spherical k-means."""
+def fit_centres(x: np.ndarray, k: int, apart: float = 0.0, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Spherical k-means. Of centres within `apart` of each other the first stays: several centres inside one
+    group of near copies would deal its links to shards that do not meet."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
@@ -48,6 +53,12 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.nda
         np.add.at(total, own, x)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         centres = np.where(norm > 0, total / np.maximum(norm, 1e-300), centres)
+    if apart:
+        own: list[int] = []
+        for i, c in enumerate(centres):
+            if not own or (centres[own] @ c).max() < np.cos(apart):
+                own.append(i)
+        centres = centres[own]
     return centres
 
 
@@ -61,8 +72,8 @@ def nearest(vectors, centres: dict[int, np.ndarray], k: int) -> list[list[int]]:
 
 
 def cells_of(block: pd.DataFrame, radius: float) -> pd.DataFrame:
-    """Greedy leaders in vec_id order: each takes the free vectors within the radius."""
-    block = block.sort_values("vec_id", kind="stable").reset_index(drop=True)
+    """Greedy leaders in vec_id order: each takes the free vectors within the radius. A cell's size counts copies."""
+    block = block.sort_values(["vec_id", "k1", "k2"], kind="stable").reset_index(drop=True)
     x = units(block.embedding)
     n = len(x)
     cell, reach = np.full(n, -1), np.zeros(n)
@@ -74,14 +85,15 @@ def cells_of(block: pd.DataFrame, radius: float) -> pd.DataFrame:
             took = free[far <= radius]
             cell[took] = i
             reach[i] = far[far <= radius].max()
-    sizes = np.bincount(cell, minlength=n)
+    sizes, members = np.zeros(n, np.int64), np.bincount(cell, minlength=n)
+    np.add.at(sizes, cell, block.copies.to_numpy())
     first = block.iloc[0]
     name = f"{first.label}/{first.dim}/{first.shard}/{first.block}/"
     return pd.DataFrame(
         {
             "vec_id": block.vec_id, "label": block.label, "dim": block.dim, "embedding": block.embedding,
-            "cell": [f"{name}{c}" for c in cell], "cell_id": block.vec_id.to_numpy()[cell],
-            "leads": cell == np.arange(n), "radius": reach[cell], "size": sizes[cell],
+            "k1": block.k1, "k2": block.k2, "copies": block.copies, "cell": [f"{name}{c}" for c in cell], "cell_id": block.vec_id.to_numpy()[cell],
+            "leads": cell == np.arange(n), "radius": reach[cell], "size": sizes[cell], "members": members[cell],
         }
     )
 
@@ -127,6 +139,24 @@ def build_graph(x: np.ndarray, seed: int = 5) -> np.ndarray:
     return prune(sims, np.hstack([out, back]))
 
 
+def tied_graph(x: np.ndarray) -> np.ndarray:
+    """build_graph() over one row of each direction. Rows of one direction are a ring in the last column, so a
+    search that finds one of them finds all; pruning would keep a single one of them."""
+    first = (x @ x.T >= SAME).argmax(1)
+    while (first[first] != first).any():
+        first = first[first]
+    own = np.unique(first)
+    out = np.full((len(x), DEGREE + 1), -1)
+    inner = build_graph(x[own])
+    out[own, :DEGREE] = np.where(inner >= 0, own[inner], -1)
+    order = np.argsort(first, kind="stable")
+    starts = np.searchsorted(first[order], first[order])
+    last = np.append(first[order][1:] != first[order][:-1], True)
+    follower = order[np.where(last, starts, np.minimum(np.arange(len(x)) + 1, len(x) - 1))]
+    out[order, DEGREE] = np.where(follower == order, -1, follower)
+    return out
+
+
 def search(x: np.ndarray, graph: np.ndarray, radii: np.ndarray, theta: float, chunk: int = 256):
     """(row, found rows within theta and both radii) for every row as a query."""
     n = len(x)
@@ -186,22 +216,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     rows = rows.where(good).withColumn("dim", F.size("embedding"))
 
-    labels = rows.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
+    keyed = rows.withColumns({k: F.xxhash64(F.lit(k), "label", "embedding") for k in ("k1", "k2")})
+    unique = keyed.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("vec_id"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.count(F.lit(1)).alias("copies"))
+    unique = materialise(unique, "unique")
+    labels = unique.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
     if not labels[0]:
         return alone
     draw = F.pmod(F.xxhash64(F.lit("centres"), "vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / labels[1]))
-    sample = rows.where(draw).select("embedding").toArrow().column(0).to_pylist()
+    sample = unique.where(draw).select("embedding").toArrow().column(0).to_pylist()
     k = min(MOST_CENTRES, -(-labels[0] // SHARD_ROWS))
-    centres = {d: fit_centres(units([v for v in sample if len(v) == d]), k) for d in {len(v) for v in sample}}
+    centres = {d: fit_centres(units([v for v in sample if len(v) == d]), k, radius) for d in {len(v) for v in sample}}
 
     def place(batches):
         for pdf in batches:
             yield pdf.assign(shard=[x[0] for x in nearest(pdf.embedding, centres, 1)])
 
-    placed = materialise(rows.mapInPandas(place, "vec_id long, label long, embedding array<double>, dim int, shard int"), "placed")
+    row = "label long, dim int, embedding array<double>, vec_id long, k1 long, k2 long, copies long"
+    placed = materialise(unique.mapInPandas(place, f"{row}, shard int"), "placed")
+    discard(unique)
     sizes = placed.groupBy("label", "dim", "shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("blocks"))
-    blocks = placed.join(sizes, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    cell_schema = "vec_id long, label long, dim int, embedding array<double>, cell string, cell_id long, leads boolean, radius double, size long"
+    blocks = placed.join(sizes, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "k1"), F.col("blocks")).cast("int")).drop("blocks")
+    cell_schema = "vec_id long, label long, dim int, embedding array<double>, k1 long, k2 long, copies long, cell string, cell_id long, leads boolean, radius double, size long, members long"
     members = materialise(blocks.groupBy("label", "dim", "shard", "block").applyInPandas(lambda b: cells_of(b, radius), cell_schema), "members")
     discard(placed)
 
@@ -209,9 +244,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(homes=[sorted(x) for x in nearest(pdf.embedding, centres, OVERLAP)])
 
-    leaders = members.where("leads").select("cell", "cell_id", "label", "dim", "embedding", "radius", "size")
+    leaders = members.where("leads").select("cell", "cell_id", "label", "dim", "embedding", "radius", "size", "members")
     shards = materialise(
-        leaders.mapInPandas(homes, "cell string, cell_id long, label long, dim int, embedding array<double>, radius double, size long, homes array<int>")
+        leaders.mapInPandas(homes, "cell string, cell_id long, label long, dim int, embedding array<double>, radius double, size long, members long, homes array<int>")
         .withColumn("shard", F.explode("homes")),
         "shards",
     )
@@ -219,11 +254,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     def build(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("cell").reset_index(drop=True)
         names = shard.cell.to_numpy()
-        return pd.DataFrame({"cell": names, "next": [names[g[g >= 0]].tolist() for g in build_graph(units(shard.embedding))]})
+        return pd.DataFrame({"cell": names, "next": [names[g[g >= 0]].tolist() for g in tied_graph(units(shard.embedding))]})
 
     by = ["label", "dim", "shard"]
     lists = shards.groupBy(*by).applyInPandas(build, "cell string, next array<string>")
-    graph = lists.groupBy("cell").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # OVERLAP * DEGREE names at most
+    graph = lists.groupBy("cell").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # OVERLAP * (DEGREE + 1) names at most
 
     def find(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("cell").reset_index(drop=True)
@@ -244,48 +279,50 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 sure = cos >= cosine if both == 0 else t <= theta - both - SLACK
                 if sure or both > 0:
                     a, b = min(i, j), max(i, j)
-                    out.append((names[a], names[b], int(shard.cell_id[a]), int(shard.cell_id[b]), int(shard["size"][a]), int(shard["size"][b]), bool(sure)))
-        return pd.DataFrame(out, columns=["a", "b", "ida", "idb", "sa", "sb", "sure"]).drop_duplicates()
+                    out.append((names[a], names[b], int(shard.cell_id[a]), int(shard.cell_id[b]), int(shard["size"][a]), int(shard["size"][b]), int(shard.members[a]), int(shard.members[b]), bool(sure)))
+        return pd.DataFrame(out, columns=["a", "b", "ida", "idb", "sa", "sb", "ma", "mb", "sure"]).drop_duplicates()
 
     pairs = materialise(
-        shards.join(graph, "cell").groupBy(*by).applyInPandas(find, "a string, b string, ida long, idb long, sa long, sb long, sure boolean").distinct(), "pairs"
+        shards.join(graph, "cell").groupBy(*by).applyInPandas(find, "a string, b string, ida long, idb long, sa long, sb long, ma long, mb long, sure boolean").distinct(), "pairs"
     )
     discard(shards)
 
     # What the radii leave open: members against members, in blocks of MEMBERS rows by MEMBERS rows.
     part = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / MEMBERS).cast("int") - 1)
-    open_ = pairs.where("NOT sure").withColumn("pa", F.explode(part("sa"))).withColumn("pb", F.explode(part("sb")))
-    parts = members.select("cell", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("size") / MEMBERS)).cast("int").alias("p"))
-    side = lambda cell, p, left: open_.join(parts.withColumnsRenamed({"cell": cell, "p": p}), [cell, p]).select("a", "b", "ida", "idb", "pa", "pb", F.lit(left).alias("left"), "vec_id", "embedding")
+    open_ = pairs.where("NOT sure").withColumn("pa", F.explode(part("ma"))).withColumn("pb", F.explode(part("mb")))
+    parts = members.select("cell", "k1", "k2", "copies", "embedding", F.pmod(F.xxhash64("vec_id", "k1"), F.ceil(F.col("members") / MEMBERS)).cast("int").alias("p"))
+    side = lambda cell, p, left: open_.join(parts.withColumnsRenamed({"cell": cell, "p": p}), [cell, p]).select("a", "b", "ida", "idb", "pa", "pb", F.lit(left).alias("left"), "k1", "k2", "copies", "embedding")
 
     def verify(block: pd.DataFrame) -> pd.DataFrame:
         left, right = block[block.left], block[~block.left]
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=["cell", "ida", "idb", "vec_id", "n"])
+            return pd.DataFrame(columns=["cell", "ida", "idb", "k1", "k2", "n"])
         hit = units(left.embedding) @ units(right.embedding).T >= cosine
         out = [
-            pd.DataFrame({"cell": cell, "vec_id": own.vec_id.to_numpy(), "n": n})
-            for cell, own, n in ((block.a.iloc[0], left, hit.sum(1)), (block.b.iloc[0], right, hit.sum(0)))
+            pd.DataFrame({"cell": cell, "k1": own.k1.to_numpy(), "k2": own.k2.to_numpy(), "n": n})
+            for cell, own, n in ((block.a.iloc[0], left, hit @ right.copies.to_numpy()), (block.b.iloc[0], right, left.copies.to_numpy() @ hit))
         ]
         out = pd.concat(out)
         out = out[out.n > 0]
-        return out.assign(ida=block.ida.iloc[0], idb=block.idb.iloc[0])[["cell", "ida", "idb", "vec_id", "n"]]
+        return out.assign(ida=block.ida.iloc[0], idb=block.idb.iloc[0])[["cell", "ida", "idb", "k1", "k2", "n"]]
 
     verified = materialise(
-        side("a", "pa", True).unionByName(side("b", "pb", False)).groupBy("a", "b", "pa", "pb").applyInPandas(verify, "cell string, ida long, idb long, vec_id long, n long"), "verified"
+        side("a", "pa", True).unionByName(side("b", "pb", False)).groupBy("a", "b", "pa", "pb").applyInPandas(verify, "cell string, ida long, idb long, k1 long, k2 long, n long"), "verified"
     )
     sure = pairs.where("sure")
     links = sure.select(F.col("ida").alias("a"), F.col("idb").alias("b")).union(verified.select("ida", "idb").distinct())
     outer = sure.select(F.col("a").alias("cell"), F.col("sb").alias("n")).union(sure.select("b", "sa")).groupBy("cell").agg(F.sum("n").alias("outer"))
-    exact = verified.groupBy("cell", "vec_id").agg(F.sum("n").alias("exact"))
-    result = members.join(outer, "cell", "left").join(exact, ["cell", "vec_id"], "left")
+    exact = verified.groupBy("cell", "k1", "k2").agg(F.sum("n").alias("exact"))
+    result = members.join(outer, "cell", "left").join(exact, ["cell", "k1", "k2"], "left")
     if links.isEmpty():
         result = result.withColumn("component", F.col("cell_id"))
     else:
         result = result.join(connected_components(links).withColumnRenamed("id", "cell_id"), "cell_id", "left")
     n = (F.col("size") - 1 + F.coalesce("outer", F.lit(0)) + F.coalesce("exact", F.lit(0))).cast("long")
-    component = F.coalesce("component", "cell_id")
-    return result.select("vec_id", n.alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")).unionByName(alone)
+    found = materialise(result.select("vec_id", "k1", "k2", "copies", n.alias("n_links"), F.coalesce("component", "cell_id").alias("component_id")), "found")
+    again = keyed.select("vec_id", "k1", "k2").join(found.where("copies > 1").select("k1", "k2", "n_links", "component_id"), ["k1", "k2"])
+    out = found.where("copies = 1").select("vec_id", "n_links", "component_id").unionByName(again.select("vec_id", "n_links", "component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(alone)
 
 
 def audit_recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, every: int = 100) -> DataFrame:

@@ -244,6 +244,20 @@ def test_robust_pruning_keeps_the_nearest():
     assert all(sims[i].argmax() in graph[i] for i in range(80))
 
 
+def test_links_of_many_exact_copies(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 10)
+    monkeypatch.setattr(embedding_dedup, "MEMBERS", 7)
+    rng = np.random.default_rng(8)
+    base = np.concatenate([[0.0], rng.normal(size=15)])
+    near = [base + s * rng.normal(size=16) for s in (0.02, 0.1, 0.1, 0.13, 0.13)]
+    vectors = [base] * 1200 + [np.concatenate([[-0.0], base[1:]])] + near * 3 + list(rng.normal(size=(40, 16)))
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(vectors)]
+    scaled = [(5000 + i, [float(c) for c in np.float32(base * s)], 1) for i, s in enumerate(rng.uniform(0.5, 7, 900))]
+    table = spark.createDataFrame(rows + scaled, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect()}
+    assert got == brute_links(rows) | brute_links(scaled)
+
+
 # ---- 5 preference
 
 
