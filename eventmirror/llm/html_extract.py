@@ -215,12 +215,12 @@ def aligned(a: Node, b: Node, memo: dict, path: str = ""):
 def induce(parsed: DataFrame) -> DataFrame:
     """host, path, digest of the texts that are template on their host.
 
-    Pages of equal texts count once. A host's pages are dealt to blocks of about 64 by a hash, and each
+    Pages of equal texts count once. A host's different pages are dealt to blocks of about 64 by a hash, and each
     block is aligned to its largest page; counts of (path, text) are summed over blocks, so no
     task sees a whole host.
     """
     pages = parsed.groupBy("host", "page").agg(F.first(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["digest"].alias("digest")))).alias("b"))
-    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    sizes = parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
     dealt = pages.join(sizes, "host").select("host", "page", F.pmod(F.xxhash64("page"), F.ceil(F.col("n") / PAGES_PER_BLOCK)).alias("block"), F.col("b.path").alias("paths"), F.col("b.digest").alias("digests"))
 
     def align(block: pd.DataFrame) -> pd.DataFrame:

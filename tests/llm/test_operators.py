@@ -178,6 +178,15 @@ def test_template_of_a_host(spark):
     assert "Always here" in out.loc[900].text and "Always here" in out.loc[1000].text and out.loc[902].text == "" and out.loc[902].n_chars == 0
 
 
+def test_template_of_a_host_with_many_copies(spark):
+    rnd = random.Random(4)
+    page = lambda: f"<body><div class=top>Always here</div><div class=body><p>{' '.join(words(rnd, 9))}</p></div></body>"
+    rows = [(i, "http://hot.example/", page()) for i in range(20)]
+    rows += [(100 + i, "http://hot.example/", rows[0][2]) for i in range(1200)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    assert len(out) == len(rows) and not out.text.str.contains("Always here").any() and (out.n_chars > 0).all()
+
+
 def test_tree_matching():
     a = html_extract.tree(["/b:0/x:0", "/b:0/y:0", "/b:0/z:0"], [1, 2, 3])
     b = html_extract.tree(["/b:0/x:0", "/b:0/q:0", "/b:0/z:0"], [1, 9, 4])
