@@ -19,18 +19,21 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
-CLASS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Containers that are never the article.
 LEFT_OUT = set("head nav footer aside form script style noscript template iframe svg math button select option textarea menu dialog object canvas audio video map input title fieldset".split())
-#: Words of a class, id or role that say so too.
+#: Whole words of a class, id or role that say so too; parts of a hyphenated word do not, nor those of the elements in WHOLE.
 LEFT_OUT_WORDS = set(
     "ad ads advert advertisement advertising sponsor sponsored promo banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead "
     "comment comments reply replies disqus respond cookie cookies consent notice notices popup modal overlay newsletter subscribe signup share sharing "
     "social related recommended widget login search toolbar pagination pager hidden contentinfo complementary".split()
 )
+#: Of these, those that an article's own container may bear too: where all else of a page is template, what varies in such elements is content.
+WEAK_WORDS = set("banner sidebar notice notices modal overlay popup widget social related recommended search share sharing subscribe signup newsletter respond toolbar".split())
+WHOLE = {"html", "body", "main", "article"}
 #: A start tag of these ends an open paragraph; those of ENDS_OWN end an open element of their own kind.
 ENDS_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS_OWN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -39,7 +42,10 @@ PAGES_PER_BLOCK = 64
 CONSTANT, LEAST_PAGES = 0.9, 8
 #: Template texts are broadcast up to this many rows (under 200 bytes each).
 BROADCAST_ROWS = 200_000
-BLOCK = "struct<path: string, main: boolean, kept: boolean, digest: bigint, text: string>"
+BLOCK = "struct<path: string, main: boolean, kept: boolean, weak: boolean, digest: bigint, text: string>"
+
+
+OUT, WEAK, KEPT = range(3)
 
 
 def digest(text: str) -> int:
@@ -48,10 +54,10 @@ def digest(text: str) -> int:
 
 def blocks_of(page: str) -> list[dict]:
     """The text blocks of a page in order: path of elements with their places, whether in an article or
-    main element, whether outside all containers that are left out, digest, text."""
+    main element, whether outside all containers that are left out, whether left out by weak words only, digest, text."""
     out: list[dict] = []
-    # An open element: tag, path, in main, kept, number of children by label.
-    stack: list[list] = [["", "", False, True, {}]]
+    # An open element: tag, path, in main, KEPT, WEAK or OUT, number of children by label.
+    stack: list[list] = [["", "", False, KEPT, {}]]
     words: list[str] = []
 
     def flush() -> None:
@@ -60,10 +66,11 @@ def blocks_of(page: str) -> list[dict]:
             words.clear()
             if text:
                 top = next(x for x in reversed(stack) if x[0] not in INLINE)
-                out.append({"path": top[1], "main": top[2], "kept": stack[-1][3] and top[3], "digest": digest(text), "text": text})
+                state = min(stack[-1][3], top[3])
+                out.append({"path": top[1], "main": top[2], "kept": state == KEPT, "weak": state == WEAK, "digest": digest(text), "text": text})
 
     def close(at: int) -> None:
-        if any(x[0] not in INLINE or not x[3] for x in stack[at:]):
+        if any(x[0] not in INLINE or x[3] != KEPT for x in stack[at:]):
             flush()
         del stack[at:]
 
@@ -102,11 +109,15 @@ def blocks_of(page: str) -> list[dict]:
                 if stack[i][0] == tag or {stack[i][0], tag} == {"dt", "dd"} or {stack[i][0], tag} == {"td", "th"}:
                     close(i)
                     break
-        named = {k.lower(): (a or b or c or "").lower() for k, a, b, c in CLASS.findall(m[3])} if m[3] else {}
-        marks = set(re.split(r"[^a-z0-9]+", " ".join(named.get(k, "") for k in ("class", "id", "role"))))
+        named = {k.lower(): (a or b or c or "").lower() for k, a, b, c in reversed(ATTRIBUTE.findall(m[3]))} if m[3] else {}  # the first of a name counts
         top = stack[-1]
         main = top[2] or tag in ("article", "main") or named.get("role") == "main"
-        kept = top[3] and not (tag in LEFT_OUT or marks & LEFT_OUT_WORDS or (tag == "header" and not top[2]) or "hidden" in named or named.get("aria-hidden") == "true")
+        marks = set() if tag in WHOLE or named.get("role") == "main" else LEFT_OUT_WORDS.intersection(" ".join(named.get(k, "") for k in ("class", "id", "role")).split())
+        kept = top[3]
+        if tag in LEFT_OUT or marks - WEAK_WORDS or (tag == "header" and not top[2]) or "hidden" in named or named.get("aria-hidden") == "true":
+            kept = OUT
+        elif marks:
+            kept = min(kept, WEAK)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
             pos = end.end() if end else len(page)
@@ -129,7 +140,7 @@ def parse(pages: DataFrame) -> DataFrame:
     schema = f"page_id long, url string, host string, page bigint, blocks array<{BLOCK}>"
 
     def run(batches):
-        kind = pa.list_(pa.struct([("path", pa.string()), ("main", pa.bool_()), ("kept", pa.bool_()), ("digest", pa.int64()), ("text", pa.string())]))
+        kind = pa.list_(pa.struct([("path", pa.string()), ("main", pa.bool_()), ("kept", pa.bool_()), ("weak", pa.bool_()), ("digest", pa.int64()), ("text", pa.string())]))
         for batch in batches:
             urls = batch.column(1).to_pylist()
             blocks = [blocks_of(h or "") for h in batch.column(2).to_pylist()]
@@ -256,9 +267,15 @@ def extract(pages: DataFrame) -> DataFrame:
         salts = 16
         spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
-    has_main = F.exists("blocks", lambda b: b["main"] & b["kept"])
     name = lambda b: F.concat_ws("|", F.regexp_replace(b["path"], ":[0-9]+", ""), b["digest"].cast("string"))
-    own = F.filter("blocks", lambda b: b["kept"] & (b["main"] | ~F.col("has_main")))
-    content = F.when(F.col("constant").isNull(), own).otherwise(F.filter(own, lambda b: ~F.array_contains("constant", name(b))))
-    text = F.array_join(F.transform(content, lambda b: b["text"]), " ")
-    return joined.withColumn("has_main", has_main).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+    def unlike_template(of: str):
+        """The blocks of that mark, those in an article or main element if there are any, without the template."""
+        has_main = F.exists("blocks", lambda b: b["main"] & b[of])
+        own = F.filter("blocks", lambda b: b[of] & (b["main"] | ~has_main))
+        return F.when(F.col("constant").isNull(), own).otherwise(F.filter(own, lambda b: ~F.array_contains("constant", name(b))))
+
+    joined = joined.withColumn("content", unlike_template("kept"))
+    chosen = F.when(F.size("content") == 0, unlike_template("weak")).otherwise(F.col("content"))
+    text = F.array_join(F.transform(chosen, lambda b: b["text"]), " ")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

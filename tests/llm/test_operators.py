@@ -165,6 +165,27 @@ def test_page(html, text):
     assert " ".join(b["text"] for b in blocks if b["kept"] and (b["main"] or not main)) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<body class="no-sidebar"><p>t</p></body>', "t"), ('<body class="sidebar widget"><p>t</p></body>', "t"), ('<article class="post social-proof">t</article>', "t"),
+        ('<main id="search">t</main>', "t"), ('<div class="overflow-hidden">t</div>', "t"), ('<div style="overflow: hidden">t</div>', "t"), ('<article title="The hidden garden">t</article>', "t"),
+        ("<p data-x='a class=\"ad\" b'>t</p>", "t"), ("<p class=x class=ad>t</p>", "t"), ("<div data-hidden=1>t</div>", "t"),
+        ("<div class=ad>t</div><p class='x hidden'>t</p><p hidden>t</p><p title='x' hidden=''>t</p><div role=navigation>t</div><div aria-hidden=true>t</div>", ""),
+    ],
+)
+def test_words_in_attributes(html, text):
+    assert " ".join(b["text"] for b in html_extract.blocks_of(html) if b["kept"]) == text
+
+
+def test_weak_words_give_way_to_what_varies(spark):
+    page = lambda i: f"<div class=widget><h2>Top</h2><p>story {i}</p></div><div class=ad>buy {i}</div>"
+    other = lambda i: f"<p>text {i}</p><div class=widget>tip {i}</div>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(30)] + [(100 + i, "http://b.example/", other(i)) for i in range(30)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == {i: f"story {i}" for i in range(30)} | {100 + i: f"text {i}" for i in range(30)}
+
+
 def test_template_of_a_host(spark):
     rnd = random.Random(3)
     page = lambda i: f"<body><div class=top>Always here</div><div class=body><p>{' '.join(words(rnd, 9))}</p><p>Shared line</p>{'<p>more</p>' * (i % 3)}</div><p>Imprint</p></body>".replace("Shared line", "Shared line" if i % 2 else f"own {i}")
