@@ -49,7 +49,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: Trained models and merges are beyond SQL; tests hold run() against a brute-force version.
+#: Trained models and merges are beyond SQL; tests hold the near-duplicate and decontamination stages against brute force.
 ORACLE_SQL = None
 
 
