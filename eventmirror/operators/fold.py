@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import after, data_object, event_newer, is_stub, marks_deleted
+from ..functions.payload import after, data_object, data_object_id, event_newer, is_stub, marks_deleted
 from .ingest import resolve_event
 from .mirror import KEY, write_objects
 
@@ -129,14 +129,14 @@ def merge_state(state: DataFrame, applied: DataFrame, as_of: Column) -> DataFram
 def mark_processed(log: DataFrame, applied: DataFrame, as_of: Column) -> DataFrame:
     """The log with processed_at set on open events whose object id was applied at their time or later.
 
-    By id alone, whatever the type. Applied is first reduced to one row per id, so this is an equal join.
+    By id alone, whatever the type. Applied is first reduced to one row per id, so this is an equal join. Only open
+    events with an object take part in it: all others pass through as they are, without a shuffle.
     """
     done = applied.where(F.col("created").isNotNull()).groupBy(F.col("object_id").alias("_id")).agg(F.max("created").alias("_upto"))
-    from ..functions.payload import data_object_id
-
-    rows = log.withColumn("_open", F.when(F.col("processed_at").isNull(), data_object_id(F.col("payload"))))
-    hit = F.col("_upto").isNotNull() & (F.col("created") <= F.col("_upto"))
-    return rows.join(done, F.col("_open") == F.col("_id"), "left").withColumn("processed_at", F.when(F.coalesce(hit, F.lit(False)), as_of).otherwise(F.col("processed_at"))).select(*log.columns)
+    keyed = log.withColumn("_id", F.when(F.col("processed_at").isNull(), data_object_id(F.col("payload"))))
+    hit = F.coalesce(F.col("created") <= F.col("_upto"), F.lit(False))
+    fresh = keyed.where("_id IS NOT NULL").join(done, "_id", "left").withColumn("processed_at", F.when(hit, as_of))
+    return fresh.select(*log.columns).unionByName(keyed.where("_id IS NULL").select(*log.columns))
 
 
 def pending_work(work: DataFrame, state: DataFrame) -> DataFrame:

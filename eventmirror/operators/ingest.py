@@ -12,6 +12,7 @@ from ..functions.event_types import resolve_type
 from ..functions.payload import data_object_id
 from ..functions.signatures import signature_status
 from ..schemas import EVENTS
+from ..sources.writers import created_day
 
 MAX_BODY = 1 << 20
 #: Of the fields read here; JSON of another shape gives nulls in place of the whole.
@@ -49,22 +50,42 @@ def resolve_event(events: DataFrame) -> DataFrame:
     return events.withColumns({"object_type": resolve_type(F.col("type")), "object_id": data_object_id(F.col("payload"))}).withColumn("resolve_status", status)
 
 
-def dedupe_events(new: DataFrame, log: DataFrame | None = None) -> DataFrame:
+def known_ids(ids: DataFrame, log: DataFrame) -> DataFrame:
+    """The event ids that the log holds too. Few ids are sent to the log's files, so that the log is not shuffled."""
+    return log.select("event_id").join(ids.select("event_id"), "event_id", "left_semi").distinct()
+
+
+def of_days(log: DataFrame, days: Sequence[int] | None) -> DataFrame:
+    """The log's events of some days of created, and those of no known day. A log without created_day is not pruned."""
+    if days is None or "created_day" not in log.columns:
+        return log
+    return log.where(F.col("created_day").isin(*days) | F.col("created_day").isNull())
+
+
+def dedupe_events(new: DataFrame, log: DataFrame | None = None, days: Sequence[int] | None = None) -> DataFrame:
     """new with `outcome`: inserted for the first arrival of an event that the log lacks, else duplicate.
 
     First is the smallest (received_at, source, payload); rows equal in all three are interchangeable. Only the log's ids
-    are read. Both sides are dealt out by event_id, so one shuffle of the new rows serves rank and join.
+    are read, and only those of `days` (all days of created in `new`, see created_days()) if given: an id's created never
+    changes. Rows of a null event_id are none of the log's events: they stay as they are, with a null outcome.
     """
-    order = Window.partitionBy("event_id").orderBy(F.col("received_at").asc_nulls_last(), "source", "payload")
-    ranked = new.withColumn("_rank", F.row_number().over(order))
-    if log is None:
-        known = F.lit(False)
-    else:
-        ids = log.select(F.col("event_id").alias("_known")).distinct()
-        ranked = ranked.join(ids, F.col("event_id") == F.col("_known"), "left")
+    # Rows without an id are spread by their payload, so that they are no hot key.
+    key = F.coalesce("event_id", F.concat(F.lit("\0"), F.hash("payload").cast("string")))
+    order = Window.partitionBy("_key").orderBy(F.col("received_at").asc_nulls_last(), "source", "payload")
+    ranked = new.withColumn("_key", key).withColumn("_rank", F.row_number().over(order))
+    known = F.lit(False)
+    if log is not None:
+        ids = known_ids(new, of_days(log, days)).withColumnRenamed("event_id", "_known")
+        ranked = ranked.join(ids, F.col("_key") == F.col("_known"), "left")
         known = F.col("_known").isNotNull()
-    outcome = F.when((F.col("_rank") == 1) & ~known, "inserted").otherwise("duplicate")
-    return ranked.withColumn("outcome", outcome).drop("_rank", "_known")
+    outcome = F.when(F.col("event_id").isNull(), F.lit(None)).when((F.col("_rank") == 1) & ~known, "inserted").otherwise("duplicate")
+    return ranked.withColumn("outcome", outcome).drop("_key", "_rank", "_known")
+
+
+def created_days(events: DataFrame, most: int = 1000) -> list[int] | None:
+    """The days of created that a batch spans, for pruning the log; None if there are over `most`. Runs a job."""
+    days = events.where(F.col("event_id").isNotNull()).select(created_day(F.col("created")).alias("day")).where("day IS NOT NULL").distinct().limit(most + 1).collect()
+    return None if len(days) > most else sorted(r.day for r in days)
 
 
 def ingest_outcomes(rows: DataFrame, outcome: Column | str = "outcome") -> DataFrame:
@@ -72,16 +93,30 @@ def ingest_outcomes(rows: DataFrame, outcome: Column | str = "outcome") -> DataF
     return rows.groupBy((F.col(outcome) if isinstance(outcome, str) else outcome).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ingest(deliveries: DataFrame, log: DataFrame | None, secrets: Sequence[str], tolerance_seconds: int = 300) -> DataFrame:
-    """Every delivery with its outcome: inserted, duplicate, bad_signature or error; inserted rows go into the log.
+def judge(deliveries: DataFrame, secrets: Sequence[str], tolerance_seconds: int = 300) -> DataFrame:
+    """Every delivery as an event row with `refused`: bad_signature, error or null. A refused row has no event_id, as
+    what it claims counts for nothing.
 
     The size is judged before the signature, the signature before the content.
     """
     rows = parse_envelope(verify_signatures(deliveries, secrets, tolerance_seconds))
     refused = F.when(F.col("parse_status") == "too_large", "error").when(F.col("sig_status") != "ok", "bad_signature").when(F.col("parse_status") != "ok", "error")
-    rows = rows.withColumn("_refused", refused)
-    fresh = dedupe_events(rows.where(F.col("_refused").isNull()), log)
-    return fresh.drop("_refused").unionByName(rows.where(F.col("_refused").isNotNull()).withColumnRenamed("_refused", "outcome"))
+    return rows.withColumn("refused", refused).withColumn("event_id", F.when(F.col("refused").isNull(), F.col("event_id")))
+
+
+def settle(judged: DataFrame, log: DataFrame | None, days: Sequence[int] | None = None) -> DataFrame:
+    """judge()'s rows with their outcome: inserted, duplicate, bad_signature or error."""
+    rows = dedupe_events(judged, log, days)
+    return rows.withColumn("outcome", F.coalesce("refused", "outcome")).drop("refused")
+
+
+def ingest(deliveries: DataFrame, log: DataFrame | None, secrets: Sequence[str], tolerance_seconds: int = 300) -> DataFrame:
+    """Every delivery with its outcome: inserted, duplicate, bad_signature or error; inserted rows go into the log.
+
+    Signatures and contents are judged once, in one pass, before the rows are dealt out by event_id. When there is a log,
+    store judge()'s rows and call settle() on them, since the ids also go to the log.
+    """
+    return settle(judge(deliveries, secrets, tolerance_seconds), log)
 
 
 def log_rows(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +36,31 @@ def typed_view(mirror: DataFrame, object_type: str) -> DataFrame:
     A value that does not fit its type is null, and its column is named in `typed_errors`: rows with errors
     belong to quarantine, and none fails the batch.
     """
-    columns, errors = [], []
+    columns, errors, tops, nested = [], [], [], {}
     for spec in (TYPED[object_type] + " t:created b:livemode").split():
         kind, _, rest = spec.rpartition(":")
         name, _, path = rest.partition("=")
-        text = F.get_json_object("data", f"$.{path or name}")
+        top, _, inner = (path or name).partition(".")
+        if inner:
+            nested.setdefault(top, []).append(inner)
+        elif top not in tops:
+            tops.append(top)
+        text = F.col(f"_o.{path or name}")
         value = text
         if kind:
             value = text.try_cast(_CASTS[kind])
             errors.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
         columns.append((F.timestamp_seconds(value) if kind == "t" else value).alias(name))
-    return mirror.where(F.col("object_type") == object_type).select(
-        "id", *columns, "account_id", "is_deleted", "deleted_at", "updated_at", F.array_compact(F.array(*errors)).alias("typed_errors")
-    )
+    # One pass over the text for all columns; every field is read as text first.
+    shape = ", ".join([f"`{t}` string" for t in tops] + [f"`{t}` struct<{', '.join(f'`{i}`: string' for i in names)}>" for t, names in nested.items()])
+    rows = mirror.where(F.col("object_type") == object_type).withColumn("_o", F.from_json("data", shape))
+    return rows.select("id", *columns, "account_id", "is_deleted", "deleted_at", "updated_at", F.array_compact(F.array(*errors)).alias("typed_errors"))
+
+
+def live_items(mirror: DataFrame) -> DataFrame:
+    """object_type, id and _parent (the subscription) of the live items that name one."""
+    rows = mirror.where((F.col("object_type") == "subscription_item") & ~F.col("is_deleted"))
+    return rows.select(*KEY, F.get_json_object("data", "$.subscription").alias("_parent")).where("_parent IS NOT NULL")
 
 
 def merge_objects(mirror: DataFrame, as_of: Column, upserts: DataFrame | None = None, deletes: DataFrame | None = None, refreshed: DataFrame | None = None) -> DataFrame:
@@ -59,27 +73,26 @@ def merge_objects(mirror: DataFrame, as_of: Column, upserts: DataFrame | None =
     """
     parts, parents = [], []
     none = F.lit(None).cast("string")
+    no_data = F.lit(None).cast("struct<data: string, account_id: string>").alias("_n")
     if upserts is not None:
         account = F.col("account_id") if "account_id" in upserts.columns else none
-        parts.append(upserts.select(*KEY, F.struct(F.col("data").alias("data"), account.alias("account_id")).alias("_n"), F.lit(False).alias("_gone")))
+        parts.append(upserts.select(*KEY, F.struct(F.col("data").alias("data"), account.alias("account_id")).alias("_n"), F.lit(False).alias("_gone"), F.lit(False).alias("_orphan")))
     if deletes is not None:
-        parts.append(deletes.select(*KEY, F.lit(None).cast("struct<data: string, account_id: string>").alias("_n"), F.lit(True).alias("_gone")))
+        parts.append(deletes.select(*KEY, no_data, F.lit(True).alias("_gone"), F.lit(False).alias("_orphan")))
         live = mirror.where(~F.col("is_deleted") & (F.col("object_type") == "subscription")).select(F.col("id").alias("_parent"))
         parents.append(live.join(deletes.where(F.col("object_type") == "subscription").select(F.col("id").alias("_parent")), "_parent", "left_semi"))
     if refreshed is not None:
         parents.append(refreshed.select(F.col("id").alias("_parent")))
-    changes = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    changes = changes.groupBy(*KEY).agg(F.max("_n").alias("_n"), F.max("_gone").alias("_gone"))
+    if parents:
+        # Live items of these subscriptions, by their ids: only rows that have a parent are joined on it.
+        gone = parents[0] if len(parents) == 1 else parents[0].unionByName(parents[1])
+        parts.append(live_items(mirror).join(gone, "_parent", "left_semi").select(*KEY, no_data, F.lit(False).alias("_gone"), F.lit(True).alias("_orphan")))
+    changes = functools.reduce(DataFrame.unionByName, parts)
+    changes = changes.groupBy(*KEY).agg(F.max("_n").alias("_n"), F.max("_gone").alias("_gone"), F.max("_orphan").alias("_orphan"))
     out = mirror.withColumn("_old", F.lit(True)).join(changes, KEY, "full_outer")
     written = F.col("_n").isNotNull()
     live = F.coalesce(~F.col("is_deleted"), F.lit(False))
-    orphan = F.lit(False)
-    if parents:
-        gone = (parents[0] if len(parents) == 1 else parents[0].unionByName(parents[1])).distinct()
-        out = out.withColumn("_sub", F.when((F.col("object_type") == "subscription_item") & live & ~written, F.get_json_object("data", "$.subscription")))
-        out = out.join(gone, F.col("_sub") == F.col("_parent"), "left")
-        orphan = F.col("_parent").isNotNull()
-    goes = (F.coalesce("_gone", F.lit(False)) & (live | written)) | orphan
+    goes = (F.coalesce("_gone", F.lit(False)) & (live | written)) | (F.coalesce("_orphan", F.lit(False)) & ~written)
     pick = lambda new, kept, old: F.when(goes, new).when(written, kept).otherwise(F.col(old)).alias(old)
     return out.where(F.col("_old").isNotNull() | written).select(
         *KEY, F.when(written, F.col("_n.data")).otherwise(F.col("data")).alias("data"), F.coalesce("_n.account_id", "account_id").alias("account_id"),
@@ -104,28 +117,26 @@ def explode_items(subscriptions: DataFrame, listing: DataFrame | None = None) ->
     no_id, or incomplete (more than is embedded and no listing): such a subscription gets a single row
     without item, for quarantine, and is never cut short. One without items gives no row.
     """
-    more = F.coalesce(F.get_json_object("data", "$.items.has_more") == "true", F.lit(False))
-    embedded = F.from_json(F.coalesce(F.get_json_object("data", "$.items.data"), F.lit("[]")), "array<variant>")
-    rows = subscriptions.select(F.col("id").alias("subscription"), more.alias("_more"), embedded.alias("_items"))
-    whole = rows.where(~F.col("_more")).select("subscription", F.explode("_items").alias("_i")).select("subscription", F.to_json("_i").alias("item"))
-    cut = rows.where("_more").select("subscription")
-    if listing is None:
-        listed = cut.withColumn("item", F.lit(None).cast("string"))
-    else:
-        listed = cut.join(listing.select("subscription", F.col("data").alias("item")), "subscription", "left")
-    out = whole.withColumn("_cut", F.lit(False)).unionByName(listed.withColumn("_cut", F.lit(True)))
+    # Parsed once: each item stays the text it is. A cut list is one row without item, until the listing gives its items.
+    parsed = F.from_json("data", "items struct<data: array<string>, has_more: boolean>")["items"]
+    more = F.coalesce(F.col("_i.has_more"), F.lit(False))
+    rows = subscriptions.select(F.col("id").alias("subscription"), parsed.alias("_i"))
+    none = F.array(F.lit(None).cast("string"))
+    out = rows.select("subscription", more.alias("_cut"), F.explode(F.when(more, none).otherwise(F.col("_i.data"))).alias("item"))
+    if listing is not None:
+        own = listing.select("subscription", F.col("data").alias("_listed"), F.lit(True).alias("_cut"))
+        out = out.join(own, ["subscription", "_cut"], "left").select("subscription", "_cut", F.coalesce("_listed", "item").alias("item"))
     item_id = F.nullif(F.get_json_object("item", "$.id"), F.lit(""))
-    status = F.when(F.col("_cut") & F.col("item").isNull(), "incomplete").when(item_id.isNull(), "no_id").otherwise("ok")
-    return out.select("subscription", item_id.alias("item_id"), "item", status.alias("status"))
+    status = F.when(F.col("_cut") & F.col("item").isNull(), "incomplete").when(F.col("item_id").isNull(), "no_id").otherwise("ok")
+    return out.select("subscription", "_cut", item_id.alias("item_id"), "item").select("subscription", "item_id", "item", status.alias("status"))
 
 
 def prune_items(mirror: DataFrame, kept: DataFrame, refreshed: DataFrame, as_of: Column) -> DataFrame:
     """The mirror after deleting live items of the refreshed subscriptions (id) that are not kept (subscription, item_id)."""
-    parents = refreshed.select(F.col("id").alias("_parent")).distinct()
-    keep = kept.select(F.col("subscription").alias("_ks"), F.col("item_id").alias("_ki")).distinct()
-    out = mirror.withColumn("_sub", F.when(F.col("object_type") == "subscription_item", F.get_json_object("data", "$.subscription")))
-    out = out.join(parents, F.col("_sub") == F.col("_parent"), "left").join(keep, (F.col("_sub") == F.col("_ks")) & (F.col("id") == F.col("_ki")), "left")
-    hit = ~F.col("is_deleted") & F.col("_parent").isNotNull() & F.col("_ki").isNull()
+    keep = kept.select(F.col("subscription").alias("_parent"), F.col("item_id").alias("id"))
+    victims = live_items(mirror).join(refreshed.select(F.col("id").alias("_parent")), "_parent", "left_semi").join(keep, ["_parent", "id"], "left_anti")
+    out = mirror.join(victims.select(*KEY).distinct().withColumn("_hit", F.lit(True)), KEY, "left")
+    hit = ~F.col("is_deleted") & F.col("_hit").isNotNull()
     return out.select(
         *KEY, "data", "account_id", F.when(hit, True).otherwise(F.col("is_deleted")).alias("is_deleted"),
         F.when(hit, as_of).otherwise(F.col("deleted_at")).alias("deleted_at"), F.when(hit, as_of).otherwise(F.col("updated_at")).alias("updated_at"),

@@ -31,6 +31,12 @@ def dead_rows(quarantine: DataFrame, limit: int = 50) -> DataFrame:
     return quarantine.orderBy("id").limit(limit)
 
 
+def list_work(work: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
+    """The first rows of monitor.work_status() by object, of one status if given."""
+    rows = work if status is None else work.where(F.col("status") == status)
+    return rows.orderBy("object_type", "object_id").limit(limit)
+
+
 def show_event(log: DataFrame, event_id: str) -> DataFrame:
     """The event of one id. See indented() for its payload."""
     return log.where(F.col("event_id") == event_id)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.event_types import subscribed_types
+from ..sources.writers import DAY
 from .fold import coalesce_work
-from .ingest import resolve_event
+from .ingest import known_ids, resolve_event
 
 OVERLAP, LOOKBACK, GRACE = 600, 86_400, 60
 RETENTION_ALARM = 25 * 86_400
@@ -32,16 +33,28 @@ def collect_window(window: DataFrame) -> tuple[dt.datetime, dt.datetime]:
     return row["window_from"], row["window_to"]
 
 
-def find_gaps(listed: DataFrame, log: DataFrame, as_of: Column, sweep_id: int) -> DataFrame:
+def within(log: DataFrame, window: tuple[dt.datetime, dt.datetime] | None) -> DataFrame:
+    """The log's events created within the window, both ends included. A log in folders by created_day is pruned to its days."""
+    if window is None:
+        return log
+    start, end = (int(w.replace(tzinfo=w.tzinfo or dt.UTC).timestamp() // 1) for w in window)
+    if "created_day" in log.columns:
+        log = log.where(F.col("created_day").between(start // DAY, end // DAY))
+    return log.where((F.col("created") >= F.timestamp_seconds(F.lit(start))) & (F.col("created") < F.timestamp_seconds(F.lit(end + 1))))
+
+
+def find_gaps(listed: DataFrame, log: DataFrame, as_of: Column, sweep_id: int, window: tuple[dt.datetime, dt.datetime] | None = None) -> DataFrame:
     """The events of upstream's list that the log lacks, as rows for the log (source sweep) with gap columns
     detected_at, sweep_id, lag_seconds and their object.
 
-    The listed side is a short window; the log is the large side. Of the log only ids of the listed span are
-    read (an id's created never changes), so a log in files by day is pruned to that span.
+    The listed side is short; the log is the large side. With the sweep's `window`, only listed events and log
+    rows created within it count (an id's created never changes), and a log in folders by created_day is read for those days
+    alone. The listed ids are sent to the log's files, so that the log is not shuffled while they are few.
     """
     types = subscribed_types()
+    listed = within(listed, window)
     seen = listed.where(F.col("type").isin(types)).groupBy("event_id").agg(F.min(F.struct("created", "type", "api_version", "payload", "livemode")).alias("e"))
-    rows = seen.select("event_id", "e.*").join(log.select("event_id"), "event_id", "left_anti")
+    rows = seen.select("event_id", "e.*").join(known_ids(seen, within(log, window)), "event_id", "left_anti")
     out = rows.select(
         "event_id", "type", "api_version", F.lit(None).cast("string").alias("account_id"), "created", as_of.alias("received_at"), F.lit("sweep").alias("source"),
         "payload", F.lit(None).cast("timestamp").alias("processed_at"), "livemode",
@@ -59,9 +72,17 @@ def gap_work(found: DataFrame) -> DataFrame:
     return coalesce_work(found)
 
 
+def failed_sweep(spark: SparkSession, sweep_id: int, window: tuple[dt.datetime, dt.datetime], as_of: Column) -> DataFrame:
+    """The row of a pass that did not end: it has status failed, so the next window starts where this one did."""
+    zero = F.lit(0).cast("long")
+    return spark.range(1).select(
+        F.lit(sweep_id).cast("long").alias("id"), as_of.alias("started_at"), as_of.alias("finished_at"), F.lit(window[0]).cast("timestamp").alias("window_from"),
+        F.lit(window[1]).cast("timestamp").alias("window_to"), zero.alias("events_seen"), zero.alias("gaps_found"), F.lit("failed").alias("status"),
+    )
+
+
 def sweep_summary(listed: DataFrame, found: DataFrame, sweep_id: int, window: tuple[dt.datetime, dt.datetime], as_of: Column) -> DataFrame:
-    """The finished sweep's row: events_seen counts all listed events. A pass that fails writes status failed and
-    so leaves the checkpoint where it was."""
+    """The finished sweep's row: events_seen counts all listed events. See failed_sweep() for a pass that fails."""
     seen = listed.where(F.col("type").isin(subscribed_types())).agg(F.count(F.lit(1)).alias("events_seen"))
     gaps = found.agg(F.count(F.lit(1)).alias("gaps_found"))
     # One row each: a join of two totals.

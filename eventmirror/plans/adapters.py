@@ -9,6 +9,7 @@ from ..schemas import MIRROR
 
 #: The moment that stands for now: the end of the month of events.
 AS_OF = 1_706_745_600
+HALF_TIME = AS_OF - 16 * 86_400
 TYPES = {"signup": "customer.created", "view": "customer.updated", "click": "customer.subscription.updated", "purchase": "charge.succeeded", "error": "plan.created"}
 PREFIX = {"signup": "cus_", "view": "cus_", "click": "sub_", "purchase": "ch_", "error": "plan_"}
 
@@ -63,6 +64,11 @@ def number(event_id: Column) -> Column:
     return F.substring(event_id, 5, 10).cast("bigint")
 
 
+def early(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events created in the first half of the month, which a log already holds."""
+    return event_log(spark, sf_dir).where(F.col("created") < F.timestamp_seconds(F.lit(HALF_TIME)))
+
+
 def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log and every fifth event again, an hour later, from a sweep."""
     log = event_log(spark, sf_dir)
@@ -161,6 +167,73 @@ def subscription_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _customers(spark: SparkSession, sf_dir: str, mine: bool) -> DataFrame:
+    k = F.col("c_custkey")
+    balance = cents(F.col("c_acctbal")) + (F.when(F.col("c_acctbal") < 0, 1).otherwise(0) if mine else F.lit(0))
+    data = F.struct(
+        F.concat(F.lit("cus_"), k.cast("string")).alias("id"), F.lit("customer").alias("object"), F.col("c_name").alias("name"), F.lit("usd").alias("currency"), balance.alias("balance"),
+        (F.col("c_acctbal") < 0).alias("delinquent"), (F.lit(1_700_000_000) + k).alias("created"),
+    )
+    return _table(spark, sf_dir, "customer").select(F.lit("customer").alias("object_type"), data["id"].alias("id"), F.to_json(data).alias("data"), "c_mktsegment")
+
+
+def in_mirror(rows: DataFrame) -> DataFrame:
+    """object_type, id, data as live rows of the mirror."""
+    none = F.lit(None)
+    return rows.select("object_type", "id", "data", F.lit("acct_1").alias("account_id"), F.lit(False).alias("is_deleted"), none.cast("timestamp").alias("deleted_at"), as_of().alias("updated_at"))
+
+
+def account_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upstream's charges, customers and subscriptions; payment methods and items have no listing of their own."""
+    subs = subscriptions(spark, sf_dir).select(F.lit("subscription").alias("object_type"), "id", "data")
+    return charge_snapshot(spark, sf_dir).unionByName(_customers(spark, sf_dir, False).select("object_type", "id", "data")).unionByName(subs)
+
+
+def account_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mirror of the same account, payment methods and items included: customers with debts have another balance, those of
+    the machinery segment are absent, and of charges and subscriptions differ those that their own tables name."""
+    customers = in_mirror(_customers(spark, sf_dir, True).where("c_mktsegment <> 'MACHINERY'"))
+    methods = in_mirror(payment_methods(spark, sf_dir).select(F.lit("payment_method").alias("object_type"), "id", "data"))
+    items = in_mirror(item_listing(spark, sf_dir).select(F.lit("subscription_item").alias("object_type"), F.get_json_object("data", "$.id").alias("id"), "data"))
+    return charge_mirror(spark, sf_dir).unionByName(customers).unionByName(subscription_mirror(spark, sf_dir)).unionByName(methods).unionByName(items)
+
+
+def typed_objects(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Mirror rows of one of the object types that no other adapter makes."""
+    text = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+    when = lambda name: seconds(F.col(name))
+    amount = cents(F.col("o_totalprice"))
+    paid = F.col("o_orderstatus") == "F"
+    order = {"customer": text("cus_", "o_custkey"), "currency": F.lit("usd"), "created": when("o_orderdate"), "livemode": F.col("o_orderpriority") == "1-URGENT"}
+    table, prefix, key, fields = {
+        "product": ("part", "prod_", "p_partkey", {"name": F.col("p_name"), "active": F.col("p_size") > 10, "type": F.col("p_type"), "created": F.lit(1_700_000_000) + F.col("p_partkey")}),
+        "price": ("part", "price_", "p_partkey", {
+            "product": text("prod_", "p_partkey"), "active": F.col("p_size") > 10, "currency": F.lit("usd"), "unit_amount": cents(F.col("p_retailprice")),
+            "recurring": F.when(F.col("p_size") > 25, F.struct(F.when(F.col("p_size") > 40, "year").otherwise("month").alias("interval"))), "type": F.when(F.col("p_size") > 25, "recurring").otherwise("one_time"),
+        }),
+        "invoice": ("orders", "in_", "o_orderkey", order | {
+            "subscription": text("sub_", "o_orderkey"), "status": F.when(paid, "paid").otherwise("open"), "total": amount, "amount_paid": F.when(paid, amount).otherwise(0), "amount_due": F.when(paid, 0).otherwise(amount),
+            "period_start": when("o_orderdate"), "period_end": when("o_orderdate") + 2_592_000, "number": text("N-", "o_orderkey"),
+        }),
+        "payment_intent": ("orders", "pi_", "o_orderkey", order | {"status": F.when(paid, "succeeded").otherwise("processing"), "amount": amount, "latest_charge": F.when(paid, text("ch_", "o_orderkey"))}),
+        "setup_intent": ("customer", "seti_", "c_custkey", {"customer": text("cus_", "c_custkey"), "status": F.lower("c_mktsegment"), "payment_method": F.when(F.col("c_acctbal") > 0, text("pm_", "c_custkey"))}),
+        "refund": ("lineitem", "re_", "l_orderkey", {
+            "charge": text("ch_", "l_orderkey"), "payment_intent": text("pi_", "l_orderkey"), "status": F.lower("l_linestatus"), "amount": cents(F.col("l_extendedprice")), "currency": F.lit("usd"),
+            "reason": F.when(F.col("l_returnflag") == "R", "requested_by_customer"), "created": when("l_shipdate"),
+        }),
+        "dispute": ("orders", "dp_", "o_orderkey", {
+            "charge": text("ch_", "o_orderkey"), "payment_intent": text("pi_", "o_orderkey"), "status": F.lower("o_orderstatus"), "amount": amount, "currency": F.lit("usd"), "reason": F.lower("o_orderpriority"),
+            "evidence_details": F.struct((when("o_orderdate") + 604_800).alias("due_by")), "created": when("o_orderdate"),
+        }),
+        "checkout_session": ("orders", "cs_", "o_orderkey", order | {
+            "subscription": F.when(paid, text("sub_", "o_orderkey")), "payment_intent": text("pi_", "o_orderkey"), "status": F.when(paid, "complete").otherwise("open"), "mode": F.when(paid, "subscription").otherwise("payment"), "amount_total": amount,
+        }),
+    }[kind]
+    one = text(prefix, key)
+    data = F.to_json(F.struct(one.alias("id"), F.lit(kind).alias("object"), *[c.alias(n) for n, c in fields.items()]))
+    return in_mirror(_table(spark, sf_dir, table).select(F.lit(kind).alias("object_type"), one.alias("id"), data.alias("data")))
+
+
 def payment_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, data of a card per customer."""
     c = F.col("c_custkey").cast("string")

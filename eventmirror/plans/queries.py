@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.event_types import VERIFY_TYPES, resolve_type, subscribed_types
+from ..functions.event_types import BACKFILL_TYPES, VERIFY_TYPES, plan, resolve_type, subscribed_types
 from ..functions.json_equal import canonical_json, json_equal
 from ..functions.payload import data_object, event_newer, marks_deleted
 from ..operators import backfill, fold, importer, ingest, mirror, monitor, retention, serve, sweep, verify
-from ..schemas import MIRROR, STATE
-from ..sources.readers import select_listed_events, select_snapshot
-from ..streaming.jobs import stream_silent_webhooks
+from ..schemas import EVENTS, GAPS, LOG, MIRROR, STATE
+from ..sources.readers import read_legacy_tables, read_raw_deliveries, select_listed_events, select_snapshot
+from ..sources.scratch import fresh_path, stored
+from ..sources.writers import append_verification, created_day, read_current, read_log, read_verifications, update_mirror, write_log, write_mirror
+from ..streaming.jobs import read_applied, stream_apply, stream_gap_detect, stream_ingest, stream_silent_webhooks
 from . import adapters as A
 
 SECRET = "whsec_test"
@@ -28,7 +31,7 @@ def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def text(path: str, alias: str, source: str = "data"):
+def text(path: str, alias: str, source="data"):
     return F.get_json_object(source, f"$.{path}").alias(alias)
 
 
@@ -53,7 +56,7 @@ def s3_listed_events(spark, d):
 
 def p1_verify_signatures(spark, d):
     rows = ingest.verify_signatures(A.raw_deliveries(spark, d, SECRET), ["other", SECRET])
-    return ingest.ingest_outcomes(rows, "sig_status")
+    return rows.select(text("id", "event_id", F.decode("body", "utf-8")), sec("received_at"), "sig_status")
 
 
 def p2_parse_envelope(spark, d):
@@ -65,7 +68,7 @@ def p3_resolve_type(spark, d):
 
 
 def p4_resolve_event(spark, d):
-    return ingest.resolve_event(A.event_log(spark, d)).groupBy("resolve_status", "object_type").agg(F.count(F.lit(1)).alias("n"), F.count("object_id").alias("with_id"))
+    return ingest.resolve_event(A.event_log(spark, d)).select("event_id", "resolve_status", "object_type", "object_id")
 
 
 def p5_subscribed_types(spark, d):
@@ -103,18 +106,43 @@ def p7_typed_subscription_item(spark, d):
     return mirror.typed_view(rows, "subscription_item").select("id", "subscription", "price", "quantity")
 
 
+def _typed(kind: str, *columns):
+    def query(spark, d):
+        return mirror.typed_view(A.typed_objects(spark, d, kind), kind).selectExpr("id", *columns, "CAST(size(typed_errors) AS bigint) AS errors")
+
+    query.__name__, query.__module__ = f"p7_typed_{kind}", __name__
+    return query
+
+
+p7_typed_product = _typed("product", "name", "active", "type", "unix_seconds(created) AS created")
+p7_typed_price = _typed("price", "product", "active", "currency", "unit_amount", "recurring_interval", "type")
+p7_typed_invoice = _typed("invoice", "customer", "subscription", "status", "total", "amount_paid", "amount_due", "currency", "unix_seconds(period_start) AS period_start", "unix_seconds(period_end) AS period_end", "number", "livemode")
+p7_typed_payment_intent = _typed("payment_intent", "customer", "status", "amount", "currency", "latest_charge", "unix_seconds(created) AS created")
+p7_typed_setup_intent = _typed("setup_intent", "customer", "status", "payment_method", "unix_seconds(created) AS created")
+p7_typed_refund = _typed("refund", "charge", "payment_intent", "status", "amount", "currency", "reason", "unix_seconds(created) AS created")
+p7_typed_dispute = _typed("dispute", "charge", "payment_intent", "status", "amount", "currency", "reason", "unix_seconds(evidence_due_by) AS evidence_due_by", "unix_seconds(created) AS created")
+p7_typed_checkout_session = _typed("checkout_session", "customer", "subscription", "payment_intent", "status", "mode", "amount_total", "currency", "livemode")
+
+
 def p8_show_event(spark, d):
     return serve.show_event(A.event_log(spark, d), "evt_0000000042").select("event_id", "type", "source", sec("created"), sec("received_at"), text("data.object.email", "email", "payload"))
 
 
 def d1_dedupe_events(spark, d):
-    log = A.event_log(spark, d).where(A.number(F.col("event_id")) % 7 == 0)
-    return ingest.dedupe_events(A.redelivered(spark, d), log).select("event_id", sec("received_at"), "source", "outcome")
+    return ingest.dedupe_events(A.redelivered(spark, d), A.early(spark, d)).select("event_id", sec("received_at"), "source", "outcome")
+
+
+def _ingested(spark, d):
+    judged = stored(ingest.judge(A.raw_deliveries(spark, d, SECRET), [SECRET]), "judged")
+    return ingest.settle(judged, A.early(spark, d))
 
 
 def d2_ingest_outcomes(spark, d):
-    log = A.event_log(spark, d).where(A.number(F.col("event_id")) % 7 == 0)
-    return ingest.ingest_outcomes(ingest.ingest(A.raw_deliveries(spark, d, SECRET), log, [SECRET]))
+    return ingest.ingest_outcomes(_ingested(spark, d))
+
+
+def d2_ingest(spark, d):
+    return _ingested(spark, d).select(text("id", "event_id", "payload"), sec("received_at"), "outcome")
 
 
 def d3_coalesce_work(spark, d):
@@ -139,15 +167,13 @@ def d6_apply_events(spark, d):
 
 def d7_apply_snapshot(spark, d):
     mine = A.charge_mirror(spark, d)
-    key = F.substring("id", 4, 20).cast("bigint")
-    work = A.charge_snapshot(spark, d).select("object_type", "id").union(mine.select("object_type", "id")).distinct().where(key % 3 == 0).select("object_type", F.col("id").alias("object_id"))
+    work = A.charge_snapshot(spark, d).select("object_type", "id").union(mine.select("object_type", "id")).distinct().select("object_type", F.col("id").alias("object_id"))
     out = fold.apply_snapshot(work, A.charge_snapshot(spark, d), mine, A.as_of())
     return out.select("id", number("amount", "amount"), "is_deleted", sec("updated_at"), sec("deleted_at"))
 
 
 def d8_merge_state(spark, d):
-    key = F.substring("object_id", 4, 20).cast("bigint")
-    applied = A.charge_snapshot(spark, d).select("object_type", F.col("id").alias("object_id")).where(key % 2 == 0).select(
+    applied = A.charge_snapshot(spark, d).select("object_type", F.col("id").alias("object_id")).select(
         "*", F.timestamp_seconds(F.lit(A.AS_OF - 1000)).alias("created"), F.lit("evt_new").alias("event_id"), F.lit("fetch").alias("sync_source")
     )
     return fold.merge_state(A.charge_state(spark, d), applied, A.as_of()).select("object_id", sec("last_event_created"), "last_event_id", "sync_source", sec("last_synced_at"))
@@ -167,8 +193,7 @@ def d10_pending_work(spark, d):
 
 
 def u1_upsert_objects(spark, d):
-    key = F.substring("id", 4, 20).cast("bigint")
-    out = mirror.upsert_objects(A.charge_mirror(spark, d), A.charge_snapshot(spark, d).where(key % 2 == 0), A.as_of())
+    out = mirror.upsert_objects(A.charge_mirror(spark, d), A.charge_snapshot(spark, d), A.as_of())
     return out.select("id", number("amount", "amount"), "is_deleted", sec("deleted_at"), sec("updated_at"), "account_id")
 
 
@@ -180,24 +205,24 @@ def _subscription_rows(spark, d):
 
 
 def u2_soft_delete(spark, d):
-    key = F.substring("id", 5, 20).cast("bigint")
-    ids = A.subscriptions(spark, d).where(key % 10 == 0).select(F.lit("subscription").alias("object_type"), "id")
+    ids = A.subscriptions(spark, d).where(F.get_json_object("data", "$.status") == "trialing").select(F.lit("subscription").alias("object_type"), "id")
     out = mirror.soft_delete(_subscription_rows(spark, d), ids, A.as_of())
-    return out.groupBy("object_type", "is_deleted").agg(F.count(F.lit(1)).alias("n"), F.count("deleted_at").alias("with_time"))
+    return out.select("object_type", "id", "is_deleted", sec("deleted_at"), sec("updated_at"))
 
 
 def u3_explode_items(spark, d):
     key = F.substring("subscription", 5, 20).cast("bigint")
-    out = mirror.explode_items(A.subscriptions(spark, d), A.item_listing(spark, d).where(key % 11 != 0))
+    listing = A.item_listing(spark, d).where(F.substring(F.md5("subscription"), 1, 1) != "0")  # a sixteenth has no listing
+    listing = listing.withColumn("data", F.when((F.col("n") == 3) & (key < 1000), F.lit('{"quantity":1}')).otherwise(F.col("data")))  # and some listed items have no id
+    out = mirror.explode_items(stored(A.subscriptions(spark, d), "subscriptions"), listing)
     return out.select("subscription", "item_id", "status", number("quantity", "quantity", "item"), text("price.id", "price", "item"))
 
 
 def u4_prune_items(spark, d):
-    key = F.substring("id", 5, 20).cast("bigint")
-    subs = A.subscriptions(spark, d).where(key % 3 == 0)
+    subs = A.subscriptions(spark, d).where(F.get_json_object("data", "$.status") != "canceled")
     kept = A.item_listing(spark, d).where(F.col("n") != 2).select("subscription", F.get_json_object("data", "$.id").alias("item_id"))
     out = mirror.prune_items(_subscription_rows(spark, d), kept, subs, A.as_of())
-    return out.where("object_type = 'subscription_item' AND is_deleted").select("id", sec("deleted_at"))
+    return out.where("object_type = 'subscription_item'").select("id", "is_deleted", sec("deleted_at"), sec("updated_at"))
 
 
 def _sweeps(spark, d):
@@ -215,7 +240,8 @@ def g1_sweep_window(spark, d):
 
 
 def _found(spark, d):
-    return sweep.find_gaps(A.event_log(spark, d), A.delivered(spark, d), A.as_of(), 7)
+    log = A.delivered(spark, d).withColumn("created_day", created_day(F.col("created")))
+    return sweep.find_gaps(A.event_log(spark, d), log, A.as_of(), 7, (dt.datetime(2024, 1, 1, tzinfo=dt.UTC), NOW))
 
 
 def g2_find_gaps(spark, d):
@@ -248,6 +274,14 @@ def b1_backfill(spark, d):
     return out.join(states, "id", "full_outer").select("id", number("amount", "amount"), "is_deleted", "sync_source", "last_event_created", "last_event_id")
 
 
+def b1_backfill_account(spark, d):
+    """The first load of an account: charges as they are, customers, and subscriptions with all their items."""
+    horizon = F.timestamp_seconds(F.lit(A.AS_OF - 1500))
+    out, state = backfill.backfill(stored(A.account_snapshot(spark, d), "upstream"), A.charge_mirror(spark, d), A.charge_state(spark, d), horizon, A.as_of(), A.item_listing(spark, d))
+    states = state.select("object_type", F.col("object_id").alias("id"), "sync_source", sec("last_event_created"))
+    return out.join(states, ["object_type", "id"], "full_outer").select("object_type", "id", number("amount", "amount"), text("subscription", "subscription"), "is_deleted", "sync_source", "last_event_created")
+
+
 def b2_live_payment_methods(spark, d):
     return backfill.live_subscription_payment_methods(A.payment_methods(spark, d), A.subscription_mirror(spark, d)).select("id")
 
@@ -263,9 +297,20 @@ def b4_resume_after(spark, d):
     return backfill.resume_after(A.charge_snapshot(spark, d), F.lit(852_076_800), F.lit("ch_5")).select("id", number("created", "created"))
 
 
+def b4_resume_customers(spark, d):
+    methods = A.payment_methods(spark, d).select(F.lit("payment_method").alias("object_type"), "id", "data")
+    return backfill.resume_after(methods, cursor_customer=F.lit("cus_5")).select("id", text("customer", "customer"))
+
+
+def b5_plan(spark, d):
+    """The types of the account's export in the order in which they are loaded and verified."""
+    counts = A.account_snapshot(spark, d).groupBy("object_type").agg(F.count(F.lit(1)).alias("n"))
+    order = [(t, i, i if t in plan(allowed=VERIFY_TYPES) else None) for i, t in enumerate(plan(BACKFILL_TYPES))]
+    return spark.createDataFrame(order, "object_type string, place long, verified long").join(counts, "object_type", "left").select("object_type", "place", (F.col("verified").isNotNull()).alias("verified"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def v1_canonical_json(spark, d):
-    rows = A.charge_mirror(spark, d).select("id", canonical_json(F.col("data"), F.col("object_type")).alias("data"))
-    return rows.select("id", text("receipt_url", "receipt_url"), number("amount", "amount"))
+    return A.charge_mirror(spark, d).select("id", canonical_json(F.col("data"), F.col("object_type")).alias("data"))
 
 
 def v2_json_equal(spark, d):
@@ -275,31 +320,39 @@ def v2_json_equal(spark, d):
 
 
 def v3_full_diff(spark, d):
-    return verify.drifts(verify.full_diff(A.charge_snapshot(spark, d), A.charge_mirror(spark, d)))
+    return verify.drifts(verify.full_diff(A.account_snapshot(spark, d), A.account_mirror(spark, d)))
+
+
+def v3_diff_of_charges(spark, d):
+    """An export of charges alone against the whole mirror."""
+    return verify.drifts(verify.full_diff(A.charge_snapshot(spark, d), A.account_mirror(spark, d), types=["charge"]))
 
 
 def v3_diff_since(spark, d):
-    return verify.drifts(verify.full_diff(A.charge_snapshot(spark, d), A.charge_mirror(spark, d), since=852_076_800))
+    return verify.drifts(verify.full_diff(A.account_snapshot(spark, d), A.account_mirror(spark, d), since=852_076_800))
 
 
 def v4_quick_diff(spark, d):
-    return verify.quick_diff(A.charge_snapshot(spark, d), A.charge_mirror(spark, d), NOW, since=852_076_800, n=40, seed=1)
+    return verify.quick_diff(A.account_snapshot(spark, d), A.account_mirror(spark, d), NOW, since=852_076_800, n=40, seed=1)
 
 
 def v5_spot_check(spark, d):
-    return verify.spot_check(A.charge_mirror(spark, d), A.charge_snapshot(spark, d), before=A.AS_OF, n=200, seed=3)
+    return verify.spot_check(A.account_mirror(spark, d), A.account_snapshot(spark, d), before=A.AS_OF, n=200, seed=3)
 
 
 def v6_verify_report(spark, d):
-    return verify.verify_report(verify.full_diff(A.charge_snapshot(spark, d), A.charge_mirror(spark, d)), repaired=True)
+    return verify.verify_report(verify.full_diff(A.account_snapshot(spark, d), A.account_mirror(spark, d)), repaired=True)
 
 
 def v7_repair(spark, d):
-    up, mine = A.charge_snapshot(spark, d), A.charge_mirror(spark, d)
-    out, state = verify.repair(verify.full_diff(up, mine), up, mine, A.charge_state(spark, d), A.as_of())
-    states = state.select(F.col("object_id").alias("id"), "sync_source", "last_event_id")
-    again = verify.drifts(verify.full_diff(up, out)).select(F.col("object_id").alias("id"), F.col("kind").alias("left_over"))
-    return out.join(states, "id", "left").join(again, "id", "left").select("id", number("amount", "amount"), "is_deleted", "sync_source", "last_event_id", "left_over")
+    up, mine = stored(A.account_snapshot(spark, d), "upstream"), stored(A.account_mirror(spark, d), "mirror")
+    _, out, state = verify.diff_and_repair(up, mine, A.charge_state(spark, d), A.as_of(), A.item_listing(spark, d))
+    out = stored(out, "repaired")
+    states = state.select("object_type", F.col("object_id").alias("id"), "sync_source", "last_event_id")
+    again = verify.drifts(verify.full_diff(up, out)).select("object_type", F.col("object_id").alias("id"), F.col("kind").alias("left_over"))
+    return out.join(states, ["object_type", "id"], "left").join(again, ["object_type", "id"], "left").select(
+        "object_type", "id", number("amount", "amount"), number("balance", "balance"), "is_deleted", "sync_source", "last_event_id", "left_over"
+    )
 
 
 def i1_reconstruct_objects(spark, d):
@@ -407,18 +460,133 @@ def w3_dead_rows(spark, d):
     return serve.dead_rows(rows)
 
 
+def w3_list_work(spark, d):
+    return serve.list_work(_work_status(spark, d), "pending", 100).select(*fold.OBJECT, "latest_event_id", "status")
+
+
 def r1_purge_events(spark, d):
     gaps = sweep.gap_rows(_found(spark, d)).unionByName(sweep.gap_rows(sweep.find_gaps(A.delivered(spark, d), empty(spark, A.event_log(spark, d).schema), A.as_of(), 8)))
-    log, left = retention.purge_events(A.event_log(spark, d), gaps, F.timestamp_seconds(F.lit(A.AS_OF - 10 * 86_400)))
+    log = A.event_log(spark, d).withColumn("created_day", created_day(F.col("created")))
+    log, left = retention.purge_events(log, gaps, NOW - dt.timedelta(days=10))
     return log.select(F.lit("event").alias("kind"), "event_id").unionByName(left.select(F.lit("gap").alias("kind"), "event_id"))
 
 
 def t3_silent_webhooks(spark, d):
-    gaps = sweep.gap_rows(_found(spark, d)).withColumn("detected_at", F.timestamp_seconds(F.unix_seconds("event_created") + F.pmod(F.xxhash64("event_id"), F.lit(1))))
+    gaps = sweep.gap_rows(_found(spark, d)).withColumn("detected_at", F.col("event_created"))
     events = A.event_log(spark, d).where((A.number(F.col("event_id")) % 11 != 0) & (F.pmod(F.floor(F.unix_seconds("received_at") / 3600), F.lit(3)) != 0))
     return stream_silent_webhooks(events, gaps).select(sec("window_start"), "webhooks", "gaps", "silent")
 
 
+def _run(writer, checkpoint: str) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def s1_raw_deliveries(spark, d):
+    """Deliveries written as files and read back with their schema."""
+    path = fresh_path(spark, "deliveries")
+    A.raw_deliveries(spark, d, SECRET).write.parquet(path)
+    return read_raw_deliveries(spark, path).select("header", F.decode("body", "utf-8").alias("body"), sec("received_at"))
+
+
+def s4_legacy_tables(spark, d):
+    """A legacy database that holds two of the known tables and one other."""
+    path = fresh_path(spark, "legacy")
+    name = "legacy_" + path.rsplit("-", 1)[-1]
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    for table, source in (("customers", "customer"), ("products", "part"), ("nations", "nation")):
+        spark.sql(f"CREATE TABLE {name}.{table} USING parquet LOCATION '{d}/{source}.parquet'")
+    found = read_legacy_tables(spark, name)
+    rows = {"customer": F.col("c_name"), "product": F.col("p_name")}
+    return functools.reduce(DataFrame.unionByName, [t.select(F.lit(kind).alias("object_type"), rows[kind].alias("name")) for kind, t in sorted(found.items())])
+
+
+def s5_write_mirror(spark, d):
+    """The mirror as a published table, then the stale and missing charges written into their buckets."""
+    path, up, mine = fresh_path(spark, "mirror"), A.charge_snapshot(spark, d), A.charge_mirror(spark, d)
+    write_mirror(mine, path, buckets=8)
+    bad = verify.drifts(verify.full_diff(up, mine)).where("kind <> 'orphaned'").select("object_type", F.col("object_id").alias("id"))
+    rows = stored(up.join(bad, ["object_type", "id"], "left_semi"), "changes")
+    update_mirror(path, rows, lambda own: mirror.upsert_objects(own, rows, A.as_of()))
+    return read_current(spark, path, MIRROR).select("id", number("amount", "amount"), "is_deleted", sec("updated_at"))
+
+
+def s6_append_verification(spark, d):
+    """The history of a full run and, written twice, of a run over a part of time, with the drifted objects."""
+    path, up, mine = fresh_path(spark, "history"), A.charge_snapshot(spark, d), A.charge_mirror(spark, d)
+    for number_, since in ((1, None), (2, 852_076_800), (2, 852_076_800)):
+        diff = verify.full_diff(up, mine, since)
+        append_verification(verify.verify_report(diff), verify.drifts(diff), path, number_, "full", NOW, NOW)
+    history, found = read_verifications(spark, path)
+    return found.join(history.withColumnRenamed("id", "verification_id").drop("object_type", "repaired"), "verification_id").select("verification_id", "object_id", "kind", "checked", "drifted", "repaired", "mode", sec("finished_at"))
+
+
+def _as_files(rows: DataFrame, name: str) -> str:
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return path
+
+
+def t1_stream_ingest(spark, d):
+    """First deliveries, then redeliveries to the stream started anew; the log has each event once."""
+    raw, log, state = (fresh_path(spark, n) for n in ("raw", "log", "checkpoint"))
+    rows = A.raw_deliveries(spark, d, SECRET)
+    late = F.col("received_at") >= F.timestamp_seconds(F.lit(A.HALF_TIME))
+    for part in (rows.where(~late), rows.where(late)):
+        part.write.mode("append").parquet(raw)
+        _run(stream_ingest(read_raw_deliveries(spark, raw, streaming=True), log, [SECRET]), state)
+    return read_log(spark, log).select("event_id", "type", sec("created"), sec("received_at"), "created_day")
+
+
+def _applied(spark, d):
+    log, table, feed, state = (fresh_path(spark, n) for n in ("log", "applied", "feed", "checkpoint"))
+    for first in (True, False):
+        write_log(A.half(spark, d, first), log)
+        events = spark.readStream.schema(LOG).parquet(log)
+        _run(stream_apply(events, table, A.as_of, feed, buckets=8), state)
+    return table, feed
+
+
+def t2_stream_apply(spark, d):
+    """Two batches of the log streamed into the table of mirror and state."""
+    mine, state = read_applied(spark, _applied(spark, d)[0])
+    mine = mine.select("object_type", F.col("id").alias("object_id"), F.lit(True).alias("in_mirror"), "is_deleted", text("email", "email"))
+    return state.join(mine, fold.OBJECT, "left").select(*fold.OBJECT, F.coalesce("in_mirror", F.lit(False)).alias("in_mirror"), "is_deleted", "email", sec("last_event_created"), "last_event_id", "data_event_id", "sync_source")
+
+
+def s7_change_feed(spark, d):
+    """What the same stream reported as changed, each object at least once."""
+    return spark.read.schema("object_type string, object_id string").json(_applied(spark, d)[1]).select("object_type", "object_id").distinct()
+
+
+def _with_end(rows: DataFrame) -> DataFrame:
+    """rows and one event far later, which moves the watermark past all others."""
+    end = F.timestamp_seconds(F.lit(A.AS_OF + 30 * 86_400))
+    columns = [F.lit("evt_end").alias(c) if c == "event_id" else (end.alias(c) if t == "timestamp" else F.lit("webhook" if c == "source" else None).cast(t).alias(c)) for c, t in rows.dtypes]
+    return rows.unionByName(rows.sparkSession.range(1).select(*columns))
+
+
+def _sunk(spark, stream, name: str, schema) -> DataFrame:
+    path = fresh_path(spark, name)
+    _run(stream.writeStream.format("parquet").option("path", path).outputMode("append"), fresh_path(spark, "checkpoint"))
+    return spark.read.schema(schema).parquet(path)
+
+
+def t3_stream_silent_webhooks(spark, d):
+    """The windows as a stream with a watermark, of all events and gaps."""
+    gaps = _as_files(_with_end(sweep.gap_rows(_found(spark, d)).withColumn("detected_at", F.col("event_created"))), "gaps")
+    events = _as_files(_with_end(A.event_log(spark, d).where((A.number(F.col("event_id")) % 11 != 0) & (F.pmod(F.floor(F.unix_seconds("received_at") / 3600), F.lit(3)) != 0))), "events")
+    stream = stream_silent_webhooks(spark.readStream.schema(EVENTS).parquet(events), spark.readStream.schema(GAPS).parquet(gaps))
+    return _sunk(spark, stream, "silent", stream.schema).select(sec("window_start"), "webhooks", "gaps", "silent")
+
+
+def t4_stream_gap_detect(spark, d):
+    """Listed events that no webhook brought within a day, as a join of two streams."""
+    listed, arrived = _as_files(_with_end(A.event_log(spark, d)), "listed"), _as_files(_with_end(A.delivered(spark, d)), "arrived")
+    read = lambda path: spark.readStream.schema(EVENTS).parquet(path)
+    stream = stream_gap_detect(read(listed), read(arrived), grace="1 day")
+    return _sunk(spark, stream, "late", stream.schema).select("event_id", sec("created"))
+
+
 QUERIES = {
     name: f
     for name, f in list(globals().items())

@@ -11,6 +11,8 @@ def _table(*columns: str) -> StructType:
 
 RAW_DELIVERIES = _table("s:header", "x:body", "t:received_at")
 EVENTS = _table("s:event_id", "s:type", "s:api_version", "s:account_id", "t:created", "t:received_at", "s:source", "s:payload", "t:processed_at", "b:livemode")
+#: The log in its files: partitioned by days from the epoch to created.
+LOG = StructType([*EVENTS.fields, StructField("created_day", IntegerType())])
 SNAPSHOT = _table("s:object_type", "s:id", "s:data")
 MIRROR = _table("s:object_type", "s:id", "s:data", "s:account_id", "b:is_deleted", "t:deleted_at", "t:updated_at")
 STATE = _table("s:object_type", "s:object_id", "t:last_synced_at", "t:last_event_created", "s:last_event_id", "s:sync_source", "i:fetch_failures", "t:data_event_created", "s:data_event_id")

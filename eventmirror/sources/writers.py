@@ -1,84 +1,181 @@
-"""Sinks. A table is a folder of versions; a version is written whole and then published by one small file."""
+"""Sinks.
+
+A table is dealt to hash buckets of its keys. A write stores new folders for the buckets that it changes and then
+publishes them by one small file that says where every bucket lies. Such a file is never changed or replaced: the
+newest complete one counts, so a crash at any point leaves the table as it was. One writer at a time.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import DRIFTS, VERIFICATIONS
+from ..schemas import DRIFTS, LOG, MIRROR, VERIFICATIONS
+
+BUCKETS = 64
+DAY = 86_400
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def _fs(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+    return _path(spark, path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _fs(spark, path), _path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _fs(spark, path).exists(_path(spark, path))
+
+
+def _manifests(spark: SparkSession, path: str) -> list[tuple[int, dict]]:
+    """(number, content) of the complete publications, oldest first."""
+    out = []
+    for name in _names(spark, f"{path}/_published"):
+        stream = _fs(spark, path).open(_path(spark, f"{path}/_published/{name}"))
+        try:
+            out.append((int(name), json.loads(bytes(stream.readAllBytes()).decode())))
+        except ValueError:
+            continue  # its writer stopped half way
+        finally:
+            stream.close()
+    return out
+
+
+def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
+    taken = [int(n) for n in _names(spark, f"{path}/_published")]
+    # An existing file is never overwritten, so of two writers at once one fails.
+    out = _fs(spark, path).create(_path(spark, f"{path}/_published/{max(taken, default=-1) + 1:012d}"), False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+
+
+def current_manifest(spark: SparkSession, path: str) -> dict | None:
+    """What is published: buckets (their number), at (folder of each bucket that has rows) and notes; None for no table.
+
+    Folders without any publication mean a damaged table, since the first publication comes before the first folder.
+    """
+    known = _manifests(spark, path)
+    if known:
+        return known[-1][1]
+    if any(n.startswith("version=") for n in _names(spark, path)):
+        raise ValueError(f"{path} holds data, but nothing says which of it is published")
+    return None
 
 
-def write_version(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Write df as the table's next version and publish it: readers see the old table or the new one, never a part.
+def bucket_of(keys: Iterable[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    Rows may derive from the version now published, which stays until a later write removes it.
+
+def write_buckets(df: DataFrame, path: str, keys: tuple[str, ...], touched: list[int] | None = None, buckets: int = BUCKETS, notes: dict | None = None) -> None:
+    """Publish df as the rows of the buckets `touched`, others staying as they are, or as the whole table if None.
+
+    df may derive from what is published now. The number of buckets is fixed by the table's first write; a task
+    writes a bucket, so choose it so that one is some hundred megabytes. The two newest publications stay readable;
+    older ones are deleted.
     """
     spark = df.sparkSession
-    name = f"v-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{path}/{name}")
-    fs, mark = _fs(spark, f"{path}/_CURRENT")
-    previous = current_version(spark, path)
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT-{name}")
-    out = fs.create(draft, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    if fs.exists(mark):
-        fs.delete(mark, False)
-    fs.rename(draft, mark)
-    for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        other = status.getPath().getName()
-        if other.startswith("v-") and other not in (name, previous):
-            fs.delete(status.getPath(), True)
-    return name
+    if current_manifest(spark, path) is None:
+        _publish(spark, path, {"buckets": buckets, "at": {}})
+    now = current_manifest(spark, path)
+    version = f"version={uuid.uuid4().hex}"
+    rows = df.withColumn("bucket", bucket_of(keys, now["buckets"]))
+    # Few rows of a bucket lie in few files, sorted by key, so that scans for one object type skip most of them.
+    rows.repartition("bucket").sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(f"{path}/{version}")
+    at = {} if touched is None else {b: v for b, v in now["at"].items() if int(b) not in set(touched)}
+    at |= {n.removeprefix("bucket="): version for n in _names(spark, f"{path}/{version}") if n.startswith("bucket=")}
+    _publish(spark, path, {"buckets": now["buckets"], "at": at, **(notes or {})})
+    _sweep(spark, path)
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    """Delete what neither of the two newest publications names."""
+    fs, known = _fs(spark, path), _manifests(spark, path)
+    used = {f"{v}/bucket={b}" for _, m in known[-2:] for b, v in m["at"].items()}
+    for version in [n for n in _names(spark, path) if n.startswith("version=")]:
+        inside = [n for n in _names(spark, f"{path}/{version}") if n.startswith("bucket=")]
+        dead = [n for n in inside if f"{version}/{n}" not in used]
+        for n in [version] if len(dead) == len(inside) else [f"{version}/{n}" for n in dead]:
+            fs.delete(_path(spark, f"{path}/{n}"), True)
+    for number, _ in known[:-2]:
+        fs.delete(_path(spark, f"{path}/_published/{number:012d}"), False)
+
+
+def read_current(spark: SparkSession, path: str, schema, touched: list[int] | None = None) -> DataFrame:
+    """The published rows, of the buckets `touched` only if given; an empty table if nothing was ever written."""
+    now = current_manifest(spark, path)
+    at = {} if now is None else {b: v for b, v in now["at"].items() if touched is None or int(b) in set(touched)}
+    if not at:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", path).schema(schema).parquet(*[f"{path}/{v}/bucket={b}" for b, v in sorted(at.items())]).select(*schema.names)
+
+
+MIRROR_KEYS = ("object_type", "id")
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    fs, mark = _fs(spark, f"{path}/_CURRENT")
-    if not fs.exists(mark):
-        return None
-    stream = fs.open(mark)
-    name = bytes(stream.readNBytes(64)).decode()
-    stream.close()
-    return name
+def write_mirror(mirror: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Publish the whole mirror."""
+    write_buckets(mirror.select(*MIRROR.names), path, MIRROR_KEYS, buckets=buckets)
 
 
-def read_current(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The published version; an empty table if there is none."""
-    name = current_version(spark, path)
-    return spark.createDataFrame([], schema) if name is None else spark.read.parquet(f"{path}/{name}").select(*schema.names)
+def update_mirror(path: str, changes: DataFrame, change, buckets: int = BUCKETS) -> None:
+    """Rewrite only the buckets that the keys of `changes` (object_type, id) fall into: `change` gets the mirror's rows
+    of those buckets and returns their rows after the change. Runs a job to find the buckets."""
+    spark = changes.sparkSession
+    touched = touched_buckets(changes, path, MIRROR_KEYS, buckets)
+    write_buckets(change(read_current(spark, path, MIRROR, touched)).select(*MIRROR.names), path, MIRROR_KEYS, touched, buckets)
 
 
-def write_mirror(mirror: DataFrame, path: str) -> str:
-    return write_version(mirror, path, ("object_type",))
+def touched_buckets(keys: DataFrame, path: str, names: tuple[str, ...], buckets: int = BUCKETS) -> list[int]:
+    """The buckets of the table that the keys fall into: as many numbers as the table has buckets at most."""
+    now = current_manifest(keys.sparkSession, path)
+    return sorted(r[0] for r in keys.select(bucket_of(names, now["buckets"] if now else buckets)).distinct().collect())
+
+
+def created_day(created: Column) -> Column:
+    """Days from the epoch to created, whatever the session's time zone."""
+    return F.floor(F.unix_seconds(created) / DAY).cast("int")
 
 
 def write_log(rows: DataFrame, path: str) -> None:
-    """Append inserted events, in folders by day of created, which sweeps and retention prune by."""
-    rows.withColumn("created_day", F.to_date("created")).write.mode("append").partitionBy("created_day").parquet(path)
+    """Append inserted events, in folders by day of created, which ingest, sweeps and retention prune by."""
+    rows.withColumn("created_day", created_day(F.col("created"))).write.mode("append").partitionBy("created_day").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log with created_day; an empty one if nothing was ever appended."""
+    return spark.read.schema(LOG).parquet(path) if exists(spark, path) else spark.createDataFrame([], LOG)
 
 
 def append_verification(report: DataFrame, drifts: DataFrame, path: str, verification_id: int, mode: str, started_at, finished_at) -> None:
-    """One history row with the totals of a run and one row per drifted object: two flat tables."""
+    """One history row with the totals of a run and one row per drifted object: two flat tables.
+
+    Both lie in a folder of the run's id that a repeated call overwrites; the history row comes last, so what it names is there.
+    """
     total = report.where(F.col("object_type") == "total")
     history = total.select(
-        F.lit(verification_id).cast("long").alias("id"), F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(finished_at).cast("timestamp").alias("finished_at"),
+        F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(finished_at).cast("timestamp").alias("finished_at"),
         F.lit(mode).alias("mode"), F.lit(None).cast("string").alias("object_type"), "checked", "drifted", "repaired",
     )
-    rows = drifts.select(F.lit(verification_id).cast("long").alias("verification_id"), "object_type", "object_id", "kind", F.lit(False).alias("repaired") if "repaired" not in drifts.columns else F.col("repaired"))
-    history.select(*VERIFICATIONS.names).write.mode("append").parquet(f"{path}/verifications")
-    rows.select(*DRIFTS.names).write.mode("append").parquet(f"{path}/drifts")
+    rows = drifts.select("object_type", "object_id", "kind", F.lit(False).alias("repaired") if "repaired" not in drifts.columns else F.col("repaired"))
+    rows.write.mode("overwrite").parquet(f"{path}/drifts/verification_id={verification_id}")
+    history.write.mode("overwrite").parquet(f"{path}/verifications/id={verification_id}")
+
+
+def read_verifications(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(history, drifts) of all runs; a run has its number as a folder."""
+    return tuple(spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names) for name, schema in (("verifications", VERIFICATIONS), ("drifts", DRIFTS)))
 
 
-def change_feed(changes: DataFrame, path: str) -> None:
-    """Append (object_type, object_id) of what changed; ids only. Call it within foreachBatch."""
-    changes.write.mode("append").json(path)
+def change_feed(changes: DataFrame, path: str, batch: int) -> None:
+    """(object_type, object_id) of what a batch changed; ids only. A repeated batch overwrites its own folder."""
+    changes.write.mode("overwrite").json(f"{path}/batch={batch}")

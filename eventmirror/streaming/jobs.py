@@ -1,8 +1,7 @@
 """Continuous ingest, apply, monitoring and gap detection.
 
-Each micro-batch is handled by the tested batch operators inside foreachBatch and publishes whole table versions, so a
-batch that runs again after a crash finds its own work done: ids already in the log are duplicates, and events
-already applied lose to the state.
+Each micro-batch is handled by the tested batch operators inside foreachBatch. A batch that runs again after a crash finds
+its own work done: ids already in the log are duplicates, and an applied batch is published with its number.
 """
 
 from __future__ import annotations
@@ -11,29 +10,24 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import fold, ingest
-from ..schemas import EVENTS, MIRROR, STATE
-from ..sources.writers import change_feed, read_current, write_log, write_mirror, write_version
+from ..schemas import MIRROR, STATE
+from ..sources.writers import BUCKETS, change_feed, current_manifest, read_current, read_log, touched_buckets, write_buckets, write_log
 
 
 def stream_ingest(deliveries: DataFrame, log_path: str, secrets: Sequence[str], tolerance_seconds: int = 300, on_batch: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
     """Authenticate, parse and append events to the log: every event once, over the whole log.
 
-    `on_batch` gets each batch's outcome rows before they are appended. The log must exist or its folder be empty.
+    A batch is judged once and kept; its ids are looked up in the log's folders of the days that its events were created on.
+    `on_batch` gets each batch's outcome rows before they are appended.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        try:
-            log = spark.read.schema(EVENTS).parquet(log_path).select("event_id")
-            log.schema
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            log = None
-        outcome = ingest.ingest(rows, log, secrets, tolerance_seconds).persist()
+        judged = ingest.judge(rows, secrets, tolerance_seconds).persist()
+        outcome = ingest.settle(judged, read_log(rows.sparkSession, log_path), ingest.created_days(judged)).persist()
         try:
             # Appending to the log drops what is cached of rows that were joined with it, so it comes last.
             if on_batch:
@@ -41,6 +35,7 @@ def stream_ingest(deliveries: DataFrame, log_path: str, secrets: Sequence[str],
             write_log(ingest.log_rows(outcome), log_path)
         finally:
             outcome.unpersist()
+            judged.unpersist()
 
     return deliveries.writeStream.foreachBatch(batch)
 
@@ -50,33 +45,46 @@ def stream_dedupe_bounded(events: DataFrame, delay: str = "3 days") -> DataFrame
     return events.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def stream_apply(events: DataFrame, table_path: str, as_of: Callable[[], Column] = F.current_timestamp, feed_path: str | None = None) -> DataStreamWriter:
+APPLIED = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in fold.OBJECT], *[f for f in MIRROR.fields if f.name not in ("object_type", "id")],
+    *[f for f in STATE.fields if f.name not in fold.OBJECT], T.StructField("in_mirror", T.BooleanType()), T.StructField("in_state", T.BooleanType()),
+])
+
+
+def stream_apply(
+    events: DataFrame, table_path: str, as_of: Callable[[], Column] = F.current_timestamp, feed_path: str | None = None, stream: str = "apply", buckets: int = BUCKETS
+) -> DataStreamWriter:
     """Fold log events into mirror and state; no watermark, since a late event only loses to newer ones.
 
-    Mirror and state are published as one version of one table, so they never disagree. With `feed_path` the ids of
-    changed objects are appended there.
+    Mirror and state are one table, so they never disagree. A batch reads and rewrites only the buckets that its
+    objects fall into, and publishes them at once with its number. With `feed_path` the ids of changed objects are written there
+    first, in a folder of the batch, so a batch that runs again neither loses nor doubles them. `stream` names the
+    checkpoint: give a stream that starts anew from an empty checkpoint another name.
     """
-    columns = [*fold.OBJECT, *[c for c in MIRROR.names if c not in ("object_type", "id")], *[c for c in STATE.names if c not in fold.OBJECT], "in_mirror", "in_state"]
 
     def batch(rows: DataFrame, number: int) -> None:
-        mirror, state = read_applied(rows.sparkSession, table_path)
-        applied = fold.apply_events(rows, mirror, state, as_of()).persist()
+        spark = rows.sparkSession
+        done = (current_manifest(spark, table_path) or {}).get("batches", {})
+        if done.get(stream, -1) >= number:
+            return  # published before a crash
+        work = fold.mapped(rows).persist()
+        touched = touched_buckets(work, table_path, tuple(fold.OBJECT), buckets)
+        table = read_current(spark, table_path, APPLIED, touched)
+        applied = fold.apply_events(work, fold.mirror_of(table), fold.state_of(table), as_of()).persist()
         try:
-            write_version(applied.select(*columns), table_path, ("object_type",))
             if feed_path:
-                change_feed(fold.changes_of(applied), feed_path)
+                change_feed(fold.changes_of(applied), feed_path, number)
+            write_buckets(applied.select(*APPLIED.names), table_path, tuple(fold.OBJECT), touched, buckets, {"batches": done | {stream: number}})
         finally:
             applied.unpersist()
+            work.unpersist()
 
     return events.writeStream.foreachBatch(batch)
 
 
 def read_applied(spark, table_path: str) -> tuple[DataFrame, DataFrame]:
     """(mirror, state) as stream_apply() last published them."""
-    from pyspark.sql import types as T
-
-    both = T.StructType([*[f if f.name != "id" else T.StructField("object_id", T.StringType()) for f in MIRROR.fields], *[f for f in STATE.fields if f.name not in fold.OBJECT], T.StructField("in_mirror", T.BooleanType()), T.StructField("in_state", T.BooleanType())])
-    table = read_current(spark, table_path, both)
+    table = read_current(spark, table_path, APPLIED)
     return fold.mirror_of(table), fold.state_of(table)
 
 
@@ -102,4 +110,4 @@ def stream_gap_detect(listed: DataFrame, arrived: DataFrame, grace: str = "60 se
     return left.join(right, near, "left_outer").where(F.col("_id").isNull()).select("event_id", "created")
 
 
-__all__ = ["read_applied", "stream_apply", "stream_dedupe_bounded", "stream_gap_detect", "stream_ingest", "stream_silent_webhooks", "write_mirror"]
+__all__ = ["read_applied", "stream_apply", "stream_dedupe_bounded", "stream_gap_detect", "stream_ingest", "stream_silent_webhooks"]

@@ -21,7 +21,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for name in ("events", "orders", "lineitem", "customer"):
+    for name in ("events", "orders", "lineitem", "customer", "part"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{TABLES}/{name}.parquet'")
     return con
 

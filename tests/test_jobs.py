@@ -1,11 +1,14 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from eventmirror.operators import backfill, importer, monitor, retention, serve, sweep, verify
+from eventmirror.functions.event_types import OBJECT_TYPES, VERIFY_TYPES
+from eventmirror.operators import backfill, importer, ingest, monitor, retention, serve, sweep, verify
 from eventmirror.schemas import DRIFTS, EVENTS, GAPS, MIRROR, STATE, SWEEPS
+from eventmirror.sources import writers
 
 T0 = dt.datetime(2026, 1, 10)
 
@@ -60,6 +63,32 @@ def test_gaps_heal_and_overlap_finds_none(spark):
     assert (row.events_seen, row.gaps_found, row.status) == (4, 2, "done")
 
 
+def test_sweep_reads_the_days_of_its_window(spark, tmp_path):
+    path = str(tmp_path / "log")
+    days = [ev(f"d{i}", created=T0 + dt.timedelta(days=i), received=T0 + dt.timedelta(days=i), processed=T0) for i in range(9)]
+    writers.write_log(log(spark, *days, ev("none", created=None)), path)
+    stored = writers.read_log(spark, path)
+    window = (T0 + dt.timedelta(days=3), T0 + dt.timedelta(days=4))
+    listed = log(spark, *days[2:6], ev("x", created=T0 + dt.timedelta(days=3, seconds=5)))
+    found = sweep.find_gaps(listed, stored, ts(hours(200)), 1, window)
+    assert [r.event_id for r in found.collect()] == ["x"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    parts = lambda df: [x for x in plan(df).split("PartitionFilters: [")[1:] if "created_day" in x.split("]")[0]]
+    assert parts(found)
+    gaps = spark.createDataFrame([("d1", T0, 1, T0, 0), ("d8", T0, 1, T0, 0)], GAPS)
+    kept, left = retention.purge_events(stored, gaps, T0 + dt.timedelta(days=4))
+    assert sorted(r.event_id for r in kept.collect()) == ["d4", "d5", "d6", "d7", "d8", "none"] and [r.event_id for r in left.collect()] == ["d8"]
+    assert parts(left)
+    again = ingest.dedupe_events(log(spark, days[2], ev("y", created=T0)), stored, [int(T0.replace(tzinfo=dt.UTC).timestamp()) // 86_400 + i for i in (0, 2)])
+    assert {r.event_id: r.outcome for r in again.collect()} == {"d2": "duplicate", "y": "inserted"} and parts(again)
+
+
+def test_failed_sweep_leaves_the_checkpoint(spark):
+    done = sweeps(spark, (1, hours(0), hours(90), "done"))
+    bad = sweep.failed_sweep(spark, 2, (hours(89), hours(95)), ts(hours(96)))
+    assert sweep.collect_window(sweep.sweep_window(done.unionByName(bad), hours(100)))[0] == hours(90) - dt.timedelta(minutes=10)
+
+
 def test_outage_and_retention_risk(spark):
     gaps = spark.createDataFrame([("a", T0, 1, T0, 5)], GAPS)
     window = (ts(hours(0)), ts(hours(1)))
@@ -121,6 +150,30 @@ def test_injected_drift_is_found_and_repaired(spark):
     assert since == {("c2", "stale"), ("c3", "missing")}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_only_types_that_can_be_verified_are(spark, seed):
+    """All 13 types live in the mirror; upstream's export lists neither payment methods nor items."""
+    up = [(k, {"id": f"{k}_{i}", "created": 10 + i, "v": i}) for k in OBJECT_TYPES for i in range(3) if k not in ("payment_method", "subscription_item")]
+    up = [(k, d | {"items": {"data": [], "has_more": False}} if k == "subscription" else d) for k, d in up]
+    live = [(k, d, False) for k, d in up] + [(k, {"id": f"{k}_{i}", "created": 5, "subscription": "none", "customer": "c"}, False) for k in ("payment_method", "subscription_item") for i in range(3)]
+    rnd = random.Random(seed)
+    rnd.shuffle(live)
+    truth, mine = objects(spark, *up), mirror(spark, *live)
+    assert verify.drifts(verify.full_diff(truth, mine)).count() == 0
+    assert verify.drifts(verify.quick_diff(truth, mine, T0, since=11)).count() == 0
+    assert {r.object_type for r in verify.spot_check(mine, truth, 10**9).collect()} == set(VERIFY_TYPES)
+    # An export of some types only is compared with those.
+    charges = truth.where("object_type = 'charge'")
+    assert verify.full_diff(charges, mine, types=["charge"]).count() == 3
+    assert verify.drifts(verify.full_diff(charges, mine)).count() == 30
+    with pytest.raises(ValueError):
+        verify.full_diff(truth, mine, types=["payment_method"])
+    worse = mirror(spark, *[(k, d | {"v": -1} if i == 0 else d, gone) for i, (k, d, gone) in enumerate(live)])
+    diff, fixed, _ = verify.diff_and_repair(truth, worse, state(spark), ts(hours(1)))
+    assert verify.drifts(diff).count() == (live[0][0] in VERIFY_TYPES)
+    assert fixed.where("is_deleted").count() == 0 and fixed.count() == len(live)
+
+
 def test_quick_finds_old_drift(spark):
     truth = objects(spark, ("customer", {"id": "old", "v": 2, "created": 10}), ("customer", {"id": "new", "created": 10**9}))
     mine = mirror(spark, ("customer", {"id": "old", "v": 1, "created": 10}, False), ("customer", {"id": "lost", "created": None}, False))
@@ -150,7 +203,7 @@ def test_import(spark):
 def test_retention(spark):
     rows = log(spark, ev("old_done", received=hours(0), processed=T0), ev("old_open", received=hours(0)), ev("new_done", received=hours(9), processed=T0))
     gaps = spark.createDataFrame([("old_done", T0, 1, T0, 0), ("old_open", T0, 1, T0, 0)], GAPS)
-    kept, left = retention.purge_events(rows, gaps, ts(hours(5)))
+    kept, left = retention.purge_events(rows, gaps, hours(5))
     assert sorted(r.event_id for r in kept.collect()) == ["new_done", "old_open"] and [r.event_id for r in left.collect()] == ["old_open"]
     assert retention.purge_events(rows, gaps, None)[0].count() == 3
 

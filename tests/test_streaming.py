@@ -2,7 +2,9 @@ import datetime as dt
 import hashlib
 import hmac
 import json
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventmirror.operators import fold, ingest
@@ -38,7 +40,7 @@ def test_ingest_and_apply_survive_restarts(spark, tmp_path):
 
     def apply_once():
         events = spark.readStream.schema(EVENTS).parquet(log_path)
-        run(jobs.stream_apply(events, table, lambda: F.lit(T0).cast("timestamp"), str(tmp_path / "feed")), str(tmp_path / "c2"))
+        run(jobs.stream_apply(events, table, lambda: F.lit(T0).cast("timestamp"), str(tmp_path / "feed"), buckets=3), str(tmp_path / "c2"))
 
     ingest_once()
     apply_once()
@@ -79,19 +81,95 @@ def test_gap_stream_plan(spark, tmp_path):
     read = lambda: spark.readStream.schema(EVENTS).parquet(path)
     stream = jobs.stream_gap_detect(read(), read().where("event_id <> 'b'"))
     run(stream.writeStream.format("memory").queryName("gap_events").outputMode("append"), str(tmp_path / "c"))
-    assert {r.event_id for r in spark.table("gap_events").collect()} <= {"b"}
+    assert {r.event_id for r in spark.table("gap_events").collect()} == {"b"}
 
 
-def test_versions_publish_whole_tables(spark, tmp_path):
+def test_silent_webhooks_as_a_stream(spark, tmp_path):
+    """Windows come out once the watermark has passed them; a much later event moves it."""
+    path, gaps_path = str(tmp_path / "events"), str(tmp_path / "gaps")
+    row = lambda n, at: (n, "customer.updated", None, None, at, at, "webhook", "{}", None, False)
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    spark.createDataFrame([row("a", at(0)), row("b", at(1)), row("z", at(9))], EVENTS).coalesce(1).write.parquet(path)
+    spark.createDataFrame([("x", at(h), 1, T0, 0) for h in (0, 2, 9)], GAPS).coalesce(1).write.parquet(gaps_path)
+    stream = jobs.stream_silent_webhooks(spark.readStream.schema(EVENTS).parquet(path), spark.readStream.schema(GAPS).parquet(gaps_path))
+    run(stream.writeStream.format("memory").queryName("silent").outputMode("append"), str(tmp_path / "c"))
+    assert {(r.window_start - T0.replace(tzinfo=None)).seconds // 3600: (r.webhooks, r.gaps, r.silent) for r in spark.table("silent").collect()} == {0: (1, 1, False), 1: (1, 0, False), 2: (0, 1, True)}
+
+
+def mirror_rows(*ids, data="{}"):
+    return [("customer", str(n), data, None, False, None, T0) for n in ids]
+
+
+def test_publishing_whole_tables_and_single_buckets(spark, tmp_path):
     path = str(tmp_path / "mirror")
     assert writers.read_current(spark, path, MIRROR).count() == 0
-    row = lambda i: [("customer", str(n), "{}", None, False, None, T0) for n in range(i)]
-    for n in (2, 5, 3):
-        writers.write_mirror(spark.createDataFrame(row(n), MIRROR), path)
+    for n in (2, 5, 0, 3):
+        writers.write_mirror(spark.createDataFrame(mirror_rows(*range(n)), MIRROR), path, buckets=4)
         assert writers.read_current(spark, path, MIRROR).count() == n
     current = writers.read_current(spark, path, MIRROR)
-    writers.write_mirror(current.unionByName(spark.createDataFrame(row(1), MIRROR)), path)
-    assert writers.read_current(spark, path, MIRROR).count() == 4
+    writers.write_mirror(current.unionByName(spark.createDataFrame(mirror_rows(9), MIRROR)), path)
+    before = writers.current_manifest(spark, path)
+    assert writers.read_current(spark, path, MIRROR).count() == 4 and before["buckets"] == 4
+    one = spark.createDataFrame(mirror_rows("9"), MIRROR).select("object_type", "id")
+    writers.update_mirror(path, one, lambda own: own.withColumn("data", F.when(F.col("id") == "9", F.lit("new")).otherwise(F.col("data"))))
+    after = writers.current_manifest(spark, path)
+    (touched,) = writers.touched_buckets(one, path, writers.MIRROR_KEYS)
+    assert {b for b in after["at"] if after["at"][b] != before["at"].get(b)} == {str(touched)}
+    assert {r.id: r.data for r in writers.read_current(spark, path, MIRROR).collect()} == {"0": "{}", "1": "{}", "2": "{}", "9": "new"}
+    assert len([n for n in writers._names(spark, f"{path}/_published")]) == 2
+
+
+@pytest.mark.parametrize("stop", ["before publishing", "while publishing", "before the sweep"])
+def test_a_crash_leaves_the_old_table_or_the_new(spark, tmp_path, monkeypatch, stop):
+    path = str(tmp_path / "mirror")
+    writers.write_mirror(spark.createDataFrame(mirror_rows(*range(5)), MIRROR), path, buckets=2)
+
+    def crash(*_):
+        raise RuntimeError("killed")
+
+    def half(session, where, manifest):
+        number = max(int(n) for n in writers._names(session, f"{where}/_published")) + 1
+        (tmp_path / "mirror" / "_published" / f"{number:012d}").write_text(json.dumps(manifest)[:20])
+        crash()
+
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_sweep" if stop == "before the sweep" else "_publish", half if stop == "while publishing" else crash)
+        with pytest.raises(RuntimeError):
+            writers.write_mirror(spark.createDataFrame(mirror_rows(*range(7)), MIRROR), path)
+    assert writers.read_current(spark, path, MIRROR).count() == (7 if stop == "before the sweep" else 5)
+    writers.write_mirror(writers.read_current(spark, path, MIRROR).unionByName(spark.createDataFrame(mirror_rows("x"), MIRROR)), path)
+    assert writers.read_current(spark, path, MIRROR).count() == (8 if stop == "before the sweep" else 6)
+
+
+def test_data_without_publication_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "mirror")
+    writers.write_mirror(spark.createDataFrame(mirror_rows(1), MIRROR), path, buckets=2)
+    shutil.rmtree(f"{path}/_published")
+    with pytest.raises(ValueError):
+        writers.read_current(spark, path, MIRROR)
+
+
+def test_a_batch_that_runs_again_keeps_its_feed(spark, tmp_path, monkeypatch):
+    """Killed after the feed and before the table, then after the table: the feed names each change once."""
+    log, table, feed = (str(tmp_path / x) for x in ("log", "table", "feed"))
+    rows = [(f"e{i}", "customer.updated", None, None, T0, T0, "webhook", json.dumps({"data": {"object": {"id": f"c{i}"}}}), None, False) for i in range(4)]
+    writers.write_log(spark.createDataFrame(rows, EVENTS), log)
+    make = lambda: jobs.stream_apply(spark.readStream.schema(EVENTS).parquet(log), table, lambda: F.lit(T0).cast("timestamp"), feed, buckets=2)
+    real = jobs.write_buckets
+
+    def killed(*args, after):
+        if after:
+            real(*args)
+        raise RuntimeError("killed")
+
+    for after in (False, True):
+        with monkeypatch.context() as m:
+            m.setattr(jobs, "write_buckets", lambda *args: killed(*args, after=after))  # noqa: B023
+            with pytest.raises(Exception, match="killed"):
+                run(make(), str(tmp_path / "c"))
+    run(make(), str(tmp_path / "c"))
+    assert sorted(r.object_id for r in spark.read.json(feed).collect()) == ["c0", "c1", "c2", "c3"]
+    assert jobs.read_applied(spark, table)[0].count() == 4
 
 
 def test_readers_and_history(spark, tmp_path):
@@ -112,7 +190,8 @@ def test_readers_and_history(spark, tmp_path):
     assert list(readers.read_legacy_tables(spark, "legacy")) == ["customer"]
     report = spark.createDataFrame([("customer", 5, 1, 0), ("total", 5, 1, 0)], "object_type string, checked long, drifted long, repaired long")
     drifts = spark.createDataFrame([("customer", "c", "stale")], "object_type string, object_id string, kind string")
-    for i in (1, 2):
+    for i in (1, 2, 2):  # the last one is a retry
         writers.append_verification(report, drifts, str(tmp_path / "history"), i, "full", T0, T0)
-    assert spark.read.parquet(str(tmp_path / "history" / "verifications")).count() == 2
-    assert {r.verification_id for r in spark.read.parquet(str(tmp_path / "history" / "drifts")).collect()} == {1, 2}
+    history, found = writers.read_verifications(spark, str(tmp_path / "history"))
+    assert sorted((r.id, r.checked) for r in history.collect()) == [(1, 5), (2, 5)]
+    assert sorted(r.verification_id for r in found.collect()) == [1, 2]
