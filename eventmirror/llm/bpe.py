@@ -34,16 +34,28 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, PREFIX, IN_WHITE, ONE_MORE, TWO_MORE =
 NONE = 1 << 60
 #: By class and whether something that is no white space follows.
 SYMBOL = np.array([S_LETTER] * 2 + [S_NUMBER] * 2 + [S_OTHER] * 2 + [S_MORE_WHITE, S_LAST_SPACE, S_MORE_WHITE, S_LAST_WHITE] + [S_END] * 2, np.uint8)
-BATCH_CHARS = 1 << 19
+BATCH_CHARS, BATCH_TOKENS = 1 << 19, 1 << 17
 #: Pieces whose merges a worker remembers, about 30 MB.
 CACHED = 150_000
 
 
+# Letters and numbers that Unicode 16 added (first and last code point), which an older Python does not know.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+
+
 @functools.cache
 def classes() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point, by Unicode 16 as the library has it."""
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for first, last in ranges:
+            out[first : last + 1] = kind
     out[list(WHITE_SPACE)] = WHITE
     out[32] = SPACE
     return out
@@ -155,6 +167,12 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.tokens = {v: k for k, v in self.ranks.items()}
+        # The bytes of all tokens in one array, and where each token lies in it.
+        self.lengths = np.zeros(max(self.tokens, default=0) + 1, np.int64)
+        for v, k in self.tokens.items():
+            self.lengths[v] = len(k)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.raw = np.frombuffer(b"".join(self.tokens[v] for v in sorted(self.tokens)), np.uint8)
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def piece(self, piece: str) -> list[int] | tuple[int, ...]:
@@ -216,8 +234,23 @@ class Vocabulary:
                     ids += known(p) or piece(p)
                 yield ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def offsets(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The byte at which each token of the texts between `bounds` starts in its own text."""
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lengths[ids])])
+        return at[:-1] - np.repeat(at[bounds[:-1]], np.diff(bounds))
+
+    def place(self, ids: np.ndarray, offsets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The bytes of each text: every token's bytes are put where its offset says, and must fill the text without overlap."""
+        lengths = self.lengths[ids]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        if not np.array_equal(offsets, self.offsets(ids, bounds)):
+            raise ValueError("the offsets do not fit the tokens")
+        within = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
+        first = ends[bounds]
+        out = np.empty(int(ends[-1]), np.uint8)
+        out[np.repeat(np.repeat(first[:-1], np.diff(bounds)) + offsets, lengths) + within] = self.raw[np.repeat(self.starts[ids], lengths) + within]
+        whole = out.tobytes()
+        return [whole[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
 @functools.cache
@@ -225,51 +258,53 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """df with the text replaced by `ids` and, if asked, `offsets`: the byte where each token starts.
+def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """df with the text replaced by `ids` and `offsets`: the byte of the text where each token starts.
 
-    A null text counts as empty and has no ids. `path` is a rank file present on every executor.
+    A null text counts as empty and has no ids. `path` is a rank file present on every executor. Columns of these
+    names are replaced.
     """
-    kept = [c for c in df.columns if c != text]
-    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
-    if offsets:
-        schema = schema.add("offsets", T.ArrayType(T.IntegerType(), False), False)
+    kept = [c for c in df.columns if c not in (text, "ids", "offsets")]
+    numbers = T.ArrayType(T.IntegerType(), False)
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("ids", numbers, False), T.StructField("offsets", numbers, False)])
 
     def run(batches):
         own = vocabulary(path)
         for batch in batches:
             for a, b in slices(np.ones(len(batch)), 256):
                 part = batch.slice(a, b - a)
-                ids = list(own.encode([t or "" for t in part.column(text).to_pylist()]))
-                columns = [part.column(c) for c in kept] + [pa.array(ids, pa.list_(pa.int32()))]
-                if offsets:
-                    tokens = own.tokens
-                    columns.append(pa.array([np.cumsum([0, *[len(tokens[i]) for i in x]])[:-1].astype(np.int32) for x in ids], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", *["offsets"] * offsets])
+                ids = [np.array(x, np.int32) for x in own.encode([t or "" for t in part.column(text).to_pylist()])]
+                flat = np.concatenate([np.zeros(0, np.int32), *ids])
+                bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in ids], dtype=np.int64)])
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (flat, own.offsets(flat, bounds))]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *lists], names=schema.names)
 
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
     """df with `n_tokens`, `ids_sha256` (of the ids as little-endian unsigned 32-bit integers) and
-    `decoded` (the bytes the ids stand for) in place of `ids`."""
-    kept = [c for c in df.columns if c != "ids"]
+    `decoded` (the bytes the ids stand for, each put at its offset) in place of `ids` and `offsets`."""
+    kept = [c for c in df.columns if c not in ("ids", "offsets")]
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         own = vocabulary(path)
         for batch in batches:
-            ids = batch.column(batch.schema.names.index("ids"))
-            at, flat = np.asarray(ids.offsets), np.asarray(ids.values)
-            spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in kept],
-                    pa.array(np.diff(at).astype(np.int64)),
-                    pa.array([hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in spans]),
-                    pa.array([own.decode(flat[a:b].tolist()) for a, b in spans], pa.binary()),
-                ],
-                names=[*kept, "n_tokens", "ids_sha256", "decoded"],
-            )
+            sizes = np.diff(np.asarray(batch.column("ids").offsets).astype(np.int64))
+            for a, b in slices(sizes, BATCH_TOKENS):
+                part = batch.slice(a, b - a)
+                ids, offsets = (np.asarray(part.column(c).flatten()) for c in ("ids", "offsets"))
+                bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[a:b])])
+                spans = zip(bounds[:-1].tolist(), bounds[1:].tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[part.column(c) for c in kept],
+                        pa.array(sizes[a:b]),
+                        pa.array([hashlib.sha256(ids[x:y].astype("<u4").tobytes()).hexdigest() for x, y in spans]),
+                        pa.array(own.place(ids, offsets.astype(np.int64), bounds), pa.binary()),
+                    ],
+                    names=schema.names,
+                )
 
     return df.mapInArrow(run, schema)
