@@ -32,44 +32,49 @@ def rendezvous(key: Column, shards: int | Mapping[int, float]) -> Column:
     return (F.array_min(F.array(*bids)) if len(bids) > 1 else bids[0])["shard"]
 
 
-def with_slots(df: DataFrame, shard: str, order: list[str], rows_per_bucket: int = 200_000) -> DataFrame:
+def with_slots(df: DataFrame, shard: str, rows_per_bucket: int = 200_000, copies_per_row: int = 1000) -> DataFrame:
     """df with `slot`: the place of each row in its shard, without gaps from 0.
 
-    Rows of a shard are dealt to hash buckets of about `rows_per_bucket` rows; a slot is the
-    number of rows in the earlier buckets plus the place within the bucket by `order`. No task
-    sorts a whole shard, and only the bucket counts (rows / rows_per_bucket of them) are broadcast.
-    df should be a stored table: it is read three times. Rows equal in all of `order` are interchangeable.
+    Equal rows are counted first, before they are shuffled, so any number of copies is one row. Rows of a shard are
+    dealt to hash buckets of about `rows_per_bucket` rows; a slot is the number of rows in the earlier buckets
+    plus the place within the bucket. At last copies are put out again, first in blocks of `copies_per_row`, which are
+    dealt out, so that no task makes all of them. No task sorts a whole shard. df should be narrow.
     """
-    buckets = max(1, -(-df.count() // rows_per_bucket))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets)))
-    counts = dealt.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    return (
-        dealt.withColumn("_place", F.row_number().over(place) - 1)
-        .join(F.broadcast(starts), [shard, "_bucket"])
-        .withColumn("slot", (F.col("_start") + F.col("_place")).cast("long"))
-        .drop("_bucket", "_start", "_place")
-    )
+    columns = df.columns
+    groups = materialise(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "slots")
+    buckets = max(1, -(-groups.count() // rows_per_bucket))
+    dealt = groups.withColumn("_bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_all"))
+    starts = counts.select(shard, "_bucket", F.coalesce(F.sum("_all").over(before(shard).orderBy("_bucket")), F.lit(0)).alias("_start"))
+    within = F.coalesce(F.sum("_n").over(before(shard, "_bucket").orderBy(*columns)), F.lit(0))
+    placed = dealt.withColumn("_place", within).join(starts, [shard, "_bucket"]).withColumn("slot", F.col("_start") + F.col("_place"))
+    span = lambda first, last: F.explode(F.sequence(first, last))
+    blocks = placed.where("_n > 1").withColumn("_block", span(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / copies_per_row).cast("long")))
+    first = F.col("_block") * copies_per_row
+    copies = blocks.repartition(shard, "slot", "_block").withColumn("_copy", span(first, F.least(first + copies_per_row, F.col("_n")) - 1)).withColumn("slot", F.col("slot") + F.col("_copy"))
+    return placed.where("_n = 1").select(*columns, "slot").unionByName(copies.select(*columns, "slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """Place every document by its doc_id (law `key`) and say where one more shard would put it.
+def shard_documents(docs: DataFrame, shards: int | Mapping[int, float] = 8) -> DataFrame:
+    """Place every document by its doc_id (law `key`) and say where one more shard, of weight 1, would put it.
+    `shards` is a number of equal shards or the weight of each.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot, grown_shard. A null
     text counts as empty, a null doc_id as the empty key; repeated rows get slots of their own;
     an empty table gives an empty one; other columns are left out. The text is read once:
     only the narrow row is written and dealt out.
     """
+    weights = dict(shards) if isinstance(shards, Mapping) else dict.fromkeys(range(shards), 1.0)
+    grown = weights | {max(weights) + 1: 1.0}
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(
         F.col("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(F.col("doc_id"), shards).alias("shard"),
-        rendezvous(F.col("doc_id"), shards + 1).alias("grown_shard"),
+        rendezvous(F.col("doc_id"), weights).alias("shard"),
+        rendezvous(F.col("doc_id"), grown).alias("grown_shard"),
     )
-    out = with_slots(materialise(narrow, "shards"), "shard", ["doc_id", "text_crc32", "size"])
+    out = with_slots(narrow, "shard")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
