@@ -58,7 +58,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing; rows that share a doc_id are one document; equal items are each reported; empty tables
     give an empty result; other columns are ignored.
 
-    A bitmap of the benchmark's seeds (bounded to 2**20 bits, however large the benchmark)
+    A bitmap of the benchmark's seeds (64 bits a seed, up to 2**24 bits, which is 2 MB, however large the benchmark)
     thins out the positions inside each row before anything is exploded; the join on the seed is exact.
     """
     spark = docs.sparkSession
@@ -85,7 +85,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ).alias("s"),
     ).select("item_id", "s.item_at", "s.key")
     n_seeds = seeds.count()
-    bits = 1 << min(20, max(12, (64 * n_seeds).bit_length()))
+    bits = 1 << min(24, max(12, (64 * n_seeds).bit_length()))
     word, bit = _bit(F.col("key"), bits)
     filled = dict(
         seeds.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("v")).collect()

@@ -9,8 +9,9 @@ END = "<|end|>\n"
 
 
 def _turns(side: str) -> Column:
-    """The turns of one side in order; a repeated turn number keeps its smallest (role, text)."""
-    return F.sort_array(F.coalesce(F.collect_list(F.when(F.col("side") == side, F.struct("turn", "role", "text"))), F.array()))
+    """The turns of one side in order, of the side's smallest conv_id; a repeated turn number keeps its smallest (role, text)."""
+    turns = F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("conv_id", "turn", "role", "text"))))
+    return F.filter(turns, lambda t: t["conv_id"] == F.get(turns, F.lit(0))["conv_id"])
 
 
 def _render(turns: Column) -> Column:
@@ -35,7 +36,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     whole turns (equal role and text) is rendered once as the prompt; each side's rest is its completion, with
     a mask that learns the assistant's text and end marks only. `usable` says that both completions hold
     an assistant turn. Null roles are `user`, null texts empty; ``<|`` within a text is written ``< |``, so that
-    no text can close a turn. Rows without pair_id, side, conv_id or turn belong to no pair; a pair of one side
+    no text can close a turn. Of a side's conversations the one of the smallest conv_id counts. Rows without pair_id, side, conv_id or turn belong to no pair; a pair of one side
     gives no row; of rows that repeat a turn one stays; an empty table gives an empty one.
     A conversation is put together in one place, as its rendered text is one value.
     """
