@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in local mode only, a fresh one if it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _LOCAL:
-        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="eventmirror-")
-    return _LOCAL[sc.applicationId]
+from ..sources.scratch import fresh_path
 
 
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends and a lost executor costs no rework."""
+    """Write df once to the shared folder and read it back: lineage ends and a lost executor costs no rework.
+
+    discard() deletes it; what a lazy result still reads stays until the folder is cleared.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     out = df.write
     if by:
         out = out.partitionBy(by)

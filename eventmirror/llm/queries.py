@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
 from . import bpe, decontaminate, embedding_dedup, html_extract, langid, ngram_jaccard, preference, sharding, toxicity, warc
-from .common import materialise, shared_folder
+from .common import materialise
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 

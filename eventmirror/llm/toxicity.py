@@ -7,7 +7,9 @@ exception phrase, and are normalised by the number of words; a logistic curve ma
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import discard, materialise, slices
 from .langid import held_out
 
 #: Labelled rows to learn from, of either label, at most.
@@ -36,42 +38,48 @@ BASE_EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "sore
 
 
 @functools.cache
-def folding() -> tuple[np.ndarray, np.ndarray]:
-    """Per code point: the letter it becomes (else 0), and what it becomes only inside a word
-    (2 for a digit as it is, 1 for an invisible mark)."""
-    plain, inside = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
+def folding() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code point, 0 for none: the letter it becomes (of no Latin look: itself, in lower case), the digit it is, and
+    the letter that it stands for only inside a word (1 for a mark that is dropped)."""
+    plain, digit, inside = np.zeros(0x110000, np.uint32), np.zeros(0x110000, np.uint32), np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         ch = chr(c)
-        if unicodedata.category(ch)[0] in "LN" or c in (0x24B6,):
+        kind = unicodedata.category(ch)[0]
+        if kind in "LNM":
             base = unicodedata.normalize("NFKD", ch)[0].lower()
             base = unicodedata.normalize("NFKD", base)[0]
             base = LOOK_ALIKE.get(base, base)
             if "a" <= base <= "z":
                 plain[c] = ord(base)
             elif "0" <= base <= "9":
-                inside[c] = ord(DIGITS.get(base, "\2"))
-            elif unicodedata.category(ch)[0] == "L":
-                plain[c] = ord("~")  # a letter of no Latin look
+                digit[c], inside[c] = ord(base), ord(DIGITS.get(base, base))
+            else:
+                plain[c] = ord(ch.lower()[0])
     for ch, base in SIGNS.items():
         inside[ord(ch)] = ord(base)
-    inside[list(INVISIBLE)] = 1
-    return plain, inside
+    for marks in (list(INVISIBLE), slice(0x300, 0x370)):  # the latter are accents of their own
+        plain[marks], inside[marks] = 0, 1
+    return plain, digit, inside
 
 
 def fold(texts: list[str]) -> list[str]:
-    """Each text as folded words between single spaces, with a space at both ends."""
-    plain, inside = folding()
+    """Each text as folded words between single spaces, with a space at both ends.
+
+    Look-alikes, accents and digits or signs for letters become plain letters; letters of other scripts and
+    numbers stay what they are, so that different words stay different.
+    """
+    plain, digits, inside = folding()
     out: list[str] = []
     for a, b in slices(np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts)), 1 << 19):
         joined = "".join(f" {t} \n" for t in texts[a:b])
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         mark = np.zeros(len(codes), bool)
         mark[np.cumsum([len(t) + 3 for t in texts[a:b]]) - 1] = True
-        letter, sub = plain[codes], inside[codes]
+        letter, number, sub = plain[codes], digits[codes], inside[codes]
         keep = sub != 1
-        codes, letter, sub, mark = codes[keep], letter[keep], sub[keep], mark[keep]
-        sign = np.isin(codes, [ord(x) for x in SIGNS])
-        digit = (sub > 0) & ~sign
+        letter, number, sub, mark = letter[keep], number[keep], sub[keep], mark[keep]
+        digit = number > 0
+        sign = (sub > 0) & ~digit
         # A sign counts between two letters or digits; a digit in a run that has a letter.
         alnum = (letter > 0) | digit
         sign &= np.append(False, alnum[:-1]) & np.append(alnum[1:], False)
@@ -79,11 +87,11 @@ def fold(texts: list[str]) -> list[str]:
         edge = np.flatnonzero(np.diff(part.astype(np.int8), prepend=0) != 0)
         has = np.repeat(np.logical_or.reduceat(letter > 0, edge), np.diff(np.append(edge, len(part)))) if len(edge) else np.zeros(0, bool)
         has = np.concatenate([np.zeros(len(part) - len(has), bool), has])
-        folded = np.where(letter > 0, letter, np.where(part & has, np.where(sub == 2, ord("~"), sub), np.where(part, ord("#"), 32)))
+        folded = np.where(letter > 0, letter, np.where(part & has, sub, np.where(digit, number, 32))).astype("<u4")
         folded[mark] = 10
         space = folded == 32
         folded = folded[~space | ~np.append(False, space[:-1])]
-        out += folded.astype(np.uint8).tobytes().decode("ascii").split("\n")[:-1]
+        out += folded.tobytes().decode("utf-32-le", "surrogatepass").split("\n")[:-1]
     return out
 
 
@@ -113,7 +121,12 @@ class Model:
         if self.lexicon:
             for end, (length, weight) in self.machine().iter(folded):
                 (excused if weight is None else hits).append((end - length + 1, end, weight))
-        total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in excused))
+        if excused:
+            # A match is excused if, of the phrases that begin no later, one ends no earlier.
+            excused.sort()
+            begins, ends = [x for x, _, _ in excused], list(itertools.accumulate((y for _, y, _ in excused), max))
+            hits = [(a, b, w) for a, b, w in hits if not (i := bisect.bisect_right(begins, a)) or ends[i - 1] < b]
+        total = sum(w for _, _, w in hits)
         words = folded.count(" ")
         return float(np.log1p(total)), float(np.log1p(100 * total / (words + 50)))
 
@@ -148,23 +161,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     """Learn weights, exception phrases and the curve from a bounded sample of the labels.
 
     A word joins the lexicon if more toxic texts than clean ones hold it, by six standard errors of the
-    log odds (two for the words of BASE_LEXICON); its weight is that log odds. A word pair
-    around a lexicon word becomes an exception if at least ten clean texts and few toxic ones hold it.
+    log odds (two for the words of BASE_LEXICON), or if four or more and 3 % of the toxic texts and no clean one
+    do; its weight is that log odds. A word pair around a lexicon word becomes an exception if at least ten clean texts
+    and few toxic ones hold it. Every such word and pair is taken, of any length: a part of the words of the drawn texts.
     """
-    sample, whole = sample_of(docs, labels, per_label)
+    drawn, whole = sample_of(docs, labels, per_label)
+    sample = materialise(drawn, "toxicity-sample")
 
     def count(batches):
         for batch in batches:
             tally: dict[str, list[int]] = {}
             toxic = batch.column(0).to_pylist()
             for label, folded in zip(toxic, fold(batch.column(1).to_pylist())):
-                for w in {w for w in folded.split() if 3 <= len(w) <= 24}:
+                for w in set(folded.split()):
                     tally.setdefault(w, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())], names=["word", "clean", "toxic"])
 
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:
+        discard(sample)
         return Model(dict(BASE_LEXICON), BASE_EXCEPTIONS)
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (F.lit(toxic) + 1 - a)) - F.log(b / (F.lit(clean) + 1 - b))
@@ -175,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .withColumn("odds", odds).withColumn("z", odds / error)
         .where(((F.col("z") >= 6) | ((F.col("toxic") >= 4) & (F.col("clean") == 0) & (F.col("toxic") >= 0.03 * toxic)) | (base & (F.col("z") >= 2))) & (F.col("odds") > 1))
-        .select("word", "odds").orderBy(F.desc("odds"), "word").limit(5000).collect()
+        .select("word", "odds").orderBy("word").collect()
     )
     lexicon = BASE_LEXICON | {r["word"]: float(r["odds"]) for r in learned}
 
@@ -192,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         seen.select("toxic", F.explode("pairs").alias("pair")).groupBy("pair")
         .agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
         .where((F.col("clean") >= 10) & (F.col("toxic") * clean * 4 < F.col("clean") * toxic))
-        .orderBy(F.desc("clean"), "pair").limit(1000).collect()
+        .orderBy("pair").collect()
     )
     model = Model(lexicon, (*BASE_EXCEPTIONS, *[r["pair"] for r in phrases]))
 
@@ -202,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64())], names=["toxic", "x0", "x1"])
 
     points = sample.mapInArrow(again, "toxic int, x0 double, x1 double").toArrow() if phrases else seen.select("toxic", "x0", "x1").toArrow()
+    discard(sample)
     y = points.column("toxic").to_numpy().astype(float)
     x = np.column_stack([points.column("x0").to_numpy(), points.column("x1").to_numpy()])
     model.curve = logistic(x, y)

@@ -6,8 +6,10 @@ import gzip
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -67,8 +69,36 @@ def test_sharding_law_and_slots(spark):
 
 def test_slots_over_many_buckets(spark):
     df = spark.range(1000).selectExpr("id", "cast(id % 3 as int) AS shard")
-    out = sharding.with_slots(df, "shard", ["id"], rows_per_bucket=50).toPandas()
-    assert all(sorted(own.slot) == list(range(len(own))) for _, own in out.groupby("shard"))
+    out = sharding.with_slots(df, "shard", rows_per_bucket=50).toPandas()
+    assert len(out) == 1000 and all(sorted(own.slot) == list(range(len(own))) for _, own in out.groupby("shard"))
+
+
+def test_slots_of_many_copies(spark):
+    df = spark.range(3000).selectExpr("if(id < 2500, NULL, id) AS id", "cast(0 as int) AS shard")
+    out = sharding.with_slots(df, "shard", rows_per_bucket=100, copies_per_row=7).toPandas()
+    assert sorted(out.slot) == list(range(3000)) and out.id.isna().sum() == 2500
+
+
+def test_rendezvous_against_plain_python(spark):
+    """Bids recomputed from MD5 and logarithms outside Spark, for equal and other weights."""
+
+    def winner(key, weights):
+        bids = []
+        for s, w in weights.items():
+            bits = int(hashlib.md5(f"{key}/{s}".encode()).hexdigest()[:13], 16)
+            bids.append((-math.log((bits + 0.5) / 2**52) / w, s))
+        return min(bids)[1]
+
+    rows = [(i, "x" * (i % 50)) for i in range(500)] + [(None, None), (7, "long " * 60_000)]
+    for shards in (8, {0: 1.0, 3: 2.5, 5: 0.5}):
+        weights = dict.fromkeys(range(8), 1.0) if shards == 8 else shards
+        grown = weights | {max(weights) + 1: 1.0}
+        out = sharding.shard_documents(documents(spark, rows), shards).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            key = "" if r.doc_id is None else str(r.doc_id)
+            assert (r.shard, r.grown_shard) == (winner(key, weights), winner(key, grown))
+        assert {(r.doc_id, r.size, r.text_crc32) for r in out} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows}
 
 
 def test_weighted_rendezvous(spark):
@@ -298,6 +328,9 @@ def test_preference_pairs(spark):
     df = preference.pair_neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     out = {r.pair_id: r for r in preference.format_preferences(df).collect()}
     assert set(out) == {1, 2, 3}
+    both = spark.createDataFrame([(1, "chosen", 9, 0, "user", "of nine"), (1, "chosen", 4, 0, "user", "of four"), (1, "chosen", 4, 1, "assistant", "y " * 200_000), (1, "rejected", 5, 0, "user", "of four")], "pair_id long, side string, conv_id long, turn long, role string, text string")
+    (r,) = preference.format_preferences(both.withColumn("prompt", F.lit("clash"))).collect()
+    assert (r.chosen_id, r.n_common, r.prompt) == (4, 1, "<|user|>\nof four<|end|>\n") and len(r.chosen) == 400_022
     one = out[1]
     assert one.n_common == 3 and one.prompt == "<|user|>\nhi<|end|>\n<|assistant|>\na<|end|>\n<|user|>\nq<|end|>\n" and one.usable
     assert one.chosen == "<|assistant|>\nlong < |end|> answer<|end|>\n" and one.rejected == "<|assistant|>\n<|end|>\n"
@@ -444,18 +477,40 @@ def test_bpe_equals_the_library(tokenizer):
     rnd = random.Random(9)
     signs = ["'", "s", "t", "re", "ve", "ll", "m", "d", "r", "e", "l", " ", "  ", "\n", "\t", "a", "1", "!", "é", "中", " ", "　", "²", "\0", "\x1c", "😀", "'S", "​", "<|endoftext|>"]
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) for _ in range(4000)] + ["", "a" * 5000, " " * 3000, "ab" * 40, "x" * 33]
-    texts.append("".join(chr(c) + " x" for c in range(0, 0x110000, 7) if not 0xD800 <= c <= 0xDFFF))
     assert list(own.encode(texts)) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_every_code_point_has_the_librarys_class():
+    """A pattern of one class finds a code point only if the library counts it among that class."""
+    import tiktoken
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [chr(c) for c in points]
+    own = bpe.classes()[points]
+    for pattern, kinds in ((r"\p{L}", [bpe.LETTER]), (r"\p{N}", [bpe.NUMBER]), (r"\s", [bpe.SPACE, bpe.WHITE])):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        found = np.array([bool(x) for x in probe.encode_ordinary_batch(texts)])
+        assert [hex(points[i]) for i in np.flatnonzero(found != np.isin(own, kinds))] == []
+
+
+def test_every_code_point_is_encoded_as_by_the_library(tokenizer):
+    _, own, library = tokenizer
+    texts = [f"a{chr(c)}a {chr(c)}1{chr(c)}" for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for a in range(0, len(texts), 1 << 16):
+        assert list(own.encode(texts[a : a + (1 << 16)])) == library.encode_ordinary_batch(texts[a : a + (1 << 16)])
+
+
 def test_bpe_query_columns(spark, tokenizer):
     path, own, library = tokenizer
     rows = [(1, "Hello world's  end\n"), (2, None), (3, ""), (3, "é" * 100), (None, "x")]
-    tokens = bpe.encode(documents(spark, rows, ("clash",)).select("doc_id", "text", "score"), path, offsets=True)
+    tokens = bpe.encode(documents(spark, rows, ("clash",)).select("doc_id", "text", F.col("score").alias("ids")), path)
     for r in tokens.collect():
         parts = [own.tokens[i] for i in r.ids]
         assert r.offsets == [sum(map(len, parts[:k])) for k in range(len(parts))]
-    out = bpe.decode(tokens.drop("offsets"), path).collect()
+    out = bpe.decode(tokens, path).collect()
+    wrong = tokens.withColumn("offsets", F.transform("offsets", lambda x: x + 1))
+    with pytest.raises(Exception, match="offsets do not fit"):
+        bpe.decode(wrong, path).collect()
     for (i, text), r in zip(rows, out):
         ids = library.encode_ordinary(text or "")
         assert (r.doc_id, r.n_tokens, bytes(r.decoded).decode(), r.ids_sha256) == (i, len(ids), text or "", hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
@@ -467,7 +522,22 @@ def test_bpe_query_columns(spark, tokenizer):
 
 def test_folding():
     texts = ["Idiot, 1d10t!! ІDIОT i​diot­ 2024 a5", "", "x\ny", "$$$ lo$er $5", "ｉｄｉｏｔ"]
-    assert toxicity.fold(texts) == [" idiot idiot idiot idiot #### as ", " ", " x y ", " loser # ", " idiot "]
+    assert toxicity.fold(texts) == [" idiot idiot idiot idiot 2024 as ", " ", " x y ", " loser 5 ", " idiot "]
+    # Letters of no Latin look, and numbers, are told apart; marks on Latin letters go, however they are written.
+    other = toxicity.fold(["жизнь время", "中文字 中文母", "2023 2024 5$5", "café cafe\u0301 i\u0336d\u0336iot", "한국 한글", "हिंदी हिंदु"])
+    assert all(len(set(t.split())) == n for t, n in zip(other, (2, 2, 3, 2, 2, 2)))
+    assert other[3] == " cafe cafe idiot " and other[2] == " 2023 2024 5 5 "
+
+
+def test_exception_phrases_are_found_in_time():
+    """Many matches among many excuses, against every pair of them."""
+    model = toxicity.Model({"bad": 1.0}, ("bad dog", "very bad"))
+    rnd = random.Random(3)
+    tokens = [rnd.choice(["bad", "dog", "very", "x"]) for _ in range(60_000)]
+    free = sum(w == "bad" and not (tokens[i + 1 : i + 2] == ["dog"] or (i and tokens[i - 1] == "very")) for i, w in enumerate(tokens))
+    began = time.time()
+    assert model.features(toxicity.fold([" ".join(tokens)])[0])[0] == pytest.approx(np.log1p(free))
+    assert time.time() - began < 5
 
 
 def test_toxicity(spark):
