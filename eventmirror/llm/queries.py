@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_folder
+from ..sources.scratch import fresh_path
 from . import bpe, decontaminate, embedding_dedup, html_extract, langid, ngram_jaccard, preference, sharding, toxicity, warc
 from .common import materialise
 
@@ -50,13 +50,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0)
-    records = materialise(warc.normalise(spark, path), "warc-records")
-    materialise(warc.index_of(records), "warc-index")
-    return warc.read_archives(records, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    written, archives = fresh_path(spark, "warc-written"), fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), written, least_bytes=0)
+    index = materialise(warc.normalise(spark, written, archives), "warc-index")
+    return warc.read_archives(index, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
-"""WARC: write archives with Spark's text writer, normalise their gzip streams, read them back.
+"""WARC: write archives with Spark's text writer, normalise their gzip streams, read them back by offset.
 
 Spark's text writer makes one gzip stream per file, which cannot be read from the middle. The
-normaliser inflates each stream once, gives every record a gzip member of its own and keeps the
-member's offset and length in a sidecar index, so one record can be read alone.
+normaliser inflates each stream once, piece by piece, rewrites every record as a gzip member of its own in a new
+archive and keeps the member's offset and length in a sidecar index, so any record can be read alone.
 """
 
 from __future__ import annotations
@@ -10,18 +10,19 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import os
 import uuid
-import zlib
-from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SALTS = 16
-RECORDS = T.StructType(
+#: Bytes of neighbouring records that are read at once, and of the index rows that are sent on at once.
+READ_BYTES, INDEX_ROWS = 4 << 20, 2000
+SEP = b"\r\n\r\n"
+INDEX = T.StructType(
     [
         T.StructField("archive", T.StringType()),
         T.StructField("offset", T.LongType()),
@@ -30,7 +31,6 @@ RECORDS = T.StructType(
         T.StructField("record_type", T.StringType()),
         T.StructField("target_uri", T.StringType()),
         T.StructField("payload_digest", T.StringType()),
-        T.StructField("member", T.BinaryType()),
     ]
 )
 PAYLOADS = T.StructType(
@@ -58,7 +58,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     that is another one and the payload has `least_bytes` at least, else null.
 
     Counts are combined before they are shuffled. Only digests that repeat are joined back, and
-    those are spread over salts, so that one very common payload is no single task's work.
+    those are spread over salts, so that one very common payload is no single task's work; where its share of a salt is
+    still large, adaptive execution splits the left side of this outer join further.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("payload_digest"))
@@ -125,64 +126,79 @@ def _headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if v}
 
 
-def records_of(stream: bytes) -> Iterator[tuple[bytes, dict[str, str]]]:
-    """(record, headers) of a gzip file of one or many members, inflated once and piece by piece."""
-    engine, waiting, held = zlib.decompressobj(31), memoryview(stream), bytearray()
-    while True:
-        end = held.find(b"\r\n\r\n")
-        if end >= 0:
-            headers = _headers(bytes(held[:end]))
-            whole = end + 4 + int(headers["content-length"]) + 4
-            if len(held) >= whole:
-                yield bytes(held[:whole]), headers
-                del held[:whole]
-                continue
-        if engine.eof and engine.unused_data:
-            waiting, engine = memoryview(engine.unused_data), zlib.decompressobj(31)
-        elif engine.eof or not len(waiting):
-            if held.strip():
-                raise ValueError(f"the archive ends within a record: {bytes(held[:80])!r}")
-            return
-        held += engine.decompress(waiting[: 1 << 18])
-        waiting = waiting[1 << 18 :]
-        if engine.eof and len(waiting):
-            engine_rest = engine.unused_data + bytes(waiting)
-            waiting, engine = memoryview(engine_rest), zlib.decompressobj(31)
-
-
-def normalise(spark: SparkSession, path: str, mounted: str | None = None) -> DataFrame:
-    """One row per record of the gzip archives under path: archive, offset, length, headers, member.
-
-    The members of an archive, put one after another by offset, are its normalised file; with
-    `mounted`, a folder that every executor can write to, that file is also written there as
-    <archive>.warc.gz (under another name first, so a repeated task does no harm).
+def folder_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path) of a folder that all executors share, by its URI or path."""
+    if uri.startswith("file:"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+class Archive:
+    """A normalised archive being written, and the stream of the one it is made of. It appears under its name when
+    it is whole, so a repeated task does no harm."""
+
+    def __init__(self, source: str, where: fs.FileSystem, folder: str):
+        self.name = source.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".txt").removesuffix(".warc") + ".warc.gz"
+        self.fs, self.path, self.part = where, f"{folder}/{self.name}", f"{folder}/.{self.name}-{uuid.uuid4().hex}"
+        self.sink = where.open_output_stream(self.part, compression=None)
+        self.held, self.offset, self.need, self.headers = bytearray(), 0, 0, {}
+
+    def add(self, piece: bytes):
+        """The index rows of the records that this piece of the stream ends."""
+        self.held += piece
+        self.held += SEP
+        while True:
+            if not self.need:
+                end = self.held.find(SEP)
+                if end < 0 or not bytes(self.held[:end]).strip():
+                    return
+                self.headers = _headers(bytes(self.held[:end]))
+                self.need = end + 4 + int(self.headers["content-length"]) + 4
+            if len(self.held) < self.need:
+                return
+            member = gzip.compress(bytes(self.held[: self.need]), 6, mtime=0)
+            del self.held[: self.need]
+            self.need, h = 0, self.headers
+            self.sink.write(member)
+            yield (self.name, self.offset, len(member), h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:"))
+            self.offset += len(member)
+
+    def close(self) -> None:
+        if self.held.strip():
+            raise ValueError(f"the archive {self.name} ends within a record: {bytes(self.held[:80])!r}")
+        self.sink.close()
+        self.fs.move(self.part, self.path)
+
+
+def normalise(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Rewrite the gzip archives under path in `folder`, a shared one, with a member per record: the index of them.
+
+    Store the index before it is read: it is the sidecar, and every reading of this DataFrame writes the archives anew. Streams of one
+    or many members, of any length, are inflated once by Spark's text reader, in pieces between empty lines that
+    are put together again by the records' lengths, so no task holds an archive. Archives of one name must not be mixed.
     """
 
     def run(batches):
+        where, inside = folder_of(folder)
+        where.create_dir(inside, recursive=True)
+        own, source, out = None, None, []
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                archive = name.rsplit("/", 1)[-1].removesuffix(".txt.gz").removesuffix(".warc.gz")
-                out: list[tuple] = []
-                offset, size = 0, 0
-                part = f"{mounted}/.{archive}-{uuid.uuid4().hex}" if mounted else None
-                sink = open(part, "wb") if part else None
-                for record, h in records_of(content.as_py()):
-                    member = gzip.compress(record, 6, mtime=0)
-                    if sink:
-                        sink.write(member)
-                    out.append((archive, offset, len(member), h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:"), member))
-                    offset += len(member)
-                    size += len(member)
-                    if size > 4 << 20:
-                        yield _batch(out, RECORDS)
-                        out, size = [], 0
-                if sink:
-                    sink.close()
-                    os.replace(part, f"{mounted}/{archive}.warc.gz")
-                if out:
-                    yield _batch(out, RECORDS)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
+            for name, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name != source:
+                    if own:
+                        own.close()
+                    own, source = Archive(name, where, inside), name
+                out += own.add(piece.as_py())
+                if len(out) >= INDEX_ROWS:
+                    yield _batch(out, INDEX)
+                    out = []
+        if own:
+            own.close()
+        if out:
+            yield _batch(out, INDEX)
+
+    pieces = spark.read.option("lineSep", SEP.decode()).text(path)
+    return pieces.select(F.col("_metadata.file_path"), F.col("value").cast("binary")).mapInArrow(run, INDEX)
 
 
 _ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.BinaryType(): pa.binary()}
@@ -192,13 +208,9 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, _ARROW[f.dataType]) for x, f in zip(zip(*rows), schema)], names=schema.names)
 
 
-def index_of(records: DataFrame) -> DataFrame:
-    """The sidecar index: where each record lies, without its bytes."""
-    return records.drop("member")
-
-
-def read_archives(records: DataFrame, payloads: bool = True) -> DataFrame:
-    """Inflate each member alone and parse it: the page's id, payload facts, and the payload itself.
+def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """Read each record of the index from its archive in `folder` by offset and length, inflate it alone and parse it: the
+    page's id, payload facts, and the payload itself. Neighbouring records are read together, READ_BYTES at most.
 
     Facts of a revisit, whose block has no payload, come from its headers; those of a response are
     computed from the payload and must agree with its header.
@@ -208,24 +220,41 @@ def read_archives(records: DataFrame, payloads: bool = True) -> DataFrame:
         own = (urn or "").removeprefix("<urn:page:").removesuffix(">")
         return int(own) if own.lstrip("-").isdigit() else None
 
+    def parsed(member: bytes) -> tuple:
+        record = gzip.decompress(member)
+        head, _, rest = record.partition(SEP)
+        h = _headers(head)
+        http, _, body = rest[: int(h["content-length"])].partition(SEP)
+        digest, size = h["warc-payload-digest"].removeprefix("sha1:"), int(_headers(http)["content-length"])
+        if h["warc-type"] == "response":
+            own = base64.b32encode(hashlib.sha1(body).digest()).decode()
+            if (own, len(body)) != (digest, size):
+                raise ValueError(f"damaged record {h.get('warc-record-id')}")
+        return (page(h.get("warc-record-id")), size, digest, h["warc-type"], page(h.get("warc-refers-to")), h.get("warc-target-uri"), body if payloads and h["warc-type"] == "response" else None)
+
     def run(batches):
+        where, inside = folder_of(folder)
+        name, file = None, None
         for batch in batches:
-            out = []
-            for member in batch.column(0):
-                record = gzip.decompress(member.as_py())
-                head, _, rest = record.partition(b"\r\n\r\n")
-                h = _headers(head)
-                http, _, body = rest[: int(h["content-length"])].partition(b"\r\n\r\n")
-                digest, size = h["warc-payload-digest"].removeprefix("sha1:"), int(_headers(http)["content-length"])
-                if h["warc-type"] == "response":
-                    own = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                    if (own, len(body)) != (digest, size):
-                        raise ValueError(f"damaged record {h.get('warc-record-id')}")
-                out.append((page(h.get("warc-record-id")), size, digest, h["warc-type"], page(h.get("warc-refers-to")), h.get("warc-target-uri"), body if payloads and h["warc-type"] == "response" else None))
-            if out:
-                yield _batch(out, PAYLOADS)
-
-    return records.select("member").mapInArrow(run, PAYLOADS)
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            i = 0
+            while i < len(rows):
+                archive, start, length = rows[i]
+                j, end = i + 1, start + length
+                while j < len(rows) and rows[j][:2] == (archive, end) and end + rows[j][2] - start <= READ_BYTES:
+                    end += rows[j][2]
+                    j += 1
+                if archive != name:
+                    if file:
+                        file.close()
+                    name, file = archive, where.open_input_file(f"{inside}/{archive}")
+                together = memoryview(file.read_at(end - start, start))
+                yield _batch([parsed(together[o - start : o - start + n]) for _, o, n in rows[i:j]], PAYLOADS)
+                i = j
+        if file:
+            file.close()
+
+    return index.select("archive", "offset", "length").mapInArrow(run, PAYLOADS)
 
 
 SQL = """
