@@ -3,11 +3,12 @@
 0. Rows of one label and one vector are one row with a weight; all its copies get the same links at the end.
 1. Tight cells. Vectors within half the link angle of a leader are linked with each other by the
    triangle inequality, so a cell of near copies is one node and its pairs need no work at all.
-2. Leaders go to their nearest clusters (several: shards overlap); each shard builds a robust-pruned
-   graph, in which leaders of one direction are one node and a ring; the adjacency lists of a leader are
-   united over its shards.
+2. Leaders go to their nearest clusters (several: shards overlap), and those of a large shard to parts of it by the
+   next nearest clusters; each shard builds a robust-pruned graph, in which leaders of one direction are one node and a
+   ring; the adjacency lists of a leader are united over its shards.
 3. Every leader searches its shards' graphs: greedily from the medoid (and its own list), then on through
-   everything within range. A pair of shards' common leaders is reported by the first of those shards.
+   everything within range. A pair of shards' common leaders is reported by the first of those shards. United lists also
+   lead out of a shard: what lies one step outside from a leader in range is compared as well.
 4. Pairs that the cells' radii leave open are verified vector by vector, in double precision.
 """
 
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 from .common import connected_components, discard, materialise
 
 COSINE = 0.93
-SHARD_ROWS, OVERLAP = 2000, 2
+SHARD_ROWS, OVERLAP = 1000, 2
+#: A shard of over so many leaders is dealt to parts.
+LARGE = 8 * SHARD_ROWS
 DEGREE, POOL, BEAM = 16, 48, 24
-#: Vectors that the cluster centres are fitted on at most.
+#: Vectors that the cluster centres are fitted on at most; there is a centre for each four of them at most.
 SAMPLE = 20_000
-MOST_CENTRES = 4096
 MEMBERS = 1000
 SLACK = 1e-9
 #: Leaders of this cosine are one node of the graph: rounding leaves their distances without an order.
@@ -64,10 +66,14 @@ def fit_centres(x: np.ndarray, k: int, apart: float = 0.0, rounds: int = 8, seed
 
 def nearest(vectors, centres: dict[int, np.ndarray], k: int) -> list[list[int]]:
     """The k nearest centres of each vector, nearest first; [0] for lengths that no centre has."""
-    out = []
-    for v in vectors:
-        own = centres.get(len(v))
-        out.append([0] if own is None else np.argsort(-(own @ units([v])[0]), kind="stable")[:k].tolist())
+    out: list[list[int]] = [[0]] * len(vectors)
+    lengths = np.fromiter(map(len, vectors), np.int64, len(vectors))
+    for d in np.unique(lengths).tolist():
+        if d in centres:
+            at = np.flatnonzero(lengths == d)
+            near = np.argsort(-(units([vectors[i] for i in at]) @ centres[d].T), axis=1, kind="stable")[:, :k]
+            for i, row in zip(at.tolist(), near.tolist()):
+                out[i] = row
     return out
 
 
@@ -224,12 +230,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return alone
     draw = F.pmod(F.xxhash64(F.lit("centres"), "vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / labels[1]))
     sample = unique.where(draw).select("embedding").toArrow().column(0).to_pylist()
-    k = min(MOST_CENTRES, -(-labels[0] // SHARD_ROWS))
+    k = min(SAMPLE // 4, -(-labels[0] // SHARD_ROWS))
     centres = {d: fit_centres(units([v for v in sample if len(v) == d]), k, radius) for d in {len(v) for v in sample}}
 
     def place(batches):
         for pdf in batches:
-            yield pdf.assign(shard=[x[0] for x in nearest(pdf.embedding, centres, 1)])
+            yield pdf.assign(shard=[x[0] for x in nearest(list(pdf.embedding), centres, 1)])
 
     row = "label long, dim int, embedding array<double>, vec_id long, k1 long, k2 long, copies long"
     placed = materialise(unique.mapInPandas(place, f"{row}, shard int"), "placed")
@@ -240,16 +246,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     members = materialise(blocks.groupBy("label", "dim", "shard", "block").applyInPandas(lambda b: cells_of(b, radius), cell_schema), "members")
     discard(placed)
 
-    def homes(batches):
+    def near(batches):
         for pdf in batches:
-            yield pdf.assign(homes=[sorted(x) for x in nearest(pdf.embedding, centres, OVERLAP)])
-
-    leaders = members.where("leads").select("cell", "cell_id", "label", "dim", "embedding", "radius", "size", "members")
-    shards = materialise(
-        leaders.mapInPandas(homes, "cell string, cell_id long, label long, dim int, embedding array<double>, radius double, size long, members long, homes array<int>")
-        .withColumn("shard", F.explode("homes")),
-        "shards",
-    )
+            yield pdf.assign(near=nearest(list(pdf.embedding), centres, OVERLAP + 2))
+
+    leader = "cell string, cell_id long, label long, dim int, embedding array<double>, radius double, size long, members long"
+    leaders = materialise(members.where("leads").select("cell", "cell_id", "label", "dim", "embedding", "radius", "size", "members").mapInPandas(near, f"{leader}, near array<int>"), "leaders")
+    dealt = leaders.select("cell", "label", "dim", "near", F.explode(F.slice("near", 1, OVERLAP)).alias("home"))
+    large = dealt.groupBy("label", "dim", "home").agg((F.count(F.lit(1)) > LARGE).alias("large"))
+    others = F.slice(F.filter("near", lambda c: c != F.col("home")), 1, OVERLAP)
+    parts = F.when(F.col("large") & (F.size(others) > 0), F.transform(others, lambda c: F.concat_ws("/", F.col("home").cast("string"), c.cast("string")))).otherwise(F.array(F.col("home").cast("string")))
+    homes = dealt.join(large, ["label", "dim", "home"]).select("cell", F.explode(parts).alias("shard")).groupBy("cell").agg(F.sort_array(F.collect_set("shard")).alias("homes"))  # OVERLAP squared names at most
+    homed = materialise(leaders.drop("near").join(homes, "cell"), "homed")
+    discard(leaders)
+    shards = homed.withColumn("shard", F.explode("homes"))
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("cell").reset_index(drop=True)
@@ -267,10 +277,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         own = [[at[c] for c in row if c in at] for row in shard.next]
         width = max(1, max(map(len, own)))
         table = np.array([o + [-1] * (width - len(o)) for o in own])
-        radii, here = shard.radius.to_numpy(), int(shard.shard.iloc[0])
+        radii, here = shard.radius.to_numpy(), shard.shard.iloc[0]
+        away = [[c for c in row if c not in at] for row in shard.next]
         home = [set(h) for h in shard.homes]
         out = []
         for i, hits in search(x, table, radii, theta):
+            for c in {c for j in (i, *hits.tolist()) for c in away[j]}:
+                out.append((min(names[i], c), max(names[i], c), 0, 0, 0, 0, 0, 0, False, True))
             for j in hits.tolist():
                 if min(home[i] & home[j]) != here:
                     continue
@@ -279,13 +292,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 sure = cos >= cosine if both == 0 else t <= theta - both - SLACK
                 if sure or both > 0:
                     a, b = min(i, j), max(i, j)
-                    out.append((names[a], names[b], int(shard.cell_id[a]), int(shard.cell_id[b]), int(shard["size"][a]), int(shard["size"][b]), int(shard.members[a]), int(shard.members[b]), bool(sure)))
-        return pd.DataFrame(out, columns=["a", "b", "ida", "idb", "sa", "sb", "ma", "mb", "sure"]).drop_duplicates()
+                    out.append((names[a], names[b], int(shard.cell_id[a]), int(shard.cell_id[b]), int(shard["size"][a]), int(shard["size"][b]), int(shard.members[a]), int(shard.members[b]), bool(sure), False))
+        return pd.DataFrame(out, columns=["a", "b", "ida", "idb", "sa", "sb", "ma", "mb", "sure", "outside"]).drop_duplicates()
 
-    pairs = materialise(
-        shards.join(graph, "cell").groupBy(*by).applyInPandas(find, "a string, b string, ida long, idb long, sa long, sb long, ma long, mb long, sure boolean").distinct(), "pairs"
-    )
-    discard(shards)
+    pair = "a string, b string, ida long, idb long, sa long, sb long, ma long, mb long, sure boolean"
+    met = materialise(shards.join(graph, "cell").groupBy(*by).applyInPandas(find, f"{pair}, outside boolean").distinct(), "met")
+
+    def outside(batches):
+        for pdf in batches:
+            cos = (units(pdf.xa) * units(pdf.xb)).sum(1)
+            t, both = angle(cos), (pdf.ra + pdf.rb).to_numpy()
+            sure = np.where(both == 0, cos >= cosine, t <= theta - both - SLACK)
+            keep = (t <= theta + both + SLACK) & (sure | (both > 0))
+            yield pdf.assign(sure=sure).loc[keep, ["a", "b", "ida", "idb", "sa", "sb", "ma", "mb", "sure"]]
+
+    end = lambda c: homed.select(F.col("cell").alias(c), F.col("cell_id").alias(f"id{c}"), F.col("size").alias(f"s{c}"), F.col("members").alias(f"m{c}"), F.col("embedding").alias(f"x{c}"), F.col("radius").alias(f"r{c}"), F.col("homes").alias(f"h{c}"))
+    beyond = met.where("outside").select("a", "b").join(end("a"), "a").join(end("b"), "b").where(~F.arrays_overlap("ha", "hb")).drop("ha", "hb")
+    pairs = materialise(met.where("NOT outside").drop("outside").unionByName(beyond.mapInPandas(outside, pair)), "pairs")
+    discard(met, homed)
 
     # What the radii leave open: members against members, in blocks of MEMBERS rows by MEMBERS rows.
     part = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / MEMBERS).cast("int") - 1)
@@ -319,28 +343,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     else:
         result = result.join(connected_components(links).withColumnRenamed("id", "cell_id"), "cell_id", "left")
     n = (F.col("size") - 1 + F.coalesce("outer", F.lit(0)) + F.coalesce("exact", F.lit(0))).cast("long")
-    found = materialise(result.select("vec_id", "k1", "k2", "copies", n.alias("n_links"), F.coalesce("component", "cell_id").alias("component_id")), "found")
+    found = result.select("vec_id", "k1", "k2", "copies", n.alias("n_links"), F.coalesce("component", "cell_id").alias("component_id"))
+    found = materialise(found, "found")
+    discard(members, pairs, verified)
     again = keyed.select("vec_id", "k1", "k2").join(found.where("copies > 1").select("k1", "k2", "n_links", "component_id"), ["k1", "k2"])
     out = found.where("copies = 1").select("vec_id", "n_links", "component_id").unionByName(again.select("vec_id", "n_links", "component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(alone)
 
 
-def audit_recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, every: int = 100) -> DataFrame:
-    """links, found and recall over a stated query set (vec_id divisible by `every`) held against all rows by
-    brute force: the queries are compared with every block of rows in its own task. The query set is broadcast;
-    its size is a fixed part of the table, so this is for audits of tables of up to some hundred million rows."""
-    good = vectors.where("label IS NOT NULL AND embedding IS NOT NULL").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
-    queries = good.where(F.pmod("vec_id", F.lit(every)) == 0).toPandas()
-
-    def count(batches):
-        by = {(k, len(v.embedding.iloc[0])): (v.vec_id.to_numpy(), units(v.embedding)) for k, v in queries.groupby("label")}
-        for pdf in batches:
-            for (label, _), (ids, q) in by.items():
-                own = pdf[pdf.label == label]
-                if len(own):
-                    hit = (q @ units(own.embedding).T >= cosine) & (ids[:, None] != own.vec_id.to_numpy()[None, :])
-                    yield pd.DataFrame({"vec_id": ids, "links": hit.sum(1)})
-
-    truth = good.mapInPandas(count, "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    both = truth.join(found.select("vec_id", "n_links"), "vec_id")
-    return both.agg(F.sum("links").alias("links"), F.sum(F.least("links", "n_links")).alias("found"), F.coalesce(F.sum(F.least("links", "n_links")) / F.sum("links"), F.lit(1.0)).alias("recall"))
+def audit_recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, every: int = 100, rows: int = 2000) -> DataFrame:
+    """links, found and recall over a stated query set (vec_id divisible by `every`) held against all rows of equal label and
+    length by brute force, block against block of `rows` rows, each pair of blocks in a task of its own."""
+    good = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").select("vec_id", F.col("label").cast("long").alias("label"), F.size("embedding").alias("dim"), "embedding")
+    asked = F.pmod("vec_id", F.lit(every)) == 0
+    sizes = good.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("nr"), F.ceil(F.count_if(asked) / rows).cast("int").alias("nq")).where("nq > 0")
+    known = good.join(sizes, ["label", "dim"])
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.col(n)).cast("int")
+    every_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda df, q, r, asks: df.withColumn("q", q).withColumn("r", r).select("label", "dim", "q", "r", "vec_id", "embedding", F.lit(asks).alias("asks"))
+    both = side(known.where(asked), block("nq"), every_("nr"), True).unionByName(side(known, every_("nq"), block("nr"), False))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, x = pdf[pdf.asks], pdf[~pdf.asks]
+        if not len(q) or not len(x):
+            return pd.DataFrame(columns=["vec_id", "links"])
+        with np.errstate(all="ignore"):
+            hit = units(q.embedding) @ units(x.embedding).T >= cosine
+        return pd.DataFrame({"vec_id": q.vec_id.to_numpy(), "links": (hit & (q.vec_id.to_numpy()[:, None] != x.vec_id.to_numpy()[None, :])).sum(1)})
+
+    truth = both.groupBy("label", "dim", "q", "r").applyInPandas(count, "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    matched = truth.join(found.select("vec_id", "n_links"), "vec_id")
+    least = F.sum(F.least("links", "n_links"))
+    return matched.agg(F.sum("links").alias("links"), least.alias("found"), F.coalesce(F.try_divide(least, F.sum("links")), F.lit(1.0)).alias("recall"))
