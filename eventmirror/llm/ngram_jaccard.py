@@ -11,6 +11,10 @@ The product runs twice. The first run multiplies each column with its hub and th
 finds the large groups of near copies in as many pairs as they have rows. The second run takes
 every pair of rows that are not yet connected. So no link between components is lost, and no
 group is expanded into all of its pairs.
+
+The n-grams that are put last are known to every task, a bounded number; their columns are the long ones. They are dealt
+out by n-gram and salt. In a column of over BIG rows the hubs are found by aggregation, and the second run
+deals the rows to blocks and multiplies block by block, so no column is one task's work.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ PARTNERS, LIKELY = 2, 30
 #: In columns of more rows the second run takes only pairs that could still reach the overlap if this were their first.
 LONG = 64
 SALTS = 16
+#: Hubs of long columns that are broadcast at most, about 40 bytes each.
+MOST_HUBS = 1_000_000
+#: A longer column is multiplied in blocks of so many rows, and pairs are passed on so many at a time.
+BIG, PAIRS = 50_000, 1 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 1 << 64)
@@ -132,7 +140,7 @@ def _most(counts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, longer: float = 1.0) -> DataFrame:
-    """doc_id, n, digest and the prefix of each set that is not empty; `hot` n-grams come last in the order.
+    """doc_id, n, digest and the prefix of each set that is not empty; `hot` n-grams come last in the order, from place `early` on.
 
     With `longer` the prefix is so many times as long, to count what would come next.
     """
@@ -141,22 +149,24 @@ def prefixes(docs: DataFrame, hot: np.ndarray, longer: float = 1.0) -> DataFrame
     def run(batches):
         late = shared.value
         for batch in batches:
-            rows, n, digest, prefix = [], [], [], []
+            rows, n, digest, prefix, early = [], [], [], [], []
             for i, grams in shingle_sets(batch.column(1)):
                 if not len(grams):
                     continue
                 rows.append(i)
                 n.append(len(grams))
                 digest.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                take = len(grams) - int(_least_overlap(np.int64(len(grams)))) + 1
+                take = int((len(grams) - int(_least_overlap(np.int64(len(grams)))) + 1) * longer)
+                early.append(take)
                 if len(late):
                     place = np.minimum(np.searchsorted(late, grams), len(late) - 1)
                     is_late = late[place] == grams
                     grams = np.concatenate([grams[~is_late], grams[is_late]])
-                prefix.append(grams[: int(take * longer)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"])
+                    early[-1] = int((~is_late).sum())
+                prefix.append(grams[:take].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(early, pa.int32())], names=["doc_id", "n", "digest", "prefix", "early"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, early int")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -170,22 +180,34 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, grams array<long>")
 
 
-def _runs(batches):
-    """Whole runs of rows with one n-gram from sorted batches, as many at a time as come together."""
-    rest = None
+def _edges(rows, by: tuple[str, ...]) -> np.ndarray:
+    """Where a row differs from the one before it; the first does."""
+    out = np.zeros(rows.num_rows, bool)
+    out[:1] = True
+    for c in by:
+        v = rows.column(c).to_numpy(zero_copy_only=False)
+        out[1:] |= v[1:] != v[:-1]
+    return out
+
+
+def _runs(batches, by: tuple[str, ...] = ("h",)):
+    """Whole runs of rows with one n-gram (and block) from sorted batches, as many at a time as come together."""
+    waiting: list[pa.RecordBatch] = []
+    key = lambda batch, i: tuple(batch.column(c)[i].as_py() for c in by)
     for batch in batches:
-        now = pa.Table.from_batches([batch])
-        if rest is not None:
-            now = pa.concat_tables([rest, now]).combine_chunks()
-        h = now.column("h").to_numpy()
-        if not len(h):
+        if not batch.num_rows:
+            continue
+        if waiting and key(waiting[-1], waiting[-1].num_rows - 1) == key(batch, 0) == key(batch, batch.num_rows - 1):
+            waiting.append(batch)
             continue
-        last = int(np.searchsorted(h != h[-1], False)) if h[0] == h[-1] else int(np.flatnonzero(h != h[-1])[-1]) + 1
-        rest = now.slice(last)
+        last = int(np.flatnonzero(_edges(batch, by))[-1])
         if last:
-            yield now.slice(0, last)
-    if rest is not None and len(rest):
-        yield rest
+            yield pa.Table.from_batches([*waiting, batch.slice(0, last)]).combine_chunks()
+        elif waiting:
+            yield pa.Table.from_batches(waiting).combine_chunks()
+        waiting = [batch.slice(last)]
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
 
 
 def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
@@ -193,13 +215,13 @@ def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
 
 
 def _repeated(batches):
-    """The rows of columns of two rows or more, with the column's length."""
-    for rows in _runs(batches):
-        (h,) = _columns(rows, "h")
-        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        length = np.diff(np.append(edge, len(h)))
-        rows = rows.append_column("k", pa.array(np.repeat(length, length).astype(np.int32)))
-        yield from rows.filter(pa.array(np.repeat(length > 1, length))).to_batches()
+    """The rows of columns of two rows or more, with the column's length; those of late n-grams, which are only parts here, all."""
+    for rows in _runs(batches, ("h", "salt")):
+        edge = np.flatnonzero(_edges(rows, ("h", "salt")))
+        length = np.repeat(np.diff(np.append(edge, len(rows))), np.diff(np.append(edge, len(rows))))
+        late = rows.column("late").to_numpy(zero_copy_only=False)
+        rows = rows.drop_columns(["salt"]).append_column("k", pa.array(length))
+        yield from rows.filter(pa.array((length > 1) | late)).to_batches()
 
 
 def _counted(x, y, nx, ny, lx, ly, ok) -> pa.RecordBatch:
@@ -243,38 +265,68 @@ def _star(batches):
 
 
 def _cross(batches):
-    """Every pair of a column whose rows are in different components and whose sizes allow the overlap."""
-    for rows in _runs(batches):
-        h, n, pos, node, comp, far = _columns(rows, "h", "n", "pos", "node", "component", "far")
-        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        ends = np.append(edge[1:], len(h))
-        left, right, can = [], [], []
+    """Every pair of a column whose rows are in different components and whose sizes allow the overlap.
+
+    Of a column in blocks, the rows of two blocks are together; pairs within the first are taken where it is alone.
+    """
+    by = ("h", "low", "high")
+    for rows in _runs(batches, by):
+        n, pos, node, comp, far, k, own, low, high = _columns(rows, "n", "pos", "node", "component", "far", "k", "block", "low", "high")
+        edge = np.flatnonzero(_edges(rows, by))
+        ends = np.append(edge[1:], len(n))
+        left, right, can, held = [], [], [], 0
+
+        def pairs():
+            a, b, ok = np.concatenate(left), np.concatenate(right), np.concatenate(can)
+            turn = node[a] > node[b]
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            return _counted(node[a], node[b], n[a], n[b], far[a], far[b], ok)
+
         for s, e in zip(edge.tolist(), ends.tolist()):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
-            ns, rest, cs = n[s:e], n[s:e] - pos[s:e], comp[s:e]
+            ns, rest, cs, bs = n[s:e], n[s:e] - pos[s:e], comp[s:e], own[s:e]
+            two = low[s] != high[s]
             reach = np.searchsorted(ns, ns * DENOMINATOR // NUMERATOR, "right")
             for i in range(e - s - 1):
                 j = np.arange(i + 1, reach[i])
                 ok = np.minimum(rest[j], rest[i]) >= _needed(ns[i], ns[j])
-                take = (cs[j] != cs[i]) & (ok | (e - s <= LONG))
+                take = (cs[j] != cs[i]) & (ok | (k[s] <= LONG))
+                if two:
+                    take &= bs[j] != bs[i]
                 if take.any():
                     j = j[take]
                     left.append(np.full(len(j), s + i))
                     right.append(s + j)
                     can.append(ok[take])
+                    held += len(j)
+                    if held > PAIRS:
+                        yield pairs()
+                        left, right, can, held = [], [], [], 0
         if left:
-            left, right, can = np.concatenate(left), np.concatenate(right), np.concatenate(can)
-            turn = node[left] > node[right]
-            left, right = np.where(turn, right, left), np.where(turn, left, right)
-            yield _counted(node[left], node[right], n[left], n[right], far[left], far[right], can)
+            yield pairs()
 
 
 COUNTED = "x long, y long, nx long, ny long, lx long, ly long, c long, ok boolean"
 
 
-def _product(postings: DataFrame, multiply, schema: str = COUNTED) -> DataFrame:
-    return postings.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(multiply, schema)
+def _product(postings: DataFrame, multiply, schema: str = COUNTED, by: tuple[str, ...] = ("h",)) -> DataFrame:
+    return postings.repartition(*by).sortWithinPartitions(*by, "n", "node").mapInArrow(multiply, schema)
+
+
+def _far_star(big: DataFrame) -> DataFrame:
+    """_star() of the columns of over BIG rows: hubs by partial minima, before anything is shuffled. There are at
+    most so many such columns as late n-grams, and few sizes in each, so the hubs are given to all tasks."""
+    size = F.log(F.col("n").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR))
+    windows = F.explode(F.array(F.floor(size) * 2, F.floor(size + 0.5) * 2 + 1))
+    rows = big.select("h", "n", "pos", "node", windows.alias("w"))
+    hubs = rows.groupBy("h", "w").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
+    if hubs.count() <= MOST_HUBS:
+        hubs = F.broadcast(hubs)
+    pairs = rows.join(hubs, ["h", "w"]).where((F.col("node") != F.col("hub.node")) & (NUMERATOR * F.greatest("n", "hub.n") <= DENOMINATOR * F.least("n", "hub.n")))
+    zero = F.lit(0).cast("long")
+    pairs = pairs.groupBy(F.col("node").alias("x"), F.col("hub.node").alias("y"), "h").agg(F.max("n").alias("nx"), F.max("hub.n").alias("ny"))
+    return pairs.select("x", "y", "nx", "ny", zero.alias("lx"), zero.alias("ly"), F.lit(1).cast("long").alias("c"), F.lit(True).alias("ok"))
 
 
 def _accumulated(counted: DataFrame) -> DataFrame:
@@ -283,7 +335,9 @@ def _accumulated(counted: DataFrame) -> DataFrame:
 
 def _hubs(repeated: DataFrame) -> DataFrame:
     """(a, b): each row's best partners among hubs and neighbours, by shared columns."""
-    likely = _accumulated(_product(repeated, _star)).where(F.col("c") * LIKELY >= F.col("nx"))
+    counted = _product(repeated.where(F.col("k") <= BIG).select("h", "n", "pos", "node"), _star)
+    big = repeated.where(F.col("k") > BIG)
+    likely = _accumulated(counted if big.isEmpty() else counted.unionByName(_far_star(big))).where(F.col("c") * LIKELY >= F.col("nx"))
     best = likely.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "y")), False), 1, PARTNERS).alias("p"))  # no more than the prefix has columns
     pairs = best.select("x", F.explode("p.y").alias("y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -297,7 +351,12 @@ def _bounded(known: DataFrame) -> DataFrame:
     """
     least = lambda n: F.ceil(F.col(n) * NUMERATOR / DENOMINATOR)
     most = F.col("c") + F.least("lx", "ly") + F.greatest(least("nx"), least("ny")) - 1
-    pairs = _accumulated(_product(known, _cross)).where(F.col("ok") & (most * (NUMERATOR + DENOMINATOR) >= (F.col("nx") + F.col("ny")) * NUMERATOR))
+    # Rows of a column of over BIG rows go to blocks, and each block meets every other one.
+    blocks = F.ceil(F.col("k") / BIG).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    met = known.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("h", "n", "pos", "node", "component", "far", "k", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    pairs = _accumulated(_product(met, _cross, by=("h", "low", "high"))).where(F.col("ok") & (most * (NUMERATOR + DENOMINATOR) >= (F.col("nx") + F.col("ny")) * NUMERATOR))
     return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
@@ -343,14 +402,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialise(
         prefixes(docs, hot)
         .join(groups.select("digest", F.col("node").alias("doc_id")), ["doc_id", "digest"])
-        .groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        .select("node", "n", "prefix"),
+        .groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("early").alias("early"))
+        .select("node", "n", "prefix", "early"),
         "prefixes",
     )
-    postings = sets.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    shape = "h long, n long, pos int, node long, k int"
-    repeated = materialise(_product(postings.select("h", "n", "pos", "node"), _repeated, shape), "repeated")
-    discard(sets)
+    late = F.col("pos") >= F.col("early")
+    postings = sets.select("node", "n", "early", F.posexplode("prefix").alias("pos", "h")).select(
+        "h", "n", "pos", "node", late.alias("late"), F.when(late, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+    )
+    parts = materialise(_product(postings, _repeated, "h long, n long, pos int, node long, late boolean, k long", ("h", "salt")), "parts")
+    # The lengths of the late columns, of which there are two lists of MOST_HOT at most: 32 MB.
+    lengths = parts.where("late").groupBy("h").agg(F.count(F.lit(1)).alias("whole"))
+    whole = parts.join(F.broadcast(lengths), "h", "left").withColumn("k", F.coalesce("whole", "k"))
+    repeated = materialise(whole.where("k > 1").select("h", "n", "pos", "node", "k"), "repeated")
+    discard(sets, parts)
     links = _verify(_hubs(repeated), docs)
     first = None if links.isEmpty() else connected_components(links)
     known = repeated if first is None else repeated.join(first.withColumnRenamed("id", "node"), "node", "left")
@@ -361,7 +426,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = first
     else:
         found = connected_components(links.union(more))
-    discard(repeated)
+    discard(repeated, links, more)
     # Rows of the digests that have copies or links take their component; all others are their own.
     named = groups.withColumn("component", F.col("node")) if found is None else groups.join(found.withColumnRenamed("id", "node"), "node", "left")
     named = (
