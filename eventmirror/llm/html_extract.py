@@ -1,22 +1,26 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are aligned as trees by simple tree matching. A node that holds the same text on
-nearly all of the aligned pages is template; what varies is a slot. Slots inside containers that
-are never the article (navigation, footers, forms, comments and so on) are left out; the rest is content.
+Pages of one host are aligned with a reference page as trees, by simple tree matching. A node that holds the same text
+on nearly all of them is template; what varies is a slot. The deepest node that holds most of the varying
+text is the article: slots within it are content, slots elsewhere and lists of links are not. Tags that are never
+an article (menus, forms, scripts) are left out before; words in attributes only break ties.
 """
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import html as entities
+import json
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, slices
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -34,18 +38,25 @@ LEFT_OUT_WORDS = set(
 #: Of these, those that an article's own container may bear too: where all else of a page is template, what varies in such elements is content.
 WEAK_WORDS = set("banner sidebar notice notices modal overlay popup widget social related recommended search share sharing subscribe signup newsletter respond toolbar".split())
 WHOLE = {"html", "body", "main", "article"}
+ENDS_OWN_PAIRS = {"dt": ("dd",), "dd": ("dt",), "td": ("th",), "th": ("td",)}
 #: A start tag of these ends an open paragraph; those of ENDS_OWN end an open element of their own kind.
 ENDS_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS_OWN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 PAGES_PER_BLOCK = 64
-#: A text is template if this part of a host's different pages, and so many of them, hold it in the same node.
+#: A node is template if this part of the pages that have it, and so many pages, hold the same text in it; so is a text
+#: that this part of the pages holds.
 CONSTANT, LEAST_PAGES = 0.9, 8
-#: Template texts are broadcast up to this many rows (under 200 bytes each).
-BROADCAST_ROWS = 200_000
-BLOCK = "struct<path: string, main: boolean, kept: boolean, weak: boolean, digest: bigint, text: string>"
-
-
-OUT, WEAK, KEPT = range(3)
+#: The content's root is the deepest node that holds this part of all varying text; slots of which links are so much are menus.
+MASS, LINKS = 0.8, 0.5
+#: Elements below this depth belong to their ancestor there; longer lists of children are matched in pieces of this length.
+DEPTH, SIBLINGS = 100, 64
+SALTS = 16
+#: Wrappers are given to all tasks at once if they have so many bytes, as counted, and else by a salted join.
+BROADCAST_BYTES = 16 << 20
+BLOCK = "struct<path: string, main: boolean, state: int, link: int, digest: bigint, text: string>"
+ENTRIES = "array<struct<path: string, state: int, chars: int, link: int, digests: array<bigint>>>"
+#: What a block's tags and words say of it: never an article, words of no article, words that a part of an article may bear, nothing.
+OUT, WORD, WEAK, KEPT = range(4)
 
 
 def digest(text: str) -> int:
@@ -54,40 +65,56 @@ def digest(text: str) -> int:
 
 def blocks_of(page: str) -> list[dict]:
     """The text blocks of a page in order: path of elements with their places, whether in an article or
-    main element, whether outside all containers that are left out, whether left out by weak words only, digest, text."""
+    main element, state (OUT, WORD, WEAK or KEPT), characters within links, digest, text."""
     out: list[dict] = []
-    # An open element: tag, path, in main, KEPT, WEAK or OUT, number of children by label.
+    # An open element: tag, path, in main, state, number of children by label.
     stack: list[list] = [["", "", False, KEPT, {}]]
+    open_: collections.Counter[str] = collections.Counter()
     words: list[str] = []
+    linked: list[int] = []
 
     def flush() -> None:
         if words:
             text = " ".join(entities.unescape("".join(words)).split())
+            link = round(len(text) * sum(linked) / max(1, sum(map(len, words))))
             words.clear()
+            linked.clear()
             if text:
                 top = next(x for x in reversed(stack) if x[0] not in INLINE)
                 state = min(stack[-1][3], top[3])
-                out.append({"path": top[1], "main": top[2], "kept": state == KEPT, "weak": state == WEAK, "digest": digest(text), "text": text})
+                out.append({"path": top[1], "main": top[2], "state": state, "link": link, "digest": digest(text), "text": text})
+
+    def put(piece: str) -> None:
+        words.append(piece)
+        if open_["a"] > 0:
+            linked.append(len(piece))
 
     def close(at: int) -> None:
         if any(x[0] not in INLINE or x[3] != KEPT for x in stack[at:]):
             flush()
+        open_.subtract(x[0] for x in stack[at:])
         del stack[at:]
 
+    def last(*tags: str) -> int:
+        """The place of the innermost open element of these tags, 0 for none."""
+        if not any(open_[t] > 0 for t in tags):
+            return 0
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in tags), 0)
+
     pos, raw_end = 0, None
     while True:
         m = TAG.search(page, pos)
         if m is None:
-            words.append(page[pos:])
+            put(page[pos:])
             break
         if m.start() > pos:
-            words.append(page[pos : m.start()])
+            put(page[pos : m.start()])
         pos = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            at = last(tag)
             # A stray inline end tag does not close blocks around it.
             if at and not (tag in INLINE and any(x[0] not in INLINE for x in stack[at + 1 :])):
                 close(at)
@@ -99,10 +126,10 @@ def blocks_of(page: str) -> list[dict]:
         if tag in VOID:
             continue
         if tag in ENDS_P:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("p", "td", "article", "body", "li", "div")), 0)
+            at = last("p", "td", "article", "body", "li", "div") if open_["p"] > 0 else 0
             if at and stack[at][0] == "p":
                 close(at)
-        elif tag in ENDS_OWN:
+        elif tag in ENDS_OWN and any(open_[t] > 0 for t in (tag, *ENDS_OWN_PAIRS.get(tag, ()))):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in ENDS_OWN[tag]:
                     break
@@ -114,10 +141,10 @@ def blocks_of(page: str) -> list[dict]:
         main = top[2] or tag in ("article", "main") or named.get("role") == "main"
         marks = set() if tag in WHOLE or named.get("role") == "main" else LEFT_OUT_WORDS.intersection(" ".join(named.get(k, "") for k in ("class", "id", "role")).split())
         kept = top[3]
-        if tag in LEFT_OUT or marks - WEAK_WORDS or (tag == "header" and not top[2]) or "hidden" in named or named.get("aria-hidden") == "true":
+        if tag in LEFT_OUT or (tag == "header" and not top[2]) or "hidden" in named or named.get("aria-hidden") == "true":
             kept = OUT
         elif marks:
-            kept = min(kept, WEAK)
+            kept = min(kept, WORD if marks - WEAK_WORDS else WEAK)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
             pos = end.end() if end else len(page)
@@ -127,155 +154,359 @@ def blocks_of(page: str) -> list[dict]:
         label = tag + "".join(f".{c}" for c in sorted(named.get("class", "").split())[:3])
         n = top[4].get(label, 0)
         top[4][label] = n + 1
-        path = top[1] if tag in INLINE else f"{top[1]}/{label}:{n}"
-        stack.append([tag, path, main, kept, {}])
-        if m[3].rstrip().endswith("/") and tag in INLINE:
-            stack.pop()
+        path = top[1] if tag in INLINE or len(stack) > DEPTH else f"{top[1]}/{label}:{n}"
+        if not (tag in INLINE and m[3].rstrip().endswith("/")):
+            stack.append([tag, path, main, kept, {}])
+            open_[tag] += 1
     flush()
     return out
 
 
+def bare(path: str) -> str:
+    """A path without the places of its elements."""
+    return re.sub(r":[0-9]+(?=/|$)", "", path)
+
+
+def entries_of(blocks: list[dict]) -> tuple[list[dict], list[int]]:
+    """(entries, the entry of each block): blocks that follow each other on one path but for places are one entry, as
+    the paragraphs of an article or the rows of a table are. Blocks that are OUT are left out, with the entry -1."""
+    out: list[dict] = []
+    own, name = [], None
+    for b in blocks:
+        if b["state"] == OUT:
+            own.append(-1)
+            continue
+        here = bare(b["path"])
+        if here != name:
+            out.append({"path": b["path"], "state": b["state"], "chars": 0, "link": 0, "digests": []})
+            name = here
+        e = out[-1]
+        e["state"] = min(e["state"], b["state"])
+        e["chars"] += len(b["text"])
+        e["link"] += b["link"]
+        e["digests"].append(b["digest"])
+        own.append(len(out) - 1)
+    return out, own
+
+
+_ENTRIES = pa.list_(pa.struct([("path", pa.string()), ("state", pa.int32()), ("chars", pa.int32()), ("link", pa.int32()), ("digests", pa.list_(pa.int64()))]))
+
+
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, page (digest of all texts) and blocks."""
-    schema = f"page_id long, url string, host string, page bigint, blocks array<{BLOCK}>"
+    """page_id, url, host, page (digest of all entries), entries and blocks."""
+    schema = f"page_id long, url string, host string, page bigint, entries {ENTRIES}, blocks array<{BLOCK}>"
+    kind = pa.list_(pa.struct([("path", pa.string()), ("main", pa.bool_()), ("state", pa.int32()), ("link", pa.int32()), ("digest", pa.int64()), ("text", pa.string())]))
 
     def run(batches):
-        kind = pa.list_(pa.struct([("path", pa.string()), ("main", pa.bool_()), ("kept", pa.bool_()), ("weak", pa.bool_()), ("digest", pa.int64()), ("text", pa.string())]))
-        for batch in batches:
-            urls = batch.column(1).to_pylist()
-            blocks = [blocks_of(h or "") for h in batch.column(2).to_pylist()]
-            hosts = [(m[1].lower() if u and (m := re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", u)) else "") for u in urls]
-            whole = [digest("\n".join(b["text"] for b in bs)) for bs in blocks]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts), pa.array(whole, pa.int64()), pa.array(blocks, kind)], names=["page_id", "url", "host", "page", "blocks"])
+        for whole in batches:
+            for batch in (whole.slice(a, b - a) for a, b in slices(np.ones(len(whole)), 128)):
+                urls = batch.column(1).to_pylist()
+                blocks = [blocks_of(h or "") for h in batch.column(2).to_pylist()]
+                entries = [entries_of(b)[0] for b in blocks]
+                hosts = [(m[1].lower() if u and (m := re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", u)) else "") for u in urls]
+                pages = [digest(json.dumps(e)) for e in entries]  # pages of one digest have one tree
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts), pa.array(pages, pa.int64()), pa.array(entries, _ENTRIES), pa.array(blocks, kind)], names=["page_id", "url", "host", "page", "entries", "blocks"])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, schema)
 
 
 class Node:
-    """An element of the aligned trees. Neighbours of one label without children are one node (a list of slots)."""
+    """An element of a tree that is matched; `entry` is its own text's."""
 
-    __slots__ = ("label", "children", "texts", "size")
+    __slots__ = ("label", "path", "parent", "children", "entry")
 
-    def __init__(self, label: str):
-        self.label, self.children, self.texts, self.size = label, [], set(), 1
+    def __init__(self, label: str, path: str, parent: Node | None):
+        self.label, self.path, self.parent, self.children, self.entry = label, path, parent, [], -1
 
 
-def tree(paths: list[str], digests: list[int]) -> Node:
-    root, known = Node(""), {}
-    known[""] = root
-    for path, d in zip(paths, digests):
+def tree(paths: list[str]) -> tuple[Node, list[Node]]:
+    """(root, the node of each path)."""
+    root = Node("", "", None)
+    known, own = {"": root}, []
+    for i, path in enumerate(paths):
         here, parent = "", root
         for step in path.split("/")[1:]:
             here = f"{here}/{step}"
             node = known.get(here)
             if node is None:
-                node = known[here] = Node(step.rsplit(":", 1)[0])
+                node = known[here] = Node(step.rsplit(":", 1)[0], here, parent)
                 parent.children.append(node)
             parent = node
-        parent.texts.add(d)
-    return fold(root)
+        parent.entry = i
+        own.append(parent)
+    return root, own
 
 
-def fold(node: Node) -> Node:
-    out: list[Node] = []
-    for child in map(fold, node.children):
-        if out and not child.children and not out[-1].children and out[-1].label == child.label:
-            out[-1].texts |= child.texts
-        else:
-            out.append(child)
-    node.children = out
-    node.size = 1 + sum(c.size for c in out)
-    return node
+def pieces(a: Node, b: Node):
+    """The children to match with each other: all, or of long lists one piece after the other."""
+    for i in range(0, max(len(a.children), len(b.children)), SIBLINGS):
+        yield a.children[i : i + SIBLINGS], b.children[i : i + SIBLINGS]
 
 
 def match(a: Node, b: Node, memo: dict) -> int:
-    """Simple tree matching: the most pairs of nodes of equal labels that keep order and parents."""
+    """Simple tree matching: the most pairs of nodes of equal labels that keep order and parents. Trees are DEPTH deep at most."""
     if a.label != b.label:
         return 0
     key = (id(a), id(b))
     if key not in memo:
-        row = [0] * (len(b.children) + 1)
-        for x in a.children:
-            above, row = row, [0]
-            for j, y in enumerate(b.children):
-                row.append(max(above[j + 1], row[j], above[j] + match(x, y, memo)))
-        memo[key] = 1 + row[-1]
+        total = 1
+        for left, right in pieces(a, b):
+            row = [0] * (len(right) + 1)
+            for x in left:
+                above, row = row, [0]
+                for j, y in enumerate(right):
+                    row.append(max(above[j + 1], row[j], above[j] + match(x, y, memo)))
+            total += row[-1]
+        memo[key] = total
     return memo[key]
 
 
-def aligned(a: Node, b: Node, memo: dict, path: str = ""):
-    """(path in a, texts of b's node) for the matched nodes."""
-    yield path, b.texts
-    n, m = len(a.children), len(b.children)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(m):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(a.children[i], b.children[j], memo))
-    i, j = n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            x, y = a.children[i - 1], b.children[j - 1]
-            yield from aligned(x, y, memo, f"{path}/{x.label}")
-            i, j = i - 1, j - 1
+def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """The pairs of nodes of a best matching of two roots."""
+    memo: dict[tuple[int, int], int] = {}
+    out, todo = [], [(a, b)]
+    while todo:
+        pair = todo.pop()
+        out.append(pair)
+        for left, right in pieces(*pair):
+            n, m = len(left), len(right)
+            best = [[0] * (m + 1) for _ in range(n + 1)]
+            for i in range(n):
+                for j in range(m):
+                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(left[i], right[j], memo))
+            i, j = n, m
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    todo.append((left[i - 1], right[j - 1]))
+                    i, j = i - 1, j - 1
+    return out
+
+
+def choose(paths: list[str], stats: dict[int, tuple]) -> tuple[list[bool], str]:
+    """(whether each slot of the reference page is content, path of the content's root).
+
+    stats has pages, same (pages that hold the slot's commonest text), state, chars and links of each slot. Constant slots
+    and lists of links have no mass. Of what varies, words in attributes only break ties: they count as mass, and as content within
+    the root, only if nothing without them is there. Where less than half of a host's text varies, its pages are copies of
+    each other, which cannot tell template from content: no slot is content then, and each page is judged alone.
+    """
+    none = (0, 0, KEPT, 0, 0)
+    facts = [stats.get(i, none) for i in range(len(paths))]
+    varies = [n > 0 and not (n >= LEAST_PAGES and same >= CONSTANT * n) and link < LINKS * chars for n, same, _, chars, link in facts]
+    _, own = tree(paths)
+
+    def inside(path: str, root: str) -> bool:
+        return path == root or path.startswith(root + "/")
+
+    def level(under: list[int]) -> int:
+        return max((facts[i][2] for i in under if varies[i]), default=KEPT)
+
+    least = level(list(range(len(paths))))
+    mass = {i: facts[i][3] for i in range(len(paths)) if varies[i] and facts[i][2] >= least}
+    of: dict[str, int] = collections.Counter()
+    nodes: dict[str, Node] = {}
+    for i, m in mass.items():
+        node = own[i]
+        while node is not None:
+            of[node.path] += m
+            nodes[node.path] = node
+            node = node.parent
+    total = sum(mass.values())
+    if 2 * total < sum(chars for _, _, state, chars, link in facts if state >= least and link < LINKS * chars):
+        return [False] * len(paths), ""
+    holds = [n for p, n in nodes.items() if of[p] >= MASS * total and (n.children or n.label.split(".")[0] in ("div", "section", "article", "main", "td", ""))]
+    root = max(holds, key=lambda n: n.path.count("/")) if holds and total else None
+    if root is None:
+        return [False] * len(paths), ""
+    up = root
+    while up is not None and up.label.split(".")[0] not in ("article", "main"):
+        up = up.parent
+    root = up or root
+    within = [i for i, p in enumerate(paths) if inside(p, root.path)]
+    least = level(within)
+    # A heading before the root, of an element around it, is the article's.
+    heads = [i for i, n in enumerate(own) if n.label.split(".")[0] in ("h1", "h2") and i < min(within) and inside(root.path, n.parent.path)]
+    return [varies[i] and ((i in within and facts[i][2] >= least) or (i in heads and facts[i][2] == KEPT)) for i in range(len(paths))], root.path
+
+
+def in_slot(slot: int, text: int) -> int:
+    """A text's digest where it stands."""
+    return digest(f"{slot}/{text}")
+
+
+def tally(reference: list[str], pages: list) -> list[tuple]:
+    """(slot, digest, pages, same, state, chars, link) of the slots of the reference page over a block of pages, of the
+    texts that most of the block's pages hold in one slot (slot -2), and of the block itself (slot -1)."""
+    root, _ = tree(reference)
+    slots: dict[int, list] = {}
+    commonest: dict[int, collections.Counter] = {}
+    texts: collections.Counter[int] = collections.Counter()
+    for entries in pages:
+        there, _ = tree([e["path"] for e in entries])
+        for a, b in aligned(root, there):
+            if a.entry >= 0 and b.entry >= 0:
+                e = entries[b.entry]
+                texts.update({in_slot(a.entry, int(d)) for d in e["digests"]})
+                s = slots.setdefault(a.entry, [0, KEPT, 0, 0])
+                s[0], s[1], s[2], s[3] = s[0] + 1, min(s[1], e["state"]), s[2] + e["chars"], s[3] + e["link"]
+                commonest.setdefault(a.entry, collections.Counter())[tuple(map(int, e["digests"]))] += 1
+    n = len(pages)
+    rows = [(s, 0, v[0], max(commonest[s].values()), v[1], v[2], v[3]) for s, v in slots.items()]
+    return rows + [(-2, d, n, 0, 0, 0, 0) for d, k in texts.items() if k >= CONSTANT * n and n > 1] + [(-1, 0, n, 0, 0, 0, 0)]
+
+
+def wrapper_of(paths: list[str], facts: list[tuple]) -> str:
+    """A host's wrapper, from the sums of tally()'s rows."""
+    total = sum(f[2] for f in facts if f[0] == -1)
+    content, root = choose(paths, {f[0]: f[2:] for f in facts if f[0] >= 0})
+    texts = sorted(int(f[1]) for f in facts if f[0] == -2 and total >= LEAST_PAGES and f[2] >= CONSTANT * total)
+    return json.dumps({"paths": paths, "content": content, "root": root, "texts": texts, "pages": int(total)})
 
 
 def induce(parsed: DataFrame) -> DataFrame:
-    """host, path, digest of the texts that are template on their host.
+    """host and wrapper (JSON: paths of the reference page, which of them are content, root, template texts).
 
-    Pages of equal texts count once. A host's different pages are dealt to blocks of about 64 by a hash, and each
-    block is aligned to its largest page; counts of (path, text) are summed over blocks, so no
-    task sees a whole host.
+    Different pages of a host are dealt to blocks of about 64 by a hash; hosts with fewer than LEAST_PAGES pages are
+    aligned together, as the host of no name. The largest page of a host is the reference that each block is aligned to, so
+    slots have the same meaning in all blocks and their counts can be summed; no task sees a whole host. A text
+    is template in a slot if blocks with nine tenths of the host's pages find it there on nine tenths of theirs.
     """
-    pages = parsed.groupBy("host", "page").agg(F.first(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["digest"].alias("digest")))).alias("b"))
-    sizes = parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    dealt = pages.join(sizes, "host").select("host", "page", F.pmod(F.xxhash64("page"), F.ceil(F.col("n") / PAGES_PER_BLOCK)).alias("block"), F.col("b.path").alias("paths"), F.col("b.digest").alias("digests"))
-
-    def align(block: pd.DataFrame) -> pd.DataFrame:
-        trees = sorted(((p, tree(list(x), list(y))) for p, x, y in zip(block.page, block.paths, block.digests)), key=lambda t: (-t[1].size, t[0]))
-        seen: dict[tuple[str, int], int] = {}
-        for _, one in trees:
-            for key in {(path, d) for path, texts in aligned(trees[0][1], one, {}) for d in texts}:
-                seen[key] = seen.get(key, 0) + 1
-        least = max(2, len(trees) // 2)  # what is rarer here cannot be constant on most of the host's pages in all blocks
-        rows = [(block.host.iloc[0], p, d, c, 0) for (p, d), c in seen.items() if c >= least] + [(block.host.iloc[0], "", 0, 0, len(trees))]
-        return pd.DataFrame(rows, columns=["host", "path", "digest", "pages", "total"])
-
-    counts = dealt.groupBy("host", "block").applyInPandas(align, "host string, path string, digest bigint, pages bigint, total bigint")
-    counts = materialise(counts.groupBy("host", "path", "digest").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total")), "counts")
-    totals = counts.where("total > 0").select("host", F.col("total").alias("of"))
-    return counts.where("pages > 0").join(totals, "host").where((F.col("of") >= LEAST_PAGES) & (F.col("pages") >= CONSTANT * F.col("of"))).select("host", "path", "digest")
-
-
-def extract(pages: DataFrame) -> DataFrame:
+    parsed = parsed.where(F.size("entries") > 0)
+    sizes = materialise(parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    # Few bytes a host; by measure, not by guess, they are sent to all tasks or dealt with salted keys.
+    measured = sizes.agg(F.coalesce(F.sum(F.octet_length("host") + 24), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(F.col("n") < LEAST_PAGES, F.col("n"))), F.lit(0)).alias("pooled")).first()
+    small = F.col("n") < LEAST_PAGES
+    names = sizes.select("host", F.when(small, F.lit("")).otherwise(F.col("host")).alias("name"), F.ceil(F.when(small, F.lit(measured["pooled"])).otherwise(F.col("n")) / PAGES_PER_BLOCK).cast("int").alias("blocks"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        if measured["bytes"] <= BROADCAST_BYTES:
+            return rows.join(F.broadcast(names), "host")
+        salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("salt", F.pmod(F.col("page"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
+
+    largest = F.max(F.struct(F.size("entries").alias("size"), "page", F.transform("entries", lambda e: e["path"]).alias("paths")))
+    reference = materialise(named(parsed).groupBy(F.col("name").alias("host")).agg(largest.alias("r")).select("host", "r.paths"), "references")
+    dealt = named(parsed.groupBy("host", "page").agg(F.first("entries").alias("entries"))).select(F.col("name").alias("host"), F.pmod(F.xxhash64("page"), F.col("blocks")).cast("int").alias("block"), "page", "entries")
+    blocks = names.select(F.col("name").alias("host"), "blocks").distinct().select("host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(reference, "host")
+
+    def align(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        rows = [(block.host.iloc[0], *r) for r in tally(list(own.paths.iloc[0]), list(block.entries))] if len(block) and len(own) else []
+        return pd.DataFrame(rows, columns=["host", "slot", "digest", "pages", "same", "state", "chars", "link"])
+
+    schema = "host string, slot int, digest bigint, pages bigint, same bigint, state int, chars bigint, link bigint"
+    counts = dealt.groupBy("host", "block").cogroup(blocks.groupBy("host", "block")).applyInPandas(align, schema)
+    counts = counts.groupBy("host", "slot", "digest").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "chars", "link")], F.min("state").alias("state"))
+    # One row a slot of the reference page and a row a frequent text: as many as a page has blocks, and few more.
+    facts = counts.groupBy("host").agg(F.collect_list(F.struct("slot", "digest", "pages", "same", "state", "chars", "link")).alias("facts")).join(reference, "host")
+
+    def decide(batches):
+        names = ("slot", "digest", "pages", "same", "state", "chars", "link")
+        for pdf in batches:
+            yield pd.DataFrame({"host": pdf.host, "wrapper": [wrapper_of(list(p), [tuple(int(f[k]) for k in names) for f in x]) for x, p in zip(pdf.facts, pdf.paths)]})
+
+    found = materialise(facts.mapInPandas(decide, "host string, wrapper string"), "wrappers")
+    discard(sizes, reference)
+    return found
+
+
+class Wrapper:
+    """A host's wrapper, ready to be laid over its pages."""
+
+    def __init__(self, text: str):
+        known = json.loads(text)
+        self.root, _ = tree(known["paths"])
+        self.content, self.path, self.texts = known["content"], known["root"], set(known["texts"])
+        self.usable = known["pages"] >= LEAST_PAGES and any(known["content"])
+
+    def content_of(self, blocks: list[dict]) -> list[str] | None:
+        """The texts of the page's slots that are content; None if the page is not like the host's others, or so much like
+        them that most of its content would be template."""
+        entries, own = entries_of(blocks)
+        there, nodes = tree([e["path"] for e in entries])
+        pair = {id(b): a for a, b in aligned(self.root, there)}
+        good, met, slots = [False] * len(entries), 0, [-1] * len(entries)
+        for i, (e, node) in enumerate(zip(entries, nodes)):
+            a = pair.get(id(node))
+            if a is not None and a.entry >= 0:
+                met += 1
+                good[i], slots[i] = self.content[a.entry], a.entry
+            else:  # a slot that the reference page lacks belongs to where it stands
+                while a is None:
+                    node = node.parent
+                    a = pair.get(id(node))
+                good[i] = (a.path == self.path or a.path.startswith(self.path + "/")) and e["state"] == KEPT and e["link"] < LINKS * e["chars"]
+        if 2 * met < len(entries):
+            return None
+        inside = [(b["text"], slots[i]) for b, i in zip(blocks, own) if i >= 0 and good[i]]
+        if not self.texts:
+            return [t for t, _ in inside]
+        content = [t for t, slot in inside if in_slot(slot, digest(t)) not in self.texts]
+        return content if 2 * sum(map(len, content)) >= sum(len(t) for t, _ in inside) else None
+
+
+def alone(blocks: list[dict]) -> list[str]:
+    """The texts of a page without a wrapper: of its article or main element if it has one, without what tags and words leave out."""
+    for least in (KEPT, WEAK):
+        own = [b for b in blocks if b["state"] >= least]
+        main = [b for b in own if b["main"]]
+        if own:
+            return [b["text"] for b in main or own]
+    return []
+
+
+def extract(pages: DataFrame, induction: bool = True) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page.
 
-    Where a page has an article or main element, only that counts. Character references are decoded, white
-    space within a block is one space, blocks are joined by one space in page order. A null or empty html
-    gives an empty text; a null url is a host of its own; repeated pages are each returned.
+    A page's content is what its host's wrapper says (see induce()); a page unlike the others of its host, and one of a
+    table with too few pages, is judged by its own tags and words. Without `induction` all text outside tags that are
+    never an article counts. Character references are decoded, white space within a block is one space, blocks are joined by one
+    space in page order. A null or empty html gives an empty text; a null url is of the host of no name; repeated pages
+    are each returned; other columns are left out; an empty table gives an empty one.
     """
     parsed = materialise(parse(pages), "parsed")
-    template = materialise(induce(parsed), "template")
-    few = template.count() <= BROADCAST_ROWS
-    known = template.groupBy("host").agg(F.collect_set(F.concat_ws("|", "path", F.col("digest").cast("string"))).alias("constant"))
-    if few:
-        joined = parsed.join(F.broadcast(known), "host", "left")
+    wrappers: dict[str, str] | None = {}
+    rows = parsed.select("page_id", "url", "host", "blocks")
+    if induction:
+        found = induce(parsed.select("host", "page", "entries"))
+        if found.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+            wrappers = {r["host"]: r["wrapper"] for r in found.collect()}  # BROADCAST_BYTES at most
+            rows = rows.withColumn("wrapper", F.lit(None).cast("string"))
+        else:
+            # Each page gets its host's, else that of the pool, by keys of host and salt.
+            wrappers = None
+            pool = found.where("host = ''").select("wrapper").first()
+            salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+            rows = rows.select("page_id", "url", "host", "blocks", F.coalesce("wrapper", F.lit(pool[0] if pool else None)).alias("wrapper"))
     else:
-        salts = 16
-        spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
-    name = lambda b: F.concat_ws("|", F.regexp_replace(b["path"], ":[0-9]+", ""), b["digest"].cast("string"))
-
-    def unlike_template(of: str):
-        """The blocks of that mark, those in an article or main element if there are any, without the template."""
-        has_main = F.exists("blocks", lambda b: b["main"] & b[of])
-        own = F.filter("blocks", lambda b: b[of] & (b["main"] | ~has_main))
-        return F.when(F.col("constant").isNull(), own).otherwise(F.filter(own, lambda b: ~F.array_contains("constant", name(b))))
-
-    joined = joined.withColumn("content", unlike_template("kept"))
-    chosen = F.when(F.size("content") == 0, unlike_template("weak")).otherwise(F.col("content"))
-    text = F.array_join(F.transform(chosen, lambda b: b["text"]), " ")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+        rows = rows.withColumn("wrapper", F.lit(None).cast("string"))
+
+    def run(batches):
+        ready: dict[str, Wrapper] = {}
+
+        def wrapper(host: str, text: str | None) -> Wrapper | None:
+            text = text or (wrappers and (wrappers.get(host) or wrappers.get("")))
+            if not text:
+                return None
+            if text not in ready:
+                if len(ready) > 1000:
+                    ready.clear()
+                ready[text] = Wrapper(text)
+            return ready[text]
+
+        for batch in batches:
+            out = []
+            for host, blocks, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if not induction:
+                    out.append(" ".join(b["text"] for b in blocks if b["state"] > OUT))
+                    continue
+                own = wrapper(host, text)
+                content = own.content_of(blocks) if own and own.usable else None
+                out.append(" ".join(alone(blocks) if content is None else content))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    return rows.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
