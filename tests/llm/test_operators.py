@@ -188,11 +188,7 @@ PAGE = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>
     ],
 )
 def test_page(html, text):
-    blocks = html_extract.blocks_of(html or "")
-    main = any(b["main"] and b["kept"] for b in blocks)
-    if html and "<article></article>" in html:
-        assert [b for b in blocks if b["kept"]] == []
-    assert " ".join(b["text"] for b in blocks if b["kept"] and (b["main"] or not main)) == text
+    assert " ".join(html_extract.alone(html_extract.blocks_of(html or ""))) == text
 
 
 @pytest.mark.parametrize(
@@ -205,7 +201,7 @@ def test_page(html, text):
     ],
 )
 def test_words_in_attributes(html, text):
-    assert " ".join(b["text"] for b in html_extract.blocks_of(html) if b["kept"]) == text
+    assert " ".join(b["text"] for b in html_extract.blocks_of(html) if b["state"] == html_extract.KEPT) == text
 
 
 def test_weak_words_give_way_to_what_varies(spark):
@@ -238,11 +234,102 @@ def test_template_of_a_host_with_many_copies(spark):
     assert len(out) == len(rows) and not out.text.str.contains("Always here").any() and (out.n_chars > 0).all()
 
 
-def test_tree_matching():
-    a = html_extract.tree(["/b:0/x:0", "/b:0/y:0", "/b:0/z:0"], [1, 2, 3])
-    b = html_extract.tree(["/b:0/x:0", "/b:0/q:0", "/b:0/z:0"], [1, 9, 4])
-    assert html_extract.match(a, b, {}) == 4
-    assert dict(html_extract.aligned(a, b, {})) == {"": set(), "/b": set(), "/b/x": {1}, "/b/z": {4}}
+def brute_match(a, b):
+    """The most matched nodes, over all ways to pair the children in order."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), brute_match(x[0], y[0]) + best(x[1:], y[1:]))
+
+    return 1 + best(a.children, b.children)
+
+
+def test_tree_matching_against_brute_force():
+    rnd = random.Random(8)
+
+    def paths():
+        out, open_ = [], [""]
+        for _ in range(rnd.randrange(1, 9)):
+            out.append(f"{rnd.choice(open_[-3:])}/{rnd.choice('abc')}:{len(out)}")
+            open_.append(out[-1])
+        return out
+
+    for _ in range(300):
+        (a, own), (b, _) = html_extract.tree(paths()), html_extract.tree(paths())
+        pairs = html_extract.aligned(a, b)
+        assert html_extract.match(a, b, {}) == brute_match(a, b) == len(pairs)
+        assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+        order = {id(n): i for i, n in enumerate(walk(a))}
+        other = {id(n): i for i, n in enumerate(walk(b))}
+        places = sorted((order[id(x)], other[id(y)]) for x, y in pairs)
+        assert [y for _, y in places] == sorted(y for _, y in places)
+
+
+def walk(node):
+    yield node
+    for child in node.children:
+        yield from walk(child)
+
+
+def bare_page(rnd, i):
+    """No tag or word tells the article from the rest: only alignment can."""
+    hint = "<div><span>Tip of the day for everyone</span></div>" if i % 3 == 0 else ""
+    links = "".join(f"<div><a href=/{w}>{w} {w}</a></div>" for w in words(rnd, 4))
+    body = "".join(f"<p>{' '.join(words(rnd, 30))}</p>" for _ in range(rnd.randrange(2, 6)))
+    return f"<body><div>Home News Contact</div>{hint}<section>{links}</section><section><h2>{' '.join(words(rnd, 3))}</h2>{body}<p>Copyright of this site</p></section><div>All rights {i % 2}</div></body>", re.findall(r"<h2>(.*?)</h2>|<p>(w.*?)</p>", f"<h2>x</h2>{body}")
+
+
+def test_article_without_telling_tags(spark):
+    rnd = random.Random(12)
+    made = [bare_page(rnd, i) for i in range(150)]
+    rows = [(i, f"http://bare.example/{i}", html) for i, (html, _) in enumerate(made)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    for i, (html, parts) in enumerate(made):
+        title = re.search(r"<h2>(.*?)</h2>", html)[1]
+        assert out[i] == " ".join([title, *[p for _, p in parts if p]])
+    without = {r.page_id: r.text for r in html_extract.extract(df, induction=False).collect()}
+    assert all("Home News Contact" in without[i] and without[i] != out[i] for i in out)
+    assert {r.page_id: r.text for r in html_extract.extract(df.repartition(7).orderBy(F.desc("page_id"))).collect()} == out
+
+
+def test_deep_wide_and_broken_pages(spark):
+    rnd = random.Random(13)
+    deep = lambda i: "<div>" * 3000 + f"<p>deep {i}</p>" + "</div>" * 3000
+    wide = lambda i: "<article><table>" + "".join(f"<tr><td>{i} {k}</td><th>{k}</th></tr>" for k in range(2000)) + "</table>" + f"<dl>{''.join(f'<dt>{i}<dd>{k}' for k in range(600))}</dl></article>"
+    broken = "<section>" * 2000 + "</p>" * 20_000 + "x" + "</b>" * 20_000
+    rows = [(i, "http://deep.example/", deep(i)) for i in range(20)] + [(100 + i, "http://wide.example/", wide(i)) for i in range(12)]
+    rows += [(200, "http://wide.example/", broken), (201, None, None), (202, "http://deep.example/", ""), (None, "http://deep.example/", deep(3)), (203, "http://long.example/", f"<p>{' '.join(words(rnd, 200_000))}</p>")]
+    began = time.time()
+    out = html_extract.extract(spark.createDataFrame([r + ("clash",) for r in rows], "page_id long, url string, html string, text string")).collect()
+    assert time.time() - began < 120 and len(out) == len(rows)
+    text = {r.page_id: r.text for r in out}
+    assert [text[i] for i in range(20)] == [f"deep {i}" for i in range(20)] and text[None] == "deep 3"
+    # Cells that are the same on all pages are template.
+    assert all(text[100 + i].split() == [w for k in range(2000) for w in (str(i), str(k))] + [str(i)] * 600 for i in range(12))
+    assert text[200] == "x" and text[201] == "" and len(text[203].split()) == 200_000
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_near_copies_of_one_article_keep_it(spark):
+    """All pages of a host hold one article but for a word: its text is no template."""
+    rnd = random.Random(15)
+    body = [words(rnd, 40) for _ in range(12)]
+    page = lambda i: f"<nav>menu</nav><article><h1>same title</h1>{''.join('<p>' + ' '.join([*p[:-1], str(i) if k == i % 12 else p[-1]]) + '</p>' for k, p in enumerate(body))}</article><div class=ad>buy</div>"
+    out = html_extract.extract(spark.createDataFrame([(i, "http://copies.example/", page(i)) for i in range(100)], "page_id long, url string, html string")).collect()
+    assert all(len(r.text.split()) == 482 and str(r.page_id) in r.text.split() for r in out)
+
+
+def test_wrappers_by_salted_joins(spark, monkeypatch):
+    rnd = random.Random(14)
+    rows = [(i, f"http://bare{i % 3}.example/{i}", bare_page(rnd, i)[0]) for i in range(90)] + [(500 + i, f"http://few{i}.example/", bare_page(rnd, i)[0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
 
 
 # ---- 4 embeddings
@@ -375,6 +462,9 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(ngram_jaccard, "LOCAL_HOT", 3)
     monkeypatch.setattr(ngram_jaccard, "LOCAL_TOTAL", 4)
     monkeypatch.setattr(ngram_jaccard, "FREQUENT", 3)
+    if seed == 2:  # columns in blocks, pairs a few at a time, hubs by a shuffle
+        for name, value in (("BIG", 6), ("PAIRS", 20), ("MOST_HUBS", 0)):
+            monkeypatch.setattr(ngram_jaccard, name, value)
     rnd = random.Random(seed)
     passage, rows, n = words(rnd, 60), [], 0
     for g in range(40):
@@ -396,6 +486,23 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, seed):
     assert ngram_jaccard.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 7, 100_000])
+def test_runs_come_whole_whatever_the_batches(rows):
+    rnd = random.Random(rows)
+    h = sorted(rnd.choice((1, 2, 2, 2, 3, 9, 9)) for _ in range(500))
+    batches = pa.Table.from_pydict({"h": h, "i": list(range(500))}).to_batches(max_chunksize=rows)
+    runs = [r.column("h").to_pylist() for r in ngram_jaccard._runs(batches)]
+    assert [x for r in runs for x in r] == h
+    assert len({x for r in runs for x in set(r)}) == sum(len(set(r)) for r in runs)
+
+
+def test_long_columns_take_linear_time():
+    batches = pa.Table.from_pydict({"h": np.zeros(2_000_000, np.int64), "n": np.full(2_000_000, 50), "pos": np.zeros(2_000_000, np.int32), "node": np.arange(2_000_000)}).to_batches(max_chunksize=1000)
+    began = time.time()
+    assert sum(b.num_rows for b in ngram_jaccard._star(batches)) >= 1_999_999
+    assert time.time() - began < 30
+
+
 # ---- 7 language
 
 
@@ -429,11 +536,10 @@ def test_warc_round_trip(spark, tmp_path):
     body = ["<p>é</p>", "<p>é</p>", "", None, "x\r\n\r\ny" * 300, "<p>é</p>", "WARC/1.1\r\n", "x\r\n\r\ny" * 300]
     rows = [(i, f"http://h.example/{i}" if i != 4 else None, h) for i, h in enumerate(body)] + [(20, "http://a\r\nWARC-Type: evil", "z"), (None, "http://n", "null id"), (5, "http://again", "<p>é</p>")]
     pages = spark.createDataFrame([r + ("c",) for r in rows], "page_id long, url string, html string, payload string")
-    path, mounted = str(tmp_path / "mono"), tmp_path / "own"
-    mounted.mkdir()
+    path, own = str(tmp_path / "mono"), tmp_path / "own"
     warc.write_archives(pages, path)
-    records = warc.normalise(spark, path, str(mounted)).cache()
-    out = warc.read_archives(records).collect()
+    index = common.materialise(warc.normalise(spark, path, f"file://{own}"), "index")
+    out = warc.read_archives(index, str(own)).collect()
     top = collections.defaultdict(int)
     for i, _, h in rows:
         if i is not None:
@@ -441,23 +547,43 @@ def test_warc_round_trip(spark, tmp_path):
     want = sorted((str(i), len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if i is None or top[h or ""] == i else "revisit", None if i is None or top[h or ""] == i else top[h or ""]) for i, _, h in rows)
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == want
     assert {bytes(r.payload).decode() for r in out if r.record_type == "response"} == {h or "" for *_, h in rows}
-    for entry in warc.index_of(records).collect():  # one record alone, by its offset
-        with open(mounted / f"{entry.archive}.warc.gz", "rb") as f:
+    for entry in index.collect():  # one record alone, by its offset
+        with open(own / entry.archive, "rb") as f:
             f.seek(entry.offset)
             one = gzip.decompress(f.read(entry.length))
         assert one.startswith(b"WARC/1.1\r\n") and entry.record_id.encode() in one and one.endswith(b"\r\n\r\n")
-    again = warc.read_archives(warc.normalise(spark, str(mounted))).collect()  # many members are read as well
+    assert not [f for f in own.iterdir() if f.suffix != ".gz" and not f.name.endswith(".crc")]
+    again = warc.read_archives(common.materialise(warc.normalise(spark, str(own), str(tmp_path / "own2")), "index"), str(tmp_path / "own2")).collect()  # many members are read as well
     assert sorted(map(str, again)) == sorted(map(str, out))
     least = str(tmp_path / "least")
     warc.write_archives(pages, least, least_bytes=100)
-    assert sum(r.record_type == "revisit" for r in warc.read_archives(warc.normalise(spark, least)).collect()) == 1
+    found = common.materialise(warc.normalise(spark, least, str(tmp_path / "own3")), "index")
+    assert sum(r.record_type == "revisit" for r in warc.read_archives(found, str(tmp_path / "own3")).collect()) == 1
 
 
-def test_damaged_archive():
+def test_warc_of_large_payloads_and_of_none(spark, tmp_path):
+    """Payloads beyond one piece, with the mark between records in them and at their ends; then a table without rows."""
+    rnd = random.Random(6)
+    body = [" ".join(words(rnd, 60_000)) + end for end in ("", "\r\n", "\r\n\r\n", "\r\n\r\n\r\n")] + [f"{i}" * 300 for i in range(3000)]
+    pages = spark.createDataFrame([(i, None, h) for i, h in enumerate(body)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"), records_per_file=2500)
+    index = common.materialise(warc.normalise(spark, str(tmp_path / "a"), str(tmp_path / "b")), "index")
+    out = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(index, str(tmp_path / "b")).collect()}
+    assert out == dict(enumerate(body))
+    warc.write_archives(pages.limit(0), str(tmp_path / "c"))
+    none = common.materialise(warc.normalise(spark, str(tmp_path / "c"), str(tmp_path / "d")), "index")
+    assert warc.read_archives(none, str(tmp_path / "d")).count() == 0
+
+
+def test_damaged_archive(spark, tmp_path):
     good = gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
-    assert [r for r, _ in warc.records_of(good + good)] == [b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"] * 2
-    with pytest.raises(ValueError):
-        list(warc.records_of(gzip.compress(b"WARC/1.1\r\nContent-Length: 30\r\n\r\nabc\r\n\r\n")))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "two.warc.gz").write_bytes(good + good)
+    assert warc.normalise(spark, str(tmp_path / "in"), str(tmp_path / "out")).count() == 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "cut.warc.gz").write_bytes(gzip.compress(b"WARC/1.1\r\nContent-Length: 30\r\n\r\nabc\r\n\r\n"))
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.normalise(spark, str(tmp_path / "bad"), str(tmp_path / "out")).collect()
 
 
 # ---- 9 BPE
