@@ -43,9 +43,10 @@ ENDS_OWN_PAIRS = {"dt": ("dd",), "dd": ("dt",), "td": ("th",), "th": ("td",)}
 ENDS_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS_OWN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 PAGES_PER_BLOCK = 64
-#: A node is template if this part of the pages that have it, and so many pages, hold the same text in it; so is a text
-#: that this part of the pages holds.
+#: A node is template if this part of the pages that have it, and so many pages, hold the same text in it.
 CONSTANT, LEAST_PAGES = 0.9, 8
+#: A single text within a slot is template if this part of the pages holds it there.
+EVERYWHERE = 0.98
 #: The content's root is the deepest node that holds this part of all varying text; slots of which links are so much are menus.
 MASS, LINKS = 0.8, 0.5
 #: Elements below this depth belong to their ancestor there; longer lists of children are matched in pieces of this length.
@@ -340,7 +341,7 @@ def in_slot(slot: int, text: int) -> int:
 
 def tally(reference: list[str], pages: list) -> list[tuple]:
     """(slot, digest, pages, same, state, chars, link) of the slots of the reference page over a block of pages, of the
-    texts that most of the block's pages hold in one slot (slot -2), and of the block itself (slot -1)."""
+    texts that nearly all of the block's pages hold in one slot (slot -2), and of the block itself (slot -1)."""
     root, _ = tree(reference)
     slots: dict[int, list] = {}
     commonest: dict[int, collections.Counter] = {}
@@ -356,14 +357,14 @@ def tally(reference: list[str], pages: list) -> list[tuple]:
                 commonest.setdefault(a.entry, collections.Counter())[tuple(map(int, e["digests"]))] += 1
     n = len(pages)
     rows = [(s, 0, v[0], max(commonest[s].values()), v[1], v[2], v[3]) for s, v in slots.items()]
-    return rows + [(-2, d, n, 0, 0, 0, 0) for d, k in texts.items() if k >= CONSTANT * n and n > 1] + [(-1, 0, n, 0, 0, 0, 0)]
+    return rows + [(-2, d, n, 0, 0, 0, 0) for d, k in texts.items() if k >= EVERYWHERE * n and n > 1] + [(-1, 0, n, 0, 0, 0, 0)]
 
 
 def wrapper_of(paths: list[str], facts: list[tuple]) -> str:
     """A host's wrapper, from the sums of tally()'s rows."""
     total = sum(f[2] for f in facts if f[0] == -1)
     content, root = choose(paths, {f[0]: f[2:] for f in facts if f[0] >= 0})
-    texts = sorted(int(f[1]) for f in facts if f[0] == -2 and total >= LEAST_PAGES and f[2] >= CONSTANT * total)
+    texts = sorted(int(f[1]) for f in facts if f[0] == -2 and total >= LEAST_PAGES and f[2] >= EVERYWHERE * total)
     return json.dumps({"paths": paths, "content": content, "root": root, "texts": texts, "pages": int(total)})
 
 
@@ -373,7 +374,7 @@ def induce(parsed: DataFrame) -> DataFrame:
     Different pages of a host are dealt to blocks of about 64 by a hash; hosts with fewer than LEAST_PAGES pages are
     aligned together, as the host of no name. The largest page of a host is the reference that each block is aligned to, so
     slots have the same meaning in all blocks and their counts can be summed; no task sees a whole host. A text
-    is template in a slot if blocks with nine tenths of the host's pages find it there on nine tenths of theirs.
+    is template in a slot if blocks with nearly all of the host's pages find it there on nearly all of theirs.
     """
     parsed = parsed.where(F.size("entries") > 0)
     sizes = materialise(parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n")), "sizes")
