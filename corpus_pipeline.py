@@ -1,6 +1,10 @@
 """The corpus pipeline: language ID, toxicity, near duplicates, decontamination, tokens.
 
 Every stage takes what the one before it kept; all but the last return the columns of documents.
+
+Documents whose text is null, empty or has no letter go in the first stage. Rows of a null doc_id are near copies of nothing and
+leak nothing, so they pass both; of rows that repeat a doc_id each goes or stays with the others. An empty table gives an
+empty one; further columns are carried along, and those that a stage makes for itself do not clash with them.
 """
 
 from __future__ import annotations
@@ -49,7 +53,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: Trained models and merges are beyond SQL; tests hold the near-duplicate and decontamination stages against brute force.
+#: Trained models and merges are beyond SQL; tests hold run() against a version that goes row by row, with brute force.
 ORACLE_SQL = None
 
 
