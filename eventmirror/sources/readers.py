@@ -30,11 +30,13 @@ def read_raw_deliveries(spark: SparkSession, path: str, streaming: bool = False,
 
 def select_snapshot(rows: DataFrame, object_types: Iterable[str] | None = None, since: int | None = None, status: str | None = None) -> DataFrame:
     """Upstream objects by type, created from `since` (epoch seconds) on, with one status; canceled
-    subscriptions are included unless a status is asked for."""
+    subscriptions are included unless a status is asked for. An export with a column `created` (epoch seconds) is
+    filtered by that, which its files can be skipped by; else the text is read."""
     if object_types is not None:
         rows = rows.where(F.col("object_type").isin(*object_types))
     if since is not None:
-        rows = rows.where(F.get_json_object("data", "$.created").try_cast("bigint") >= since)
+        created = F.col("created") if "created" in rows.columns else F.get_json_object("data", "$.created").try_cast("bigint")
+        rows = rows.where(created >= since)
     if status is not None:
         rows = rows.where(F.get_json_object("data", "$.status") == status)
     return rows
@@ -42,7 +44,7 @@ def select_snapshot(rows: DataFrame, object_types: Iterable[str] | None = None,
 
 def read_snapshot(spark: SparkSession, path: str, object_types: Iterable[str] | None = None, since: int | None = None, status: str | None = None) -> DataFrame:
     """select_snapshot() over Parquet files; if object_type is a partition column, it prunes them."""
-    return select_snapshot(spark.read.parquet(path).select(*SNAPSHOT.names), object_types, since, status)
+    return select_snapshot(spark.read.parquet(path), object_types, since, status).select(*SNAPSHOT.names)
 
 
 def select_listed_events(rows: DataFrame, window: tuple[datetime | Column, datetime | Column] | None = None, types: Iterable[str] | None = None) -> DataFrame:

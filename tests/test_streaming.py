@@ -177,6 +177,11 @@ def test_readers_and_history(spark, tmp_path):
     spark.createDataFrame([("charge", "a", '{"created":5,"status":"x"}'), ("charge", "b", '{"created":9}'), ("invoice", "c", '{"created":9}')], "object_type string, id string, data string").write.partitionBy("object_type").parquet(snapshot)
     assert [r.id for r in readers.read_snapshot(spark, snapshot, ["charge"], since=6).collect()] == ["b"]
     assert readers.read_snapshot(spark, snapshot, status="x").count() == 1
+    dated = str(tmp_path / "dated")
+    spark.read.parquet(snapshot).withColumn("created", F.get_json_object("data", "$.created").cast("bigint")).write.parquet(dated)
+    late = readers.read_snapshot(spark, dated, since=6)
+    assert sorted(r.id for r in late.collect()) == ["b", "c"] and late.columns == ["object_type", "id", "data"]
+    assert "GreaterThanOrEqual(created,6)" in late._jdf.queryExecution().executedPlan().toString()
     events = str(tmp_path / "listed")
     spark.createDataFrame([(f"e{i}", k, None, None, T0 + dt.timedelta(seconds=i), T0, "webhook", "{}", None, False) for i, k in enumerate(("a", "b", "a"))], EVENTS).write.parquet(events)
     window = (T0, T0 + dt.timedelta(seconds=2))
