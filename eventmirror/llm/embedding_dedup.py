@@ -28,7 +28,7 @@ LARGE = 8 * SHARD_ROWS
 DEGREE, POOL, BEAM = 16, 48, 24
 #: Vectors that the cluster centres are fitted on at most; there is a centre for each four of them at most.
 SAMPLE = 20_000
-MEMBERS = 1000
+MEMBERS = 250
 SLACK = 1e-9
 #: Leaders of this cosine are one node of the graph: rounding leaves their distances without an order.
 SAME = 1 - 1e-12
