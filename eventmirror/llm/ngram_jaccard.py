@@ -31,7 +31,7 @@ from .common import connected_components, discard, materialise, mix64, slices
 WORDS = 4
 #: Similarity as a fraction: 100 * intersection >= 85 * union.
 NUMERATOR, DENOMINATOR = 85, 100
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 #: An n-gram is put last if it is in so many documents of a task's batch of about one million n-grams and
 #: LOCAL_TOTAL in all, or in over FREQUENT prefixes. The order decides what the join costs, never what it
 #: finds, and so does the bound of the list.
@@ -44,7 +44,7 @@ SALTS = 16
 #: Hubs of long columns that are broadcast at most, about 40 bytes each.
 MOST_HUBS = 1_000_000
 #: A longer column is multiplied in blocks of so many rows, and pairs are passed on so many at a time.
-BIG, PAIRS = 50_000, 1 << 20
+BIG, PAIRS = 50_000, 1 << 17
 
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 1 << 64)

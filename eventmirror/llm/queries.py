@@ -14,8 +14,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Whole texts go to Python in batches; 1,000 rows keep a batch small.
+    # Whole texts go to Python in batches; 1,000 rows and, where long texts come together, 4 MB keep a batch small.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -70,7 +70,7 @@ def fold(texts: list[str]) -> list[str]:
     """
     plain, digits, inside = folding()
     out: list[str] = []
-    for a, b in slices(np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts)), 1 << 19):
+    for a, b in slices(np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts)), 1 << 17):
         joined = "".join(f" {t} \n" for t in texts[a:b])
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         mark = np.zeros(len(codes), bool)
