@@ -36,6 +36,14 @@ def discard(*tables: DataFrame) -> None:
             df._scratch = None
 
 
+def raw_text(df: DataFrame, text: str, kept: list[str]) -> DataFrame:
+    """The columns `kept` and, last, the bytes of the text, empty for a null, under a name that none of them has."""
+    name = "_text"
+    while name in kept:
+        name += "_"
+    return df.select(*kept, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias(name))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable from every id that edges mention.
 

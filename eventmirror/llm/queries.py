@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path
-from . import bpe, decontaminate, embedding_dedup, html_extract, langid, ngram_jaccard, preference, sharding, toxicity, warc
+from . import bpe, decontaminate, embedding_dedup, html_extract, langid, license_scan, ngram_jaccard, periodic_runs, preference, sharding, toxicity, vector_codes, warc
 from .common import materialise
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -70,11 +72,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.find_runs(docs.withColumn("text", periodic_runs.periodic_text(F.col("doc_id"), F.col("text")))))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(vector_codes.books_text(books).encode()).hexdigest()
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_decontamination, op3_html_extraction, op4_embedding_dedup, op5_preference_chat,
-        op6_ngram_jaccard, op7_language_id, op8_warc, op9_byte_bpe, op10_toxicity,
+        op6_ngram_jaccard, op7_language_id, op8_warc, op9_byte_bpe, op10_toxicity, op11_periodic_runs, op12_vector_codes, op13_license_scan,
     )
 }
 SQL = {
@@ -82,4 +99,6 @@ SQL = {
     "op5_preference_chat": preference.SQL,
     "op6_ngram_jaccard": ngram_jaccard.SQL,
     "op8_warc": warc.SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_license_scan": license_scan.SQL,
 }
