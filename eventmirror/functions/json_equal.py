@@ -1,15 +1,13 @@
-"""Structural comparison of JSON texts.
+"""Structural comparison of JSON texts, in built-in expressions alone.
 
-The one helper of the library that is no built-in expression: Spark's JSON functions neither drop keys at
-every depth nor compare numbers as 64-bit floats.
+A variant's text is compact and has sorted keys; what is left is done on that text. First every string is made free of what else has a
+meaning in JSON: escaped quotes and backslashes, brackets, commas and colons become control characters, which never occur
+in JSON as such. Then numbers are written as 64-bit floats, and volatile fields are cut wherever they stand.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Fields that change without a change of the object.
@@ -17,48 +15,95 @@ VOLATILE = {
     "invoice": ("webhooks_delivered_at", "invoice_pdf", "hosted_invoice_url"),
     "charge": ("receipt_url",),
 }
+_MARKS, _HIDDEN = "{}[],:", "\x04\x05\x06\x07\x0e\x0f"
+_BACKSLASH, _QUOTE = "\x02", "\x03"
+#: Objects and arrays within each other, and members of one of them, that the value of a volatile field may have to be cut.
+DEPTH, MEMBERS = 16, 1000
+#: A number that may be beyond 64-bit floats.
+_HUGE = "[eE][+]?[0-9]{3}|[0-9]{300}"
 
 
-def _canonical(text: str | None, drop: tuple[str, ...], strict_ints: bool, nulls: bool) -> str | None:
-    def clean(x):
-        if isinstance(x, dict):
-            return {k: clean(v) for k, v in x.items() if k not in drop and (nulls or v is not None)}
-        if isinstance(x, list):
-            return [clean(v) for v in x]
-        if isinstance(x, (int, float)) and not isinstance(x, bool):
-            x = x if strict_ints and isinstance(x, int) else float(x)
-            return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 1e300 else x
-        return x
+def take_last_keys(spark: SparkSession) -> None:
+    """Let variants of the session take the last value of a repeated key, as JSON readers do, instead of refusing the text."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
-    def refuse(name: str):
-        raise ValueError(name)
 
-    try:
-        return json.dumps(clean(json.loads(text, parse_constant=refuse)), sort_keys=True, separators=(",", ":"), allow_nan=False)
-    except (ValueError, TypeError, OverflowError, RecursionError):
-        return None
+#: A text that JSON from elsewhere hardly holds; one that holds it is parsed twice.
+_END = "\x10end"
 
 
-def canonical_json(data: Column, object_type: Column, strict_ints: bool = False, nulls: bool = True) -> Column:
-    """One text for all equal objects: keys sorted, volatile fields of the object type dropped at every depth,
-    numbers as 64-bit floats (integers exactly, with `strict_ints`). Null if the text is no JSON.
-    `nulls=False` also drops fields that are null."""
+def parsed(text: Column) -> Column:
+    """The text as a variant; null if it is not one JSON value and nothing else.
+
+    Spark's parser stops after the first value. In an array that is to end with a mark, only a lone value is followed by the mark. A
+    text that holds the mark itself is tried in an object too, which nothing but a lone value fits into as well as into an array.
+    """
+    if session := SparkSession.getActiveSession():
+        take_last_keys(session)
+    mark = F.lit('"\\u0010end"')
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")))
+    alone = F.try_variant_get(whole, "$[1]", "string") == _END
+    odd = F.contains(text, mark) & F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNull()
+    return F.when(alone & ~odd, F.try_variant_get(whole, "$[0]", "variant"))
+
+
+def _variant_text(text: Column) -> Column:
+    out = F.to_json(parsed(text))
+    # A number beyond floats becomes a text; such JSON equals nothing.
+    return F.when(~(F.contains(out, F.lit('Infinity"')) & text.rlike(_HUGE)), out)
+
 
-    @F.pandas_udf("string")
-    def helper(texts: pd.Series, types: pd.Series) -> pd.Series:
-        return pd.Series([_canonical(t, VOLATILE.get(k, ()), strict_ints, nulls) for t, k in zip(texts, types)], dtype=object)
+def _number(t: Column, strict_ints: bool) -> Column:
+    value = t.try_cast("double") + F.lit(0.0)  # no negative zero
+    whole = (F.rint(value) == value) & (F.abs(value) < 1e37)
+    out = F.when(whole, value.try_cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
+    return F.when(t.rlike("^-?[0-9]+$"), t).otherwise(out) if strict_ints else out
 
-    return helper(data, object_type)
+
+def _value() -> str:
+    inner = '"[^"]*"'
+    for _ in range(DEPTH):
+        inner = rf'[{{\[](?:[^{{}}\[\]"]++|"[^"]*"|{inner}){{0,{MEMBERS}}}+[}}\]]'
+    return rf'(?:"[^"]*"|{inner}|[^"{{}}\[\],]++)'
+
+
+def _pattern(pair: str) -> str:
+    """Matches the field with one comma. A quote after a bracket or comma opens a string, as strings hold neither."""
+    return rf"(?<=[{{,]){pair},|,?(?<=[{{,]){pair}"
+
+
+def canonical_json(data: Column, object_type: Column, strict_ints: bool = False, nulls: bool = True) -> Column:
+    """One text for all equal objects: keys sorted, volatile fields of the object type dropped at every depth,
+    numbers as 64-bit floats (integers exactly, with `strict_ints`). Null if the text is no JSON or holds a number beyond them.
+    `nulls=False` also drops fields that are null. A volatile field stays if its value is an object or array of over MEMBERS
+    members or DEPTH levels."""
+    text = F.replace(F.replace(_variant_text(data), F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    tokens = F.regexp_extract_all(text, F.lit('("[^"]*"|-?[0-9][-+.0-9eE]*|[^"0-9-]+)'), F.lit(1))
+    plain = lambda t: F.when(t.startswith('"'), F.translate(t, _MARKS, _HIDDEN)).when(t.rlike("^[-0-9]"), _number(t, strict_ints)).otherwise(t)
+    text = F.array_join(F.transform(tokens, plain), "")
+    for kind, names in VOLATILE.items():
+        own = object_type == kind
+        # One reference to the text, so that the expression does not grow with the kinds: other types get a pattern that never matches.
+        text = F.regexp_replace(text, F.when(own, F.lit(_pattern(rf'"(?:{"|".join(names)})":{_value()}'))).otherwise(F.lit("(?!)")), F.lit(""))
+    if not nulls:
+        text = F.regexp_replace(text, _pattern('"[^"]*":null(?=[,}])'), "")
+    return F.replace(F.replace(F.translate(text, _HIDDEN, _MARKS), F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
 
 
 def same_json(a: str, b: str, object_type: Column) -> Column:
-    """json_equal() of two columns, for rows most of which are equal: texts that are equal byte for byte count as equal without
-    a look inside; of the others only those that also differ as variants (sorted keys, plain numbers) are
-    given to the helper, which gets nulls for all others. Null equals nothing."""
-    variant = lambda c: F.to_json(F.try_parse_json(c))
-    same = (F.col(a) == F.col(b)) | F.coalesce(variant(a) == variant(b), F.lit(False))
-    open_ = ~F.coalesce(same, F.lit(True))
-    return F.coalesce(same, F.lit(False)) | json_equal(F.when(open_, F.col(a)), F.when(open_, F.col(b)), object_type)
+    """json_equal() of two columns, for rows most of which are equal: texts that are equal byte for byte need only be JSON, and
+    those that are equal as variants are compared no further. Null and text that is no JSON equal nothing."""
+    left, right = _variant_text(F.col(a)), _variant_text(F.col(b))
+    valid = F.when(F.col(a).rlike(_HUGE), left.isNotNull()).otherwise(parsed(F.col(a)).isNotNull())
+    differ = F.when(left == right, True).otherwise(json_equal(F.col(a), F.col(b), object_type))
+    return F.coalesce(F.when(F.col(a) == F.col(b), valid).otherwise(differ), F.lit(False))
+
+
+def digest(data: Column, object_type: Column) -> Column:
+    """A 64-bit hash that structurally equal objects share; null if the text is no JSON. Objects of types without volatile
+    fields may differ in it though equal, if one writes numbers with an exponent; comparing their texts tells."""
+    text = F.when(object_type.isin(*VOLATILE), canonical_json(data, object_type)).otherwise(_variant_text(data))
+    return F.when(text.isNotNull(), F.xxhash64(text))
 
 
 def json_equal(a: Column, b: Column, object_type: Column, strict_ints: bool = False) -> Column:

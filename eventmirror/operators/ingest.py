@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,14 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.event_types import resolve_type
+from ..functions.json_equal import parsed, take_last_keys
 from ..functions.payload import data_object_id
 from ..functions.signatures import signature_status
 from ..schemas import EVENTS
 from ..sources.writers import created_day
 
 MAX_BODY = 1 << 20
-#: Of the fields read here; JSON of another shape gives nulls in place of the whole.
-ENVELOPE = "id string, type string, api_version string, created bigint, livemode boolean"
+#: The fields read here, and the only kind of value that each may have, if it has one.
+ENVELOPE = {"id": "STRING", "type": "STRING", "api_version": "STRING", "created": "BIGINT", "livemode": "BOOLEAN"}
 
 
 def verify_signatures(deliveries: DataFrame, secrets: Sequence[str], tolerance_seconds: int = 300) -> DataFrame:
@@ -25,14 +27,25 @@ def verify_signatures(deliveries: DataFrame, secrets: Sequence[str], tolerance_s
 
 
 def parse_envelope(deliveries: DataFrame, source: str = "webhook", account_id: str | None = None) -> DataFrame:
-    """Event rows with `parse_status`: ok, too_large or bad_envelope (no JSON object, no id or no type).
+    """Event rows with `parse_status`: ok, too_large or bad_envelope.
 
-    No row is dropped. An empty api_version is null.
+    An envelope is one JSON object with an id and a type; its fields have the kinds of ENVELOPE or are null or absent, data and
+    data.object are objects and the id in there a text, if they are there. Of a repeated key the last value counts. No row is
+    dropped; one that is not ok has nulls for what the envelope would say. An empty api_version is null.
     """
+    take_last_keys(deliveries.sparkSession)
     text = F.decode(F.col("body"), "utf-8") if dict(deliveries.dtypes)["body"] == "binary" else F.col("body")
     large = F.octet_length("body") > MAX_BODY
-    rows = deliveries.withColumn("_text", F.when(~large, text))
-    rows = rows.withColumn("_e", F.when(F.try_parse_json("_text").isNotNull(), F.from_json("_text", ENVELOPE)))
+    variants = lambda *names: "struct<" + ",".join(f"{n}:variant" for n in names) + ">"
+    get = lambda c, kind: F.try_variant_get(F.col(c), "$", kind)
+    rows = deliveries.withColumn("_text", F.when(~large, text)).withColumn("_v", parsed(F.col("_text"))).withColumn("_e", get("_v", variants(*ENVELOPE, "data")))
+    rows = rows.withColumn("_d", get("_e.data", variants("object"))).withColumn("_o", get("_d.object", variants("id")))
+    has = lambda c: F.col(c).isNotNull() & ~F.is_variant_null(c)
+    wrong = lambda c, kind: has(c) & (F.schema_of_variant(c) != kind)
+    shape = functools.reduce(lambda a, b: a | b, [wrong(f"_e.{n}", kind) for n, kind in ENVELOPE.items()])
+    shape = shape | (has("_e.data") & F.col("_d").isNull()) | (has("_d.object") & F.col("_o").isNull()) | wrong("_o.id", "STRING")
+    fields = [F.when(~shape, get(f"_e.{n}", kind)).alias(n) for n, kind in ENVELOPE.items()]
+    rows = rows.withColumn("_e", F.struct(*fields))
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     status = F.when(F.coalesce(large, F.lit(False)), "too_large").when(empty(F.col("_e.id")) | empty(F.col("_e.type")), "bad_envelope").otherwise("ok")
     extra = [c for c in deliveries.columns if c not in EVENTS.names and c not in ("header", "body")]

@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_equal import parsed, take_last_keys
 from ..schemas import MIRROR
 
 KEY = ["object_type", "id"]
@@ -114,21 +115,28 @@ def explode_items(subscriptions: DataFrame, listing: DataFrame | None = None) ->
     """One row per item of each subscription (id, data): subscription, item_id, item, status.
 
     Where the embedded list has more, the complete listing (subscription, data) counts instead. status is ok,
-    no_id, or incomplete (more than is embedded and no listing): such a subscription gets a single row
-    without item, for quarantine, and is never cut short. One without items gives no row.
+    no_id, incomplete (more than is embedded and no listing) or unreadable (the subscription is no JSON object, or its
+    items or one of them are of another shape): a subscription of the latter two gets a single row without item, for
+    quarantine, and is never cut short or taken to have no items. One without items gives no row.
     """
+    take_last_keys(subscriptions.sparkSession)
     # Parsed once: each item stays the text it is. A cut list is one row without item, until the listing gives its items.
-    parsed = F.from_json("data", "items struct<data: array<string>, has_more: boolean>")["items"]
-    more = F.coalesce(F.col("_i.has_more"), F.lit(False))
-    rows = subscriptions.select(F.col("id").alias("subscription"), parsed.alias("_i"))
+    rows = subscriptions.select(F.col("id").alias("subscription"), "data", F.from_json("data", "items struct<data: array<string>, has_more: boolean>")["items"].alias("_i"))
+    # A text that gives no list of items in this shape is looked at more closely: only an object without items may have none.
+    v = parsed(F.col("data"))
+    own, items = F.try_variant_get(v, "$", "struct<items:variant>"), F.try_variant_get(v, "$.items", "struct<data:variant>")
+    absent = lambda c: c.isNull() | F.is_variant_null(c)
+    none_there = own.isNotNull() & (absent(own["items"]) | (items.isNotNull() & absent(items["data"])))
+    rows = rows.withColumn("_broken", F.when(F.col("_i.data").isNull(), F.coalesce(~none_there, F.lit(True))).otherwise(False))
+    more = F.coalesce(F.col("_i.has_more"), F.lit(False)) & ~F.col("_broken")
     none = F.array(F.lit(None).cast("string"))
-    out = rows.select("subscription", more.alias("_cut"), F.explode(F.when(more, none).otherwise(F.col("_i.data"))).alias("item"))
+    out = rows.select("subscription", "_broken", more.alias("_cut"), F.explode(F.when(more | F.col("_broken"), none).otherwise(F.col("_i.data"))).alias("item"))
     if listing is not None:
         own = listing.select("subscription", F.col("data").alias("_listed"), F.lit(True).alias("_cut"))
-        out = out.join(own, ["subscription", "_cut"], "left").select("subscription", "_cut", F.coalesce("_listed", "item").alias("item"))
+        out = out.join(own, ["subscription", "_cut"], "left").withColumn("item", F.coalesce("_listed", "item"))
     item_id = F.nullif(F.get_json_object("item", "$.id"), F.lit(""))
-    status = F.when(F.col("_cut") & F.col("item").isNull(), "incomplete").when(F.col("item_id").isNull(), "no_id").otherwise("ok")
-    return out.select("subscription", "_cut", item_id.alias("item_id"), "item").select("subscription", "item_id", "item", status.alias("status"))
+    status = F.when(F.col("_broken"), "unreadable").when(F.col("_cut") & F.col("item").isNull(), "incomplete").when(F.col("item_id").isNull(), "no_id").otherwise("ok")
+    return out.withColumn("item_id", item_id).select("subscription", "item_id", "item", status.alias("status"))
 
 
 def prune_items(mirror: DataFrame, kept: DataFrame, refreshed: DataFrame, as_of: Column) -> DataFrame:
@@ -144,8 +152,8 @@ def prune_items(mirror: DataFrame, kept: DataFrame, refreshed: DataFrame, as_of:
 
 
 def subscription_writes(subscriptions: DataFrame, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows to upsert, refreshed ids) for subscriptions (id, data) with all their items. Those whose items are
-    incomplete or lack an id are left out, and so stay as they were."""
+    """(rows to upsert, refreshed ids) for subscriptions (id, data) with all their items. Those that are unreadable or whose
+    items are incomplete or lack an id are left out, and so stay as they were with all their items."""
     items = explode_items(subscriptions, listing)
     bad = items.where(F.col("status") != "ok").select(F.col("subscription").alias("id")).distinct()
     good = subscriptions.select("id", "data").join(bad, "id", "left_anti")

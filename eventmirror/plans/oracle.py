@@ -237,6 +237,10 @@ SQL = {
         SELECT coalesce(u.id, m.id) AS id, CASE WHEN kind IN ('stale', 'missing') THEN u.amount ELSE m.amount END AS amount,
           CASE WHEN kind IN ('stale', 'missing') THEN false ELSE m.is_deleted END AS is_deleted, CASE WHEN kind IN ('stale', 'missing') THEN {AS_OF} ELSE m.updated_at END::BIGINT AS updated_at
         FROM up u FULL JOIN mine m USING (k) LEFT JOIN d ON d.id = coalesce(u.id, m.id)"""),
+    "s7_mirror_changes": over(CHARGES, DRIFT, select="SELECT 'charge' AS object_type, id AS object_id FROM d WHERE kind IN ('stale', 'missing')"),
+    "s5_mirror_in_runs": over(CHARGES, select=f"""
+        SELECT coalesce(u.id, m.id) AS id, coalesce(u.amount, m.amount) AS amount, CASE WHEN u.id IS NOT NULL THEN false ELSE m.is_deleted END AS is_deleted,
+          CASE WHEN u.id IS NOT NULL THEN {AS_OF} ELSE m.updated_at END::BIGINT AS updated_at FROM up u FULL JOIN mine m USING (k)"""),
     "s6_append_verification": over(CHARGES, DRIFT, "runs AS (SELECT 1::BIGINT AS verification_id, * FROM d UNION ALL SELECT 2, * FROM d WHERE created >= 852076800)", "sums AS (SELECT verification_id, count(*) AS checked, count(kind) AS drifted FROM runs GROUP BY 1)", select=f"""
         SELECT verification_id, id AS object_id, kind, checked, drifted, false AS repaired, 'full' AS mode, {AS_OF}::BIGINT AS finished_at FROM runs JOIN sums USING (verification_id) WHERE kind IS NOT NULL"""),
 }

@@ -15,7 +15,8 @@ from ..operators import backfill, fold, importer, ingest, mirror, monitor, reten
 from ..schemas import EVENTS, GAPS, LOG, MIRROR, STATE
 from ..sources.readers import read_legacy_tables, read_raw_deliveries, select_listed_events, select_snapshot
 from ..sources.scratch import fresh_path, stored
-from ..sources.writers import append_verification, created_day, read_current, read_log, read_verifications, update_mirror, write_log, write_mirror
+from ..sources.tables import compact, read_current
+from ..sources.writers import append_verification, created_day, mirror_changes, read_log, read_verifications, update_mirror, write_log, write_mirror
 from ..streaming.jobs import read_applied, stream_apply, stream_gap_detect, stream_ingest, stream_silent_webhooks
 from . import adapters as A
 
@@ -500,13 +501,35 @@ def s4_legacy_tables(spark, d):
     return functools.reduce(DataFrame.unionByName, [t.select(F.lit(kind).alias("object_type"), rows[kind].alias("name")) for kind, t in sorted(found.items())])
 
 
-def s5_write_mirror(spark, d):
-    """The mirror as a published table, then the stale and missing charges written into their buckets."""
+def _updated(spark, d):
+    """(path, version of the whole mirror) of a published mirror into which the stale and missing charges were written."""
     path, up, mine = fresh_path(spark, "mirror"), A.charge_snapshot(spark, d), A.charge_mirror(spark, d)
-    write_mirror(mine, path, buckets=8)
+    first = write_mirror(mine, path, range_rows=2_000)
     bad = verify.drifts(verify.full_diff(up, mine)).where("kind <> 'orphaned'").select("object_type", F.col("object_id").alias("id"))
     rows = stored(up.join(bad, ["object_type", "id"], "left_semi"), "changes")
     update_mirror(path, rows, lambda own: mirror.upsert_objects(own, rows, A.as_of()))
+    return path, first
+
+
+def s5_write_mirror(spark, d):
+    """The mirror as a published table, then the stale and missing charges written over it."""
+    return read_current(spark, _updated(spark, d)[0], MIRROR).select("id", number("amount", "amount"), "is_deleted", sec("updated_at"))
+
+
+def s7_mirror_changes(spark, d):
+    """What a follower of that table that saw its first version has to fetch."""
+    path, first = _updated(spark, d)
+    return mirror_changes(spark, path, first)
+
+
+def s5_mirror_in_runs(spark, d):
+    """The mirror, all of upstream's charges written over it in five batches, runs merged as they come due and then into one."""
+    path, up = fresh_path(spark, "runs"), A.charge_snapshot(spark, d)
+    write_mirror(A.charge_mirror(spark, d), path, range_rows=2_000)
+    for batch in range(5):
+        rows = up.where(F.pmod(F.xxhash64("id"), F.lit(5)) == batch)
+        update_mirror(path, rows, lambda own: mirror.upsert_objects(own, rows, A.as_of()))  # noqa: B023
+    compact(spark, path, MIRROR, whole=True)
     return read_current(spark, path, MIRROR).select("id", number("amount", "amount"), "is_deleted", sec("updated_at"))
 
 
@@ -542,7 +565,7 @@ def _applied(spark, d):
     for first in (True, False):
         write_log(A.half(spark, d, first), log)
         events = spark.readStream.schema(LOG).parquet(log)
-        _run(stream_apply(events, table, A.as_of, feed, buckets=8), state)
+        _run(stream_apply(events, table, A.as_of, feed, range_rows=1_000), state)
     return table, feed
 
 

@@ -1,144 +1,36 @@
-"""Sinks.
-
-A table is dealt to hash buckets of its keys. A write stores new folders for the buckets that it changes and then
-publishes them by one small file that says where every bucket lies. Such a file is never changed or replaced: the
-newest complete one counts, so a crash at any point leaves the table as it was. One writer at a time.
-"""
+"""Sinks."""
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DRIFTS, LOG, MIRROR, VERIFICATIONS
+from .tables import RANGE_ROWS, changes_between, exists, rows_of, upsert_rows, write_table
 
-BUCKETS = 64
 DAY = 86_400
 
 
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _fs(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, where = _fs(spark, path), _path(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    return _fs(spark, path).exists(_path(spark, path))
-
+MIRROR_KEYS = ["object_type", "id"]
 
-def _manifests(spark: SparkSession, path: str) -> list[tuple[int, dict]]:
-    """(number, content) of the complete publications, oldest first."""
-    out = []
-    for name in _names(spark, f"{path}/_published"):
-        stream = _fs(spark, path).open(_path(spark, f"{path}/_published/{name}"))
-        try:
-            out.append((int(name), json.loads(bytes(stream.readAllBytes()).decode())))
-        except ValueError:
-            continue  # its writer stopped half way
-        finally:
-            stream.close()
-    return out
 
+def write_mirror(mirror: DataFrame, path: str, range_rows: int = RANGE_ROWS, expected_rows: int | None = None) -> int:
+    """Publish the whole mirror; returns its version."""
+    return write_table(mirror.select(*MIRROR.names), path, MIRROR_KEYS, range_rows, expected_rows)
 
-def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
-    taken = [int(n) for n in _names(spark, f"{path}/_published")]
-    # An existing file is never overwritten, so of two writers at once one fails.
-    out = _fs(spark, path).create(_path(spark, f"{path}/_published/{max(taken, default=-1) + 1:012d}"), False)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
 
+def update_mirror(path: str, changes: DataFrame, change: Callable[[DataFrame], DataFrame], range_rows: int = RANGE_ROWS) -> int:
+    """Publish the rows that the keys of `changes` (object_type, id) have after the change: `change` gets the mirror's rows of
+    these keys and returns their new rows. Reads the ranges that the keys fall into, writes the returned rows; returns the version."""
+    own = rows_of(changes.sparkSession, path, MIRROR, changes.select(*MIRROR_KEYS))
+    return upsert_rows(change(own).select(*MIRROR.names), path, MIRROR_KEYS, range_rows)
 
-def current_manifest(spark: SparkSession, path: str) -> dict | None:
-    """What is published: buckets (their number), at (folder of each bucket that has rows) and notes; None for no table.
 
-    Folders without any publication mean a damaged table, since the first publication comes before the first folder.
-    """
-    known = _manifests(spark, path)
-    if known:
-        return known[-1][1]
-    if any(n.startswith("version=") for n in _names(spark, path)):
-        raise ValueError(f"{path} holds data, but nothing says which of it is published")
-    return None
-
-
-def bucket_of(keys: Iterable[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
-def write_buckets(df: DataFrame, path: str, keys: tuple[str, ...], touched: list[int] | None = None, buckets: int = BUCKETS, notes: dict | None = None) -> None:
-    """Publish df as the rows of the buckets `touched`, others staying as they are, or as the whole table if None.
-
-    df may derive from what is published now. The number of buckets is fixed by the table's first write; a task
-    writes a bucket, so choose it so that one is some hundred megabytes. The two newest publications stay readable;
-    older ones are deleted.
-    """
-    spark = df.sparkSession
-    if current_manifest(spark, path) is None:
-        _publish(spark, path, {"buckets": buckets, "at": {}})
-    now = current_manifest(spark, path)
-    version = f"version={uuid.uuid4().hex}"
-    rows = df.withColumn("bucket", bucket_of(keys, now["buckets"]))
-    # Few rows of a bucket lie in few files, sorted by key, so that scans for one object type skip most of them.
-    rows.repartition("bucket").sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(f"{path}/{version}")
-    at = {} if touched is None else {b: v for b, v in now["at"].items() if int(b) not in set(touched)}
-    at |= {n.removeprefix("bucket="): version for n in _names(spark, f"{path}/{version}") if n.startswith("bucket=")}
-    _publish(spark, path, {"buckets": now["buckets"], "at": at, **(notes or {})})
-    _sweep(spark, path)
-
-
-def _sweep(spark: SparkSession, path: str) -> None:
-    """Delete what neither of the two newest publications names."""
-    fs, known = _fs(spark, path), _manifests(spark, path)
-    used = {f"{v}/bucket={b}" for _, m in known[-2:] for b, v in m["at"].items()}
-    for version in [n for n in _names(spark, path) if n.startswith("version=")]:
-        inside = [n for n in _names(spark, f"{path}/{version}") if n.startswith("bucket=")]
-        dead = [n for n in inside if f"{version}/{n}" not in used]
-        for n in [version] if len(dead) == len(inside) else [f"{version}/{n}" for n in dead]:
-            fs.delete(_path(spark, f"{path}/{n}"), True)
-    for number, _ in known[:-2]:
-        fs.delete(_path(spark, f"{path}/_published/{number:012d}"), False)
-
-
-def read_current(spark: SparkSession, path: str, schema, touched: list[int] | None = None) -> DataFrame:
-    """The published rows, of the buckets `touched` only if given; an empty table if nothing was ever written."""
-    now = current_manifest(spark, path)
-    at = {} if now is None else {b: v for b, v in now["at"].items() if touched is None or int(b) in set(touched)}
-    if not at:
-        return spark.createDataFrame([], schema)
-    return spark.read.option("basePath", path).schema(schema).parquet(*[f"{path}/{v}/bucket={b}" for b, v in sorted(at.items())]).select(*schema.names)
-
-
-MIRROR_KEYS = ("object_type", "id")
-
-
-def write_mirror(mirror: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Publish the whole mirror."""
-    write_buckets(mirror.select(*MIRROR.names), path, MIRROR_KEYS, buckets=buckets)
-
-
-def update_mirror(path: str, changes: DataFrame, change, buckets: int = BUCKETS) -> None:
-    """Rewrite only the buckets that the keys of `changes` (object_type, id) fall into: `change` gets the mirror's rows
-    of those buckets and returns their rows after the change. Runs a job to find the buckets."""
-    spark = changes.sparkSession
-    touched = touched_buckets(changes, path, MIRROR_KEYS, buckets)
-    write_buckets(change(read_current(spark, path, MIRROR, touched)).select(*MIRROR.names), path, MIRROR_KEYS, touched, buckets)
-
-
-def touched_buckets(keys: DataFrame, path: str, names: tuple[str, ...], buckets: int = BUCKETS) -> list[int]:
-    """The buckets of the table that the keys fall into: as many numbers as the table has buckets at most."""
-    now = current_manifest(keys.sparkSession, path)
-    return sorted(r[0] for r in keys.select(bucket_of(names, now["buckets"] if now else buckets)).distinct().collect())
+def mirror_changes(spark: SparkSession, path: str, after: int, upto: int | None = None) -> DataFrame:
+    """(object_type, object_id) of what was written after a version; ids only, read from the runs of later versions."""
+    return changes_between(spark, path, MIRROR, after, upto).select("object_type", F.col("id").alias("object_id"))
 
 
 def created_day(created: Column) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import fold, ingest
 from ..schemas import MIRROR, STATE
-from ..sources.writers import BUCKETS, change_feed, current_manifest, read_current, read_log, touched_buckets, write_buckets, write_log
+from ..sources.tables import RANGE_ROWS, current_manifest, read_current, rows_of, upsert_rows
+from ..sources.writers import change_feed, read_log, write_log
 
 
 def stream_ingest(deliveries: DataFrame, log_path: str, secrets: Sequence[str], tolerance_seconds: int = 300, on_batch: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
@@ -52,12 +53,12 @@ APPLIED = T.StructType([
 
 
 def stream_apply(
-    events: DataFrame, table_path: str, as_of: Callable[[], Column] = F.current_timestamp, feed_path: str | None = None, stream: str = "apply", buckets: int = BUCKETS
+    events: DataFrame, table_path: str, as_of: Callable[[], Column] = F.current_timestamp, feed_path: str | None = None, stream: str = "apply", range_rows: int = RANGE_ROWS
 ) -> DataStreamWriter:
     """Fold log events into mirror and state; no watermark, since a late event only loses to newer ones.
 
-    Mirror and state are one table, so they never disagree. A batch reads and rewrites only the buckets that its
-    objects fall into, and publishes them at once with its number. With `feed_path` the ids of changed objects are written there
+    Mirror and state are one table, so they never disagree. A batch reads the rows of its objects from the ranges that
+    they fall into, writes their new rows, and publishes these at once with its number. With `feed_path` the ids of changed objects are written there
     first, in a folder of the batch, so a batch that runs again neither loses nor doubles them. `stream` names the
     checkpoint: give a stream that starts anew from an empty checkpoint another name.
     """
@@ -68,13 +69,12 @@ def stream_apply(
         if done.get(stream, -1) >= number:
             return  # published before a crash
         work = fold.mapped(rows).persist()
-        touched = touched_buckets(work, table_path, tuple(fold.OBJECT), buckets)
-        table = read_current(spark, table_path, APPLIED, touched)
+        table = rows_of(spark, table_path, APPLIED, work.select(*fold.OBJECT))
         applied = fold.apply_events(work, fold.mirror_of(table), fold.state_of(table), as_of()).persist()
         try:
             if feed_path:
                 change_feed(fold.changes_of(applied), feed_path, number)
-            write_buckets(applied.select(*APPLIED.names), table_path, tuple(fold.OBJECT), touched, buckets, {"batches": done | {stream: number}})
+            upsert_rows(applied.select(*APPLIED.names), table_path, fold.OBJECT, range_rows, {"batches": done | {stream: number}})
         finally:
             applied.unpersist()
             work.unpersist()

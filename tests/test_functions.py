@@ -2,13 +2,14 @@ import datetime as dt
 import hashlib
 import hmac
 import itertools
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from eventmirror.functions.event_types import BACKFILL_TYPES, VERIFY_TYPES, plan, resolve_type, subscribed_types
-from eventmirror.functions.json_equal import canonical_json, json_equal
+from eventmirror.functions.json_equal import VOLATILE, canonical_json, json_equal, same_json
 from eventmirror.functions.payload import after, event_newer
 from eventmirror.functions.signatures import signature_status
 from eventmirror.operators.ingest import parse_envelope, resolve_event
@@ -119,3 +120,83 @@ def test_json_equal(spark):
     strict = spark.createDataFrame([("9007199254740993", "9007199254740992")], "a string, b string")
     assert not strict.select(json_equal(F.col("a"), F.col("b"), F.lit("x"), strict_ints=True)).first()[0]
     assert strict.select(canonical_json(F.lit('{"b":{"c":null},"a":null}'), F.lit("x"), nulls=False)).first()[0] == '{"b":{}}'
+
+
+def plain_canonical(text, kind):
+    """The canonical form by Python's own reader; None for no JSON."""
+
+    def clean(x):
+        if isinstance(x, dict):
+            return {k: clean(v) for k, v in x.items() if k not in VOLATILE.get(kind, ())}
+        if isinstance(x, list):
+            return [clean(v) for v in x]
+        return x if isinstance(x, (bool, str)) or x is None else float(x)
+
+    def refuse(name):
+        raise ValueError(name)
+
+    try:
+        return json.dumps(clean(json.loads(text, parse_constant=refuse)), sort_keys=True, allow_nan=False)
+    except (ValueError, TypeError, OverflowError):
+        return None
+
+
+def test_json_equal_against_plain_python(spark):
+    rnd = random.Random(8)
+    names = ["a", "b", "receipt_url", "invoice_pdf", "é", 'q"', "back\\", "x,y", "{", "receipt_url:"]
+    scalars = ["null", "true", "1", "1.0", "1.50", "1.5", "1e2", "100", "-0", "0", "1E-7", "0.0000001", "12345678901234567890", "12345678901234567891.0", '"1"', '"a,null}"', '":null,"', '"\\\\"', '"\\\""', '"\\u00e9"', '"é"', '"receipt_url"', '""']
+
+    def value(depth):
+        kind = rnd.randrange(4 if depth else 2)
+        if kind < 2:
+            return rnd.choice(scalars)
+        if kind == 2:
+            return "[" + rnd.choice([",", " , "]).join(value(depth - 1) for _ in range(rnd.randrange(4))) + "]"
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=rnd.random() < 0.5)}: {value(depth - 1)}" for k in rnd.choices(names, k=rnd.randrange(5))) + "}"
+
+    def shuffled(text):
+        def walk(x):
+            if isinstance(x, dict):
+                keys = list(x)
+                rnd.shuffle(keys)
+                return {k: walk(x[k]) for k in keys}
+            return [walk(v) for v in x] if isinstance(x, list) else x
+
+        return json.dumps(walk(json.loads(text)), ensure_ascii=rnd.random() < 0.5)
+
+    texts = [value(4) for _ in range(300)]
+    odd = ["{bad", '{"a":NaN}', '{"a":1e999}', '{"a":-1e999}', '{"a":"Infinity"}', "", " ", '{"a":1} x', '{"a":1}}', "[1] [2]", "1] [2", "1} x", "1,2", '1,"a":2', '{"a":01}', "{'a':1}", '{"a":1,"a":2}', '{"a":2}', '{"a":"\t"}', None]
+    pairs = [(t, t) for t in texts[:40] + odd] + [(t, shuffled(t)) for t in texts] + list(zip(texts, texts[1:])) + list(itertools.product(odd, odd))
+    # The same object with other volatile fields, at any depth.
+    deep = ['{"a":[{"receipt_url":%s,"b":{"receipt_url":%s}},{"invoice_pdf":%s}]}' % tuple(rnd.choice([*scalars, value(3)]) for _ in range(3)) for _ in range(60)]
+    pairs += list(zip(deep, deep[1:]))
+    rows = [(a, b, kind, plain_canonical(a, kind) is not None and plain_canonical(a, kind) == plain_canonical(b, kind)) for a, b in pairs for kind in ("charge", "invoice", "x")]
+    df = spark.createDataFrame(rows, "a string, b string, t string, want boolean")
+    got = df.select("*", json_equal(F.col("a"), F.col("b"), F.col("t")).alias("got"), same_json("a", "b", F.col("t")).alias("quick"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r for r in got.collect() if not (r.got == r.quick == r.want)] == []
+    assert 100 < sum(r[3] for r in rows) < len(rows) - 100
+
+
+def test_canonical_json_is_json(spark):
+    rows = [('{"b":1.5,"a":{"receipt_url":null,"x":[null,{"y":null}]},"z":null}', '{"a":{"x":[null,{}]},"b":1.5}'), ('{"a":null,"b":null,"c":1,"d":null,"e":null}', '{"c":1}'), ('{"a":null}', "{}"), ('{"a":":null,","b":null}', '{"a":":null,"}'), ("[null]", "[null]")]
+    df = spark.createDataFrame(rows, "t string, want string").select("want", canonical_json(F.col("t"), F.lit("charge"), nulls=False).alias("got"))
+    assert [r for r in df.collect() if r.got != r.want] == []
+
+
+def test_envelopes_are_read_by_type(spark):
+    good = '{"id":"e","type":"t","created":5,"livemode":true,"api_version":"v","data":{"object":{"id":"o"}}}'
+    cases = {
+        good: "ok", good.replace("}}}", '},"object":{"id":"p"}}}'): "ok", '{"id":"x","id":"e","type":"t","created":5}': "ok", '{"id":"e","type":"t"}': "ok", '{"id":"e","type":"t","created":null,"livemode":null,"data":null}': "ok",
+        '{"id":"e","type":"t","data":{"object":null}}': "ok", '{"id":"e","type":"t","data":{"object":{"id":null}}}': "ok",
+        **dict.fromkeys([
+            good.replace("5", '"x"'), good.replace("5", "1.0"), good.replace("5", "1e3"), good.replace("5", "99999999999999999999"), good.replace('"e"', "5"), good.replace('"t"', "true"), good.replace("true", '"true"'), good.replace("true", "1"),
+            good.replace('"v"', "1"), good.replace('"o"', "7"), '{"id":"e","type":"t","data":[]}', '{"id":"e","type":"t","data":{"object":"x"}}', good + "x", good + "}", f"[{good}]", '"e"', "null", "", '{"id":"","type":"t"}', '{"id":"e"}', '{"id":"e","type":null}', "{bad",
+        ], "bad_envelope"),
+    }
+    df = spark.createDataFrame([(k, T0) for k in cases], "body string, received_at timestamp")
+    got = {r.payload: r for r in parse_envelope(df).collect()}
+    assert {k: r.parse_status for k, r in got.items()} == cases
+    r = got[good]
+    assert (r.event_id, r.type, r.api_version, r.created.timestamp() if r.created.tzinfo else r.created.replace(tzinfo=UTC).timestamp(), r.livemode) == ("e", "t", "v", 5, True)
+    assert got['{"id":"x","id":"e","type":"t","created":5}'].event_id == "e" and all(r.event_id is None for k, r in got.items() if cases[k] != "ok" and k not in ('{"id":"","type":"t"}', '{"id":"e"}', '{"id":"e","type":null}'))

@@ -2,6 +2,8 @@ import datetime as dt
 import hashlib
 import hmac
 import json
+import random
+import re
 import shutil
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventmirror.operators import fold, ingest
 from eventmirror.schemas import EVENTS, GAPS, MIRROR, RAW_DELIVERIES, STATE
-from eventmirror.sources import readers, writers
+from eventmirror.sources import readers, tables, writers
 from eventmirror.streaming import jobs
 
 T0 = dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
@@ -40,7 +42,7 @@ def test_ingest_and_apply_survive_restarts(spark, tmp_path):
 
     def apply_once():
         events = spark.readStream.schema(EVENTS).parquet(log_path)
-        run(jobs.stream_apply(events, table, lambda: F.lit(T0).cast("timestamp"), str(tmp_path / "feed"), buckets=3), str(tmp_path / "c2"))
+        run(jobs.stream_apply(events, table, lambda: F.lit(T0).cast("timestamp"), str(tmp_path / "feed"), range_rows=2), str(tmp_path / "c2"))
 
     ingest_once()
     apply_once()
@@ -100,53 +102,113 @@ def mirror_rows(*ids, data="{}"):
     return [("customer", str(n), data, None, False, None, T0) for n in ids]
 
 
-def test_publishing_whole_tables_and_single_buckets(spark, tmp_path):
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_publishing_whole_tables_and_batches(spark, tmp_path):
     path = str(tmp_path / "mirror")
-    assert writers.read_current(spark, path, MIRROR).count() == 0
+    assert tables.read_current(spark, path, MIRROR).count() == 0
     for n in (2, 5, 0, 3):
-        writers.write_mirror(spark.createDataFrame(mirror_rows(*range(n)), MIRROR), path, buckets=4)
-        assert writers.read_current(spark, path, MIRROR).count() == n
-    current = writers.read_current(spark, path, MIRROR)
-    writers.write_mirror(current.unionByName(spark.createDataFrame(mirror_rows(9), MIRROR)), path)
-    before = writers.current_manifest(spark, path)
-    assert writers.read_current(spark, path, MIRROR).count() == 4 and before["buckets"] == 4
+        writers.write_mirror(spark.createDataFrame(mirror_rows(*range(n)), MIRROR), path)
+        assert tables.read_current(spark, path, MIRROR).count() == n
+    current = tables.read_current(spark, path, MIRROR)
+    before = writers.write_mirror(current.unionByName(spark.createDataFrame(mirror_rows(9), MIRROR)), path)
+    assert tables.read_current(spark, path, MIRROR).count() == 4
     one = spark.createDataFrame(mirror_rows("9"), MIRROR).select("object_type", "id")
-    writers.update_mirror(path, one, lambda own: own.withColumn("data", F.when(F.col("id") == "9", F.lit("new")).otherwise(F.col("data"))))
-    after = writers.current_manifest(spark, path)
-    (touched,) = writers.touched_buckets(one, path, writers.MIRROR_KEYS)
-    assert {b for b in after["at"] if after["at"][b] != before["at"].get(b)} == {str(touched)}
-    assert {r.id: r.data for r in writers.read_current(spark, path, MIRROR).collect()} == {"0": "{}", "1": "{}", "2": "{}", "9": "new"}
-    assert len([n for n in writers._names(spark, f"{path}/_published")]) == 2
+    after = writers.update_mirror(path, one, lambda own: own.withColumn("data", F.lit("new")))
+    assert {r.id: r.data for r in tables.read_current(spark, path, MIRROR).collect()} == {"0": "{}", "1": "{}", "2": "{}", "9": "new"}
+    assert {r.id: r.data for r in tables.read_current(spark, path, MIRROR, before).collect()}["9"] == "{}"
+    assert [tuple(r) for r in writers.mirror_changes(spark, path, before).collect()] == [("customer", "9")] and writers.mirror_changes(spark, path, after).count() == 0
+    assert writers.update_mirror(path, one.limit(0), lambda own: own) > after and tables.read_current(spark, path, MIRROR).count() == 4
+    assert len(tables.names_in(spark, f"{path}/_published")) == tables.KEPT
+
+
+def test_batches_cost_their_size_and_ranges_halve(spark, tmp_path):
+    """Twelve batches of new and known keys against a dictionary: any number of merges in between, and every change seen by a follower."""
+    path, where = str(tmp_path / "mirror"), tmp_path / "mirror"
+    rnd = random.Random(6)
+    many = [(k, f"c{i}", "x" * 200, None, False, None, T0) for k in ("customer", "charge") for i in range(20_000)]
+    writers.write_mirror(spark.createDataFrame(many, MIRROR), path, range_rows=5_000)
+    (run_,) = tables.current_manifest(spark, path)["runs"]
+    assert run_["bits"] == 3 and run_["rows"] == 40_000
+    whole = folder_bytes(where)
+    model = {(r[0], r[1]): r[2] for r in many}
+    seen = dict(model)
+    version = tables.current_manifest(spark, path)["version"]
+    for batch in range(12):
+        rows = {(rnd.choice(["customer", "charge", None]), rnd.choice([None, *(f"c{rnd.randrange(22_000)}" for _ in range(50))])): f"{batch}" for _ in range(100)}
+        keys = spark.createDataFrame([(*k, v) for k, v in rows.items()], "object_type string, id string, new string")
+        was = folder_bytes(where)
+        if batch == 0:
+            assert was < 2 * whole
+        own = tables.rows_of(spark, path, MIRROR, keys)
+        assert {(r.object_type, r.id): r.data for r in own.collect()} == {k: model[k] for k in rows if k in model}
+        out = keys.select("object_type", "id", F.col("new").alias("data"), *[F.lit(None).cast(MIRROR[c].dataType).alias(c) for c in MIRROR.names[3:]])
+        tables.upsert_rows(out, path, writers.MIRROR_KEYS)
+        model |= rows
+        if batch < 3:
+            assert folder_bytes(where) - was < whole / 10  # a hundredth of the keys, and not yet merged
+        assert {(r.object_type, r.id): r.data for r in tables.read_current(spark, path, MIRROR).collect()} == model
+        if batch % 3 == 2:
+            changed = tables.changes_between(spark, path, MIRROR, version)
+            assert run_["folder"] not in "".join(changed.inputFiles())
+            seen |= {(r.object_type, r.id): r.data for r in changed.collect()}
+            version = tables.current_manifest(spark, path)["version"]
+            assert seen == model
+    assert len(tables.current_manifest(spark, path)["runs"]) < 8
+    more = spark.createDataFrame([("customer", f"n{i}", "{}", None, False, None, T0) for i in range(40_000)], MIRROR)
+    tables.upsert_rows(more, path, writers.MIRROR_KEYS, merge=False)
+    assert tables.compact(spark, path, MIRROR, whole=True) and tables.compact(spark, path, MIRROR, whole=True) is None
+    (run_,) = tables.current_manifest(spark, path)["runs"]
+    assert run_["bits"] == 5 and tables.read_current(spark, path, MIRROR).count() == len(model) + 40_000
+    opened = tables.rows_of(spark, path, MIRROR, spark.createDataFrame([("customer", "n7")], "object_type string, id string"))
+    assert [r.id for r in opened.collect()] == ["n7"]
+    assert re.search(r"PartitionFilters: \[[^\]]*range#\d+ = \d+", opened._jdf.queryExecution().executedPlan().toString())
+    with pytest.raises(ValueError):
+        tables.upsert_rows(more, path, ["id"])
+    with pytest.raises(ValueError):
+        tables.read_current(spark, path, MIRROR, 1)
+
+
+def test_runs_are_merged_as_they_double():
+    runs, written = [], 0
+    for _ in range(1000):
+        runs.append({"rows": 1})
+        if due := tables.due_runs(runs):
+            runs[-len(due) :] = [{"rows": sum(r["rows"] for r in due)}]
+            written += runs[-1]["rows"]
+        assert len(runs) < 16
+    assert written < 1000 * 10
 
 
 @pytest.mark.parametrize("stop", ["before publishing", "while publishing", "before the sweep"])
 def test_a_crash_leaves_the_old_table_or_the_new(spark, tmp_path, monkeypatch, stop):
     path = str(tmp_path / "mirror")
-    writers.write_mirror(spark.createDataFrame(mirror_rows(*range(5)), MIRROR), path, buckets=2)
+    writers.write_mirror(spark.createDataFrame(mirror_rows(*range(5)), MIRROR), path)
 
     def crash(*_):
         raise RuntimeError("killed")
 
-    def half(session, where, manifest):
-        number = max(int(n) for n in writers._names(session, f"{where}/_published")) + 1
+    def half(session, where, number, manifest):
         (tmp_path / "mirror" / "_published" / f"{number:012d}").write_text(json.dumps(manifest)[:20])
         crash()
 
     with monkeypatch.context() as m:
-        m.setattr(writers, "_sweep" if stop == "before the sweep" else "_publish", half if stop == "while publishing" else crash)
+        m.setattr(tables, "_sweep" if stop == "before the sweep" else "publish", half if stop == "while publishing" else crash)
         with pytest.raises(RuntimeError):
             writers.write_mirror(spark.createDataFrame(mirror_rows(*range(7)), MIRROR), path)
-    assert writers.read_current(spark, path, MIRROR).count() == (7 if stop == "before the sweep" else 5)
-    writers.write_mirror(writers.read_current(spark, path, MIRROR).unionByName(spark.createDataFrame(mirror_rows("x"), MIRROR)), path)
-    assert writers.read_current(spark, path, MIRROR).count() == (8 if stop == "before the sweep" else 6)
+    assert tables.read_current(spark, path, MIRROR).count() == (7 if stop == "before the sweep" else 5)
+    writers.write_mirror(tables.read_current(spark, path, MIRROR).unionByName(spark.createDataFrame(mirror_rows("x"), MIRROR)), path)
+    assert tables.read_current(spark, path, MIRROR).count() == (8 if stop == "before the sweep" else 6)
 
 
 def test_data_without_publication_is_an_error(spark, tmp_path):
     path = str(tmp_path / "mirror")
-    writers.write_mirror(spark.createDataFrame(mirror_rows(1), MIRROR), path, buckets=2)
+    writers.write_mirror(spark.createDataFrame(mirror_rows(1), MIRROR), path)
     shutil.rmtree(f"{path}/_published")
     with pytest.raises(ValueError):
-        writers.read_current(spark, path, MIRROR)
+        tables.read_current(spark, path, MIRROR)
 
 
 def test_a_batch_that_runs_again_keeps_its_feed(spark, tmp_path, monkeypatch):
@@ -154,8 +216,8 @@ def test_a_batch_that_runs_again_keeps_its_feed(spark, tmp_path, monkeypatch):
     log, table, feed = (str(tmp_path / x) for x in ("log", "table", "feed"))
     rows = [(f"e{i}", "customer.updated", None, None, T0, T0, "webhook", json.dumps({"data": {"object": {"id": f"c{i}"}}}), None, False) for i in range(4)]
     writers.write_log(spark.createDataFrame(rows, EVENTS), log)
-    make = lambda: jobs.stream_apply(spark.readStream.schema(EVENTS).parquet(log), table, lambda: F.lit(T0).cast("timestamp"), feed, buckets=2)
-    real = jobs.write_buckets
+    make = lambda: jobs.stream_apply(spark.readStream.schema(EVENTS).parquet(log), table, lambda: F.lit(T0).cast("timestamp"), feed)
+    real = jobs.upsert_rows
 
     def killed(*args, after):
         if after:
@@ -164,7 +226,7 @@ def test_a_batch_that_runs_again_keeps_its_feed(spark, tmp_path, monkeypatch):
 
     for after in (False, True):
         with monkeypatch.context() as m:
-            m.setattr(jobs, "write_buckets", lambda *args: killed(*args, after=after))  # noqa: B023
+            m.setattr(jobs, "upsert_rows", lambda *args: killed(*args, after=after))  # noqa: B023
             with pytest.raises(Exception, match="killed"):
                 run(make(), str(tmp_path / "c"))
     run(make(), str(tmp_path / "c"))
