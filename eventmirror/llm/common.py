@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path
@@ -25,14 +25,17 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return back
 
 
+def discard_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by materialise() that nothing lazy reads any more."""
     for df in tables:
         path = getattr(df, "_scratch", None)
         if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            discard_folder(df.sparkSession, path)
             df._scratch = None
 
 

@@ -142,7 +142,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                     names=["lang", "at", "n"],
                 )
 
-    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, at array<int>, n array<int>").toArrow()
+    # One row of an id that repeats (that of the greatest lang and text), so that a frequent id adds no more to the sample than others.
+    drawn = rows.where(draw < share[F.col("lang")]).groupBy("doc_id").agg(F.max(F.struct("lang", "text")).alias("r")).select("r.lang", "r.text")
+    sample = drawn.mapInArrow(run, "lang string, at array<int>, n array<int>").toArrow()
     counts = np.zeros((len(sample), BUCKETS), np.float32)
     for i, (at, n) in enumerate(zip(sample.column("at"), sample.column("n"))):
         counts[i, at.values.to_numpy()] = n.values.to_numpy()

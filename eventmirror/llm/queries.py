@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path
 from . import bpe, decontaminate, embedding_dedup, html_extract, langid, license_scan, ngram_jaccard, periodic_runs, preference, sharding, toxicity, vector_codes, warc
-from .common import materialise
+from .common import discard_folder, materialise
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,6 +56,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written, archives = fresh_path(spark, "warc-written"), fresh_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), written, least_bytes=0)
     index = materialise(warc.normalise(spark, written, archives), "warc-index")
+    discard_folder(spark, written)
     return warc.read_archives(index, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -154,7 +154,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     draw = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20))
     share = F.when(F.col("toxic") == 1, int((1 << 20) * min(1, per_label / sizes.get(1, 1)))).otherwise(int((1 << 20) * min(1, per_label / sizes.get(0, 1))))
     drawn = known.where(draw < share)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")), sizes
+    # One row of an id that repeats (that of the greatest text), so that a frequent id adds no more to the sample than others.
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("toxic", "text"), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from eventmirror.llm import license_scan, periodic_runs, vector_codes
+from eventmirror.llm import langid, license_scan, periodic_runs, toxicity, vector_codes
 
 DOCS = "doc_id long, text string, runs string, blocks string, n_words string, _text string"
 
@@ -250,3 +250,17 @@ def test_sql_agrees(spark, module):
         con.execute("CREATE TABLE documents AS SELECT * FROM documents_")
         got = [tuple(r) for r in license_scan.summary(license_scan.scan(documents(spark, rows))).collect()]
     assert sorted(got, key=repr) == sorted(con.execute(module.SQL).fetchall(), key=repr)
+
+
+# ---- bounded samples of 7 and 10
+
+
+def test_an_id_that_repeats_adds_one_row_to_the_samples(spark):
+    rows = [(7, f"je suis le numero {i}", "fr", "s", 1) for i in range(400)] + [(i, f"this is the number {i}", "en", "s", 1) for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").where("crc32(cast(doc_id AS string)) % 5 <> 0")
+    labels = spark.createDataFrame([(7, 1, 1)] + [(i, 1, 0) for i in range(100, 140)], "doc_id long, quality int, toxic int")
+    drawn, sizes = toxicity.sample_of(docs, labels)
+    ids = docs.select("doc_id").distinct().count()
+    assert docs.where("doc_id = 7").count() == 400 and drawn.count() == ids == sum(sizes.values())
+    assert drawn.where("toxic = 1").first()["text"] == max(r[1] for r in rows[:400])
+    assert set(langid.fit(docs).languages) == {"en", "fr"}
