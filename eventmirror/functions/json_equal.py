@@ -1,12 +1,15 @@
 """Structural comparison of JSON texts, in built-in expressions alone.
 
-A variant's text is compact and has sorted keys; what is left is done on that text. First every string is made free of what else has a
-meaning in JSON: escaped quotes and backslashes, brackets, commas and colons become control characters, which never occur
-in JSON as such. Then numbers are written as 64-bit floats, and volatile fields are cut wherever they stand.
+A variant's text is compact and has sorted keys; what is left is done on that text. First escaped quotes and backslashes become control
+characters, which never occur in JSON as such, so that every quote that is left begins or ends a string. Then numbers are written as
+64-bit floats, and volatile fields are cut wherever they stand. Where any field may be cut, brackets, commas and colons inside
+strings are hidden in the same way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ _BACKSLASH, _QUOTE = "\x02", "\x03"
 DEPTH, MEMBERS = 16, 1000
 #: A number that may be beyond 64-bit floats.
 _HUGE = "[eE][+]?[0-9]{3}|[0-9]{300}"
+#: Whole numbers of few digits are written alike by variants and as floats; others have to be looked at.
+_LONG = "[0-9]{16}|[0-9]E|[0-9][.][0-9]"
 
 
 def take_last_keys(spark: SparkSession) -> None:
@@ -28,6 +33,11 @@ def take_last_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 #: A text that JSON from elsewhere hardly holds; one that holds it is parsed twice.
 _END = "\x10end"
 
@@ -42,15 +52,13 @@ def parsed(text: Column) -> Column:
         take_last_keys(session)
     mark = F.lit('"\\u0010end"')
     whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")))
-    alone = F.try_variant_get(whole, "$[1]", "string") == _END
     odd = F.contains(text, mark) & F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNull()
-    return F.when(alone & ~odd, F.try_variant_get(whole, "$[0]", "variant"))
+    return _once(whole, lambda w: F.when((F.try_variant_get(w, "$[1]", "string") == _END) & ~odd, F.try_variant_get(w, "$[0]", "variant")))
 
 
 def _variant_text(text: Column) -> Column:
-    out = F.to_json(parsed(text))
     # A number beyond floats becomes a text; such JSON equals nothing.
-    return F.when(~(F.contains(out, F.lit('Infinity"')) & text.rlike(_HUGE)), out)
+    return _once(F.to_json(parsed(text)), lambda out: F.when(~(F.contains(out, F.lit('Infinity"')) & text.rlike(_HUGE)), out))
 
 
 def _number(t: Column, strict_ints: bool) -> Column:
@@ -68,7 +76,7 @@ def _value() -> str:
 
 
 def _pattern(pair: str) -> str:
-    """Matches the field with one comma. A quote after a bracket or comma opens a string, as strings hold neither."""
+    """Matches the field with one comma. A quote that ends a string is not followed by a name, or not preceded by a bracket or comma."""
     return rf"(?<=[{{,]){pair},|,?(?<=[{{,]){pair}"
 
 
@@ -78,16 +86,23 @@ def canonical_json(data: Column, object_type: Column, strict_ints: bool = False,
     `nulls=False` also drops fields that are null. A volatile field stays if its value is an object or array of over MEMBERS
     members or DEPTH levels."""
     text = F.replace(F.replace(_variant_text(data), F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
-    tokens = F.regexp_extract_all(text, F.lit('("[^"]*"|-?[0-9][-+.0-9eE]*|[^"0-9-]+)'), F.lit(1))
-    plain = lambda t: F.when(t.startswith('"'), F.translate(t, _MARKS, _HIDDEN)).when(t.rlike("^[-0-9]"), _number(t, strict_ints)).otherwise(t)
-    text = F.array_join(F.transform(tokens, plain), "")
+
+    def token(t: Column) -> Column:
+        string = t if nulls else F.translate(t, _MARKS, _HIDDEN)
+        return F.when(t.startswith('"'), string).when(t.rlike("^[-0-9]"), _number(t, strict_ints)).otherwise(t)
+
+    def by_token(x: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(x, F.lit('("[^"]*"|-?[0-9][-+.0-9eE]*|[^"0-9-]+)'), F.lit(1)), token), "")
+
+    text = _once(text, lambda x: F.when(x.rlike(_LONG), by_token(x)).otherwise(x)) if nulls else by_token(text)
+    cut = F
     for kind, names in VOLATILE.items():
-        own = object_type == kind
-        # One reference to the text, so that the expression does not grow with the kinds: other types get a pattern that never matches.
-        text = F.regexp_replace(text, F.when(own, F.lit(_pattern(rf'"(?:{"|".join(names)})":{_value()}'))).otherwise(F.lit("(?!)")), F.lit(""))
+        cut = cut.when(object_type == kind, F.regexp_replace(text, _pattern(rf'"(?:{"|".join(names)})":{_value()}'), ""))
+    text = cut.otherwise(text)
     if not nulls:
         text = F.regexp_replace(text, _pattern('"[^"]*":null(?=[,}])'), "")
-    return F.replace(F.replace(F.translate(text, _HIDDEN, _MARKS), F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+        text = F.translate(text, _HIDDEN, _MARKS)
+    return F.replace(F.replace(text, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
 
 
 def same_json(a: str, b: str, object_type: Column) -> Column:
@@ -95,7 +110,7 @@ def same_json(a: str, b: str, object_type: Column) -> Column:
     those that are equal as variants are compared no further. Null and text that is no JSON equal nothing."""
     left, right = _variant_text(F.col(a)), _variant_text(F.col(b))
     valid = F.when(F.col(a).rlike(_HUGE), left.isNotNull()).otherwise(parsed(F.col(a)).isNotNull())
-    differ = F.when(left == right, True).otherwise(json_equal(F.col(a), F.col(b), object_type))
+    differ = (left == right) | json_equal(F.col(a), F.col(b), object_type)
     return F.coalesce(F.when(F.col(a) == F.col(b), valid).otherwise(differ), F.lit(False))
 
 
@@ -103,7 +118,7 @@ def digest(data: Column, object_type: Column) -> Column:
     """A 64-bit hash that structurally equal objects share; null if the text is no JSON. Objects of types without volatile
     fields may differ in it though equal, if one writes numbers with an exponent; comparing their texts tells."""
     text = F.when(object_type.isin(*VOLATILE), canonical_json(data, object_type)).otherwise(_variant_text(data))
-    return F.when(text.isNotNull(), F.xxhash64(text))
+    return _once(text, lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
 
 
 def json_equal(a: Column, b: Column, object_type: Column, strict_ints: bool = False) -> Column:

@@ -168,6 +168,7 @@ SQL = {
         SELECT id, '{"amount":' || amount || ',"created":' || created || ',"currency":"usd","customer":"' || customer || '","id":"' || id || '","object":"charge","paid":' || paid || ',"status":"' || status || '"}' AS data FROM mine"""),
     "v2_json_equal": over(CHARGES, select="SELECT m.id, u.amount = m.amount AS same FROM mine m JOIN up u USING (k)"),
     "v3_full_diff": over(CHARGES, DRIFT, SUBS, CUSTOMERS, ACCOUNT, select="SELECT object_type, id AS object_id, kind FROM a WHERE kind IS NOT NULL"),
+    "v3_table_diff": over(CHARGES, DRIFT, SUBS, CUSTOMERS, ACCOUNT, select="SELECT object_type, id AS object_id, kind FROM a WHERE kind IS NOT NULL"),
     "v3_diff_of_charges": over(CHARGES, DRIFT, select="SELECT 'charge' AS object_type, id AS object_id, kind FROM d WHERE kind IS NOT NULL"),
     "v3_diff_since": over(CHARGES, DRIFT, SUBS, CUSTOMERS, ACCOUNT, select="SELECT object_type, id AS object_id, kind FROM a WHERE kind IS NOT NULL AND created >= 852076800"),
     "v4_quick_diff": over(CHARGES, DRIFT, SUBS, CUSTOMERS, ACCOUNT, "old AS (SELECT *, row_number() OVER (PARTITION BY object_type ORDER BY md5('1/' || id), id) AS r FROM a WHERE live AND created < 852076800)", select="""

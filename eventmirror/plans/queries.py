@@ -12,7 +12,7 @@ from ..functions.event_types import BACKFILL_TYPES, VERIFY_TYPES, plan, resolve_
 from ..functions.json_equal import canonical_json, json_equal
 from ..functions.payload import data_object, event_newer, marks_deleted
 from ..operators import backfill, fold, importer, ingest, mirror, monitor, retention, serve, sweep, verify
-from ..schemas import EVENTS, GAPS, LOG, MIRROR, STATE
+from ..schemas import EVENTS, GAPS, LOG, MIRROR, PUBLISHED, STATE
 from ..sources.readers import read_legacy_tables, read_raw_deliveries, select_listed_events, select_snapshot
 from ..sources.scratch import fresh_path, stored
 from ..sources.tables import compact, read_current
@@ -324,6 +324,13 @@ def v3_full_diff(spark, d):
     return verify.drifts(verify.full_diff(A.account_snapshot(spark, d), A.account_mirror(spark, d)))
 
 
+def v3_table_diff(spark, d):
+    """The same drifts, from the digests of a published mirror and the texts of what differs."""
+    path = fresh_path(spark, "mirror")
+    write_mirror(A.account_mirror(spark, d), path, range_rows=20_000)
+    return verify.drifts(verify.table_diff(A.account_snapshot(spark, d), path))
+
+
 def v3_diff_of_charges(spark, d):
     """An export of charges alone against the whole mirror."""
     return verify.drifts(verify.full_diff(A.charge_snapshot(spark, d), A.account_mirror(spark, d), types=["charge"]))
@@ -529,7 +536,7 @@ def s5_mirror_in_runs(spark, d):
     for batch in range(5):
         rows = up.where(F.pmod(F.xxhash64("id"), F.lit(5)) == batch)
         update_mirror(path, rows, lambda own: mirror.upsert_objects(own, rows, A.as_of()))  # noqa: B023
-    compact(spark, path, MIRROR, whole=True)
+    compact(spark, path, PUBLISHED, whole=True)
     return read_current(spark, path, MIRROR).select("id", number("amount", "amount"), "is_deleted", sec("updated_at"))
 
 

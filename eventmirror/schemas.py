@@ -15,6 +15,8 @@ EVENTS = _table("s:event_id", "s:type", "s:api_version", "s:account_id", "t:crea
 LOG = StructType([*EVENTS.fields, StructField("created_day", IntegerType())])
 SNAPSHOT = _table("s:object_type", "s:id", "s:data")
 MIRROR = _table("s:object_type", "s:id", "s:data", "s:account_id", "b:is_deleted", "t:deleted_at", "t:updated_at")
+#: A published mirror: each row has the digest of its data.
+PUBLISHED = StructType([*MIRROR.fields, StructField("digest", LongType())])
 STATE = _table("s:object_type", "s:object_id", "t:last_synced_at", "t:last_event_created", "s:last_event_id", "s:sync_source", "i:fetch_failures", "t:data_event_created", "s:data_event_id")
 GAPS = _table("s:event_id", "t:detected_at", "l:sweep_id", "t:event_created", "l:lag_seconds")
 SWEEPS = _table("l:id", "t:started_at", "t:finished_at", "t:window_from", "t:window_to", "l:events_seen", "l:gaps_found", "s:status")

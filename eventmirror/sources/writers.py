@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import DRIFTS, LOG, MIRROR, VERIFICATIONS
+from ..functions.json_equal import digest
+from ..schemas import DRIFTS, LOG, MIRROR, PUBLISHED, VERIFICATIONS
 from .tables import RANGE_ROWS, changes_between, exists, rows_of, upsert_rows, write_table
 
 DAY = 86_400
@@ -16,16 +17,21 @@ DAY = 86_400
 MIRROR_KEYS = ["object_type", "id"]
 
 
+def _published(mirror: DataFrame) -> DataFrame:
+    """The mirror's rows with the digests that verification compares in place of their texts."""
+    return mirror.withColumn("digest", digest(F.col("data"), F.col("object_type"))).select(*PUBLISHED.names)
+
+
 def write_mirror(mirror: DataFrame, path: str, range_rows: int = RANGE_ROWS, expected_rows: int | None = None) -> int:
     """Publish the whole mirror; returns its version."""
-    return write_table(mirror.select(*MIRROR.names), path, MIRROR_KEYS, range_rows, expected_rows)
+    return write_table(_published(mirror), path, MIRROR_KEYS, range_rows, expected_rows)
 
 
 def update_mirror(path: str, changes: DataFrame, change: Callable[[DataFrame], DataFrame], range_rows: int = RANGE_ROWS) -> int:
     """Publish the rows that the keys of `changes` (object_type, id) have after the change: `change` gets the mirror's rows of
     these keys and returns their new rows. Reads the ranges that the keys fall into, writes the returned rows; returns the version."""
     own = rows_of(changes.sparkSession, path, MIRROR, changes.select(*MIRROR_KEYS))
-    return upsert_rows(change(own).select(*MIRROR.names), path, MIRROR_KEYS, range_rows)
+    return upsert_rows(_published(change(own)), path, MIRROR_KEYS, range_rows)
 
 
 def mirror_changes(spark: SparkSession, path: str, after: int, upto: int | None = None) -> DataFrame:
