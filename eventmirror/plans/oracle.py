@@ -215,6 +215,13 @@ SQL = {
     "w1_entitlements": over(SUBS, "best AS (SELECT customer, max(struct_pack(c := created, i := id, s := status)) AS b FROM subs WHERE NOT is_deleted GROUP BY 1)", select="SELECT c_custkey AS user_id, 'cus_' || c_custkey AS customer, b.i AS subscription, b.s AS status, coalesce(b.s IN ('active', 'trialing'), false) AS access FROM customer LEFT JOIN best ON best.customer = 'cus_' || c_custkey"),
     "w2_changes_since": over(CHARGES, SUBS, select=f"SELECT 'charge' AS object_type, id FROM mine WHERE updated_at > {AS_OF} - 500 UNION ALL SELECT 'subscription', id FROM subs WHERE updated_at > {AS_OF} - 500"),
     "w3_dead_rows": over(LOG, select="SELECT n AS id, type, 'unknown' AS resolve_status FROM log WHERE object_type IS NULL ORDER BY n LIMIT 50"),
+    "w3_quarantine": over(LOG, CHARGES, SUBS, select="""
+        SELECT 'envelope' AS source, sha256('{"event":"' || event_id || '"}') AS retry_key, 'bad_envelope' AS reason, true AS resolved FROM log WHERE n % 41 = 0
+        UNION ALL SELECT 'event', event_id, 'malformed', false FROM log WHERE n % 31 = 0 AND object_type IS NOT NULL
+        UNION ALL SELECT 'typed', 'charge/' || id, 'amount', true FROM mine WHERE k % 29 = 0
+        UNION ALL SELECT 'subscription', 'sub_' || o_orderkey, CASE WHEN o_orderkey % 37 = 0 THEN 'unreadable' ELSE 'incomplete' END, o_orderkey % 37 <> 0 FROM orders
+          LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+          WHERE o_orderkey % 37 = 0 OR (lines > 2 AND substr(md5('sub_' || o_orderkey), 1, 1) = '0')"""),
     "w3_list_work": over(LOG, HALF, "w AS (SELECT object_type, object_id, max(struct_pack(c := created, e := event_id)) AS w, max(struct_pack(c := created, e := event_id)) FILTER (first) AS s FROM halves GROUP BY ALL)", select="SELECT object_type, object_id, w.e AS latest_event_id, 'pending' AS status FROM w WHERE substr(md5(object_id), 1, 1) <> '0' AND (s IS NULL OR w > s) ORDER BY object_type, object_id LIMIT 100"),
     "r1_purge_events": over(LOG, select=f"""
         SELECT 'event' AS kind, event_id FROM log WHERE NOT (done AND received_at < {AS_OF} - 864000)

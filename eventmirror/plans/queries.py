@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.event_types import BACKFILL_TYPES, VERIFY_TYPES, plan, resolve_type, subscribed_types
 from ..functions.json_equal import canonical_json, json_equal
 from ..functions.payload import data_object, event_newer, marks_deleted
-from ..operators import backfill, fold, importer, ingest, mirror, monitor, retention, serve, sweep, verify
-from ..schemas import EVENTS, GAPS, LOG, MIRROR, PUBLISHED, STATE
+from ..operators import backfill, fold, importer, ingest, mirror, monitor, quarantine, retention, serve, sweep, verify
+from ..schemas import EVENTS, GAPS, LOG, MIRROR, PUBLISHED, QUARANTINE, STATE
 from ..sources.readers import read_legacy_tables, read_raw_deliveries, select_listed_events, select_snapshot
 from ..sources.scratch import fresh_path, stored
 from ..sources.tables import compact, read_current
@@ -468,6 +468,31 @@ def w3_dead_rows(spark, d):
     return serve.dead_rows(rows)
 
 
+def w3_quarantine(spark, d):
+    """Failures of all four sources in one table; then the envelopes and charges are corrected, the missing items are listed, and
+    what a replay can process leaves it."""
+    path, at, q = fresh_path(spark, "quarantine"), A.as_of(), quarantine
+    n, log = A.number(F.col("event_id")), A.event_log(spark, d)
+    broken = F.concat(F.lit('{"event":"'), F.col("event_id"), F.lit('"}'))
+    deliveries = log.select(F.lit(None).cast("string").alias("header"), F.when(n % 41 == 0, broken).otherwise(F.col("payload")).alias("body"), "received_at")
+    events = log.withColumn("payload", F.when(n % 31 == 0, F.lit('{"data":{"object":{}}}')).otherwise(F.col("payload")))
+    charges = A.charge_mirror(spark, d)
+    wrong = charges.withColumn("data", F.when(F.substring("id", 4, 20).cast("bigint") % 29 == 0, F.regexp_replace("data", '"amount":[0-9]+', '"amount":"much"')).otherwise(F.col("data")))
+    subs = stored(A.subscriptions(spark, d), "subscriptions")
+    unread = subs.withColumn("data", F.when(F.substring("id", 5, 20).cast("bigint") % 37 == 0, F.lit("{items")).otherwise(F.col("data")))
+    listing = A.item_listing(spark, d)
+    some = listing.where(F.substring(F.md5("subscription"), 1, 1) != "0")
+    failed = (q.failed_envelopes(deliveries, at), q.failed_events(events, at), q.failed_objects(wrong, "charge", at), q.failed_subscriptions(unread, at, some))
+    q.record(path, functools.reduce(DataFrame.unionByName, failed), range_rows=500)
+    texts = log.select(F.lit("envelope").alias("source"), F.sha2(broken, 256).alias("retry_key"), F.col("payload").alias("text")).unionByName(
+        charges.select(F.lit("typed").alias("source"), F.concat(F.lit("charge/"), F.col("id")).alias("retry_key"), F.col("data").alias("text"))
+    )
+    rows = stored(q.corrected(q.open_rows(spark, path), texts), "corrected")
+    done = [("envelope", q.replay_envelopes(rows, at)), ("event", q.replay_events(rows.withColumn("type", F.lit("customer.updated")))), ("typed", q.replay_objects(rows, "charge")), ("subscription", q.replay_subscriptions(rows, listing))]
+    q.resolve(path, functools.reduce(DataFrame.unionByName, [r.select(F.lit(k).alias("source"), "retry_key") for k, r in done]), at)
+    return read_current(spark, path, QUARANTINE).select("source", "retry_key", "reason", F.col("resolved_at").isNotNull().alias("resolved"))
+
+
 def w3_list_work(spark, d):
     return serve.list_work(_work_status(spark, d), "pending", 100).select(*fold.OBJECT, "latest_event_id", "status")
 

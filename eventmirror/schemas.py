@@ -24,3 +24,4 @@ BACKFILL_RUNS = _table("l:id", "t:started_at", "t:finished_at", "s:requested_by"
 BACKFILL_TASKS = _table("l:id", "l:run_id", "s:object_type", "s:status", "s:cursor", "l:pages_done", "l:objects_done", "s:last_error", "t:updated_at")
 VERIFICATIONS = _table("l:id", "t:started_at", "t:finished_at", "s:mode", "s:object_type", "l:checked", "l:drifted", "l:repaired")
 DRIFTS = _table("l:verification_id", "s:object_type", "s:object_id", "s:kind", "b:repaired")
+QUARANTINE = _table("s:source", "s:retry_key", "s:reason", "s:text", "t:failed_at", "t:resolved_at")
