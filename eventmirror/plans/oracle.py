@@ -190,7 +190,7 @@ SQL = {
         SELECT 'cus_' || c_custkey AS id, c_custkey % 9 = 0 AND c_custkey % 3 <> 0 AS is_deleted, CASE WHEN c_custkey % 9 = 0 AND c_custkey % 3 <> 0 THEN {AS_OF} END::BIGINT AS deleted_at,
           CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name FROM customer""",
     "i2_import_counts": "SELECT 'customer' AS object_type, count(*) FILTER (c_custkey % 3 <> 0) AS imported, count(*) FILTER (c_custkey % 3 = 0) AS skipped FROM customer",
-    "i3_import_state": f"SELECT 'cus_' || c_custkey AS object_id, CASE WHEN c_custkey % 6 = 0 THEN 'payload' ELSE 'import' END AS sync_source, {AS_OF}::BIGINT AS last_synced_at FROM customer",
+    "i3_import_state": f"SELECT 'cus_' || c_custkey AS object_id, CASE WHEN c_custkey % 3 = 0 THEN 'payload' ELSE 'import' END AS sync_source, {AS_OF}::BIGINT AS last_synced_at FROM customer",
     "a1_events_summary": over(LOG, select="SELECT count(*) AS total, count(*) FILTER (NOT done) AS unprocessed, max(received_at) AS last_received FROM log"),
     "a2_unhandled_types": over(LOG, select="SELECT type, count(*) AS n FROM log WHERE NOT done AND object_type IS NULL GROUP BY 1"),
     "a3_work_by_status": over(LOG, HALF, f"w AS (SELECT object_type, object_id, max(struct_pack(c := created, e := event_id)) AS w, max(struct_pack(c := created, e := event_id)) FILTER (first) AS s FROM halves GROUP BY ALL)", select=f"SELECT CASE WHEN substr(md5(object_id), 1, 1) = '0' THEN 'dead' WHEN s IS NULL OR w > s THEN 'pending' ELSE 'done' END AS status, count(*) AS n FROM w GROUP BY 1"),

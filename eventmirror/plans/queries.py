@@ -384,7 +384,7 @@ def i2_import_counts(spark, d):
 
 def i3_import_state(spark, d):
     known = A.legacy_mirror(spark, d).select("object_type", F.col("id").alias("object_id"))
-    state = importer.import_state(known.withColumn("id", F.col("object_id")).where(A.number(F.col("id")) % 2 == 0).select("object_type", "id"), empty(spark, STATE), A.as_of())
+    state = importer.import_state(known.select("object_type", F.col("object_id").alias("id")), empty(spark, STATE), A.as_of())
     objects = A.legacy_customers(spark, d).select(F.lit("customer").alias("object_type"), "id")
     return importer.import_state(objects, state.withColumn("sync_source", F.lit("payload")), A.as_of()).select("object_id", "sync_source", sec("last_synced_at"))
 
@@ -504,9 +504,15 @@ def r1_purge_events(spark, d):
     return log.select(F.lit("event").alias("kind"), "event_id").unionByName(left.select(F.lit("gap").alias("kind"), "event_id"))
 
 
+def _with_outages(spark, d):
+    """All events: those of every third hour, and each eleventh, came by a sweep instead of a webhook."""
+    late = (A.number(F.col("event_id")) % 11 == 0) | (F.pmod(F.floor(F.unix_seconds("received_at") / 3600), F.lit(3)) == 0)
+    return A.event_log(spark, d).withColumn("source", F.when(late, "sweep").otherwise("webhook"))
+
+
 def t3_silent_webhooks(spark, d):
     gaps = sweep.gap_rows(_found(spark, d)).withColumn("detected_at", F.col("event_created"))
-    events = A.event_log(spark, d).where((A.number(F.col("event_id")) % 11 != 0) & (F.pmod(F.floor(F.unix_seconds("received_at") / 3600), F.lit(3)) != 0))
+    events = _with_outages(spark, d)
     return stream_silent_webhooks(events, gaps).select(sec("window_start"), "webhooks", "gaps", "silent")
 
 
@@ -530,7 +536,11 @@ def s4_legacy_tables(spark, d):
         spark.sql(f"CREATE TABLE {name}.{table} USING parquet LOCATION '{d}/{source}.parquet'")
     found = read_legacy_tables(spark, name)
     rows = {"customer": F.col("c_name"), "product": F.col("p_name")}
-    return functools.reduce(DataFrame.unionByName, [t.select(F.lit(kind).alias("object_type"), rows[kind].alias("name")) for kind, t in sorted(found.items())])
+    out = stored(functools.reduce(DataFrame.unionByName, [t.select(F.lit(kind).alias("object_type"), rows[kind].alias("name")) for kind, t in sorted(found.items())]), "legacy-rows")
+    for table in ("customers", "products", "nations"):
+        spark.sql(f"DROP TABLE {name}.{table}")  # its files lie elsewhere and stay
+    spark.sql(f"DROP DATABASE {name}")
+    return out
 
 
 def _updated(spark, d):
@@ -629,7 +639,7 @@ def _sunk(spark, stream, name: str, schema) -> DataFrame:
 def t3_stream_silent_webhooks(spark, d):
     """The windows as a stream with a watermark, of all events and gaps."""
     gaps = _as_files(_with_end(sweep.gap_rows(_found(spark, d)).withColumn("detected_at", F.col("event_created"))), "gaps")
-    events = _as_files(_with_end(A.event_log(spark, d).where((A.number(F.col("event_id")) % 11 != 0) & (F.pmod(F.floor(F.unix_seconds("received_at") / 3600), F.lit(3)) != 0))), "events")
+    events = _as_files(_with_end(_with_outages(spark, d)), "events")
     stream = stream_silent_webhooks(spark.readStream.schema(EVENTS).parquet(events), spark.readStream.schema(GAPS).parquet(gaps))
     return _sunk(spark, stream, "silent", stream.schema).select(sec("window_start"), "webhooks", "gaps", "silent")
 
