@@ -33,7 +33,7 @@ def take_last_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once however often it is used."""
     return F.transform(F.array(value), use)[0]
 
@@ -53,12 +53,12 @@ def parsed(text: Column) -> Column:
     mark = F.lit('"\\u0010end"')
     whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")))
     odd = F.contains(text, mark) & F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNull()
-    return _once(whole, lambda w: F.when((F.try_variant_get(w, "$[1]", "string") == _END) & ~odd, F.try_variant_get(w, "$[0]", "variant")))
+    return once(whole, lambda w: F.when((F.try_variant_get(w, "$[1]", "string") == _END) & ~odd, F.try_variant_get(w, "$[0]", "variant")))
 
 
 def _variant_text(text: Column) -> Column:
     # A number beyond floats becomes a text; such JSON equals nothing.
-    return _once(F.to_json(parsed(text)), lambda out: F.when(~(F.contains(out, F.lit('Infinity"')) & text.rlike(_HUGE)), out))
+    return once(F.to_json(parsed(text)), lambda out: F.when(~(F.contains(out, F.lit('Infinity"')) & text.rlike(_HUGE)), out))
 
 
 def _number(t: Column, strict_ints: bool) -> Column:
@@ -94,7 +94,7 @@ def canonical_json(data: Column, object_type: Column, strict_ints: bool = False,
     def by_token(x: Column) -> Column:
         return F.array_join(F.transform(F.regexp_extract_all(x, F.lit('("[^"]*"|-?[0-9][-+.0-9eE]*|[^"0-9-]+)'), F.lit(1)), token), "")
 
-    text = _once(text, lambda x: F.when(x.rlike(_LONG), by_token(x)).otherwise(x)) if nulls else by_token(text)
+    text = once(text, lambda x: F.when(x.rlike(_LONG), by_token(x)).otherwise(x)) if nulls else by_token(text)
     cut = F
     for kind, names in VOLATILE.items():
         cut = cut.when(object_type == kind, F.regexp_replace(text, _pattern(rf'"(?:{"|".join(names)})":{_value()}'), ""))
@@ -118,7 +118,7 @@ def digest(data: Column, object_type: Column) -> Column:
     """A 64-bit hash that structurally equal objects share; null if the text is no JSON. Objects of types without volatile
     fields may differ in it though equal, if one writes numbers with an exponent; comparing their texts tells."""
     text = F.when(object_type.isin(*VOLATILE), canonical_json(data, object_type)).otherwise(_variant_text(data))
-    return _once(text, lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
+    return once(text, lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
 
 
 def json_equal(a: Column, b: Column, object_type: Column, strict_ints: bool = False) -> Column:

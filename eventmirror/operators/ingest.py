@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.event_types import resolve_type
-from ..functions.json_equal import parsed, take_last_keys
+from ..functions.json_equal import once, parsed, take_last_keys
 from ..functions.payload import data_object_id
 from ..functions.signatures import signature_status
 from ..schemas import EVENTS
@@ -26,6 +26,22 @@ def verify_signatures(deliveries: DataFrame, secrets: Sequence[str], tolerance_s
     return deliveries.withColumn("sig_status", signature_status(F.col("header"), F.col("body"), F.col("received_at"), secrets, tolerance_seconds))
 
 
+def _envelope(text: Column) -> Column:
+    """The fields of ENVELOPE as a struct; null if the text is no envelope. One expression, so that the text is parsed once wherever it goes."""
+    variants = lambda *names: "struct<" + ",".join(f"{n}:variant" for n in names) + ">"
+    has = lambda c: c.isNotNull() & ~F.is_variant_null(c)
+    wrong = lambda c, kind: has(c) & (F.schema_of_variant(c) != kind)
+
+    def typed(e: Column, d: Column, o: Column) -> Column:
+        shape = functools.reduce(lambda a, b: a | b, [wrong(e[n], kind) for n, kind in ENVELOPE.items()])
+        shape = shape | (has(e["data"]) & d.isNull()) | (has(d["object"]) & o.isNull()) | wrong(o["id"], "STRING")
+        return F.when(e.isNotNull() & ~shape, F.struct(*[F.try_variant_get(e[n], "$", kind).alias(n) for n, kind in ENVELOPE.items()]))
+
+    inner = lambda e, d: once(F.try_variant_get(d["object"], "$", variants("id")), lambda o: typed(e, d, o))
+    whole = F.try_variant_get(parsed(text), "$", variants(*ENVELOPE, "data"))
+    return once(whole, lambda e: once(F.try_variant_get(e["data"], "$", variants("object")), lambda d: inner(e, d)))
+
+
 def parse_envelope(deliveries: DataFrame, source: str = "webhook", account_id: str | None = None) -> DataFrame:
     """Event rows with `parse_status`: ok, too_large or bad_envelope.
 
@@ -36,16 +52,7 @@ def parse_envelope(deliveries: DataFrame, source: str = "webhook", account_id: s
     take_last_keys(deliveries.sparkSession)
     text = F.decode(F.col("body"), "utf-8") if dict(deliveries.dtypes)["body"] == "binary" else F.col("body")
     large = F.octet_length("body") > MAX_BODY
-    variants = lambda *names: "struct<" + ",".join(f"{n}:variant" for n in names) + ">"
-    get = lambda c, kind: F.try_variant_get(F.col(c), "$", kind)
-    rows = deliveries.withColumn("_text", F.when(~large, text)).withColumn("_v", parsed(F.col("_text"))).withColumn("_e", get("_v", variants(*ENVELOPE, "data")))
-    rows = rows.withColumn("_d", get("_e.data", variants("object"))).withColumn("_o", get("_d.object", variants("id")))
-    has = lambda c: F.col(c).isNotNull() & ~F.is_variant_null(c)
-    wrong = lambda c, kind: has(c) & (F.schema_of_variant(c) != kind)
-    shape = functools.reduce(lambda a, b: a | b, [wrong(f"_e.{n}", kind) for n, kind in ENVELOPE.items()])
-    shape = shape | (has("_e.data") & F.col("_d").isNull()) | (has("_d.object") & F.col("_o").isNull()) | wrong("_o.id", "STRING")
-    fields = [F.when(~shape, get(f"_e.{n}", kind)).alias(n) for n, kind in ENVELOPE.items()]
-    rows = rows.withColumn("_e", F.struct(*fields))
+    rows = deliveries.withColumn("_text", F.when(~large, text)).withColumn("_e", _envelope(F.col("_text")))
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     status = F.when(F.coalesce(large, F.lit(False)), "too_large").when(empty(F.col("_e.id")) | empty(F.col("_e.type")), "bad_envelope").otherwise("ok")
     extra = [c for c in deliveries.columns if c not in EVENTS.names and c not in ("header", "body")]
