@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the tes
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 
