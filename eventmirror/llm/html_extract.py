@@ -3,7 +3,8 @@
 Pages of one host are aligned with a reference page as trees, by simple tree matching. A node that holds the same text
 on nearly all of them is template; what varies is a slot. The deepest node that holds most of the varying
 text is the article: slots within it are content, slots elsewhere and lists of links are not. Tags that are never
-an article (menus, forms, scripts) are left out before; words in attributes only break ties.
+an article (menus, forms, scripts) are left out before. Within the content's root, slots with a telling word in class, id or role go
+if there are slots without.
 """
 
 from __future__ import annotations
@@ -49,8 +50,10 @@ CONSTANT, LEAST_PAGES = 0.9, 8
 EVERYWHERE = 0.98
 #: The content's root is the deepest node that holds this part of all varying text; slots of which links are so much are menus.
 MASS, LINKS = 0.8, 0.5
-#: Elements below this depth belong to their ancestor there; longer lists of children are matched in pieces of this length.
-DEPTH, SIBLINGS = 100, 64
+#: Elements below this depth belong to their ancestor there.
+DEPTH = 100
+#: Shapes and their matchings that a wrapper remembers between pages; this bounds memory and changes no result.
+SHAPES = 20_000
 SALTS = 16
 #: Wrappers are given to all tasks at once if they have so many bytes, as counted, and else by a salted join.
 BROADCAST_BYTES = 16 << 20
@@ -211,16 +214,110 @@ def parse(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, schema)
 
 
+class Shapes:
+    """Numbers for the shapes of subtrees (a label and the children's shapes) and the matching of shapes with each other.
+
+    Pages of a host share most of their shapes, so a matching is worked out once for all pages that are aligned together.
+    """
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.memo: dict[tuple[int, int], int] = {}
+
+    def number(self, label: str, children: tuple[int, ...]) -> int:
+        n = self.known.setdefault((label, children), len(self.label))
+        if n == len(self.label):
+            self.label.append(label)
+            self.children.append(children)
+            self.size.append(1 + sum(self.size[c] for c in children))
+        return n
+
+    def match(self, a: int, b: int) -> int:
+        """Simple tree matching: the most pairs of nodes of equal labels that keep order and parents. Trees are DEPTH deep at most."""
+        if a == b:
+            return self.size[a]
+        if self.label[a] != self.label[b]:
+            return 0
+        got = self.memo.get((a, b))
+        if got is None:
+            left, right, _, _ = trimmed(self.children[a], self.children[b])
+            same = sum(self.size[c] for c in self.children[a]) - sum(self.size[c] for c in left)
+            best = 0
+            if left and right:
+                for row in self.rows(left, right):
+                    best = int(row[-1])
+            got = self.memo[a, b] = 1 + same + best
+        return got
+
+    def weights(self, left: tuple[int, ...], right: tuple[int, ...]) -> dict[int, np.ndarray]:
+        """By shape on the left, its matching with each place on the right."""
+        kinds, at = np.unique(np.array(right, np.int64), return_inverse=True)
+        return {x: np.array([self.match(x, int(y)) for y in kinds], np.int64)[at] for x in set(left)}
+
+    def rows(self, left: tuple[int, ...], right: tuple[int, ...], first: np.ndarray | None = None, weights: dict | None = None):
+        """The rows of the alignment's table, below `first`: the best sum for the children so far and each prefix on the right."""
+        weights = self.weights(left, right) if weights is None else weights
+        row = np.zeros(len(right) + 1, np.int64) if first is None else first
+        for x in left:
+            above, row = row, row.copy()
+            np.maximum(above[1:], above[:-1] + weights[x], out=row[1:])
+            np.maximum.accumulate(row, out=row)
+            yield row
+
+    def pairs(self, left: tuple[int, ...], right: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The places that a best alignment of two lists of children pairs.
+
+        Only each k-th row of the table is kept, k the root of their number; the rows between are worked out again on the way
+        back, so lists of any length are aligned as a whole within little memory.
+        """
+        n, m = len(left), len(right)
+        left, right, head, tail = trimmed(left, right)
+        out = [(i, i) for i in range(head)] + [(n - i, m - i) for i in range(1, tail + 1)]
+        if not left or not right:
+            return out
+        step = int(len(left) ** 0.5) + 1
+        weights = self.weights(left, right)
+        kept = [np.zeros(len(right) + 1, np.int64)]
+        for i, row in enumerate(self.rows(left, right, weights=weights), 1):
+            if i % step == 0:
+                kept.append(row)
+        j = len(right)
+        for block in range((len(left) - 1) // step, -1, -1):
+            start = block * step
+            table = [kept[block], *self.rows(left[start : start + step], right, kept[block], weights)]
+            i = len(table) - 1
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j = int(np.searchsorted(table[i], table[i][j]))  # the first place of this sum: rows never fall
+                else:
+                    out.append((head + start + i - 1, head + j - 1))
+                    i, j = i - 1, j - 1
+        return out
+
+
+def trimmed(left: tuple[int, ...], right: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...], int, int]:
+    """Both lists without the equal shapes at their heads and tails, and how many these are; some best alignment pairs them."""
+    most = min(len(left), len(right))
+    head = next((i for i in range(most) if left[i] != right[i]), most)
+    tail = next((i for i in range(most - head) if left[-1 - i] != right[-1 - i]), most - head)
+    return left[head : len(left) - tail], right[head : len(right) - tail], head, tail
+
+
 class Node:
-    """An element of a tree that is matched; `entry` is its own text's."""
+    """An element of a tree that is matched; `entry` is its own text's, `shape` its number in Shapes."""
 
-    __slots__ = ("label", "path", "parent", "children", "entry")
+    __slots__ = ("label", "path", "parent", "children", "entry", "shape")
 
     def __init__(self, label: str, path: str, parent: Node | None):
-        self.label, self.path, self.parent, self.children, self.entry = label, path, parent, [], -1
+        self.label, self.path, self.parent, self.children, self.entry, self.shape = label, path, parent, [], -1, -1
 
 
-def tree(paths: list[str]) -> tuple[Node, list[Node]]:
+def tree(paths: list[str], shapes: Shapes | None = None) -> tuple[Node, list[Node]]:
     """(root, the node of each path)."""
     root = Node("", "", None)
     known, own = {"": root}, []
@@ -235,55 +332,21 @@ def tree(paths: list[str]) -> tuple[Node, list[Node]]:
             parent = node
         parent.entry = i
         own.append(parent)
+    if shapes is not None:
+        for node in reversed(known.values()):  # children come after their parents
+            node.shape = shapes.number(node.label, tuple(c.shape for c in node.children))
     return root, own
 
 
-def pieces(a: Node, b: Node):
-    """The children to match with each other: all, or of long lists one piece after the other."""
-    for i in range(0, max(len(a.children), len(b.children)), SIBLINGS):
-        yield a.children[i : i + SIBLINGS], b.children[i : i + SIBLINGS]
-
-
-def match(a: Node, b: Node, memo: dict) -> int:
-    """Simple tree matching: the most pairs of nodes of equal labels that keep order and parents. Trees are DEPTH deep at most."""
-    if a.label != b.label:
-        return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        total = 1
-        for left, right in pieces(a, b):
-            row = [0] * (len(right) + 1)
-            for x in left:
-                above, row = row, [0]
-                for j, y in enumerate(right):
-                    row.append(max(above[j + 1], row[j], above[j] + match(x, y, memo)))
-            total += row[-1]
-        memo[key] = total
-    return memo[key]
-
-
-def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
+def aligned(a: Node, b: Node, shapes: Shapes) -> list[tuple[Node, Node]]:
     """The pairs of nodes of a best matching of two roots."""
-    memo: dict[tuple[int, int], int] = {}
     out, todo = [], [(a, b)]
     while todo:
-        pair = todo.pop()
-        out.append(pair)
-        for left, right in pieces(*pair):
-            n, m = len(left), len(right)
-            best = [[0] * (m + 1) for _ in range(n + 1)]
-            for i in range(n):
-                for j in range(m):
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(left[i], right[j], memo))
-            i, j = n, m
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    todo.append((left[i - 1], right[j - 1]))
-                    i, j = i - 1, j - 1
+        x, y = todo.pop()
+        out.append((x, y))
+        if x.children and y.children:
+            at = shapes.pairs(shapes.children[x.shape], shapes.children[y.shape])
+            todo.extend((x.children[i], y.children[j]) for i, j in at)
     return out
 
 
@@ -291,7 +354,7 @@ def choose(paths: list[str], stats: dict[int, tuple]) -> tuple[list[bool], str]:
     """(whether each slot of the reference page is content, path of the content's root).
 
     stats has pages, same (pages that hold the slot's commonest text), state, chars and links of each slot. Constant slots
-    and lists of links have no mass. Of what varies, words in attributes only break ties: they count as mass, and as content within
+    and lists of links have no mass. Of what varies, slots with a telling word in class, id or role count as mass, and as content within
     the root, only if nothing without them is there. Where less than half of a host's text varies, its pages are copies of
     each other, which cannot tell template from content: no slot is content then, and each page is judged alone.
     """
@@ -342,13 +405,14 @@ def in_slot(slot: int, text: int) -> int:
 def tally(reference: list[str], pages: list) -> list[tuple]:
     """(slot, digest, pages, same, state, chars, link) of the slots of the reference page over a block of pages, of the
     texts that nearly all of the block's pages hold in one slot (slot -2), and of the block itself (slot -1)."""
-    root, _ = tree(reference)
+    shapes = Shapes()
+    root, _ = tree(reference, shapes)
     slots: dict[int, list] = {}
     commonest: dict[int, collections.Counter] = {}
     texts: collections.Counter[int] = collections.Counter()
     for entries in pages:
-        there, _ = tree([e["path"] for e in entries])
-        for a, b in aligned(root, there):
+        there, _ = tree([e["path"] for e in entries], shapes)
+        for a, b in aligned(root, there, shapes):
             if a.entry >= 0 and b.entry >= 0:
                 e = entries[b.entry]
                 texts.update({in_slot(a.entry, int(d)) for d in e["digests"]})
@@ -419,16 +483,23 @@ class Wrapper:
 
     def __init__(self, text: str):
         known = json.loads(text)
-        self.root, _ = tree(known["paths"])
+        self.paths = known["paths"]
+        self.align_anew()
         self.content, self.path, self.texts = known["content"], known["root"], set(known["texts"])
         self.usable = known["pages"] >= LEAST_PAGES and any(known["content"])
 
+    def align_anew(self) -> None:
+        self.shapes = Shapes()
+        self.root, _ = tree(self.paths, self.shapes)
+
     def content_of(self, blocks: list[dict]) -> list[str] | None:
         """The texts of the page's slots that are content; None if the page is not like the host's others, or so much like
         them that most of its content would be template."""
         entries, own = entries_of(blocks)
-        there, nodes = tree([e["path"] for e in entries])
-        pair = {id(b): a for a, b in aligned(self.root, there)}
+        if len(self.shapes.memo) + len(self.shapes.label) > SHAPES:
+            self.align_anew()
+        there, nodes = tree([e["path"] for e in entries], self.shapes)
+        pair = {id(b): a for a, b in aligned(self.root, there, self.shapes)}
         good, met, slots = [False] * len(entries), 0, [-1] * len(entries)
         for i, (e, node) in enumerate(zip(entries, nodes)):
             a = pair.get(id(node))

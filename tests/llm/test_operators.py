@@ -258,9 +258,10 @@ def test_tree_matching_against_brute_force():
         return out
 
     for _ in range(300):
-        (a, own), (b, _) = html_extract.tree(paths()), html_extract.tree(paths())
-        pairs = html_extract.aligned(a, b)
-        assert html_extract.match(a, b, {}) == brute_match(a, b) == len(pairs)
+        shapes = html_extract.Shapes()
+        (a, own), (b, _) = html_extract.tree(paths(), shapes), html_extract.tree(paths(), shapes)
+        pairs = html_extract.aligned(a, b, shapes)
+        assert shapes.match(a.shape, b.shape) == brute_match(a, b) == len(pairs)
         assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
         order = {id(n): i for i, n in enumerate(walk(a))}
         other = {id(n): i for i, n in enumerate(walk(b))}
@@ -268,6 +269,32 @@ def test_tree_matching_against_brute_force():
         assert [y for _, y in places] == sorted(y for _, y in places)
 
 
+def test_long_lists_of_siblings_are_aligned_as_a_whole():
+    rnd = random.Random(81)
+    for n in (30, 150, 400):
+        paths = lambda: [f"/{rnd.choice('abcd')}:{i}" + rnd.choice(["", "/x:0", "/y:0"]) for i in range(n + rnd.randrange(20))]
+        shapes = html_extract.Shapes()
+        (a, _), (b, _) = html_extract.tree(paths(), shapes), html_extract.tree(paths(), shapes)
+        pairs = html_extract.aligned(a, b, shapes)
+        row = [0] * (len(b.children) + 1)
+        for x in a.children:  # the whole table, cell by cell
+            above, row = row, [0]
+            for j, y in enumerate(b.children):
+                row.append(max(above[j + 1], row[j], above[j] + brute_match(x, y)))
+        assert len(pairs) == 1 + row[-1] == shapes.match(a.shape, b.shape)
+        order, other = ({id(x): i for i, x in enumerate(walk(r))} for r in (a, b))
+        places = sorted((order[id(x)], other[id(y)]) for x, y in pairs)
+        assert all(x.label == y.label for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(places, places[1:]))
+
+
+@pytest.mark.parametrize("n", [60, 64, 100, 128, 140, 700])
+def test_one_more_block_before_many_siblings_leaves_no_template(spark, n):
+    box = lambda k: f"<div class=box><b>Fixed box {k}</b></div>"
+    page = lambda i: "<body>" + "<div class=top>Top of all</div>" * (i % 2) + "".join(box(k) if k % 7 == 3 else f"<p>own {i} {k}</p>" for k in range(n)) + "</body>"
+    out = html_extract.extract(spark.createDataFrame([(i, "http://wide.example/", page(i)) for i in range(20)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: " ".join(f"own {i} {k}" for k in range(n) if k % 7 != 3) for i in range(20)}
+
+
 def walk(node):
     yield node
     for child in node.children:
