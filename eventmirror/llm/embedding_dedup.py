@@ -3,12 +3,14 @@
 0. Rows of one label and one vector are one row with a weight; all its copies get the same links at the end.
 1. Tight cells. Vectors within half the link angle of a leader are linked with each other by the
    triangle inequality, so a cell of near copies is one node and its pairs need no work at all.
-2. Leaders go to their nearest clusters (several: shards overlap), and those of a large shard to parts of it by the
-   next nearest clusters; each shard builds a robust-pruned graph, in which leaders of one direction are one node and a
-   ring; the adjacency lists of a leader are united over its shards.
-3. Every leader searches its shards' graphs: greedily from the medoid (and its own list), then on through
-   everything within range. A pair of shards' common leaders is reported by the first of those shards. United lists also
-   lead out of a shard: what lies one step outside from a leader in range is compared as well.
+2. Leaders go to their nearest clusters (several: shards overlap); a shard is dealt to parts of PART_ROWS by a hash. Each
+   part builds a robust-pruned graph, in which leaders of one direction are one node and a ring; the adjacency
+   lists of a leader are united over its shards.
+3. Every leader searches the graphs of all parts of its shards: greedily from the medoid (and its own list), then on
+   through everything within range. So all leaders of a shard meet, whatever its size, and no task holds more than two
+   parts. A pair of shards' common leaders is reported by the first of those shards. United lists also lead out of a
+   shard: what lies one step outside from a leader in range is compared as well. What is sure to be linked leaves a task
+   as counts and as links to one leader of each group, not as pairs.
 4. Pairs that the cells' radii leave open are verified vector by vector, in double precision.
 """
 
@@ -23,15 +25,21 @@ from .common import connected_components, discard, materialise
 
 COSINE = 0.93
 SHARD_ROWS, OVERLAP = 1000, 2
-#: A shard of over so many leaders is dealt to parts.
-LARGE = 8 * SHARD_ROWS
+#: Leaders of a shard's part at most, but for the skew of a hash. This bounds a task's memory; all parts of a shard search each other.
+PART_ROWS = 6000
 DEGREE, POOL, BEAM = 16, 48, 24
+#: The search goes on through leaders so many times as far as those it reports.
+THROUGH = 1.08
+#: Doubles that a task gathers at once.
+GATHER = 4 << 20
 #: Vectors that the cluster centres are fitted on at most; there is a centre for each four of them at most.
 SAMPLE = 20_000
 MEMBERS = 250
 SLACK = 1e-9
 #: Leaders of this cosine are one node of the graph: rounding leaves their distances without an order.
 SAME = 1 - 1e-12
+#: What a task says of two cells or one.
+OUTSIDE, OPEN, SURE, COUNT, LINK = range(5)
 
 
 def units(vectors) -> np.ndarray:
@@ -104,37 +112,47 @@ def cells_of(block: pd.DataFrame, radius: float) -> pd.DataFrame:
     )
 
 
-def prune(sims: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha: float = 1.2) -> np.ndarray:
-    """Robust pruning of every node's candidates (-1: none), all nodes at once: take the nearest, drop
+def dots(x: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosines of the rows x[at[i, k]] with y[i]."""
+    return np.einsum("mkd,md->mk", x[at], y)
+
+
+def prune(x: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha: float = 1.2) -> np.ndarray:
+    """Robust pruning of every node's candidates (-1: none), many nodes at once: take the nearest, drop
     those that are alpha times nearer to it than to the node, and so on."""
-    n = len(pool)
-    rows = np.arange(n)
-    far = np.where(pool >= 0, angle(sims[rows[:, None], pool]), np.inf)
-    out = np.full((n, degree), -1)
-    for k in range(degree):
-        best = far.argmin(1)
-        live = np.isfinite(far[rows, best])
-        pick = np.where(live, pool[rows, best], 0)
-        out[:, k] = np.where(live, pick, -1)
-        between = angle(sims[pick[:, None], np.maximum(pool, 0)])
-        far = np.where(live[:, None] & (alpha * between <= far), np.inf, far)
-        far[rows, best] = np.inf
+    out = np.full((len(pool), degree), -1)
+    chunk = max(1, GATHER // (pool.shape[1] * x.shape[1]))
+    for a in range(0, len(pool), chunk):
+        part = pool[a : a + chunk]
+        rows = np.arange(len(part))
+        there = x[np.maximum(part, 0)]
+        far = np.where(part >= 0, angle(np.einsum("mkd,md->mk", there, x[a : a + chunk])), np.inf)
+        for k in range(degree):
+            best = far.argmin(1)
+            live = np.isfinite(far[rows, best])
+            if not live.any():
+                break
+            out[a : a + chunk, k] = np.where(live, part[rows, best], -1)
+            between = angle(np.einsum("mkd,md->mk", there, there[rows, best]))
+            far = np.where(live[:, None] & (alpha * between <= far), np.inf, far)
+            far[rows, best] = np.inf
     return out
 
 
 def build_graph(x: np.ndarray, seed: int = 5) -> np.ndarray:
     """Adjacency lists: the nearest rows and a few random ones, pruned; then with reverse edges, pruned again."""
     n = len(x)
-    sims = x @ x.T
-    near = sims.copy()
-    np.fill_diagonal(near, -np.inf)
     k = min(POOL, n - 1)
     if k <= 0:
         return np.full((n, DEGREE), -1)
-    pool = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    pool = np.empty((n, k), int)
+    chunk = max(1, GATHER // n)
+    for a in range(0, n, chunk):
+        near = x[a : a + chunk] @ x.T
+        near[np.arange(len(near)), np.arange(a, a + len(near))] = -np.inf
+        pool[a : a + chunk] = np.argpartition(-near, k - 1, axis=1)[:, :k]
     some = np.random.default_rng(seed).integers(0, n, (n, 16))
-    pool = np.hstack([pool, np.where(some == np.arange(n)[:, None], -1, some)])
-    out = prune(sims, pool)
+    out = prune(x, np.hstack([pool, np.where(some == np.arange(n)[:, None], -1, some)]))
     source, slot = np.nonzero(out >= 0)
     target = out[source, slot]
     order = np.argsort(target, kind="stable")
@@ -142,13 +160,14 @@ def build_graph(x: np.ndarray, seed: int = 5) -> np.ndarray:
     place = np.arange(len(order)) - np.searchsorted(target[order], target[order])
     keep = place < 2 * DEGREE
     back[target[order][keep], place[keep]] = source[order][keep]
-    return prune(sims, np.hstack([out, back]))
+    return prune(x, np.hstack([out, back]))
 
 
 def tied_graph(x: np.ndarray) -> np.ndarray:
     """build_graph() over one row of each direction. Rows of one direction are a ring in the last column, so a
     search that finds one of them finds all; pruning would keep a single one of them."""
-    first = (x @ x.T >= SAME).argmax(1)
+    chunk = max(1, GATHER // len(x))
+    first = np.concatenate([(x[a : a + chunk] @ x.T >= SAME).argmax(1) for a in range(0, len(x), chunk)])
     while (first[first] != first).any():
         first = first[first]
     own = np.unique(first)
@@ -163,46 +182,92 @@ def tied_graph(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, graph: np.ndarray, radii: np.ndarray, theta: float, chunk: int = 256):
-    """(row, found rows within theta and both radii) for every row as a query."""
-    n = len(x)
+def adjacency(names, lists) -> np.ndarray:
+    """The lists as places within `names` (-1: none); what is not there is left out."""
+    at = {c: i for i, c in enumerate(names)}
+    rows = [[at[c] for c in row if c in at] for row in lists]
+    width = max(1, max(map(len, rows)))
+    return np.array([o + [-1] * (width - len(o)) for o in rows])
+
+
+def search(x: np.ndarray, graph: np.ndarray, radii: np.ndarray, asked: np.ndarray, asked_radii: np.ndarray, theta: float, own: bool) -> np.ndarray:
+    """Which rows of x each asked vector finds within theta and both radii, as a matrix. If the asked vectors are the `own` rows of
+    the graph, they start at their own lists too, and a pair that either of its rows finds is found."""
+    n, width, widest = len(x), graph.shape[1], radii.max()
     medoid = int((x @ x.mean(0)).argmax())
-    widest = radii.max()
-    for a in range(0, n, chunk):
-        q = np.arange(a, min(a + chunk, n))
+    out = np.zeros((len(asked), n), bool)
+    chunk = max(1, min(512, GATHER // (width * x.shape[1]), (16 << 20) // n))
+    for a in range(0, len(asked), chunk):
+        q = asked[a : a + chunk]
         m = len(q)
-        beam = np.hstack([np.full((m, 1), medoid), graph[q]])[:, :BEAM]
-        beam = np.hstack([beam, np.full((m, max(0, BEAM - beam.shape[1])), -1)])
-        cos = np.where(beam >= 0, np.einsum("mkd,md->mk", x[beam], x[q]), -np.inf)
+        row = np.arange(m)
+        beam = np.full((m, BEAM), -1)
+        beam[:, 0] = medoid
+        if own:
+            lists = graph[a : a + m, : BEAM - 1]
+            beam[:, 1 : 1 + lists.shape[1]] = lists
+            beam[:, 1:][beam[:, 1:] == medoid] = -1
+        seen = np.zeros((m, n + 1), bool)  # the last column stands for no row
+        seen[row[:, None], beam] = True
+        cos = np.where(beam >= 0, dots(x, beam, q), -np.inf)
         done = beam < 0
-        while not done.all():
-            pick = np.where(done, -np.inf, cos).argmax(1)
-            open_ = ~done[np.arange(m), pick]
-            done[np.arange(m), pick] = True
-            more = np.where(open_[:, None], graph[beam[np.arange(m), pick]], -1)
-            more = np.where((more[:, :, None] == beam[:, None, :]).any(2), -1, more)
-            value = np.where(more >= 0, np.einsum("mkd,md->mk", x[more], x[q]), -np.inf)
-            beam, cos, done = np.hstack([beam, more]), np.hstack([cos, value]), np.hstack([done, more < 0])
-            top = np.argsort(-cos, axis=1, kind="stable")[:, :BEAM]
-            beam, cos, done = (np.take_along_axis(t, top, 1) for t in (beam, cos, done))
-            done |= ~np.isfinite(cos)
-        near = angle(cos)
-        for i in range(m):
-            reach = theta + radii[q[i]]
-            found = {int(b): float(t) for b, t in zip(beam[i], near[i]) if b >= 0 and t <= reach + widest}
-            front = list(found)
-            while front:  # on through everything within range
-                near_by = np.unique(graph[front])
-                near_by = np.array([j for j in near_by if j >= 0 and j not in found], int)
-                if not len(near_by):
-                    break
-                t = angle(x[near_by] @ x[q[i]])
-                fresh = t <= reach + widest
-                found.update(zip(near_by[fresh].tolist(), t[fresh].tolist()))
-                front = near_by[fresh].tolist()
-            hits = np.array([j for j, t in found.items() if j != q[i] and t <= reach + radii[j] + SLACK], int)
-            if len(hits):
-                yield int(q[i]), hits
+        live = row
+        while len(live):
+            pick = np.where(done[live], -np.inf, cos[live]).argmax(1)
+            done[live, pick] = True
+            more = graph[beam[live, pick]]
+            more = np.where(seen[live[:, None], more], -1, more)
+            seen[live[:, None], more] = True
+            value = np.where(more >= 0, dots(x, more, q[live]), -np.inf)
+            next_, far, over = (np.hstack([o[live], f]) for o, f in ((beam, more), (cos, value), (done, more < 0)))
+            top = np.argpartition(-far, BEAM - 1, axis=1)[:, :BEAM]
+            beam[live], cos[live] = np.take_along_axis(next_, top, 1), np.take_along_axis(far, top, 1)
+            done[live] = np.take_along_axis(over, top, 1) | ~np.isfinite(cos[live])
+            live = live[~done[live].all(1)]
+        # On through everything within range, all asked vectors of the chunk at once.
+        reach = theta + asked_radii[a : a + m]
+        seen[:] = False
+        seen[:, n] = True
+        seen[row[:, None], beam] = True
+        at, node = np.nonzero(beam >= 0)
+        node, far = beam[at, node], angle(cos[at, node])
+        step = max(1, GATHER // x.shape[1])
+        while len(at):
+            hit = far <= reach[at] + radii[node] + SLACK
+            out[a + at[hit], node[hit]] = True
+            go = far <= THROUGH * (reach[at] + widest) + SLACK
+            at, node = at[go], node[go]
+            fresh_at, fresh = [], []
+            for b in range(0, len(at), step):
+                key = (at[b : b + step, None] * (n + 1) + np.where(graph[node[b : b + step]] < 0, n, graph[node[b : b + step]])).ravel()
+                key = np.unique(key[~seen.ravel()[key]])
+                seen.ravel()[key] = True
+                fresh_at.append(key // (n + 1))
+                fresh.append(key % (n + 1))
+            at, node = (np.concatenate(f) if f else np.zeros(0, int) for f in (fresh_at, fresh))
+            far = np.concatenate([angle(np.einsum("kd,kd->k", x[node[b : b + step]], q[at[b : b + step]])) for b in range(0, len(at), step)]) if len(at) else np.zeros(0)
+    if own:
+        out |= out.T
+        np.fill_diagonal(out, False)
+    return out
+
+
+def stars(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between ids, one for each member of each connected group but one, that connect what the matrix connects."""
+    out = []
+    todo, open_ = linked.any(1), linked.any(0)
+    for i in np.flatnonzero(todo):
+        if todo[i]:
+            front = np.array([i])
+            todo[i] = False
+            while len(front):
+                columns = np.flatnonzero(linked[front].any(0) & open_)
+                open_[columns] = False
+                out += [(int(left[i]), int(right[j])) for j in columns if left[i] != right[j]]
+                front = np.flatnonzero(linked[:, columns].any(1) & todo) if len(columns) else columns
+                todo[front] = False
+                out += [(int(left[i]), int(left[j])) for j in front if left[i] != left[j]]
+    return out
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -252,51 +317,72 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     leader = "cell string, cell_id long, label long, dim int, embedding array<double>, radius double, size long, members long"
     leaders = materialise(members.where("leads").select("cell", "cell_id", "label", "dim", "embedding", "radius", "size", "members").mapInPandas(near, f"{leader}, near array<int>"), "leaders")
-    dealt = leaders.select("cell", "label", "dim", "near", F.explode(F.slice("near", 1, OVERLAP)).alias("home"))
-    large = dealt.groupBy("label", "dim", "home").agg((F.count(F.lit(1)) > LARGE).alias("large"))
-    others = F.slice(F.filter("near", lambda c: c != F.col("home")), 1, OVERLAP)
-    parts = F.when(F.col("large") & (F.size(others) > 0), F.transform(others, lambda c: F.concat_ws("/", F.col("home").cast("string"), c.cast("string")))).otherwise(F.array(F.col("home").cast("string")))
-    homes = dealt.join(large, ["label", "dim", "home"]).select("cell", F.explode(parts).alias("shard")).groupBy("cell").agg(F.sort_array(F.collect_set("shard")).alias("homes"))  # OVERLAP squared names at most
-    homed = materialise(leaders.drop("near").join(homes, "cell"), "homed")
+    homed = materialise(leaders.withColumn("homes", F.sort_array(F.slice("near", 1, OVERLAP))).drop("near"), "homed")
     discard(leaders)
-    shards = homed.withColumn("shard", F.explode("homes"))
+    dealt = homed.withColumn("shard", F.explode("homes"))
+    by = ["label", "dim", "shard"]
+    counts = dealt.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    shards = dealt.join(counts, by).withColumn("part", F.pmod(F.xxhash64("cell"), F.col("parts")).cast("int"))
 
-    def build(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("cell").reset_index(drop=True)
-        names = shard.cell.to_numpy()
-        return pd.DataFrame({"cell": names, "next": [names[g[g >= 0]].tolist() for g in tied_graph(units(shard.embedding))]})
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("cell").reset_index(drop=True)
+        names = part.cell.to_numpy()
+        return pd.DataFrame({"cell": names, "next": [names[g[g >= 0]].tolist() for g in tied_graph(units(part.embedding))]})
 
-    by = ["label", "dim", "shard"]
-    lists = shards.groupBy(*by).applyInPandas(build, "cell string, next array<string>")
+    lists = shards.groupBy(*by, "part").applyInPandas(build, "cell string, next array<string>")
     graph = lists.groupBy("cell").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # OVERLAP * (DEGREE + 1) names at most
 
-    def find(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("cell").reset_index(drop=True)
-        x, names = units(shard.embedding), shard.cell.to_numpy()
-        at = {c: i for i, c in enumerate(names)}
-        own = [[at[c] for c in row if c in at] for row in shard.next]
-        width = max(1, max(map(len, own)))
-        table = np.array([o + [-1] * (width - len(o)) for o in own])
-        radii, here = shard.radius.to_numpy(), shard.shard.iloc[0]
-        away = [[c for c in row if c not in at] for row in shard.next]
-        home = [set(h) for h in shard.homes]
+    def find(task: pd.DataFrame) -> pd.DataFrame:
+        here, low, high = task["shard"].iloc[0], task.low.iloc[0], task.high.iloc[0]
+        task = task.sort_values("cell").reset_index(drop=True)
+        p, q = (task[task.part == k].reset_index(drop=True) for k in (low, high))
+        if not len(p) or not len(q):
+            return pd.DataFrame(columns=found_columns)
+        x, y = units(p.embedding), units(q.embedding)
+        rp, rq = p.radius.to_numpy(), q.radius.to_numpy()
+        hits = search(x, adjacency(p.cell, p.next), rp, y, rq, theta, low == high)
+        if low != high:  # each part asks the other
+            hits |= search(y, adjacency(q.cell, q.next), rq, x, rp, theta, False).T
+        present = set(task.cell)
+        away = [[c for c in row if c not in present] for row in p.next]
         out = []
-        for i, hits in search(x, table, radii, theta):
-            for c in {c for j in (i, *hits.tolist()) for c in away[j]}:
-                out.append((min(names[i], c), max(names[i], c), 0, 0, 0, 0, 0, 0, False, True))
-            for j in hits.tolist():
-                if min(home[i] & home[j]) != here:
-                    continue
-                cos = float(x[i] @ x[j])
-                t, both = float(angle(cos)), radii[i] + radii[j]
-                sure = cos >= cosine if both == 0 else t <= theta - both - SLACK
-                if sure or both > 0:
-                    a, b = min(i, j), max(i, j)
-                    out.append((names[a], names[b], int(shard.cell_id[a]), int(shard.cell_id[b]), int(shard["size"][a]), int(shard["size"][b]), int(shard.members[a]), int(shard.members[b]), bool(sure), False))
-        return pd.DataFrame(out, columns=["a", "b", "ida", "idb", "sa", "sb", "ma", "mb", "sure", "outside"]).drop_duplicates()
-
-    pair = "a string, b string, ida long, idb long, sa long, sb long, ma long, mb long, sure boolean"
-    met = materialise(shards.join(graph, "cell").groupBy(*by).applyInPandas(find, f"{pair}, outside boolean").distinct(), "met")
+        if any(away):
+            for i, name in enumerate(q.cell):
+                near_by = {c for j in np.flatnonzero(hits[i]) for c in away[j]} | (set(away[i]) if low == high else set())
+                out += [(min(name, c), max(name, c), 0, 0, 0, 0, 0, 0, OUTSIDE) for c in near_by]
+        if low == high:
+            hits = np.triu(hits)
+        # Pairs that another shard reports go; both have this one in common.
+        homes_p, homes_q = (np.array([sorted(h) + [here] * (OVERLAP - len(h)) for h in side.homes], np.int64) for side in (p, q))
+        sure_at = np.zeros_like(hits)
+        facts_p, facts_q = (list(side[["cell", "cell_id", "size", "members"]].itertuples(index=False, name=None)) for side in (p, q))
+        step = max(1, GATHER // (x.shape[1] * len(x)))
+        for a in range(0, len(q), step):
+            i, j = np.nonzero(hits[a : a + step])
+            i += a
+            common = np.full(len(i), here)
+            for h in range(OVERLAP):
+                mine = homes_q[i, h]
+                common = np.where((homes_p[j] == mine[:, None]).any(1), np.minimum(common, mine), common)
+            i, j = i[common == here], j[common == here]
+            cos = np.einsum("kd,kd->k", y[i], x[j])
+            t, both = angle(cos), rq[i] + rp[j]
+            sure = np.where(both == 0, cos >= cosine, t <= theta - both - SLACK)
+            sure_at[i[sure], j[sure]] = True
+            for k in np.flatnonzero(~sure & (both > 0)):
+                u, v = sorted((facts_q[i[k]], facts_p[j[k]]))
+                out.append((*(value for two in zip(u, v) for value in two), OPEN))
+        for side, n in ((q, sure_at @ p["size"].to_numpy()), (p, q["size"].to_numpy() @ sure_at)):
+            out += [(side.cell[k], None, 0, 0, int(n[k]), 0, 0, 0, COUNT) for k in np.flatnonzero(n)]
+        out += [(None, None, a, b, 0, 0, 0, 0, LINK) for a, b in stars(sure_at, q.cell_id.to_numpy(), p.cell_id.to_numpy())]
+        return pd.DataFrame(out, columns=found_columns)
+
+    # One row: a pair of cells that is outside, open or sure; how many vectors a cell is linked with for sure; or a link of ids.
+    pair = "a string, b string, ida long, idb long, sa long, sb long, ma long, mb long"
+    found_columns = ["a", "b", "ida", "idb", "sa", "sb", "ma", "mb", "kind"]
+    asked = shards.join(graph, "cell").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = asked.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    met = materialise(asked.groupBy(*by, "low", "high").applyInPandas(find, f"{pair}, kind int"), "met")
 
     def outside(batches):
         for pdf in batches:
@@ -304,16 +390,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             t, both = angle(cos), (pdf.ra + pdf.rb).to_numpy()
             sure = np.where(both == 0, cos >= cosine, t <= theta - both - SLACK)
             keep = (t <= theta + both + SLACK) & (sure | (both > 0))
-            yield pdf.assign(sure=sure).loc[keep, ["a", "b", "ida", "idb", "sa", "sb", "ma", "mb", "sure"]]
+            yield pdf.assign(kind=np.where(sure, SURE, OPEN)).loc[keep, found_columns]
 
     end = lambda c: homed.select(F.col("cell").alias(c), F.col("cell_id").alias(f"id{c}"), F.col("size").alias(f"s{c}"), F.col("members").alias(f"m{c}"), F.col("embedding").alias(f"x{c}"), F.col("radius").alias(f"r{c}"), F.col("homes").alias(f"h{c}"))
-    beyond = met.where("outside").select("a", "b").join(end("a"), "a").join(end("b"), "b").where(~F.arrays_overlap("ha", "hb")).drop("ha", "hb")
-    pairs = materialise(met.where("NOT outside").drop("outside").unionByName(beyond.mapInPandas(outside, pair)), "pairs")
+    beyond = met.where(F.col("kind") == OUTSIDE).select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").where(~F.arrays_overlap("ha", "hb")).drop("ha", "hb")
+    pairs = materialise(met.where(F.col("kind") != OUTSIDE).unionByName(beyond.mapInPandas(outside, f"{pair}, kind int")), "pairs")
     discard(met, homed)
 
     # What the radii leave open: members against members, in blocks of MEMBERS rows by MEMBERS rows.
     part = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / MEMBERS).cast("int") - 1)
-    open_ = pairs.where("NOT sure").withColumn("pa", F.explode(part("ma"))).withColumn("pb", F.explode(part("mb")))
+    open_ = pairs.where(F.col("kind") == OPEN).withColumn("pa", F.explode(part("ma"))).withColumn("pb", F.explode(part("mb")))
     parts = members.select("cell", "k1", "k2", "copies", "embedding", F.pmod(F.xxhash64("vec_id", "k1"), F.ceil(F.col("members") / MEMBERS)).cast("int").alias("p"))
     side = lambda cell, p, left: open_.join(parts.withColumnsRenamed({"cell": cell, "p": p}), [cell, p]).select("a", "b", "ida", "idb", "pa", "pb", F.lit(left).alias("left"), "k1", "k2", "copies", "embedding")
 
@@ -333,9 +419,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     verified = materialise(
         side("a", "pa", True).unionByName(side("b", "pb", False)).groupBy("a", "b", "pa", "pb").applyInPandas(verify, "cell string, ida long, idb long, k1 long, k2 long, n long"), "verified"
     )
-    sure = pairs.where("sure")
-    links = sure.select(F.col("ida").alias("a"), F.col("idb").alias("b")).union(verified.select("ida", "idb").distinct())
-    outer = sure.select(F.col("a").alias("cell"), F.col("sb").alias("n")).union(sure.select("b", "sa")).groupBy("cell").agg(F.sum("n").alias("outer"))
+    sure = pairs.where(F.col("kind") == SURE)
+    links = pairs.where(F.col("kind").isin(SURE, LINK)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).union(verified.select("ida", "idb").distinct())
+    counted = pairs.where(F.col("kind") == COUNT).select(F.col("a").alias("cell"), F.col("sa").alias("n"))
+    outer = counted.union(sure.select("a", "sb")).union(sure.select("b", "sa")).groupBy("cell").agg(F.sum("n").alias("outer"))
     exact = verified.groupBy("cell", "k1", "k2").agg(F.sum("n").alias("exact"))
     result = members.join(outer, "cell", "left").join(exact, ["cell", "k1", "k2"], "left")
     if links.isEmpty():

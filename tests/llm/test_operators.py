@@ -402,6 +402,7 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     want = brute_links(rows)
     true, found = sum(v[0] for v in want.values()), sum(min(got[i][0], v[0]) for i, v in want.items())
     assert set(got) == set(want) and found / true >= 0.9 and all(got[i][0] <= v[0] for i, v in want.items())
+    assert all(want[i][1] <= got[i][1] <= i for i in want)  # a lost link splits a component, nothing joins two
     if found == true:
         assert got == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in out.collect())
@@ -410,6 +411,49 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mean, rows", [(0.89, 1200), (0.93, 600)])
+def test_vectors_with_a_common_direction(spark, monkeypatch, mean, rows):
+    """All vectors share a direction: one shard, searched part by part, or as one part."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(rows, 64))
+    x[:, 0] += 8 * np.sqrt(mean / (1 - mean))
+    x = np.vstack([x, x[:40], x[:40] + rng.normal(size=(40, 64)) * 0.3])
+    unit = embedding_dedup.units(list(x))
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    component = np.arange(len(x))
+    while True:
+        low = np.minimum(component, np.where(near, component[None, :], len(x)).min(1))
+        if (low == component).all():
+            break
+        component = low
+    for part_rows in (500, 6000):
+        monkeypatch.setattr(embedding_dedup, "PART_ROWS", part_rows)
+        got = embedding_dedup.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
+        assert len(got) == len(x) and (got.n_links.to_numpy() <= near.sum(1)).all()
+        assert got.n_links.sum() >= 0.99 * near.sum()
+        assert (got.component_id.to_numpy() >= component).all()
+
+
+def test_groups_are_linked_as_the_matrix_links_them():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 40):
+        linked = np.triu(rng.random((n, n)) < 1.2 / n, 1)
+        ids = rng.permutation(1000)[:n]
+
+        def groups(pairs):
+            of = {int(i): {int(i)} for i in ids}
+            for a, b in pairs:
+                of[a] |= of[b]
+                for c in of[a]:
+                    of[c] = of[a]
+            return {frozenset(g) for g in of.values()}
+
+        found = embedding_dedup.stars(linked, ids, ids)
+        assert groups(found) == groups([(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(linked))]) and len(found) < 2 * n
+
+
 def test_robust_pruning_keeps_the_nearest():
     x = embedding_dedup.units(list(np.random.default_rng(1).normal(size=(80, 8))))
     graph = embedding_dedup.build_graph(x)
