@@ -66,8 +66,10 @@ def parse_envelope(deliveries: DataFrame, source: str = "webhook", account_id: s
 
 def resolve_event(events: DataFrame) -> DataFrame:
     """events with object_type, object_id and resolve_status: mapped, unknown (type) or malformed (no object id)."""
+    # As rows of their own: a filter on them is not put below and the payload not parsed again for each use.
+    found = F.inline(F.array(F.struct(resolve_type(F.col("type")).alias("object_type"), data_object_id(F.col("payload")).alias("object_id"))))
     status = F.when(F.col("object_type").isNull(), "unknown").when(F.col("object_id").isNull(), "malformed").otherwise("mapped")
-    return events.withColumns({"object_type": resolve_type(F.col("type")), "object_id": data_object_id(F.col("payload"))}).withColumn("resolve_status", status)
+    return events.drop("object_type", "object_id").select("*", found).withColumn("resolve_status", status)
 
 
 def known_ids(ids: DataFrame, log: DataFrame) -> DataFrame:
