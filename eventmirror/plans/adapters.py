@@ -138,24 +138,31 @@ def charge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, data of a subscription per order, with up to two of its items embedded and has_more if there are others."""
-    items = item_listing(spark, sf_dir).groupBy("subscription").agg(F.sort_array(F.collect_list(F.struct("n", "data"))).alias("all"))
+    items = _items(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", "data"))).alias("all"))
     o = _table(spark, sf_dir, "orders").withColumn("subscription", F.concat(F.lit("sub_"), F.col("o_orderkey").cast("string")))
     status = F.when(F.col("o_orderstatus") == "F", "active").when(F.col("o_orderstatus") == "O", "trialing").otherwise("canceled")
     head = F.to_json(F.struct(F.col("subscription").alias("id"), F.lit("subscription").alias("object"), F.concat(F.lit("cus_"), F.col("o_custkey").cast("string")).alias("customer"), status.alias("status"), seconds(F.col("o_orderdate")).alias("created")))
     some = F.slice(F.coalesce("all", F.array().cast("array<struct<n:int,data:string>>")), 1, 2)
     tail = F.concat(F.lit(',"items":{"data":['), F.array_join(F.transform(some, lambda i: i["data"]), ","), F.lit('],"has_more":'), (F.coalesce(F.size("all"), F.lit(0)) > 2).cast("string"), F.lit("}}"))
-    return o.join(items, "subscription", "left").select(F.col("subscription").alias("id"), F.concat(F.substring(head, F.lit(1), F.length(head) - 1), tail).alias("data"))
+    return o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("subscription").alias("id"), F.concat(F.substring(head, F.lit(1), F.length(head) - 1), tail).alias("data"))
 
 
-def item_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subscription, n, data: the complete items. Line numbers repeat within an order; of equal ones the largest quantity stays."""
-    one = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct("l_quantity", "l_partkey")).alias("x"))
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, subscription, n, id, data: the complete items, dealt out once by their order, so that what groups or joins by it moves them no
+    more. Line numbers repeat within an order; of equal ones the largest quantity stays."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").repartition("l_orderkey")
+    one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct("l_quantity", "l_partkey")).alias("x"))
     subscription = F.concat(F.lit("sub_"), F.col("l_orderkey").cast("string"))
-    data = F.to_json(F.struct(
-        F.concat(F.lit("si_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("id"), F.lit("subscription_item").alias("object"), subscription.alias("subscription"),
-        F.struct(F.concat(F.lit("price_"), F.col("x.l_partkey").cast("string")).alias("id")).alias("price"), F.col("x.l_quantity").cast("bigint").alias("quantity"),
-    ))
-    return one.select(subscription.alias("subscription"), F.col("l_linenumber").cast("int").alias("n"), data.alias("data"))
+    item, price, quantity = F.concat(F.lit("si_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")), F.concat(F.lit("price_"), F.col("x.l_partkey").cast("string")), F.col("x.l_quantity").cast("bigint")
+    whole = F.to_json(F.struct(item.alias("id"), F.lit("subscription_item").alias("object"), subscription.alias("subscription"), F.struct(price.alias("id")).alias("price"), quantity.alias("quantity")))
+    # The same text without a JSON writer; it is null if one of the fields is, which the writer leaves out.
+    plain = F.concat(F.lit('{"id":"'), item, F.lit('","object":"subscription_item","subscription":"'), subscription, F.lit('","price":{"id":"'), price, F.lit('"},"quantity":'), quantity.cast("string"), F.lit("}"))
+    return one.select("l_orderkey", subscription.alias("subscription"), F.col("l_linenumber").cast("int").alias("n"), item.alias("id"), F.coalesce(plain, whole).alias("data"))
+
+
+def item_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subscription, n, id, data: the complete items."""
+    return _items(spark, sf_dir).select("subscription", "n", "id", "data")
 
 
 def subscription_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +201,7 @@ def account_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     the machinery segment are absent, and of charges and subscriptions differ those that their own tables name."""
     customers = in_mirror(_customers(spark, sf_dir, True).where("c_mktsegment <> 'MACHINERY'"))
     methods = in_mirror(payment_methods(spark, sf_dir).select(F.lit("payment_method").alias("object_type"), "id", "data"))
-    items = in_mirror(item_listing(spark, sf_dir).select(F.lit("subscription_item").alias("object_type"), F.get_json_object("data", "$.id").alias("id"), "data"))
+    items = in_mirror(item_listing(spark, sf_dir).select(F.lit("subscription_item").alias("object_type"), "id", "data"))
     return charge_mirror(spark, sf_dir).unionByName(customers).unionByName(subscription_mirror(spark, sf_dir)).unionByName(methods).unionByName(items)
 
 
