@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import is_stub
+from ..sources.scratch import stored
 from .fold import OBJECT, merge_state
 from .mirror import write_objects
 
@@ -21,8 +22,8 @@ def writable(snapshot: DataFrame, state: DataFrame, horizon: Column) -> DataFram
 
 def backfill(snapshot: DataFrame, mirror: DataFrame, state: DataFrame, horizon: Column, as_of: Column, item_listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(mirror, state) after loading the snapshot. Every written object counts as known up to the horizon, so
-    events from before it lose."""
-    rows = writable(snapshot.where(~is_stub(F.col("data"))), state, horizon)
+    events from before it lose. Runs a job that stores the rows to write, which are read six times."""
+    rows = stored(writable(snapshot.where(~is_stub(F.col("data"))), state, horizon), "writable")
     out = write_objects(mirror, rows, as_of, listing=item_listing)
     applied = rows.select("object_type", F.col("id").alias("object_id"), horizon.alias("created"), F.lit(None).cast("string").alias("event_id"), F.lit("backfill").alias("sync_source"))
     return out, merge_state(state, applied, as_of)
