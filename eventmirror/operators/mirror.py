@@ -31,8 +31,8 @@ TYPED = {
 _CASTS = {"n": "bigint", "b": "boolean", "t": "bigint"}
 
 
-def typed_view(mirror: DataFrame, object_type: str) -> DataFrame:
-    """The typed columns of one object type with the bookkeeping columns.
+def typed_view(mirror: DataFrame, object_type: str, *others: str) -> DataFrame:
+    """The typed columns of one object type with the bookkeeping columns and `others` of the mirror.
 
     A value that does not fit its type is null, and its column is named in `typed_errors`: rows with errors
     belong to quarantine, and none fails the batch.
@@ -55,7 +55,7 @@ def typed_view(mirror: DataFrame, object_type: str) -> DataFrame:
     # One pass over the text for all columns; every field is read as text first.
     shape = ", ".join([f"`{t}` string" for t in tops] + [f"`{t}` struct<{', '.join(f'`{i}`: string' for i in names)}>" for t, names in nested.items()])
     rows = mirror.where(F.col("object_type") == object_type).withColumn("_o", F.from_json("data", shape))
-    return rows.select("id", *columns, "account_id", "is_deleted", "deleted_at", "updated_at", F.array_compact(F.array(*errors)).alias("typed_errors"))
+    return rows.select("id", *columns, "account_id", "is_deleted", "deleted_at", "updated_at", F.array_compact(F.array(*errors)).alias("typed_errors"), *others)
 
 
 def live_items(mirror: DataFrame) -> DataFrame:

@@ -38,9 +38,8 @@ def failed_events(events: DataFrame, as_of: Column) -> DataFrame:
 
 def failed_objects(mirror: DataFrame, object_type: str, as_of: Column) -> DataFrame:
     """Objects of a type with values that do not fit their columns, which the reason lists; the key is type/id."""
-    bad = typed_view(mirror, object_type).where(F.size("typed_errors") > 0).select("id", F.array_join(F.array_sort("typed_errors"), ",").alias("reason"))
-    rows = mirror.where(F.col("object_type") == object_type).select("id", "data").join(bad, "id")
-    return _rows(rows, "typed", F.concat(F.lit(f"{object_type}/"), F.col("id")), F.col("reason"), F.col("data"), as_of)
+    bad = typed_view(mirror, object_type, "data").where(F.size("typed_errors") > 0)
+    return _rows(bad, "typed", F.concat(F.lit(f"{object_type}/"), F.col("id")), F.array_join(F.array_sort("typed_errors"), ","), F.col("data"), as_of)
 
 
 def failed_subscriptions(subscriptions: DataFrame, as_of: Column, listing: DataFrame | None = None) -> DataFrame:
