@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path
 
+#: Bytes of a row group of scratch tables, which a task holds until it is full.
+ROW_GROUP = 32 << 20
+
 
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends and a lost executor costs no rework.
@@ -16,7 +19,7 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    out = df.write
+    out = df.write.option("parquet.block.size", ROW_GROUP)
     if by:
         out = out.partitionBy(by)
     out.parquet(path)
@@ -39,6 +42,12 @@ def discard(*tables: DataFrame) -> None:
             df._scratch = None
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (left_semi) or is not (left_anti). A task hashes its part of the ids, so whole texts
+    stream past them and are never sorted."""
+    return docs.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", how).select(docs.columns)
+
+
 def raw_text(df: DataFrame, text: str, kept: list[str]) -> DataFrame:
     """The columns `kept` and, last, the bytes of the text, empty for a null, under a name that none of them has."""
     name = "_text"

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_ids
+
 #: Together these masks find every pair of 13-word windows with at most two substitutions
 #: (checked exhaustively in the tests).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
@@ -128,7 +130,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that find_leaks() names; a null doc_id is never removed."""
-    return docs.join(find_leaks(docs, benchmark).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return by_ids(docs, find_leaks(docs, benchmark), "left_anti")
 
 
 SQL = r"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialise, mix64, slices
+from .common import by_ids, connected_components, discard, materialise, mix64, slices
 
 WORDS = 4
 #: Similarity as a fraction: 100 * intersection >= 85 * union.
@@ -365,7 +365,7 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = materialise(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # The ids grow with the input, so they are never broadcast, whatever their size now.
-    grams = materialise(whole_sets(docs.join(nodes.hint("merge"), "doc_id", "left_semi")), "sets")
+    grams = materialise(whole_sets(by_ids(docs, nodes, "left_semi")), "sets")
     shared = F.size(F.array_intersect("ga", "gb"))
     union = F.size("ga") + F.size("gb") - shared
     found = materialise(
@@ -443,7 +443,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with the document of the smallest doc_id of each component, once."""
     kept = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component")).where("doc_id <> component").select("doc_id")
-    return docs.join(materialise(kept, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    return by_ids(docs, materialise(kept, "dropped"), "left_anti")
 
 
 SQL = r"""
