@@ -22,8 +22,9 @@ def marks_deleted(payload: Column) -> Column:
 
 
 def is_stub(data: Column) -> Column:
-    """Whether an object of a snapshot is a deletion stub, which equals no object."""
-    return F.coalesce(F.get_json_object(data, "$.deleted") == "true", F.lit(False))
+    """Whether an object of a snapshot is a deletion stub, which equals no object. A text without the word, written as such or escaped, is not parsed."""
+    named = F.contains(data, F.lit("deleted")) | F.contains(data, F.lit("\\"))
+    return F.coalesce(named & (F.get_json_object(data, "$.deleted") == "true"), F.lit(False))
 
 
 def event_newer(created: Column, event_id: Column, last_created: Column, last_id: Column) -> Column:

@@ -138,26 +138,43 @@ def charge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, data of a subscription per order, with up to two of its items embedded and has_more if there are others."""
-    items = _items(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", "data"))).alias("all"))
+    # Numbers are collected, and texts made of the two items that are embedded alone.
+    items = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").cast("int").alias("n"), "l_linenumber", "x"))).alias("all"))
     o = _table(spark, sf_dir, "orders").withColumn("subscription", F.concat(F.lit("sub_"), F.col("o_orderkey").cast("string")))
     status = F.when(F.col("o_orderstatus") == "F", "active").when(F.col("o_orderstatus") == "O", "trialing").otherwise("canceled")
     head = F.to_json(F.struct(F.col("subscription").alias("id"), F.lit("subscription").alias("object"), F.concat(F.lit("cus_"), F.col("o_custkey").cast("string")).alias("customer"), status.alias("status"), seconds(F.col("o_orderdate")).alias("created")))
-    some = F.slice(F.coalesce("all", F.array().cast("array<struct<n:int,data:string>>")), 1, 2)
-    tail = F.concat(F.lit(',"items":{"data":['), F.array_join(F.transform(some, lambda i: i["data"]), ","), F.lit('],"has_more":'), (F.coalesce(F.size("all"), F.lit(0)) > 2).cast("string"), F.lit("}}"))
+    size = F.coalesce(F.size("all"), F.lit(0))
+    item = lambda i: _item_text(F.col("o_orderkey"), *[F.get("all", F.lit(i))[c] for c in ("l_linenumber", "x")])
+    some = F.when(size > 1, F.concat(item(0), F.lit(","), item(1))).when(size == 1, item(0)).otherwise("")
+    tail = F.concat(F.lit(',"items":{"data":['), some, F.lit('],"has_more":'), (size > 2).cast("string"), F.lit("}}"))
     return o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("subscription").alias("id"), F.concat(F.substring(head, F.lit(1), F.length(head) - 1), tail).alias("data"))
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """l_orderkey, subscription, n, id, data: the complete items, dealt out once by their order, so that what groups or joins by it moves them no
-    more. Line numbers repeat within an order; of equal ones the largest quantity stays."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, l_linenumber, x (l_quantity, l_partkey): an item's numbers, dealt out once by their order, so that what groups or joins by it moves
+    them no more. Line numbers repeat within an order; of equal ones the largest quantity stays."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").repartition("l_orderkey")
-    one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct("l_quantity", "l_partkey")).alias("x"))
-    subscription = F.concat(F.lit("sub_"), F.col("l_orderkey").cast("string"))
-    item, price, quantity = F.concat(F.lit("si_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")), F.concat(F.lit("price_"), F.col("x.l_partkey").cast("string")), F.col("x.l_quantity").cast("bigint")
+    return lines.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct("l_quantity", "l_partkey")).alias("x"))
+
+
+def _item_id(order: Column, line: Column) -> Column:
+    return F.concat(F.lit("si_"), order.cast("string"), F.lit("_"), line.cast("string"))
+
+
+def _item_text(order: Column, line: Column, x: Column) -> Column:
+    subscription = F.concat(F.lit("sub_"), order.cast("string"))
+    item, price, quantity = _item_id(order, line), F.concat(F.lit("price_"), x["l_partkey"].cast("string")), x["l_quantity"].cast("bigint")
     whole = F.to_json(F.struct(item.alias("id"), F.lit("subscription_item").alias("object"), subscription.alias("subscription"), F.struct(price.alias("id")).alias("price"), quantity.alias("quantity")))
     # The same text without a JSON writer; it is null if one of the fields is, which the writer leaves out.
     plain = F.concat(F.lit('{"id":"'), item, F.lit('","object":"subscription_item","subscription":"'), subscription, F.lit('","price":{"id":"'), price, F.lit('"},"quantity":'), quantity.cast("string"), F.lit("}"))
-    return one.select("l_orderkey", subscription.alias("subscription"), F.col("l_linenumber").cast("int").alias("n"), item.alias("id"), F.coalesce(plain, whole).alias("data"))
+    return F.coalesce(plain, whole)
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, subscription, n, id, data: the complete items."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    subscription = F.concat(F.lit("sub_"), order.cast("string"))
+    return _lines(spark, sf_dir).select("l_orderkey", subscription.alias("subscription"), line.cast("int").alias("n"), _item_id(order, line).alias("id"), _item_text(order, line, F.col("x")).alias("data"))
 
 
 def item_listing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from eventmirror.llm import common, decontaminate, ngram_jaccard
+from eventmirror.functions.payload import is_stub
 from eventmirror.operators import backfill, fold, quarantine, verify
 from eventmirror.plans import adapters, queries
 from eventmirror.schemas import MIRROR, STATE
@@ -73,3 +74,18 @@ def test_pipeline_whole_texts_are_not_sorted(spark, tmp_path):
         assert sorted(r.text or "" for r in df.collect()) == want
     for df in (ngram_jaccard.keep_one(docs), decontaminate.remove_leaks(docs, spark.createDataFrame([(1, "p q r s t")], "item_id long, text string"))):
         assert "ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f10_f12_texts_of_items_are_made_where_they_are_embedded(spark):
+    plan = plan_of(adapters.subscriptions(spark, SF))
+    collected = [line for line in plan.splitlines() if "collect_list" in line]
+    assert collected and not any("subscription_item" in line.split("collect_list")[1] for line in collected)
+    below = plan[plan.index("collect_list"):]
+    assert "subscription_item" not in below
+
+
+def test_f10_f12_texts_without_the_word_are_no_stubs(spark):
+    texts = ['{"deleted":true}', r'{"deleted":true}', "{'deleted':true}", '{"deleted":false}', '{"a":1}', None, "deleted", '{"a":"deleted"}']
+    df = spark.createDataFrame([(t,) for t in texts], "data string").select("data", is_stub(F.col("data")).alias("got"))
+    assert {r.data: r.got for r in df.collect()} == dict(zip(texts, [True, True, True] + [False] * 5))
+    assert plan_of(df).count("ontains(") >= 1
