@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import is_stub
-from ..sources.scratch import stored
+from ..sources.scratch import stored_in_parts
 from .fold import OBJECT, merge_state
-from .mirror import write_objects
+from .mirror import KEY, write_objects
 
 PAGE = 100
 LIVE = ("active", "trialing", "past_due")
@@ -20,11 +20,13 @@ def writable(snapshot: DataFrame, state: DataFrame, horizon: Column) -> DataFram
     return snapshot.join(fresh, ["object_type", "id"], "left_anti")
 
 
-def backfill(snapshot: DataFrame, mirror: DataFrame, state: DataFrame, horizon: Column, as_of: Column, item_listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def backfill(snapshot: DataFrame, mirror: DataFrame, state: DataFrame, horizon: Column, as_of: Column, item_listing: DataFrame | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(mirror, state) after loading the snapshot. Every written object counts as known up to the horizon, so
-    events from before it lose. Runs a job that stores the rows to write, which are read six times."""
-    rows = stored(writable(snapshot.where(~is_stub(F.col("data"))), state, horizon), "writable")
-    out = write_objects(mirror, rows, as_of, listing=item_listing)
+    events from before it lose. Runs a job that stores the rows to write, which are read six times. With `parts`, for which the
+    snapshot is to be a stored table, this and the joins with items and mirror are made part by part, and the mirror is stored."""
+    upstream = snapshot.where(~is_stub(F.col("data")))
+    rows = stored_in_parts(snapshot.sparkSession, lambda cut: writable(cut(upstream, *KEY), cut(state, *OBJECT), horizon), "writable", parts or 1)
+    out = write_objects(mirror, rows, as_of, listing=item_listing, parts=parts)
     applied = rows.select("object_type", F.col("id").alias("object_id"), horizon.alias("created"), F.lit(None).cast("string").alias("event_id"), F.lit("backfill").alias("sync_source"))
     return out, merge_state(state, applied, as_of)
 
